@@ -121,9 +121,9 @@ def grouped_bootstrap(effects: DataFrame, key: str, group: str, effect: str, wei
     by = Window.partitionBy(key)
     per = per.withColumn("at", F.row_number().over(by.orderBy(group)) - 1).withColumn("groups", F.count("*").over(by))
     sizes = per.select(key, "groups").distinct()
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("k", F.explode(F.expr("sequence(0, CAST(groups AS INT) - 1)")))
-    draws = draws.withColumn("at", F.floor(draw(F.col("b").cast("bigint") * F.col("groups") + F.col("k"), seed) * F.col("groups")))
-    each = draws.join(per.select(key, "at", "num", "mass"), [key, "at"]).groupBy(key, "b").agg((F.sum("num") / F.sum("mass")).alias("estimate"))
+    draws = sizes.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("_k", F.explode(F.expr("sequence(0, CAST(groups AS INT) - 1)")))
+    draws = draws.withColumn("at", F.floor(draw(F.col("_b").cast("bigint") * F.col("groups") + F.col("_k"), seed) * F.col("groups")))
+    each = draws.join(per.select(key, "at", "num", "mass"), [key, "at"]).groupBy(key, "_b").agg((F.sum("num") / F.sum("mass")).alias("estimate"))
     spread = each.groupBy(key).agg(F.sort_array(F.collect_list("estimate")).alias("s"))  # as many as iterations
     point = per.groupBy(key).agg((F.sum("num") / F.sum("mass")).alias("estimate"), F.count("*").alias("groups"))
     return point.join(spread, key).select(key, "estimate", "groups", r7(F.col("s"), alpha / 2).alias("lo"), r7(F.col("s"), 1 - alpha / 2).alias("hi"))
