@@ -535,8 +535,8 @@ SELECT policy, failures, round(total, 6) AS total, dominant_gate, CAST(row_numbe
 effects AS (SELECT policy, c_nationkey AS g, CAST(effect * 2 AS BIGINT) AS e, CAST(weight / 27720 AS BIGINT) AS w FROM case_effects JOIN customer ON group_id = c_custkey WHERE policy IN ('fast-only', 'cascade-0.3-500')),
 {_bootstrap_sql("policy", 200, 0.05, 42)}
 SELECT policy, round(estimate / 20000, 9) AS estimate, round(lo / 20000, 9) AS lo, round(hi / 20000, 9) AS hi, groups FROM boot""",
-        "mean_bootstrap": f"""WITH effects AS (SELECT 'all' AS k, c_nationkey AS g, sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS e, 1 AS w FROM customer GROUP BY ALL),
-{_bootstrap_sql("k", 100, 0.1, 7)}
+        "mean_bootstrap": f"""WITH effects AS (SELECT 'all' AS one, c_nationkey AS g, sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS e, 1 AS w FROM customer GROUP BY ALL),
+{_bootstrap_sql("one", 100, 0.1, 7)}
 SELECT round(estimate, 4) AS estimate, round(lo, 4) AS lo, round(hi, 4) AS hi, groups FROM boot""",
         "weighted_quantiles": """WITH m AS (SELECT l_returnflag, l_extendedprice AS v, sum(CAST(l_quantity AS BIGINT)) AS w FROM lineitem GROUP BY ALL),
 r AS (SELECT *, CAST(sum(w) OVER (PARTITION BY l_returnflag ORDER BY v) AS DOUBLE) AS u, CAST(sum(w) OVER (PARTITION BY l_returnflag) AS DOUBLE) AS t FROM m)
