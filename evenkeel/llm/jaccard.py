@@ -9,7 +9,8 @@
    bitmaps, the range of their sizes and whether they are of one class; a dual traversal drops node pairs whose largest
    possible overlap is too small, or that are one class.  Large groups are cut into chunks of ``CHUNK`` documents, by
    size, and chunk pairs are compared apart from each other.
-4. The pairs left are compared by their whole sets; classes are found by alternating stars.
+4. The pairs left are compared by their whole sets, ``FEW`` of each document first, then those that are still of two
+   classes; classes are found by alternating stars.
 
 Every link between documents of different classes is tested, so no class is cut; links inside a class are not listed.
 The order of shingles puts those last that a hash sample of the documents holds often (at most ``DEMOTED``); any order
@@ -31,6 +32,7 @@ from .util import NOT_SPACE, blocks, column_bytes, drop_table, hash_spans, mix,
 
 SAMPLED, DEMOTED = 64, 65_536  # one document in so many is read for the order; shingles that may come last
 FIRST, CHUNK, FAN = 8, 128, 8  # prefix places of the first round, documents of a chunk, children of a tree node
+FEW = 3  # pairs of a document that are compared before the rest
 PAIRS = 256  # pairs of one document that are compared in one go
 BROADCAST_ROWS = 1_000_000  # ids of documents to compare that may be broadcast; beyond, a shuffled join
 _U = np.uint64
@@ -261,6 +263,17 @@ def _tree_filter(percent: int):
     return run
 
 
+def _pack(own: np.ndarray) -> bytes:
+    """A sorted set's upper 40 bits each: enough to tell the shingles of two documents apart."""
+    return np.ascontiguousarray((own >> _U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _compare(percent: int):
     """Rows sorted by (a, salt, b): a's set first (b null), then the sets to compare with it."""
 
@@ -270,7 +283,7 @@ def _compare(percent: int):
             a, b, body = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             out = [[], []]
             for x, y, raw in zip(a, b, body):
-                s = np.frombuffer(raw, np.uint64)
+                s = _unpack(raw)
                 if y is None:
                     own, key = s, x
                     continue
@@ -298,20 +311,23 @@ def verify(docs, nodes, pairs, k: int, percent: int, id_col: str, text_col: str)
         for batch in batches:
             uids, fps = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j, buf, offs in blocks(*column_bytes(batch.column(2))):
-                raw = [own.tobytes() for own in shingle_rows(buf, offs, k)]
-                hits = [r for r in range(i, j) if xxhash.xxh3_128_digest(raw[r - i]) == fps[r]]  # not another row of this id
-                yield pa.RecordBatch.from_arrays([pa.array([uids[r] for r in hits], pa.int64()), pa.array([raw[r - i] for r in hits], pa.binary())], names=["uid", "body"])
+                own = list(shingle_rows(buf, offs, k))
+                hits = [r for r in range(i, j) if xxhash.xxh3_128_digest(own[r - i].tobytes()) == fps[r]]  # not another row of this id
+                yield pa.RecordBatch.from_arrays([pa.array([uids[r] for r in hits], pa.int64()), pa.array([_pack(own[r - i]) for r in hits], pa.binary())], names=["uid", "body"])
 
-    bodies, path2 = write_table(texts.mapInArrow(run, "uid bigint, body binary").dropDuplicates(["uid"]), "bodies")
+    # repeated rows give a body twice, which repeats links at most
+    bodies, path2 = write_table(texts.mapInArrow(run, "uid bigint, body binary"), "bodies")
     turn = F.row_number().over(Window.partitionBy("a", F.pmod(F.xxhash64("b"), F.lit(16))).orderBy("b")) - 1
     salted = pairs.select("a", F.when(turn < PAIRS, 0).otherwise(F.floor(turn / PAIRS) * 16 + F.pmod(F.xxhash64("b"), F.lit(16))).cast("int").alias("salt"), "b")
-    left = salted.select("a", "salt").distinct().join(bodies.withColumnRenamed("uid", "a"), "a").select("a", "salt", F.lit(None).cast("bigint").alias("b"), "body")
-    right = salted.join(bodies.withColumnRenamed("uid", "b"), "b").select("a", "salt", "b", "body")
+    salted, path3 = write_table(salted, "salted")
+    side = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda x: x  # three numbers a row
+    left = bodies.withColumnRenamed("uid", "a").join(side(salted.select("a", "salt").distinct()), "a").select("a", "salt", F.lit(None).cast("bigint").alias("b"), "body")
+    right = bodies.withColumnRenamed("uid", "b").join(side(salted), "b").select("a", "salt", "b", "body")
     both = left.unionByName(right)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = both.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_compare(percent), _PAIR)
     links, _ = write_table(links, "links")
-    for p in (path, path2):
+    for p in (path, path2, path3):
         drop_table(docs.sparkSession, p)
     return links
 
@@ -347,14 +363,16 @@ def join(docs, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col:
     filled = everything.where("n > 0")
     first = filled.groupBy("fp").agg(F.min("uid").alias("uid"))
     kept = filled.join(first.select("uid"), "uid", "left_semi")  # one document for each set
-    tokens = kept.select("uid", "n", F.posexplode("prefix").alias("place", "token"))
+    # two numbers a row: the shingle, and the document with a mark for its first places
+    marked = F.col("uid") * 2 + (F.col("place") < FIRST).cast("bigint")
+    tokens = kept.select("uid", F.posexplode("prefix").alias("place", "token")).select("token", marked.alias("marked"))
     common = tokens.groupBy("token").agg(F.count("*").alias("g")).where("g > 1").select("token")
-    shared, shared_path = write_table(tokens.join(common, "token"), "shared")
+    shared, shared_path = write_table(tokens.join(common, "token").select("token", F.shiftright("marked", 1).alias("uid"), (F.col("marked") % 2 == 1).alias("early")), "shared")
     nodes = everything.select("uid", "doc_id", "fp")
     maps = filled.select("uid", "n", "bits")
 
     # every document against the least of each group of its first places
-    firsts = shared.where(F.col("place") < FIRST).select("token", "uid")
+    firsts = shared.where("early").select("token", "uid")
     least = firsts.groupBy("token").agg(F.min("uid").alias("a"))
     stars = firsts.join(least, "token").where("uid != a").select("a", F.col("uid").alias("b")).distinct()
     stars = stars.join(maps.toDF("b", "nb", "mb"), "b").join(maps.toDF("a", "na", "ma"), "a")
@@ -363,28 +381,42 @@ def join(docs, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col:
     links = verify(docs, nodes, stars, k, percent, id_col, text_col)
     found = classes(links)
 
-    # groups that still hold more than one class
-    rows = shared.select("token", "uid", "n").join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("cls", F.coalesce("cls", "uid"))
+    # groups that still hold more than one class; groups of one least document are one group, so that near copies, which
+    # share many shingles, meet once or twice and not once a shingle
+    rows = shared.select("token", "uid").join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("cls", F.coalesce("cls", "uid"))
     rows, rows_path = write_table(rows, "rows")
-    mixed = rows.groupBy("token").agg(F.count("*").alias("g"), F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 != c1").select("token", "g")
-    rows = rows.join(mixed, "token")
-    place = Window.partitionBy("token").orderBy("n", "uid")
-    small = rows.where(F.col("g") <= CHUNK).select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "uid", "n", "cls")
-    large = rows.where(F.col("g") > CHUNK).withColumn("chunk", F.floor((F.row_number().over(place) - 1) / CHUNK).cast("int"))
-    span = large.groupBy("token", "chunk").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("cls").alias("c0"), F.max("cls").alias("c1"))
+    mixed = rows.groupBy("token").agg(F.min("uid").alias("pivot"), F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 != c1").select("token", "pivot")
+    met, met_path = write_table(rows.join(mixed, "token").select("pivot", "uid", "cls").distinct().join(maps.select("uid", "n"), "uid"), "met")
+    place = Window.partitionBy("pivot").orderBy("n", "uid")
+    near = F.coalesce(100 * F.lag("n").over(place) >= percent * F.col("n"), F.lit(False)) | F.coalesce(100 * F.col("n") >= percent * F.lead("n").over(place), F.lit(False))
+    met = met.withColumn("near", near).where("near").drop("near")  # the rest has no document of a size to link with
+    size = Window.partitionBy("pivot").orderBy("n", "uid")
+    met = met.withColumn("chunk", F.floor((F.row_number().over(size) - 1) / CHUNK).cast("int"))
+    span = met.groupBy("pivot", "chunk").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("cls").alias("c0"), F.max("cls").alias("c1"))
     s, t = span.alias("s"), span.alias("t")
-    faced = s.join(t, (F.col("s.token") == F.col("t.token")) & (F.col("s.chunk") <= F.col("t.chunk")) & (100 * F.col("s.n1") >= percent * F.col("t.n0")))
-    faced = faced.where("not (s.c0 = s.c1 and t.c0 = t.c1 and s.c0 = t.c0)").select(F.col("s.token").alias("token"), F.col("s.chunk").alias("i"), F.col("t.chunk").alias("j"))
-    sides = faced.select("token", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("chunk"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("j").alias("chunk"), F.lit(1).alias("side"))))).alias("x")).select("token", "i", "j", "x.chunk", "x.side")
-    cut = large.select("token", "chunk", "uid", "n", "cls").join(sides, ["token", "chunk"]).select(*small.columns)
-    blocked = small.unionByName(cut).join(maps.select("uid", "bits"), "uid").select("token", "i", "j", "side", "uid", "n", "cls", "bits")
+    faced = s.join(t, (F.col("s.pivot") == F.col("t.pivot")) & (F.col("s.chunk") <= F.col("t.chunk")) & (100 * F.col("s.n1") >= percent * F.col("t.n0")))
+    faced = faced.where("not (s.c0 = s.c1 and t.c0 = t.c1 and s.c0 = t.c0)").select(F.col("s.pivot").alias("pivot"), F.col("s.chunk").alias("i"), F.col("t.chunk").alias("j"))
+    one = F.struct(F.col("i").alias("chunk"), F.lit(0).alias("side"))
+    other = F.struct(F.col("j").alias("chunk"), F.lit(1).alias("side"))
+    sides = faced.select("pivot", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(one)).otherwise(F.array(one, other))).alias("x")).select("pivot", "i", "j", "x.chunk", "x.side")
+    cut = met.join(sides, ["pivot", "chunk"])
+    blocked = cut.join(maps.select("uid", "bits"), "uid").select("pivot", "i", "j", "side", "uid", "n", "cls", "bits")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = blocked.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_tree_filter(percent), _PAIR).distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")  # those have been compared
+    pairs = blocked.repartition(parts, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(_tree_filter(percent), _PAIR).distinct()
     pairs, pairs_path = write_table(pairs, "pairs")
-    links = links.unionByName(verify(docs, nodes, pairs, k, percent, id_col, text_col))
+
+    # a few pairs of each document first: they draw most classes together; then all pairs that are still of two classes
+    order = Window.partitionBy("b").orderBy(F.xxhash64("a", "b"))
+    some, some_path = write_table(pairs.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= FEW).select("a", "b").join(stars, ["a", "b"], "left_anti"), "some")
+    links = links.unionByName(verify(docs, nodes, some, k, percent, id_col, text_col))
+    found = classes(links)
+    of = found.select(F.col("node").alias("a"), F.col("cls").alias("ca"))
+    left = pairs.join(of, "a", "left").join(of.toDF("b", "cb"), "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
+    left = left.join(some, ["a", "b"], "left_anti").join(stars, ["a", "b"], "left_anti")
+    left, left_path = write_table(left, "left")
+    links = links.unionByName(verify(docs, nodes, left, k, percent, id_col, text_col))
     found = classes(links)
-    for p in (shared_path, stars_path, rows_path, pairs_path):
+    for p in (shared_path, stars_path, rows_path, met_path, pairs_path, some_path, left_path):
         drop_table(spark, p)
 
     node = first.join(found.withColumnRenamed("node", "uid"), "uid", "left").select("fp", F.coalesce("cls", "uid").alias("cls"))

@@ -7,6 +7,7 @@ words of a block with a handful of numpy passes, so no Python object is made per
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,9 +34,16 @@ def write_table(df, name: str, partition_by: str | None = None):
     path = f"{shared_root(spark)}/evenkeel-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    free(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def free(spark) -> None:
+    """Have Spark remove shuffle files that nothing can read any more: it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_table(spark, path: str) -> None:
     """Remove a table that nothing reads any more."""
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
