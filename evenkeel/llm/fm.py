@@ -73,7 +73,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7):
     size = HASHED + len(STRUCTURE)
     w, v = np.zeros(size), rng.normal(0, 0.02, (size, FACTORS))
     share = y.mean() if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return float(np.log((share + 1e-4) / (1 - share + 1e-4))), w.astype(np.float32), np.zeros_like(v, np.float32)
     up = max(1.0, 0.5 * max(share, 1 - share) / min(share, 1 - share))
     weight = np.where(y == (share < 0.5), up, 1.0)

@@ -188,7 +188,7 @@ def _predict(model, buf, offs):
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (path[1:] != path[:-1])
     at = np.flatnonzero(new)
-    stop = np.append(at[1:], len(row)) - 1
+    stop = np.append(at[1:], len(row))[: len(at)] - 1
     cut = np.searchsorted(row[at], np.arange(n_rows + 1))
     begin, end, lang = starts[at], ends[stop], path[at]
     spans = [[{"start": int(begin[k] - offs[r]), "end": int(end[k] - offs[r]), "lang": langs[lang[k]]} for k in range(cut[r], cut[r + 1])] if lettered[r] else [] for r in range(n_rows)]

@@ -147,8 +147,15 @@ SPACES[[32, *range(9, 14)]] = True
 NOT_SPACE = ~SPACES
 
 
+#: Rows and bytes that go to a Python worker at a time: whole documents, index blocks and sets are long rows.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 def ship(spark) -> None:
-    """Send this package to the executors, once for each context; they need not have it installed."""
+    """Bound the batches of Python workers, and send them this package, once for each context."""
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) in (None, "10000", "-1"):
+            spark.conf.set(key, value)
     context = spark.sparkContext
     if getattr(context, "_evenkeel_shipped", False):
         return
