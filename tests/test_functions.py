@@ -1,10 +1,11 @@
 import hashlib
+import hmac
 
 import pytest
 from pyspark.sql import functions as F
 
-from evenkeel.functions import canonical, prng, sampling, stats
-from evenkeel.operators import evidence, replay
+from evenkeel.functions import canonical, identity, prng, sampling, stats
+from evenkeel.operators import controller, evidence, experiments, replay, runtime
 from evenkeel.sources import bounded, decoders, packets
 from evenkeel.streaming import windows
 
@@ -122,3 +123,55 @@ def test_stream_then_seal(spark, tmp_path):
     assert kept.count() == 60
     inside, late = windows.seal(kept, "2024-01-01 00:10:00", "2024-01-01 00:30:00", "2024-01-01 00:30:00")
     assert (inside.count(), late.count()) == (16, 4)
+
+
+def test_ed25519_test_vectors():
+    """RFC 8032, section 7.1, tests 1 to 3."""
+    vectors = [
+        ("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60", "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a", "", "e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b"),
+        ("4ccd089b28ff96da9db6c346ec114e0f5b8a319f35aba624da8cf6ed4fb8a6fb", "3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c", "72", "92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00"),
+        ("c5aa8df43f9f837bedb7442f31dcb7b166d38535076f094b85ce3a2e0b4458f7", "fc51cd8e6218a1a38da47ed00230f0580816ed13ba3303ac5deb911548908025", "af82", "6291d657deec24024827e69c3abe01a30ce548a284743a445e3680d7db5ac3ac18ff9b538d16f290ae67f760984dc6594a7c15e9716ed28dc027beceea1ec40a"),
+    ]
+    for seed, public, message, signature in (map(bytes.fromhex, v) for v in vectors):
+        assert identity.public_key(seed) == public and identity.sign(seed, message) == signature
+        assert identity.verify(public, message, signature)
+        assert not identity.verify(public, message + b"x", signature) and not identity.verify(public, message, signature[:-1])
+    assert not identity.verify(None, b"", b"") and not identity.verify(b"\xff" * 32, b"", b"\0" * 64)
+
+
+def test_hmac(spark):
+    row = spark.createDataFrame([(bytearray(b"payload"),), (None,)], "m binary")
+    for key in (bytes(range(32)), bytes(100)):
+        got = [r["h"] for r in row.select(identity.hmac_sha256(key, F.col("m")).alias("h")).collect()]
+        assert got == [hmac.new(key, b"payload", "sha256").hexdigest(), None]
+    with pytest.raises(ValueError):
+        identity.hmac_sha256(b"short", F.lit(b""))
+
+
+def test_controller_stops_at_gaps_conflicts_and_the_event_limit(spark):
+    start = [(1, "protocol-registered"), (2, "collection-started")]
+    rows = [("whole", *x) for x in start + start] + [("gap", 1, "protocol-registered"), ("gap", 3, "collection-started")]
+    rows += [("torn", 1, "protocol-registered"), ("torn", 1, "controller-retired"), ("late", 2, "collection-started")]
+    rows += [("over", p, "protocol-registered" if p == 1 else "identity-drift-recorded") for p in range(1, 10_003)]
+    facts = spark.createDataFrame(rows, "c string, place long, fact string").selectExpr("*", "CAST(NULL AS STRING) AS result", "CAST(NULL AS BOOLEAN) AS expired")
+    got = {r["c"]: tuple(r)[1:] for r in controller.reduce_facts(facts, "c").collect()}
+    assert got == {"whole": ("COLLECTING", 2, None), "gap": ("REGISTERED", 1, 2), "torn": ("DRAFT", 0, 1), "late": ("DRAFT", 0, 1), "over": ("STALE", 10_000, 10_001)}
+
+
+def test_diagnosis_takes_the_first_rule(spark):
+    schema = "phase string, status string, failed array<string>, insufficient array<string>, stale array<string>, capacity_unknown boolean, mismatch boolean"
+    rows = [
+        ("development", "HOLD", ["maximum-p95-ttft"], ["evaluator-abstention"], [], False, True),
+        ("window", "STALE", [], [], ["evaluator-evidence-stale"], False, False),
+        ("window", "STALE", [], [], ["evaluator-evidence-stale", "protocol-expired"], False, False),
+        ("window", "HOLD", [], ["required-service-capacity-unavailable"], [], False, True),
+        ("holdout", "HOLD", [], ["required-service-capacity-unavailable"], [], False, True),
+        ("development", "NOMINATED", [], [], [], False, False),
+    ]
+    got = [r["diagnosis"] for r in experiments.diagnose(spark.createDataFrame(rows, schema)).collect()]
+    assert got == ["insufficient-evidence", "evaluator-drift", None, "unavailable-capacity", "capability-mismatch", "sealed-shadow-replication"]
+
+
+def test_admission_of_no_jobs(spark):
+    got = runtime.admission(spark.createDataFrame([], "profile string, response_limit long"), 3, 10, {"records": 0}).first()
+    assert tuple(map(int, got[:5])) == (0, 0, 1, 0, 0) and got["broken"] == ["records"]

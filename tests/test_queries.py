@@ -5,9 +5,11 @@ import math
 import duckdb
 import pytest
 
-from evenkeel.plans import catalog
+from evenkeel.plans import catalog, control
 
 SF = "/root/testdata/sf0.001"
+QUERIES = {**catalog.queries(), **control.queries()}
+ORACLES = {**catalog.oracle_sql(), **control.oracle_sql()}
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
@@ -26,13 +28,13 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = catalog.queries()[name](spark, SF)
-    rel = duck.execute(catalog.oracle_sql()[name])
+    got = QUERIES[name](spark, SF)
+    rel = duck.execute(ORACLES[name])
     names = [c[0] for c in rel.description]
     want = rel.fetchall()
     order = sorted(names)
