@@ -91,7 +91,7 @@ def stream_end(events: DataFrame, key: str, protocol: str) -> DataFrame:
     done = F.col("data") == "[DONE]"
     kind = F.coalesce(F.get_json_object("data", "$.type"), F.col("event"))
     used = F.coalesce(F.get_json_object("data", "$.usage"), F.get_json_object("data", "$.response.usage")).isNotNull()
-    failed = ~done & (F.get_json_object("data", "$.error").isNotNull() | kind.isin("error", "response.failed"))
+    failed = (F.col("event") == "error") | (kind == "error") | kind.endswith(".error") | F.coalesce(F.array_contains(F.json_object_keys("data"), "error"), F.lit(False))
     before = F.lag("used").over(Window.partitionBy(key).orderBy("place"))
     rows = events.select(key, "place", done.alias("done"), kind.alias("kind"), used.alias("used"), F.coalesce(failed, F.lit(False)).alias("failed")).withColumn("before", before)
     completed = F.col("kind") == "response.completed"

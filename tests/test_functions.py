@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions import canonical, identity, prng, sampling, stats
 from evenkeel.operators import controller, evidence, experiments, replay, runtime
-from evenkeel.sources import bounded, decoders, packets
+from evenkeel.sources import bounded, decoders, packets, providers
 from evenkeel.streaming import windows
 
 
@@ -175,3 +175,12 @@ def test_diagnosis_takes_the_first_rule(spark):
 def test_admission_of_no_jobs(spark):
     got = runtime.admission(spark.createDataFrame([], "profile string, response_limit long"), 3, 10, {"records": 0}).first()
     assert tuple(map(int, got[:5])) == (0, 0, 1, 0, 0) and got["broken"] == ["records"]
+
+
+def test_stream_end_knows_provider_errors(spark):
+    done = ("message", '{"type":"response.completed","response":{"usage":{"total_tokens":1}}}')
+    streams = {"whole": [done], "named": [("error", "{}")], "typed": [("message", '{"type":"x.error"}')], "null": [("message", '{"error":null}')], "failed": [("message", '{"type":"response.failed"}')]}
+    rows = [(k, i, *e) for k, es in streams.items() for i, e in enumerate(es)]
+    got = {r[0]: (r[1], r[2]) for r in providers.stream_end(spark.createDataFrame(rows, "k string, place int, event string, data string"), "k", "openai-responses").collect()}
+    error = ("provider-error", "missing")
+    assert got == {"whole": ("response.completed", "present"), "named": error, "typed": error, "null": error, "failed": ("truncated", "missing")}
