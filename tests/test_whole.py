@@ -1,0 +1,17 @@
+"""Queries do the whole job: no subset of the ids, no subset of the gates."""
+
+from evenkeel.plans import catalog, control
+
+SF = "/root/testdata/sf0.01"  # the smallest tables with ids of 40 and more
+
+
+def test_streams_of_all_events_are_decoded(spark):
+    ids = sorted(r.event_id for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect())
+    parsed = catalog.sse_parse(spark, SF).collect()
+    assert sorted(r.stream for r in parsed if r.place == 0) == ids == sorted(r.stream for r in parsed if r.place == 1)
+    assert len(parsed) == 2 * len(ids)
+    ends = {r.event_id: (r.terminal, r.final_usage) for r in control.stream_ends(spark, SF).collect()}
+    assert sorted(ends) == ids
+    for i, (terminal, usage) in ends.items():
+        assert terminal == ("provider-error" if i % 10 == 0 else "truncated" if i % 7 == 0 else "done-sentinel")
+        assert usage == ("present" if i % 10 and i % 7 and i % 3 else "missing")
