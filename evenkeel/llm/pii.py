@@ -26,9 +26,10 @@ SYLLABLES = {"latin": "ba be bi bo da de di do fa fe ga go ha ka ke ko la le li
 ENDINGS = {("latin", "m"): "n", ("latin", "f"): "na", ("cyrillic", "m"): "н", ("cyrillic", "f"): "на"}
 
 _TITLES = "|".join(sorted([*MALE, *FEMALE], key=len, reverse=True))
+_KEYS = "(?i:password|passwd|token|secret|api_key|apikey)"  # in any case; what follows is taken to its end
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}+\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|token|secret|api_key|apikey)\s?[=:]\s?\"?[A-Za-z0-9_\-+/]{8,128}+\"?|\b(?:sk|ghp|xoxb)[_\-][A-Za-z0-9]{16,64}\b",
+    "secret": rf"\bAKIA[0-9A-Z]{{16}}\b|\b{_KEYS}\s?[=:]\s?\"?[A-Za-z0-9_\-+/]{{8,}}+\"?|\b(?:sk|ghp|xoxb)[_\-][A-Za-z0-9]{{16,}}+[A-Za-z0-9_\-]*+",
     "phone": r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,3}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
@@ -40,7 +41,7 @@ PATTERNS = {
 _NAMED = rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{L}}{{1,40}}+(?: \p{{Lu}}\p{{L}}{{1,40}}+)?"
 ALL = "|".join(f"(?:{_NAMED if k == 'name' else p})" for k, p in PATTERNS.items())
 #: What any entity must hold, to pass by most texts quickly.
-HINT = rf"[0-9@]|\b(?:password|passwd|token|secret|api_key|apikey)\s?[=:]|(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|\b{_KEYS}\s?[=:]|\bAKIA|\b(?:sk|ghp|xoxb)[_\-]|(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}"
 _NUMBERS = ("phone", "ssn", "card")
 
 
@@ -101,7 +102,7 @@ def draw(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     octet = lambda i: (F.pmod(_byte(h, F.lit(i)), F.lit(254)) + 1).cast("string")
     local = F.concat(_shape(h, F.substring_index(canon, "@", 1)), F.when(attempt > 0, F.substr(h, F.lit(20), attempt * 2)).otherwise(""))
     domain = F.element_at(F.array(F.lit("example.com"), F.lit("example.net"), F.lit("example.org")), F.pmod(_byte(h, F.lit(63)), F.lit(3)) + 1)
-    prefix = F.regexp_extract(canon, r'^(?:AKIA|(?:sk|ghp|xoxb)[_\-]|[a-z_]+\s?[=:]\s?"?)', 0)
+    prefix = F.regexp_extract(canon, r'^(?:AKIA|(?:sk|ghp|xoxb)[_\-]|[A-Za-z_]+\s?[=:]\s?"?)', 0)
     secret = F.substr(canon, F.length(prefix) + 1)
     secret = F.concat(prefix, _shape(h, secret, secret.rlike(r'^[0-9a-f]+"?$')))
     gender, script, name = F.substring_index(canon, "/", 1), F.substring_index(F.substring_index(canon, "/", 2), "/", -1), F.substring_index(canon, "/", -1)
