@@ -15,3 +15,31 @@ def test_streams_of_all_events_are_decoded(spark):
     for i, (terminal, usage) in ends.items():
         assert terminal == ("provider-error" if i % 10 == 0 else "truncated" if i % 7 == 0 else "done-sentinel")
         assert usage == ("present" if i % 10 and i % 7 and i % 3 else "missing")
+
+
+def test_all_gates_of_all_policies_decide(spark):
+    small = "/root/testdata/sf0.001"
+    rows = catalog.gates_v1(spark, small).collect()
+    gates = {name for name, _, _ in [*catalog.PAIRED, *catalog.LIMITS, *catalog.DEVELOPMENT]}
+    by = {}
+    for r in rows:
+        by.setdefault(r.policy, {})[r.gate] = r
+    assert len(by) == 6 and len(gates) == 12 and all(set(g) == gates for g in by.values())
+    boot = {r.policy: r for r in catalog.grouped_bootstrap(spark, small).collect()}
+    better = {r.policy: r.improvement for r in catalog.cost_improvement(spark, small).collect()}
+    assert set(boot) == set(by) - {"expert-only"} == {r.policy for r in catalog.case_effects(spark, small).select("policy").distinct().collect()}
+    for policy, g in by.items():
+        assert g["cost_improvement"].actual == better[policy]
+        assert policy not in boot and not g["paired_quality"]["pass"] or abs(g["paired_quality"].actual - boot[policy].lo) < 1e-6 and g["independent_groups"].actual == boot[policy].groups
+    passing = {p for p, g in by.items() if all(r["pass"] for r in g.values())}
+    chosen = {r.policy for r in catalog.select_policy(spark, small).collect()}
+    assert chosen <= passing and bool(chosen) == bool(passing)
+
+
+def test_select_policy_finds_what_passes_all(spark, monkeypatch):
+    wide = lambda gates: [(m, op, t if m == "p50_total_tps" else -1e9 if op == ">=" else 1e9) for m, op, t in gates]
+    for name in ("PAIRED", "LIMITS", "DEVELOPMENT"):
+        monkeypatch.setattr(catalog, name, wide(getattr(catalog, name)))
+    got = catalog.select_policy(spark, "/root/testdata/sf0.001").collect()
+    costs = {r.policy: r.cost_per_request for r in catalog.policy_metrics_v1(spark, "/root/testdata/sf0.001").collect() if r.policy != "expert-only"}
+    assert len(got) == 1 and got[0].cost_per_request == min(costs.values())
