@@ -8,7 +8,9 @@ Layout under the store's folder (all Parquet, ids little-endian, 16 bits where t
 * ``manifest/``  per recipe file: rows, ids, and the root over its documents' roots.
 
 ``read_store`` goes the other way: it hashes every payload anew, rebuilds each document's CRC from its chunks' CRCs
-(CRC-32 is linear, so payloads need not be brought together), and checks digests and roots.
+(CRC-32 is linear, so payloads need not be brought together), and checks digests and roots.  What a recipe file holds must
+give the manifest's rows, ids and root, else none of its documents is verified; a file that is lost whole stands as one row
+of the manifest's ids without a document.  ``read_ids`` joins the payloads to each document's ids.
 
 Repeated rows are documents of their own and share their chunks.  A null text is empty and holds the end id only; a null
 id sorts first.  An empty table gives an empty store.
@@ -238,6 +240,39 @@ def crc_join(parts) -> int:
     return out
 
 
+def check_parts(spark, path: str, recipes):
+    """(part, n_docs, n_tokens, intact) of each recipe file that the manifest or the recipes name, by the manifest's figures."""
+
+    def top(batches):
+        for batch in batches:
+            yield batch.set_column(1, "top", pa.array([merkle([p["root"] for p in pairs]) for pairs in batch.column(1).to_pylist()], pa.binary()))
+
+    order = F.array_sort(F.collect_list(F.struct("doc_id", "uid", "root")))
+    own = recipes.groupBy("part").agg(order.alias("top"), F.count("*").alias("own_docs"), F.sum("n_tokens").alias("own_tokens")).mapInArrow(top, "part int, top binary, own_docs bigint, own_tokens bigint")
+    both = spark.read.parquet(f"{path}/manifest").join(own, "part", "full")
+    same = F.col("n_docs").eqNullSafe(F.col("own_docs")) & F.col("n_tokens").eqNullSafe(F.col("own_tokens")) & F.col("root").eqNullSafe(F.col("top"))
+    return both.select("part", F.coalesce("n_docs", "own_docs").alias("n_docs"), F.coalesce("n_tokens", "own_tokens").alias("n_tokens"), same.alias("intact"), F.col("own_docs").isNull().alias("lost"))
+
+
+def read_ids(spark, path: str):
+    """(doc_id, uid, ids) of every document of the store, the payloads of its chunks joined in order; null if one is missing or changed."""
+    ship(spark)
+    width = spark.read.parquet(f"{path}/format").first()["width"]
+    refs = spark.read.parquet(f"{path}/recipes").select("doc_id", "uid", F.explode_outer("chunks").alias("c")).select("doc_id", "uid", "c.seq", "c.digest")
+    whole = refs.join(spark.read.parquet(f"{path}/chunks"), "digest", "left").groupBy("doc_id", "uid").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "payload"))).alias("got"))
+
+    def join_up(batches):
+        for batch in batches:
+            ids = []
+            for got in batch.column(2).to_pylist():
+                sound = all(c["payload"] is not None and digest(c["payload"]) == c["digest"] for c in got)
+                ids.append(np.frombuffer(b"".join(c["payload"] for c in got), width).astype(np.int64) if sound else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "uid", "ids"])
+
+    kind = whole.schema["doc_id"].dataType.simpleString()
+    return whole.mapInArrow(join_up, f"doc_id {kind}, uid bigint, ids array<bigint>")
+
+
 def read_store(spark, path: str):
     """One row per document of the store: doc_id, start, n_tokens, ids_crc32 (of unsigned 32-bit ids), root, verified."""
     ship(spark)
@@ -262,12 +297,19 @@ def read_store(spark, path: str):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sum(c["n"] or 0 for c in g) for g in got], pa.int64()), pa.array(crc, pa.int64()), pa.array([merkle([c["digest"] for c in g]) for g in got], pa.binary()), pa.array(sound, pa.bool_())], names=["uid", "n", "crc", "top", "sound"])
 
     found = found.select("uid", "got").mapInArrow(join_up, "uid bigint, n bigint, crc bigint, top binary, sound boolean")
-    # ids before each recipe file: one sum per file, as many as there are files
-    before, total = [], 0
-    for part, n in recipes.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
-        before.append((part, total))
-        total += n
-    offsets = spark.createDataFrame(before, "part int, before bigint")
+    # ids before each recipe file by the manifest: one row per file, as many as there are files
+    before, total, lost = [], 0, []
+    for p in check_parts(spark, path, recipes).orderBy("part").collect():
+        before.append((p["part"], total, p["intact"]))
+        if p["lost"]:
+            lost.append((total, p["n_tokens"]))
+        total += p["n_tokens"]
+    offsets = spark.createDataFrame(before, "part int, before bigint, intact boolean")
     running = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "uid").rowsBetween(Window.unboundedPreceding, -1)
-    placed = recipes.join(F.broadcast(offsets), "part").select("uid", "doc_id", "root", "n_tokens", (F.col("before") + F.coalesce(F.sum("n_tokens").over(running), F.lit(0))).alias("start"))
-    return placed.join(found, "uid", "left").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"), F.lower(F.hex("root")).alias("root"), F.coalesce(F.col("sound") & (F.col("n") == F.col("n_tokens")) & (F.col("top") == F.col("root")), F.lit(False)).alias("verified"))
+    placed = recipes.join(F.broadcast(offsets), "part").select("uid", "doc_id", "root", "n_tokens", "intact", (F.col("before") + F.coalesce(F.sum("n_tokens").over(running), F.lit(0))).alias("start"))
+    good = F.col("intact") & F.col("sound") & (F.col("n") == F.col("n_tokens")) & (F.col("top") == F.col("root"))
+    out = placed.join(found, "uid", "left").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"), F.lower(F.hex("root")).alias("root"), F.coalesce(good, F.lit(False)).alias("verified"))
+    if not lost:
+        return out
+    gone = spark.createDataFrame(lost, "start bigint, n_tokens bigint")
+    return out.unionByName(gone.withColumn("verified", F.lit(False)), allowMissingColumns=True)

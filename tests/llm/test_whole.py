@@ -2,7 +2,10 @@
 
 import re
 
-from evenkeel.llm import pii
+import public_tokenizers as P
+from pyspark.sql import functions as F
+
+from evenkeel.llm import pii, tokenstore
 
 
 def replaced(spark, *texts):
@@ -24,3 +27,35 @@ def test_secrets_in_any_case_and_of_any_length(spark):
     assert re.fullmatch("key AKIA[A-Z]{16}", got[5]) and letters not in got[5]
     assert re.fullmatch("sk_[a-z]{20}", got[6]) and "x" * 20 not in got[6]
     assert got[7] == texts[7]
+
+
+def test_manifest_decides(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 3) for i in range(40)] + [(None, None)], "doc_id int, text string")
+    path = tokenstore.write_store(docs, P.path("word_bpe_49k.json"), 2, f"file://{tmp_path}/s", parts=4)
+    whole = {r.doc_id: (r.start, r.verified) for r in tokenstore.read_store(spark, path).collect()}
+    assert all(v for _, v in whole.values())
+    kept = spark.read.parquet(f"{path}/recipes").localCheckpoint()
+    parts = {r.doc_id: r.part for r in kept.collect()}
+    # a row of the first file is lost, and another file as a whole
+    assert len(set(parts.values())) > 2
+    short, gone = sorted(set(parts.values()))[:2]
+    first = next(d for d, p in parts.items() if p == short)
+    kept.where(~F.col("doc_id").eqNullSafe(F.lit(first)) & (F.col("part") != gone)).write.mode("overwrite").parquet(f"{path}/recipes")
+    got = tokenstore.read_store(spark, path).collect()
+    there = [r for r in got if r.root]
+    assert {r.doc_id for r in there} == {d for d, p in parts.items() if p != gone and d != first}
+    assert all(r.verified == (parts[r.doc_id] != short) for r in there)
+    assert all(r.start == whole[r.doc_id][0] for r in there if parts[r.doc_id] > gone)
+    assert [(r.doc_id, r.verified) for r in got if not r.root] == [(None, False)]
+
+
+def test_ids_are_joined_from_payloads(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    texts = [None, "", "The quick brown fox. " * 400, "one", "one"]
+    store = tokenstore.write_store(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), path, 2, f"file://{tmp_path}/s")
+    got = {r.doc_id: list(r.ids) for r in tokenstore.read_ids(spark, store).collect()}
+    assert got == {i: t.encode(x or "", add_special_tokens=False).ids + [2] for i, x in enumerate(texts)}
