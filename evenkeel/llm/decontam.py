@@ -166,6 +166,10 @@ def decontaminate(docs, benchmark, width: int = 10, slack: int = 0, id_col: str
     keyed = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("item"), F.coalesce(benchmark[item_text_col].cast("string"), F.lit("")).alias("text"))
     bytes_ = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     passes = int(bytes_ // QUERY_BYTES) + 1
+    if passes > 1:  # a stored number tells rows apart, whatever their ids
+        row = F.struct(docs[id_col].alias("doc_id"), F.monotonically_increasing_id().alias("uid"))
+        docs, _ = write_table(docs.select(row.alias("row"), docs[text_col].alias("text")), "numbered")
+        id_col, text_col = "row", "text"
     done = None
     for k in range(passes):
         own = keyed if passes == 1 else keyed.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
@@ -176,15 +180,13 @@ def decontaminate(docs, benchmark, width: int = 10, slack: int = 0, id_col: str
         index, _ = write_table(build_index(docs, share(spark, terms), id_col, text_col), "postings")
         got = search(index, windows, [i for i, _ in items], slack)
         done = got if done is None else done.unionByName(got)
-    if passes == 1:
-        return done
-    return _unite(done)
+    return done if passes == 1 else _unite(done)
 
 
 def _unite(rows):
-    """Unites what several passes found of each document; repeated documents are told apart by nothing, so they are one here."""
+    """Unites what several passes found of each document, by its row id: the passes read one table of numbered documents."""
     bits = F.udf(lambda masks: _or(masks), "binary")
-    got = rows.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("hit_mask").alias("masks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    got = rows.groupBy("doc_id.uid").agg(F.first("doc_id.doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("hit_mask").alias("masks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     mask = bits("masks")
     return got.select("doc_id", "n_words", F.coalesce(F.udf(lambda m: int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) if m else 0, "bigint")(mask), F.lit(0)).alias("n_hit"), mask.alias("hit_mask"), "items")
 

@@ -5,7 +5,7 @@ import re
 import public_tokenizers as P
 from pyspark.sql import functions as F
 
-from evenkeel.llm import pii, tokenstore
+from evenkeel.llm import decontam, pii, tokenstore
 
 
 def replaced(spark, *texts):
@@ -59,3 +59,14 @@ def test_ids_are_joined_from_payloads(spark, tmp_path):
     store = tokenstore.write_store(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), path, 2, f"file://{tmp_path}/s")
     got = {r.doc_id: list(r.ids) for r in tokenstore.read_ids(spark, store).collect()}
     assert got == {i: t.encode(x or "", add_special_tokens=False).ids + [2] for i, x in enumerate(texts)}
+
+
+def test_passes_do_not_change_results(spark, monkeypatch):
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    rows = [(1, " ".join(words)), (1, " ".join(words)), (1, "alpha beta " + " ".join(words * 5)), (None, " ".join(words[:3])), (None, "gamma delta epsilon " * 9), (None, None), (2, "gamma delta epsilon"), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    items = spark.createDataFrame([(i, t) for i, t in enumerate([" ".join(words), "one two three", "gamma delta epsilon", "alpha beta"])], "item_id int, text string")
+    found = lambda: sorted(((r.doc_id, r.n_words, r.n_hit, bytes(r.hit_mask or b""), tuple(r["items"])) for r in decontam.decontaminate(docs, items).collect()), key=repr)
+    once = found()
+    monkeypatch.setattr(decontam, "QUERY_BYTES", 20)
+    assert found() == once and len(once) == len(rows)
