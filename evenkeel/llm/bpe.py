@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 import xxhash
 
-from .util import share
+from .util import lean, share
 
 MEMO = 400_000  # entries in each of the two generations of a worker's memo; results do not depend on it
 
@@ -204,4 +204,4 @@ def encode_documents(docs, ranks_path: str, pattern: str, id_col: str = "doc_id"
     names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
     id_type = docs.schema[id_col].dataType.simpleString()
     kind = "string" if digests else "binary"
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, {names[2]} {kind}, {names[3]} {kind}")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lean(run), f"doc_id {id_type}, n_tokens bigint, {names[2]} {kind}, {names[3]} {kind}")

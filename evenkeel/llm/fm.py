@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .util import blocks, column_bytes, hash_spans, NOT_SPACE, share, ship, words
+from .util import blocks, column_bytes, hash_spans, lean, NOT_SPACE, share, ship, words
 
 HASHED, FACTORS, SAMPLE, EPOCHS = 1 << 14, 8, 12_000, 6
 #: Shares of bytes or words, in this order; each is a feature of its own after the hashed words.
@@ -138,7 +138,7 @@ def train(docs, labels, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
         b, w, v = fit([r[1:] for r in rows])
         yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([w.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["b", "w", "v"])
 
-    got = joined.mapInArrow(prepare, "id string, f binary, x binary, y int").repartition(1).mapInArrow(learn, "b double, w binary, v binary").collect()
+    got = joined.mapInArrow(lean(prepare), "id string, f binary, x binary, y int").repartition(1).mapInArrow(lean(learn), "b double, w binary, v binary").collect()
     if not got:
         return fit([])
     return got[0]["b"], np.frombuffer(got[0]["w"], np.float32), np.frombuffer(got[0]["v"], np.float32).reshape(-1, FACTORS)
@@ -160,4 +160,4 @@ def score(docs, model, text_col: str = "text", out: str = "score"):
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -7,6 +7,8 @@ words of a block with a handful of numpy passes, so no Python object is made per
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -20,20 +22,37 @@ _U = np.uint64
 
 
 def shared_root(spark) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or one of its own in local mode where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="evenkeel-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Tables that write_table has made and nobody has dropped yet, by Spark context.
+_made: dict[int, set[str]] = {}
+
+
+def sweep(spark, before: set[str], *keep: str) -> None:
+    """Drop the tables made since ``before`` (a former ``tables``), but for ``keep``."""
+    for path in tables(spark) - before - set(keep):
+        drop_table(spark, path)
+
+
+def tables(spark) -> set[str]:
+    return set(_made.get(id(spark.sparkContext), ()))
+
+
 def write_table(df, name: str, partition_by: str | None = None):
     """Write ``df`` as Parquet in the shared folder and read it back: this cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/evenkeel-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    _made.setdefault(id(spark.sparkContext), set()).add(path)
     free(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -46,6 +65,7 @@ def free(spark) -> None:
 
 def drop_table(spark, path: str) -> None:
     """Remove a table that nothing reads any more."""
+    _made.get(id(spark.sparkContext), set()).discard(path)
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
@@ -117,7 +137,7 @@ def _power(base, n: int) -> np.ndarray:
             have = np.full(size, base, np.uint64)
             have[0] = 1
             have = np.multiply.accumulate(have)
-        if size <= 4 * BLOCK:
+        if size == BLOCK + 1:
             _powers[str(base)] = have
     return have[:n]
 
@@ -148,7 +168,7 @@ NOT_SPACE = ~SPACES
 
 
 #: Rows and bytes that go to a Python worker at a time: whole documents, index blocks and sets are long rows.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def ship(spark) -> None:
@@ -171,6 +191,20 @@ def ship(spark) -> None:
     context._evenkeel_shipped = True
 
 
+def lean(run):
+    """``run`` for mapInArrow, after which a Python worker gives the memory it no longer uses back: workers are used again."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # the GNU C library only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def share(spark, value):
     """Broadcast ``value`` to workers that have this package."""
     ship(spark)
