@@ -1,23 +1,29 @@
 """N-gram Jaccard join: exact links between documents by their sets of word shingles, and the classes the links form.
 
-1. ``sets``: one row per document: size of its set, a fingerprint of it, a bitmap (4 bits a shingle), and its prefix,
+1. ``sets``: one row per document: size of its set, a fingerprint of it, a bitmap (2 to 4 bits a shingle), and its prefix,
    the size - need + 1 first shingles under one order of all shingles (need: the least overlap of any link).  Two linked
    documents share a shingle of their prefixes.  Documents of equal fingerprint are one node from here on.
-2. Shingles that stand in two prefixes bring their documents together.  First each document is compared with the least
-   of each such group only, which draws the large groups of near copies into one class each.
-3. Groups that still hold several classes go through signature trees: leaves are documents, nodes hold the OR of their
-   bitmaps, the range of their sizes and whether they are of one class; a dual traversal drops node pairs whose largest
-   possible overlap is too small, or that are one class.  Large groups are cut into chunks of ``CHUNK`` documents, by
-   size, and chunk pairs are compared apart from each other.
-4. The pairs left are compared by their whole sets, ``FEW`` of each document first, then those that are still of two
-   classes; classes are found by alternating stars.
-
-Every link between documents of different classes is tested, so no class is cut; links inside a class are not listed.
+2. Documents whose prefixes share a shingle form a group, named after its least document (its pivot).  Groups are cut into
+   blocks of at most 2 * ``CHUNK`` documents and 2 * ``SHINGLES`` shingles: by zones of size, of which a link reaches the
+   next at most, and inside a zone by a hash.  A group that is smaller is one block.
+3. A block is a signature tree, or two that face each other: leaves are documents, nodes hold the OR of their bitmaps, the
+   range of their sizes and whether they are of one class.  A dual traversal drops node pairs whose largest possible
+   overlap is too small, or that are one class.  What comes out is the block's documents that are in any pair left.
+4. Only these documents' whole sets go to their blocks, where the trees are walked again and the pairs left are compared, the
+   most alike first.  Pairs that the block has already drawn into one class are passed by, so a block lists fewer links
+   than it has documents.  Classes over all blocks are found by alternating stars.
+
+Steps 3 and 4 run several times: first each document faces only the pivot of the groups of its first ``FIRST`` places, which
+draws most near copies together; then one document of each class of the large groups, again and again while that unites
+many; then all of the groups that still hold several classes.  Every pair of documents of different classes is ruled out by
+its trees or compared by its whole sets (64 bits a shingle), so no class is cut.
+
 The order of shingles puts those last that a hash sample of the documents holds often (at most ``DEMOTED``); any order
 gives the same result, this one keeps common passages from bringing unrelated documents together.
 
 Null, blank and empty texts have an empty set and are a class each.  Repeated rows, and rows of one id, are documents of
-their own; a class is named after its least id, null where all are null.  Only the columns named are read.
+their own; a class is named after its least id, null where all are null.  An empty table gives no rows.  Only the columns
+named are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -28,13 +34,11 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import functions as F, Window
 
-from .util import NOT_SPACE, blocks, column_bytes, drop_table, hash_spans, mix, share, ship, words, write_table
+from .util import blocks, column_bytes, drop_table, hash_spans, lean, mix, NOT_SPACE, share, ship, words, write_table
 
 SAMPLED, DEMOTED = 64, 65_536  # one document in so many is read for the order; shingles that may come last
-FIRST, CHUNK, FAN = 8, 128, 8  # prefix places of the first round, documents of a chunk, children of a tree node
-FEW = 3  # pairs of a document that are compared before the rest
-PAIRS = 256  # pairs of one document that are compared in one go
-BROADCAST_ROWS = 1_000_000  # ids of documents to compare that may be broadcast; beyond, a shuffled join
+FIRST, CHUNK, SHINGLES, FAN = 8, 128, 1 << 20, 8  # prefix places of the first round, bounds of a block's side, children of a node
+BROADCAST_ROWS = 500_000  # rows of a few numbers that may be broadcast; beyond, a shuffled join
 _U = np.uint64
 
 
@@ -59,9 +63,9 @@ def shingle_rows(buf: np.ndarray, offs: np.ndarray, k: int):
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
-    """OR of one bit a shingle, of a power of two (64 at least) of about four bits a shingle."""
+    """OR of one bit a shingle, of a power of two (64 at least) of two to four bits a shingle."""
     m = 64
-    while m < 4 * len(own):
+    while m < 2 * len(own):
         m *= 2
     bits = np.zeros(m, np.uint8)
     bits[((own >> _U(17)) & _U(m - 1)).astype(np.int64)] = 1
@@ -74,7 +78,7 @@ def need(n: int, percent: int) -> int:
 
 
 def sets(docs, k: int, percent: int, last, id_col: str, text_col: str):
-    """Rows (doc_id, uid, n, fp, bits, prefix); ``last`` is the broadcast sorted array of demoted shingles."""
+    """Rows (doc_id, text_hash, uid, n, fp, bits, prefix); ``last`` is the broadcast sorted array of demoted shingles."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -99,9 +103,10 @@ def sets(docs, k: int, percent: int, last, id_col: str, text_col: str):
                 ids = pa.array(range(uid, uid + j - i), pa.int64())
                 uid += j - i
                 kinds = (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), ids, *(pa.array(v, t) for v, t in zip(out, kinds))], names=["doc_id", "uid", "n", "fp", "bits", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), ids, *(pa.array(v, t) for v, t in zip(out, kinds))], names=["doc_id", "text_hash", "uid", "n", "fp", "bits", "prefix"])
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {id_type}, uid bigint, n int, fp binary, bits binary, prefix array<bigint>")
+    read = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))
+    return read.mapInArrow(lean(run), f"doc_id {id_type}, text_hash bigint, uid bigint, n int, fp binary, bits binary, prefix array<bigint>")
 
 
 def _often(docs, k: int, id_col: str, text_col: str) -> np.ndarray:
@@ -115,7 +120,7 @@ def _often(docs, k: int, id_col: str, text_col: str) -> np.ndarray:
 
     picked = docs.where(F.pmod(F.xxhash64(docs[id_col]), F.lit(SAMPLED)) == 0)
     least = max(4, picked.count() // 1000)
-    got = picked.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "token bigint").groupBy("token").count().where(F.col("count") >= least)
+    got = picked.select(docs[text_col].cast("string").alias("text")).mapInArrow(lean(run), "token bigint").groupBy("token").count().where(F.col("count") >= least)
     top = got.orderBy(F.desc("count"), "token").limit(DEMOTED).select("token").collect()
     return np.sort(np.array([r["token"] for r in top], np.int64).astype(np.uint64))
 
@@ -174,166 +179,181 @@ def _fold(raw: bytes, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(own.reshape(-1, size), axis=0)
 
 
-def block_pairs(uid, n, bits, cls, side, percent: int):
-    """Pairs of a block: within side 0 where all rows are of it, else between sides 0 and 1."""
-    order = np.argsort(n, kind="stable")
-    n, uid, cls, side = n[order], uid[order], cls[order], side[order]
-    cut = np.flatnonzero(100 * n[:-1] < percent * n[1:]) + 1  # no link reaches over such a step in size
-    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(n)]):
-        if b - a < 2 or (cls[a:b] == cls[a]).all():
-            continue
-        own = [bits[i] for i in order[a:b]]
-        size = min(map(len, own))
-        maps = np.stack([_fold(x, size) for x in own])
-        maps = np.ascontiguousarray(maps).view(np.uint64)
-        left = np.flatnonzero(side[a:b] == 0)
-        right = np.flatnonzero(side[a:b] == 1)
-        if not len(right):
-            x, y = tree_pairs(Tree(n[a:b], maps, cls[a:b]), None, percent)
-        elif len(left):
-            x, y = tree_pairs(Tree(n[a:b][left], maps[left], cls[a:b][left]), Tree(n[a:b][right], maps[right], cls[a:b][right]), percent)
-            x, y = left[x], right[y]
-        else:
-            continue
-        if len(x):
-            yield uid[a:b][x], uid[a:b][y]
-
-
-def _grouped(batches, keys: int):
-    """Lists of rows (as dicts of columns) of equal first ``keys`` columns; rows come sorted by them."""
-    held, key = [], None
+def step(percent: int) -> float:
+    """Logarithm of a little more than the ratio of a link's two sizes: in zones of this width they differ by one at most."""
+    return float(np.log(100 / percent) * 1.000001)
+
+
+def _faced(n, bits, cls, left, right, percent: int):
+    """Pairs of rows of ``left`` and ``right``, or among ``left`` where that is None, that trees leave."""
+    size = min(len(bits[i]) for rows in (left, right) if rows is not None for i in rows)
+    trees = []
+    for rows in (left, right):
+        if rows is not None:
+            maps = np.stack([_fold(bits[i], size) for i in rows]).view(np.uint64)
+            trees.append(Tree(n[rows], maps, cls[rows]))
+    x, y = tree_pairs(trees[0], trees[1] if right is not None else None, percent)
+    return left[x], (left if right is None else right)[y]
+
+
+def block_pairs(n, bits, cls, side, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of a block that its trees leave: among all rows where all are of side 0, else between sides 0 and 1."""
+    order = np.arange(len(n))
+    if len(n) > FAN:
+        _, of, times = np.unique(cls, return_inverse=True, return_counts=True)
+        order = np.lexsort((n, np.where(times[of] > 1, cls, np.iinfo(np.int64).max)))  # classes of several rows together, then by size
+    right = order[side[order] == 1]
+    if len(right):
+        left = order[side[order] == 0]
+        return _faced(n, bits, cls, left, right, percent) if len(left) else (left, left)
+    zone = np.floor(np.log(n) / step(percent)).astype(np.int64)[order]
+    found, last = [], None
+    for z in np.unique(zone).tolist():
+        own = order[zone == z]
+        if len(own) > 1:
+            found.append(_faced(n, bits, cls, own, None, percent))
+        if last is not None and last[0] == z - 1:
+            found.append(_faced(n, bits, cls, last[1], own, percent))
+        last = z, own
+    return tuple(np.concatenate([f[i] for f in found]) if found else order[:0] for i in range(2))
+
+
+def _blocks(batches, keys: int):
+    """(table, edges): whole blocks, rows of equal first ``keys`` columns, which come sorted by them; edges are where blocks begin and end."""
+    held = None
     for batch in batches:
-        table = pa.table(batch)
+        table = pa.table(batch) if held is None else pa.concat_tables([held, pa.table(batch)])
         if not table.num_rows:
             continue
-        ks = [table.column(i).to_numpy() for i in range(keys)]
         new = np.zeros(table.num_rows, bool)
-        for k in ks:
-            new[1:] |= k[1:] != k[:-1]
-        at = [0, *np.flatnonzero(new).tolist(), table.num_rows]
-        for a, b in zip(at, at[1:]):
-            if a == b:
-                continue
-            own = tuple(k[a] for k in ks)
-            if own != key and held:
-                yield pa.concat_tables(held)
-                held = []
-            key = own
-            held.append(table.slice(a, b - a))
-    if held:
-        yield pa.concat_tables(held)
+        for i in range(keys):
+            key = table.column(i).to_numpy()
+            new[1:] |= key[1:] != key[:-1]
+        at = np.flatnonzero(new)
+        last = int(at[-1]) if len(at) else 0
+        if last:
+            yield table.slice(0, last), [0, *at.tolist()]
+        held = table.slice(last)
+    if held is not None:
+        yield held, [0, held.num_rows]
 
 
-_PAIR = "a bigint, b bigint"
-
-
-def _pair_batch(pairs) -> pa.RecordBatch:
-    a = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
-    b = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
-def _star_filter(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for na, nb, ma, mb in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-                size = min(len(ma), len(mb))
-                common = int(np.bitwise_count(_fold(ma, size) & _fold(mb, size)).sum())
-                ca, cb = (int(np.bitwise_count(_fold(m, size)).sum()) for m in (ma, mb))
-                keep.append((100 + percent) * min(na, nb, common + min(na - ca, nb - cb)) >= percent * (na + nb))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+_BLOCK = ["pivot", "zone", "i", "j"]
+_KEYS = "pivot bigint, zone int, i int, j int"
 
-    return run
 
+def _survivors(percent: int):
+    """Of blocks (columns _BLOCK, side, uid, cls, n, bits; by size in a block): the rows in any pair that the trees leave."""
 
-def _tree_filter(percent: int):
     def run(batches):
-        pairs, n = [], 0
-        for table in _grouped(batches, 3):
-            uid, size, cls, side = (table.column(c).to_numpy() for c in ("uid", "n", "cls", "side"))
-            for p in block_pairs(uid, size.astype(np.int64), table.column("bits").to_pylist(), cls, side, percent):
-                pairs.append(p)
-                n += len(p[0])
-            if n > 50_000:
-                yield _pair_batch(pairs)
-                pairs, n = [], 0
-        yield _pair_batch(pairs)
+        for table, edges in _blocks(batches, len(_BLOCK)):
+            n, cls, side = (table.column(c).to_numpy() for c in ("n", "cls", "side"))
+            n, bits = n.astype(np.int64), table.column("bits").combine_chunks()
+            near = 100 * n[:-1] >= percent * n[1:]
+            near[np.array(edges[1:-1], np.int64) - 1] = False
+            near = np.append(near, False) | np.insert(near, 0, False)  # has a neighbour of a size to link with
+            rows = np.flatnonzero(near)
+            cut = np.searchsorted(rows, edges)
+            kept = []
+            for a, b in zip(cut.tolist(), cut[1:].tolist()):
+                if b - a > 1:
+                    own = rows[a:b]
+                    x, y = block_pairs(n[own], [bits[i].as_buffer() for i in own.tolist()], cls[own], side[own], percent)
+                    if len(x):
+                        kept.append(own[np.unique(np.concatenate([x, y]))])
+            if kept:
+                yield from table.select([*_BLOCK, "side", "uid", "cls"]).take(pa.array(np.concatenate(kept))).combine_chunks().to_batches()
 
     return run
 
 
-def _pack(own: np.ndarray) -> bytes:
-    """A sorted set's upper 40 bits each: enough to tell the shingles of two documents apart."""
-    return np.ascontiguousarray((own >> _U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
 def _compare(percent: int):
-    """Rows sorted by (a, salt, b): a's set first (b null), then the sets to compare with it."""
+    """Of blocks (columns _BLOCK, side, uid, cls, n, body): links between documents that the block had in different classes."""
 
     def run(batches):
-        own, key = None, None
-        for batch in batches:
-            a, b, body = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        for table, edges in _blocks(batches, len(_BLOCK)):
             out = [[], []]
-            for x, y, raw in zip(a, b, body):
-                s = _unpack(raw)
-                if y is None:
-                    own, key = s, x
-                    continue
-                if key != x:
-                    raise ValueError("a pair came without its first set")
-                both = len(own) + len(s)
-                common = both - len(np.union1d(own, s))
-                if 100 * common >= percent * (both - common):
-                    out[0].append(x)
-                    out[1].append(y)
+            for a, b in zip(edges, edges[1:]):
+                own = table.slice(a, b - a)
+                uid, at = np.unique(own.column("uid").to_numpy(), return_index=True)  # repeated rows give a body twice
+                cls, side = (own.column(c).to_numpy()[at] for c in ("cls", "side"))
+                bodies = own.column("body")
+                for i, j in united([np.frombuffer(bodies[i].as_buffer(), np.uint64) for i in at.tolist()], cls, side, percent):
+                    out[0].append(min(uid[i], uid[j]))
+                    out[1].append(max(uid[i], uid[j]))
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=["a", "b"])
 
     return run
 
 
-def verify(docs, nodes, pairs, k: int, percent: int, id_col: str, text_col: str):
-    """The pairs (uids of nodes) whose whole sets link.  ``nodes``: uid, doc_id, fp; ``pairs`` is a stored table."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    wanted, path = write_table(nodes.join(wanted, "uid").select("uid", "doc_id", "fp"), "wanted")
-    texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = texts.join(side, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("uid", "fp", "text")
+def united(own: list[np.ndarray], cls: np.ndarray, side: np.ndarray, percent: int):
+    """Links of a block's sets that unite its classes; the pairs of the most common bits come first."""
+    n = np.array([len(s) for s in own], np.int64)
+    maps = [bitmap(s) for s in own]
+    x, y = block_pairs(n, maps, cls, side, percent)
+    size = min(map(len, maps))
+    small = np.stack([_fold(m, size) for m in maps]).view(np.uint64)
+    common = np.zeros(len(x))
+    for s in range(0, len(x), 4096):
+        common[s : s + 4096] = np.bitwise_count(small[x[s : s + 4096]] & small[y[s : s + 4096]]).sum(1)
+    order = np.argsort(-common / np.maximum(n[x], n[y]), kind="stable")
+    root = {c: c for c in cls.tolist()}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for i, j in zip(x[order].tolist(), y[order].tolist()):
+        a, b = top(int(cls[i])), top(int(cls[j]))
+        if a != b:
+            both = len(own[i]) + len(own[j])
+            same = both - len(np.union1d(own[i], own[j]))
+            if 100 * same >= percent * (both - same):
+                root[max(a, b)] = min(a, b)
+                yield i, j
+
+
+def _dealt(rows, *more: str):
+    """Blocks together, in Spark's number of shuffle partitions."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*_BLOCK, "side", "uid", "cls", "n", *more).repartition(parts, *_BLOCK).sortWithinPartitions(*_BLOCK, "n")
+
+
+def settle(docs, nodes, maps, rows, k: int, percent: int, id_col: str, text_col: str):
+    """Links between documents of different classes in the blocks ``rows`` (_BLOCK, side, uid, cls), as a stored table.
+
+    ``nodes``: uid, doc_id, fp; ``maps``: uid, n, bits.
+    """
+    spark = docs.sparkSession
+    left = _dealt(rows.join(maps, "uid"), "bits").mapInArrow(lean(_survivors(percent)), f"{_KEYS}, side int, uid bigint, cls bigint")
+    left, left_path = write_table(left, "survivors")
+    wanted = left.groupBy("uid").agg(F.collect_list(F.struct(*_BLOCK, "side", "cls")).alias("blocks"))  # as many as its groups have blocks
+    wanted, wanted_path = write_table(nodes.join(wanted, "uid"), "wanted")
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    few = left.count() <= BROADCAST_ROWS
+    texts = texts.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("uid", "fp", "text", "blocks")
 
     def run(batches):
         for batch in batches:
-            uids, fps = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            uids, fps = batch.column(0), batch.column(1).to_pylist()
             for i, j, buf, offs in blocks(*column_bytes(batch.column(2))):
                 own = list(shingle_rows(buf, offs, k))
                 hits = [r for r in range(i, j) if xxhash.xxh3_128_digest(own[r - i].tobytes()) == fps[r]]  # not another row of this id
-                yield pa.RecordBatch.from_arrays([pa.array([uids[r] for r in hits], pa.int64()), pa.array([_pack(own[r - i]) for r in hits], pa.binary())], names=["uid", "body"])
-
-    # repeated rows give a body twice, which repeats links at most
-    bodies, path2 = write_table(texts.mapInArrow(run, "uid bigint, body binary"), "bodies")
-    turn = F.row_number().over(Window.partitionBy("a", F.pmod(F.xxhash64("b"), F.lit(16))).orderBy("b")) - 1
-    salted = pairs.select("a", F.when(turn < PAIRS, 0).otherwise(F.floor(turn / PAIRS) * 16 + F.pmod(F.xxhash64("b"), F.lit(16))).cast("int").alias("salt"), "b")
-    salted, path3 = write_table(salted, "salted")
-    side = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda x: x  # three numbers a row
-    left = bodies.withColumnRenamed("uid", "a").join(side(salted.select("a", "salt").distinct()), "a").select("a", "salt", F.lit(None).cast("bigint").alias("b"), "body")
-    right = bodies.withColumnRenamed("uid", "b").join(side(salted), "b").select("a", "salt", "b", "body")
-    both = left.unionByName(right)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = both.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_compare(percent), _PAIR)
-    links, _ = write_table(links, "links")
-    for p in (path, path2, path3):
-        drop_table(docs.sparkSession, p)
-    return links
+                at = pa.array(hits, pa.int64())
+                yield pa.RecordBatch.from_arrays([uids.take(at), pa.array([own[r - i].tobytes() for r in hits], pa.binary()), batch.column(3).take(at)], names=["uid", "body", "blocks"])
+
+    kind = wanted.schema["blocks"].dataType.simpleString()
+    bodies = texts.mapInArrow(lean(run), f"uid bigint, body binary, blocks {kind}").select("uid", "body", F.explode("blocks").alias("at")).select("uid", "body", "at.*", F.octet_length("body").alias("n"))
+    links = _dealt(bodies, "body").mapInArrow(lean(_compare(percent)), "a bigint, b bigint")
+    links, path = write_table(links, "links")
+    for p in (left_path, wanted_path):
+        drop_table(spark, p)
+    return links, path
 
 
 def classes(links):
-    """(node, cls): each linked node's class, named after its least node; alternating large and small stars."""
+    """(node, cls), and its path: each linked node's class, named after its least node; alternating large and small stars."""
     spark = links.sparkSession
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges, path = write_table(edges, "edges")
@@ -350,77 +370,164 @@ def classes(links):
         drop_table(spark, path)
         edges, path = new, new_path
         if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("cls"))
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("cls")), path
         before = now
 
 
+def _meet(batches):
+    """Of rows (token, marked) in this order: those whose token another document has too, with the least document as pivot."""
+    last, held = None, None  # the token and pivot of the row before; that row's mark where it is not given out yet
+    for batch in batches:
+        token, marked = (batch.column(i).to_numpy() for i in range(2))
+        if not len(token):
+            continue
+        uid = marked >> 1
+        new = np.ones(len(token), bool)
+        new[1:] = token[1:] != token[:-1]
+        new[0] = last is None or token[0] != last[0]
+        at = np.flatnonzero(new)
+        pivot = np.full(len(token), -1 if last is None else last[1])
+        if len(at):
+            pivot[at[0] :] = np.repeat(uid[at], np.diff(np.append(at, len(token))))
+        keep = ~new
+        keep[:-1] |= new[:-1] & ~new[1:]
+        give = [token[keep], marked[keep], pivot[keep]]
+        if held is not None and not new[0]:
+            give = [np.concatenate([[h], g]) for h, g in zip((last[0], held, last[1]), give)]
+        last, held = (token[-1], pivot[-1]), (marked[-1] if new[-1] else None)
+        token, marked, pivot = give
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(marked >> 1), pa.array((marked & 1).astype(bool)), pa.array(pivot)], names=["token", "uid", "early", "pivot"])
+
+
+def _mixed(shared, found, sizes, percent: int):
+    """(pivot, uid, cls, n, zone) of the groups with tokens that stand in several classes; -1 for zone in a group of one chunk.
+
+    Groups of one pivot are one group, so that near copies, which share many shingles, meet once or twice and not once a
+    shingle.
+    """
+    rows = shared.select("token", "pivot", "uid").join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("cls", F.coalesce("cls", "uid"))
+    several = rows.groupBy("token").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 != c1").select("token")
+    rows = rows.join(several, "token").select("pivot", "uid", "cls").distinct().join(sizes, "uid")
+    whole = rows.groupBy("pivot").agg(((F.count("*") <= CHUNK) & (F.sum("n") <= SHINGLES)).alias("whole"))
+    zone = F.when(F.col("whole"), -1).otherwise(F.floor(F.log("n") / F.lit(step(percent)))).cast("int")
+    rows = rows.join(whole, "pivot").select("pivot", "uid", "cls", "n", zone.alias("zone"))
+    # in a group of one chunk only documents with another of a size to link with; a row of a larger group is alone here
+    place = Window.partitionBy("pivot", F.when(F.col("zone") >= 0, F.col("uid"))).orderBy("n", "uid")
+    near = F.coalesce(100 * F.lag("n").over(place) >= percent * F.col("n"), F.lit(False)) | F.coalesce(100 * F.col("n") >= percent * F.lead("n").over(place), F.lit(False))
+    return rows.withColumn("near", near | (F.col("zone") >= 0)).where("near").drop("near")
+
+
+def _merge(docs, nodes, maps, rows, found, found_path, *args):
+    """``found`` (node, cls), and its path, with the classes united that the blocks ``rows`` link; the old table goes."""
+    more, more_path = settle(docs, nodes, maps, rows, *args)
+    of = found.select(F.col("node").alias("a"), F.col("cls").alias("ca"))
+    both = more.join(of, "a", "left").join(of.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    out = classes(both.unionByName(found.toDF("a", "b")))
+    for p in (more_path, found_path):
+        drop_table(docs.sparkSession, p)
+    return out
+
+
 def join(docs, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"):
-    """One row per document: doc_id, n_shingles, component_id (the least id of its class)."""
+    """One row per document: doc_id, n_shingles, component_id (the least id of its class), text_hash, and ``first``.
+
+    ``first`` marks one document of each class, of the least id, a null id last; text_hash is xxhash64 of the text.
+    """
     spark = docs.sparkSession
     ship(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     last = share(spark, _often(docs, k, id_col, text_col))
-    everything, _ = write_table(sets(docs, k, percent, last, id_col, text_col), "sets")
+    everything, sets_path = write_table(sets(docs, k, percent, last, id_col, text_col), "sets")
     filled = everything.where("n > 0")
-    first = filled.groupBy("fp").agg(F.min("uid").alias("uid"))
-    kept = filled.join(first.select("uid"), "uid", "left_semi")  # one document for each set
-    # two numbers a row: the shingle, and the document with a mark for its first places
+    least = filled.groupBy("fp").agg(F.min("uid").alias("node"), F.count("*").alias("g")).where("g > 1").select("fp", "node")
+    copies, copies_path = write_table(filled.select("uid", "fp").join(least, "fp").where("uid != node").select("uid", "node"), "copies")
+    few = copies.count() <= BROADCAST_ROWS
+    small = F.broadcast(copies.select("uid")) if few else copies.select("uid")
+    kept = filled.select("uid", "prefix").join(small, "uid", "left_anti")  # one document for each set
+    # two numbers a row: the shingle, and the document with a mark for its first places; they are shuffled once
     marked = F.col("uid") * 2 + (F.col("place") < FIRST).cast("bigint")
     tokens = kept.select("uid", F.posexplode("prefix").alias("place", "token")).select("token", marked.alias("marked"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("g")).where("g > 1").select("token")
-    shared, shared_path = write_table(tokens.join(common, "token").select("token", F.shiftright("marked", 1).alias("uid"), (F.col("marked") % 2 == 1).alias("early")), "shared")
+    met = tokens.repartition(parts, "token").sortWithinPartitions("token", "marked").mapInArrow(lean(_meet), "token bigint, uid bigint, early boolean, pivot bigint")
+    shared, shared_path = write_table(met, "shared")
     nodes = everything.select("uid", "doc_id", "fp")
     maps = filled.select("uid", "n", "bits")
-
-    # every document against the least of each group of its first places
-    firsts = shared.where("early").select("token", "uid")
-    least = firsts.groupBy("token").agg(F.min("uid").alias("a"))
-    stars = firsts.join(least, "token").where("uid != a").select("a", F.col("uid").alias("b")).distinct()
-    stars = stars.join(maps.toDF("b", "nb", "mb"), "b").join(maps.toDF("a", "na", "ma"), "a")
-    stars = stars.where(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na").select("a", "b", "na", "nb", "ma", "mb")
-    stars, stars_path = write_table(stars.mapInArrow(_star_filter(percent), _PAIR), "stars")
-    links = verify(docs, nodes, stars, k, percent, id_col, text_col)
-    found = classes(links)
-
-    # groups that still hold more than one class; groups of one least document are one group, so that near copies, which
-    # share many shingles, meet once or twice and not once a shingle
-    rows = shared.select("token", "uid").join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("cls", F.coalesce("cls", "uid"))
-    rows, rows_path = write_table(rows, "rows")
-    mixed = rows.groupBy("token").agg(F.min("uid").alias("pivot"), F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 != c1").select("token", "pivot")
-    met, met_path = write_table(rows.join(mixed, "token").select("pivot", "uid", "cls").distinct().join(maps.select("uid", "n"), "uid"), "met")
-    place = Window.partitionBy("pivot").orderBy("n", "uid")
-    near = F.coalesce(100 * F.lag("n").over(place) >= percent * F.col("n"), F.lit(False)) | F.coalesce(100 * F.col("n") >= percent * F.lead("n").over(place), F.lit(False))
-    met = met.withColumn("near", near).where("near").drop("near")  # the rest has no document of a size to link with
-    size = Window.partitionBy("pivot").orderBy("n", "uid")
-    met = met.withColumn("chunk", F.floor((F.row_number().over(size) - 1) / CHUNK).cast("int"))
-    span = met.groupBy("pivot", "chunk").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("cls").alias("c0"), F.max("cls").alias("c1"))
-    s, t = span.alias("s"), span.alias("t")
-    faced = s.join(t, (F.col("s.pivot") == F.col("t.pivot")) & (F.col("s.chunk") <= F.col("t.chunk")) & (100 * F.col("s.n1") >= percent * F.col("t.n0")))
-    faced = faced.where("not (s.c0 = s.c1 and t.c0 = t.c1 and s.c0 = t.c0)").select(F.col("s.pivot").alias("pivot"), F.col("s.chunk").alias("i"), F.col("t.chunk").alias("j"))
-    one = F.struct(F.col("i").alias("chunk"), F.lit(0).alias("side"))
-    other = F.struct(F.col("j").alias("chunk"), F.lit(1).alias("side"))
-    sides = faced.select("pivot", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(one)).otherwise(F.array(one, other))).alias("x")).select("pivot", "i", "j", "x.chunk", "x.side")
-    cut = met.join(sides, ["pivot", "chunk"])
-    blocked = cut.join(maps.select("uid", "bits"), "uid").select("pivot", "i", "j", "side", "uid", "n", "cls", "bits")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = blocked.repartition(parts, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j").mapInArrow(_tree_filter(percent), _PAIR).distinct()
-    pairs, pairs_path = write_table(pairs, "pairs")
-
-    # a few pairs of each document first: they draw most classes together; then all pairs that are still of two classes
-    order = Window.partitionBy("b").orderBy(F.xxhash64("a", "b"))
-    some, some_path = write_table(pairs.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= FEW).select("a", "b").join(stars, ["a", "b"], "left_anti"), "some")
-    links = links.unionByName(verify(docs, nodes, some, k, percent, id_col, text_col))
-    found = classes(links)
-    of = found.select(F.col("node").alias("a"), F.col("cls").alias("ca"))
-    left = pairs.join(of, "a", "left").join(of.toDF("b", "cb"), "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
-    left = left.join(some, ["a", "b"], "left_anti").join(stars, ["a", "b"], "left_anti")
-    left, left_path = write_table(left, "left")
-    links = links.unionByName(verify(docs, nodes, left, k, percent, id_col, text_col))
-    found = classes(links)
-    for p in (shared_path, stars_path, rows_path, met_path, pairs_path, some_path, left_path):
+    sizes = filled.select("uid", "n")
+    n_blocks = lambda n, total: F.ceil(F.greatest(n / CHUNK, total / SHINGLES)).cast("int")
+
+    # each document and the pivots of its first places
+    stars = shared.where("early and uid != pivot").select("pivot", "uid").distinct().join(sizes, "uid").join(sizes.toDF("pivot", "m"), "pivot")
+    stars = stars.where(f"100 * n >= {percent} * m and 100 * m >= {percent} * n")
+    count = stars.groupBy("pivot").agg(n_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    stars = stars.join(count, "pivot").select("pivot", F.lit(-1).alias("zone"), F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("i"), F.lit(0).alias("j"), "uid")
+    middle = stars.select("pivot", "zone", "i", "j", F.col("pivot").alias("uid")).distinct()
+    rows = middle.withColumn("side", F.lit(0)).unionByName(stars.withColumn("side", F.lit(1))).withColumn("cls", F.col("uid"))
+    links, links_path = settle(docs, nodes, maps, rows, k, percent, id_col, text_col)
+    found, found_path = classes(links)
+    drop_table(spark, links_path)
+
+    # groups of more than one chunk: one document of each class in them, chunk by chunk, as long as that unites many classes;
+    # a large group of near copies becomes few classes so, and its documents need not all face each other
+    before = None
+    met, met_path = write_table(_mixed(shared, found, sizes, percent), "met")
+    drop_table(spark, shared_path)
+    while True:
+        large = met.groupBy("pivot", "zone").agg(F.count("*").alias("g"), F.sum("n").alias("total"), F.min("cls").alias("c0"), F.max("cls").alias("c1"))
+        large = large.where((n_blocks(F.col("g"), F.col("total")) > 1) & (F.col("c0") != F.col("c1"))).select("pivot", "zone")
+        heads, heads_path = write_table(met.join(large, ["pivot", "zone"]).groupBy("pivot", "zone", "cls").agg(F.min("uid").alias("uid"), F.max("n").alias("n")), "heads")
+        now = heads.count()
+        if not now or before is not None and now > 0.8 * before:
+            drop_table(spark, heads_path)
+            break
+        before = now
+        count = heads.groupBy("pivot", "zone").agg(n_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+        rows = heads.join(count, ["pivot", "zone"]).select("pivot", "zone", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "uid", "cls")
+        found, found_path = _merge(docs, nodes, maps, rows, found, found_path, k, percent, id_col, text_col)
+        now_of = found.select(F.col("node").alias("uid"), F.col("cls").alias("now"))
+        fresh = met.join(now_of, "uid", "left").select("pivot", "uid", F.coalesce("now", "uid").alias("cls"), "n", "zone")
+        several = fresh.groupBy("pivot").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1")).where("c0 != c1").select("pivot")
+        fresh, fresh_path = write_table(fresh.join(several, "pivot"), "met")
+        for p in (met_path, heads_path):
+            drop_table(spark, p)
+        met, met_path = fresh, fresh_path
+
+    # all documents of what is left.  In each zone of a group the commonest class stands apart and does not face itself
+    each = met.groupBy("pivot", "zone", "cls").agg(F.count("*").alias("g"), F.sum("n").alias("total"))
+    top = F.max_by(F.struct("cls", "g", "total"), F.struct("g", "cls"))
+    span = each.groupBy("pivot", "zone").agg(top.alias("top"), F.sum("g").alias("g"), F.sum("total").alias("total"))
+    span = span.select("pivot", "zone", F.col("top.cls").alias("main"), n_blocks(F.col("top.g"), F.col("top.total")).alias("mains"), n_blocks(F.col("g") - F.col("top.g"), F.col("total") - F.col("top.total")).alias("rest"))
+    far = span.select("pivot", (F.col("zone") - 1).alias("zone"), F.struct("main", "mains", "rest").alias("up"))
+    near = span.select("pivot", (F.col("zone") + 1).alias("zone"), F.struct("main", "mains", "rest").alias("down"))
+    span = span.join(far, ["pivot", "zone"], "left").join(near, ["pivot", "zone"], "left")
+    of_main = F.col("cls") == F.col("main")
+    # chunks of a zone: its commonest class first, then the rest
+    chunk = F.when(of_main, F.pmod(F.xxhash64("uid"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("uid"), F.col("rest"))).cast("int")
+    cut = met.join(span, ["pivot", "zone"]).withColumn("chunk", chunk)
+    at = lambda zone, i, j, side: F.struct(zone.cast("int").alias("zone"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    c, z = F.col("chunk"), F.col("zone") * 2  # 2 * zone: inside a zone; one more: the zone and the next
+
+    def chunks(mains, rest, skip):
+        """Numbers of a zone's chunks; without those of its commonest class where ``skip``."""
+        low, high = F.when(skip, mains).otherwise(0), mains + rest
+        return F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>"))
+
+    def beside(zone: str):
+        return F.coalesce(chunks(F.col(f"{zone}.mains"), F.col(f"{zone}.rest"), of_main & (F.col(f"{zone}.main") == F.col("main"))), F.array().cast("array<int>"))
+
+    inside = F.transform(chunks(F.col("mains"), F.col("rest"), of_main), lambda x: F.when(x >= c, at(z, c, x, 0)).otherwise(at(z, x, c, 1)))
+    above = F.transform(beside("up"), lambda x: at(z + 1, c, x, 0))
+    below = F.transform(beside("down"), lambda x: at(z - 1, x, c, 1))
+    rows = cut.select("pivot", "uid", "cls", F.explode(F.concat(inside, above, below)).alias("at")).select("pivot", "at.*", "uid", "cls")
+    found, found_path = _merge(docs, nodes, maps, rows, found, found_path, k, percent, id_col, text_col)
+    drop_table(spark, met_path)
+
+    own = everything.select("doc_id", "text_hash", "uid", "n").join(copies, "uid", "left").withColumn("node", F.coalesce("node", "uid"))
+    named = own.join(found, "node", "left").select("doc_id", "text_hash", "uid", "n", F.coalesce("cls", "node").alias("cls"))
+    named, named_path = write_table(named, "named")
+    for p in (sets_path, copies_path, found_path):
         drop_table(spark, p)
-
-    node = first.join(found.withColumnRenamed("node", "uid"), "uid", "left").select("fp", F.coalesce("cls", "uid").alias("cls"))
-    named = everything.select("doc_id", "uid", "n", "fp").join(node, "fp", "left").withColumn("cls", F.coalesce("cls", "uid"))
-    named, _ = write_table(named, "named")
-    least = named.groupBy("cls").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "cls").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id")
+    head = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"]
+    least = named.groupBy("cls").agg(F.min("doc_id").alias("component_id"), head.alias("head"))
+    done = named.join(least, "cls").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "component_id", "text_hash", (F.col("uid") == F.col("head")).alias("first"))
+    done, _ = write_table(done, "joined")
+    drop_table(spark, named_path)
+    return done
