@@ -6,7 +6,9 @@ offset-adjusted posting lists of the others, rarest first; ``slack`` above 0 let
 off (proximity instead of a phrase).
 
 Documents and items without words (null, empty, or punctuation only) have no windows and hit nothing; a null item id
-reads as an empty string; repeated items count once; repeated documents are documents of their own.
+reads as an empty string; repeated items count once; repeated documents are documents of their own.  Without documents
+there are no rows; without items nothing is hit.  Only the columns named are read, so others may have any name.  The index
+is dropped when the search is done; its result, a few numbers a document, is a stored table.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .util import blocks, column_bytes, drop_table, hash_spans, share, words, write_table
+from .util import blocks, column_bytes, drop_table, hash_spans, lean, share, words, write_table
 
 IS_WORD = np.ones(256, bool)
 for _low, _high in ((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)):
@@ -83,7 +85,7 @@ def build_index(docs, terms, id_col: str = "doc_id", text_col: str = "text"):
                     names=["doc_ids", "first", "n_words", "term", "begin", "gaps"],
                 )
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_ids array<{id_type}>, first binary, n_words binary, term binary, begin binary, gaps binary")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lean(run), f"doc_ids array<{id_type}>, first binary, n_words binary, term binary, begin binary, gaps binary")
 
 
 def occurrences(post: dict[int, np.ndarray], window: np.ndarray, slack: int = 0) -> np.ndarray:
@@ -153,7 +155,7 @@ def search(index, windows, names: list[str], slack: int = 0):
                     names=["doc_id", "n_words", "n_hit", "hit_mask", "items"],
                 )
 
-    return index.mapInArrow(run, f"doc_id {id_type}, n_words bigint, n_hit bigint, hit_mask binary, items array<string>")
+    return index.mapInArrow(lean(run), f"doc_id {id_type}, n_words bigint, n_hit bigint, hit_mask binary, items array<string>")
 
 
 def decontaminate(docs, benchmark, width: int = 10, slack: int = 0, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"):
@@ -168,19 +170,26 @@ def decontaminate(docs, benchmark, width: int = 10, slack: int = 0, id_col: str
     passes = int(bytes_ // QUERY_BYTES) + 1
     if passes > 1:  # a stored number tells rows apart, whatever their ids
         row = F.struct(docs[id_col].alias("doc_id"), F.monotonically_increasing_id().alias("uid"))
-        docs, _ = write_table(docs.select(row.alias("row"), docs[text_col].alias("text")), "numbered")
+        docs, numbered = write_table(docs.select(row.alias("row"), docs[text_col].alias("text")), "numbered")
         id_col, text_col = "row", "text"
-    done = None
+    done, small = None, []
     for k in range(passes):
         own = keyed if passes == 1 else keyed.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
         items = sorted({(r["item"], r["text"]) for r in own.toLocalIterator()})
         terms, windows = item_windows(items, width)
         if not len(terms):
             terms = np.zeros(1, np.uint64)
-        index, _ = write_table(build_index(docs, share(spark, terms), id_col, text_col), "postings")
-        got = search(index, windows, [i for i, _ in items], slack)
+        index, path = write_table(build_index(docs, share(spark, terms), id_col, text_col), "postings")
+        got, got_path = write_table(search(index, windows, [i for i, _ in items], slack), "found")
+        drop_table(spark, path)
+        small.append(got_path)
         done = got if done is None else done.unionByName(got)
-    return done if passes == 1 else _unite(done)
+    if passes == 1:
+        return done
+    done, _ = write_table(_unite(done), "united")
+    for path in [*small, numbered]:
+        drop_table(spark, path)
+    return done
 
 
 def _unite(rows):
