@@ -3,10 +3,11 @@
 A conversation's rows are put in order (turn, then role, then text), adjacent turns of one role are merged (texts joined
 by a line feed), and each becomes ``<|im_start|>role\\ntext<|im_end|>\\n``.  In roles and texts ``&`` is written
 ``&amp;`` and ``<|`` is written ``&lt;|`` (a line feed in a role: ``&#10;``), so no text can imitate a control string and
-``read_back`` restores every character.  ``loss_spans`` are the places (0-based, code points) of the assistant's texts.
+``read_back`` restores every character.  ``loss_spans`` are the places (0-based, code points) of the assistant's texts, one
+for each row; the line feed between two merged rows is not under the mask.
 
 Null roles and texts read as empty; rows of a null conversation id form one conversation; repeated rows are turns of
-their own; an empty table gives no rows.  All steps need a conversation's rows together, by one exchange.
+their own; an empty table gives no rows; other columns may have any name.  All steps need a conversation's rows together, by one exchange.
 """
 
 from __future__ import annotations
@@ -32,16 +33,21 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
     order = Window.partitionBy("conv_id").orderBy("place")
     rows = rows.withColumn("new", (~F.lag("role").over(order).eqNullSafe(F.col("role"))).cast("int"))
     rows = rows.withColumn("run", F.sum("new").over(order))
-    said = F.array_sort(F.collect_list(F.struct("place", "text")))
+    # places of a row's text: what the texts before it take up, a line feed after each
+    rows = rows.withColumn("text", escape(F.col("text")))
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    said = F.array_sort(F.collect_list(F.struct("place", "text", "before")))
     runs = rows.groupBy("conv_id", "run").agg(F.first("role").alias("role"), said.alias("said"))
     head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("&#10;")), F.lit("\n"))
-    runs = runs.select("conv_id", "run", "role", head.alias("head"), escape(F.array_join(F.col("said.text"), "\n")).alias("body"))
+    runs = runs.select("conv_id", "run", "role", "said", head.alias("head"), F.array_join(F.col("said.text"), "\n").alias("body"))
     runs = runs.withColumn("piece", F.concat("head", "body", F.lit(END)))
     before = Window.partitionBy("conv_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)) + F.length("head"))
-    span = F.when(F.col("role") == LOSS_ROLE, F.struct("start", F.length("body").cast("bigint").alias("length")))
-    pieces = runs.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("run", "piece", span.alias("span")))).alias("p"))
-    return pieces.select("conv_id", F.array_join("p.piece", "").alias("formatted"), F.array_compact("p.span").alias("loss_spans"))
+    first = F.col("said")[0]["before"]
+    spans = F.transform("said", lambda x: F.struct((F.col("start") + x["before"] - first).alias("start"), F.length(x["text"]).cast("bigint").alias("length")))
+    spans = F.when(F.col("role") == LOSS_ROLE, spans).otherwise(F.slice(spans, 1, 0))
+    pieces = runs.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("run", "piece", spans.alias("spans")))).alias("p"))
+    return pieces.select("conv_id", F.array_join("p.piece", "").alias("formatted"), F.flatten("p.spans").alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

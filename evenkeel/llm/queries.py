@@ -111,14 +111,14 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role
 marked AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY place) IS DISTINCT FROM role THEN 1 ELSE 0 END AS new FROM placed),
 runs AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY place) AS run FROM marked),
 turns AS (SELECT conv_id, run, any_value(role) AS role, string_agg(text, chr(10) ORDER BY place) AS text FROM runs GROUP BY conv_id, run),
+heard AS (SELECT conv_id, coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss FROM placed GROUP BY conv_id),
 said AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY run) AS s,
-    coalesce(string_agg(text, '' ORDER BY run) FILTER (role = 'assistant'), '') AS loss,
     sum(length(role) + 12 + 1 + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) + 11) AS f
   FROM turns GROUP BY conv_id)
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(s) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
   sha256(loss) AS loss_sha256, CAST(f AS BIGINT) AS formatted_chars
-FROM said""",
+FROM said JOIN heard ON said.conv_id IS NOT DISTINCT FROM heard.conv_id""",
         "op8_decontamination": rf"""
 WITH bw AS (SELECT item_id, {_WORDS8} AS w FROM benchmark),
 b AS (
