@@ -4,9 +4,12 @@ A word's score for a language is the sum of log-probabilities of its byte n-gram
 included).  Its script (the leading bytes' Unicode ranges) admits only languages that were learned in that script, unless
 none was.  Viterbi then picks the best sequence of languages, where each change costs ``PENALTY``.
 
-The model is learned in one task from at most about ``SAMPLE`` documents of each language, picked by a hash of their text
-(a stated bound: the model's size is fixed, predictions cover all rows); its tables go out by broadcast.  A text that is
-null or has no letter gets `und` and no spans; repeated rows repeat.  Without anything learned, every text gets `und`.
+The model is learned language by language, each in a task of its own, from about ``SAMPLE`` distinct texts of it at most, picked by a
+hash (a stated bound: a language's table has a fixed size, predictions cover all rows); every language of the labelled
+rows is learned, however rare.  The tables go out by broadcast, half a MB a language.  A text that is null or has no letter
+(\\p{L}) gets `und` and no spans; repeated rows repeat.  Of languages that score alike the first by name is taken.  Without
+anything learned every text gets `und`; an empty table gives no rows; columns lang_pred, score and spans are replaced, others
+may have any name.
 """
 
 from __future__ import annotations
@@ -16,9 +19,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import functions as F, types as T
 
-from .util import blocks, column_bytes, mix, NOT_SPACE, share, ship, SPACES, words
+from .util import blocks, column_bytes, lean, mix, NOT_SPACE, share, ship, SPACES, words
 
-TABLE, SAMPLE, PENALTY, LANGS = 1 << 17, 2_500, 6.0, 256  # slots, documents a language, cost of a change, languages at most
+TABLE, SAMPLE, PENALTY = 1 << 17, 2_500, 6.0  # slots, distinct texts a language, cost of a change
 GRAMS = (2, 3, 4)
 _LETTER = regex.compile(r"\p{L}")
 SCRIPTS = ("latin", "greek", "cyrillic", "semitic", "indic", "east_asian", "other")
@@ -34,6 +37,9 @@ _SCRIPT[0xE0] = 4
 _SCRIPT[0xE3:0xEE] = 5
 _SCRIPT[0xDC:0xE0] = _SCRIPT[0xE1] = 6
 
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[SPACES] = 32
@@ -66,53 +72,62 @@ def _word_scripts(buf, starts, ends) -> np.ndarray:
     return script
 
 
-def learn(texts_of: dict[str, list[bytes]]):
-    """(languages, tables [language, n, slot], scripts [language, script])."""
-    langs = sorted(texts_of)
-    tables = np.zeros((len(langs), len(GRAMS), TABLE), np.float32)
-    scripts = np.zeros((len(langs), len(SCRIPTS)), bool)
-    for i, lang in enumerate(langs):
-        counts = np.zeros((len(GRAMS), TABLE))
-        seen = np.zeros(len(SCRIPTS))
-        for text in texts_of[lang]:
-            buf = np.frombuffer(text, np.uint8)
-            if not len(buf):
-                continue
-            offs = np.array([0, len(buf)])
-            for g, slot in enumerate(_grams(buf, offs)):
-                counts[g] += np.bincount(slot, minlength=TABLE)
-            kinds = _SCRIPT[buf]
-            seen += np.bincount(kinds[kinds >= 0], minlength=len(SCRIPTS))
-        tables[i] = np.log((counts + 0.05) / (counts.sum(1, keepdims=True) + 0.05 * TABLE))
-        scripts[i] = seen >= 0.01 * max(1, seen.sum())
-    tables -= tables.max(0, keepdims=True)  # only differences between languages count
-    # one n-gram of each length ends at every byte, so they stand for about a third of a byte's evidence each
-    return langs, np.maximum(tables, -4.0) / len(GRAMS), scripts
+def count(text: bytes, sums=None):
+    """(counts of n-grams [n, slot], of letters by script), ``sums`` included, which is changed."""
+    counts, seen = sums or (np.zeros((len(GRAMS), TABLE)), np.zeros(len(SCRIPTS)))
+    buf = np.frombuffer(text, np.uint8)
+    if len(buf):
+        for g, slot in enumerate(_grams(buf, np.array([0, len(buf)]))):
+            counts[g] += np.bincount(slot, minlength=TABLE)
+        kinds = _SCRIPT[buf]
+        seen += np.bincount(kinds[kinds >= 0], minlength=len(SCRIPTS))
+    return counts, seen
+
+
+def learn(sums) -> tuple[np.ndarray, np.ndarray]:
+    """(log-probabilities [n, slot], scripts) of one language's counts."""
+    counts, seen = sums
+    return np.log((counts + 0.05) / (counts.sum(1, keepdims=True) + 0.05 * TABLE)), seen >= 0.01 * max(1, seen.sum())
+
+
+def compared(tables: np.ndarray) -> np.ndarray:
+    """Only differences between languages count; one n-gram of each length ends at every byte: about a third of its evidence each."""
+    return np.maximum(tables - tables.max(0, keepdims=True), -4.0) / len(GRAMS)
 
 
 def train(docs, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE):
-    """Learns from the rows of ``docs`` that have a language: about ``sample`` of each at most."""
+    """Learns from the rows of ``docs`` that have a language: about ``sample`` distinct texts of each at most."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(LANGS).collect()}
-    if not counts:
-        return [], np.zeros((0, len(GRAMS), TABLE), np.float32), np.zeros((0, len(SCRIPTS)), bool)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1_000_000, int(1_000_000 * sample / n) + 1)))])
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")))
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    # one row a language: how many distinct texts it has, by a sketch that merges
+    shares = rows.groupBy("lang").agg((F.lit(sample) / F.approx_count_distinct("h", 0.02)).alias("share"))
+    picked = rows.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(1_000_000)) < 1_000_000 * F.col("share"))
+    texts = picked.groupBy("lang", "h").agg(F.first("text").alias("text"))  # copies of a text count once
 
     def run(batches):
-        texts: dict[str, list[bytes]] = {}
+        lang, sums = None, None
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                texts.setdefault(lang, []).append(text[:].encode())
-        if texts:
-            langs, tables, scripts = learn({k: sorted(v) for k, v in texts.items()})
-            yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array([t.astype(np.float16).tobytes() for t in tables], pa.binary()), pa.array([s.tobytes() for s in scripts], pa.binary())], names=["lang", "t", "s"])
-
-    got = sorted(picked.repartition(1).mapInArrow(run, "lang string, t binary, s binary").collect(), key=lambda r: r["lang"])
-    tables = np.stack([np.frombuffer(r["t"], np.float16).astype(np.float32).reshape(len(GRAMS), TABLE) for r in got])
-    return [r["lang"] for r in got], tables, np.stack([np.frombuffer(r["s"], bool) for r in got])
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if own != lang:
+                    if lang is not None:
+                        yield packed(lang, sums)
+                    lang, sums = own, None
+                sums = count(text.encode(), sums)
+        if lang is not None:
+            yield packed(lang, sums)
+
+    def packed(lang, sums):
+        t, s = learn(sums)
+        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([t.astype("<f4").tobytes()], pa.binary()), pa.array([s.tobytes()], pa.binary())], names=["lang", "t", "s"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = texts.repartition(parts, "lang").sortWithinPartitions("lang").select("lang", "text").mapInArrow(lean(run), "lang string, t binary, s binary").collect()
+    if not got:
+        return [], np.zeros((0, len(GRAMS), TABLE), np.float32), np.zeros((0, len(SCRIPTS)), bool)
+    got = sorted(got, key=lambda r: r["lang"])
+    tables = np.stack([np.frombuffer(r["t"], np.float32).reshape(len(GRAMS), TABLE) for r in got])
+    return [r["lang"] for r in got], compared(tables).astype(np.float16).astype(np.float32), np.stack([np.frombuffer(r["s"], bool) for r in got])
 
 
 def word_scores(model, buf, offs, starts, ends) -> np.ndarray:
@@ -173,8 +188,8 @@ def _predict(model, buf, offs):
     langs = model[0]
     starts, ends, counts = words(buf, offs, NOT_SPACE)
     n_rows = len(offs) - 1
-    ascii_letters = np.concatenate(([0], np.cumsum(_SCRIPT[buf] == 0)))
-    lettered = ascii_letters[offs[1:]] > ascii_letters[offs[:-1]]
+    plain = np.concatenate(([0], np.cumsum(_ASCII_LETTER[buf])))
+    lettered = plain[offs[1:]] > plain[offs[:-1]]
     for r in np.flatnonzero(~lettered & (np.diff(offs) > 0)):
         lettered[r] = bool(_LETTER.search(buf[offs[r] : offs[r + 1]].tobytes().decode()))
     if not langs:
@@ -214,4 +229,4 @@ def label(docs, model, text_col: str = "text"):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, span)], names=[*batch.schema.names, "lang_pred", "score", "spans"])
 
     kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", kind)]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", kind)]))
