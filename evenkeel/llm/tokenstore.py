@@ -21,35 +21,61 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+import unicodedata
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F, Window
 
-from .util import drop_table, mix, share, shared_root, ship
+from .util import drop_table, lean, mix, share, shared_root, ship
 
 WINDOW, MASK, LEAST, MOST = 16, 0xFF, 32, 4096  # ids under the rolling hash, one cut in 256, bounds of a chunk
 MEMO = 400_000  # words in each of the two generations of a worker's memo; results do not depend on it
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = byte_letters()
+
+
 class Words(dict):
     """Ids (as bytes) of single words, found by the tokenizers library when first asked for.
 
     Outside its pattern the tokenizer drops white space, and none of its steps looks across white space, so a text's ids
     are those of its words, one after another.  Nor does a step look across the place between an ASCII letter and a comma
     or full stop: such a mark at a word's end is a word of its own here, which leaves fewer words to ask for.
+
+    A word of small letters up to U+052F in composed form passes the tokenizer's normalizer and pattern as it is, so the
+    library's model is asked for it at once.  A text that holds the name of an added token, in any case, goes to the
+    library whole.
     """
 
     def __init__(self, spec: str, width: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.width, self.old = width, {}
-        self.lowers = len({tuple(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in (string.ascii_letters[:26], string.ascii_letters[26:])}) == 1
+        self.code = {2: "H", 4: "I"}[int(width[2])]
+        whole = lambda x: tuple(self.tokenizer.encode(x, add_special_tokens=False).ids)
+        self.lowers = len({whole(x) for x in (string.ascii_letters[:26], string.ascii_letters[26:])}) == 1
+        tried = ["word", "q", string.ascii_lowercase, "été", "straße", "жизнь", "ñandú"]
+        self.direct = self.lowers and all(whole(x) == self._of_model(x) for x in tried)
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        first = {name[:1] for name in self.added}
+        self.begins = first.pop() if len(first) == 1 else b""  # what all of them begin with
+
+    def _of_model(self, word: str) -> tuple[int, ...]:
+        return tuple([t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS))])
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MEMO:
@@ -57,21 +83,40 @@ class Words(dict):
             self.clear()
         got = self.old.get(word)
         if got is None:
-            got = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.width).tobytes()
+            text = word.decode()
+            if self.direct and text.isalpha() and text == text.lower() and (text.isascii() or max(text) < "\u0530" and unicodedata.is_normalized("NFC", text)):
+                got = self.pack(*self._of_model(text))
+            elif self.direct and (cut := _MARKED.fullmatch(word)) and cut[1].decode().isalpha():
+                got = self[cut[1]] + self[cut[2]]
+            else:
+                got = self.pack(*self.tokenizer.encode(text, add_special_tokens=False).ids)
         self[word] = got
         return got
 
+    def pack(self, *ids: int) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a whole text."""
+        raw = text.encode()
+        if self.added and self.begins in raw:
+            low = raw.lower()
+            if any(name in low for name in self.added):
+                return self.pack(*self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.__getitem__, split(raw, self.lowers)))
+
 
 _workers: dict[str, Words] = {}
 _LAST_MARK = re.compile(rb"[.,](?<=[A-Za-z][.,])(?=[ \n])")
+#: Letters (to be looked at more closely), then ASCII marks but no apostrophe: the tokenizer's pattern always parts them.
+_MARKED = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
 
 
-def split(text: str, lowers: bool) -> list[bytes]:
+def split(raw: bytes, lowers: bool) -> list[bytes]:
     """The words of a text, their ASCII letters in lower case where the tokenizer makes them so.
 
     Not in texts with marks of U+0300 to U+036F, which may compose with a small letter and not with its capital.
     """
-    raw = text.encode()
     if lowers and b"\xcc" not in raw and b"\xcd" not in raw:
         raw = raw.lower()
     return _LAST_MARK.sub(rb" \g<0>", raw).split()
@@ -148,14 +193,14 @@ def write_store(docs, tokenizer_path: str, end_id: int, path: str | None = None,
         if key not in _workers:
             _workers.clear()
             _workers[key] = Words(spec, width)
-        ids_of, lowers, size = _workers[key].__getitem__, _workers[key].lowers, int(width[2])
+        ids_of, size = _workers[key].whole, int(width[2])
         end = np.array([end_id], width).tobytes()
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             rows, streams, ends, total = [], [], [], 0
             for text in batch.column(1).to_pylist():
-                streams.append(b"".join(map(ids_of, split(text, lowers))) + end if text else end)
+                streams.append(ids_of(text) + end if text else end)
                 total += len(streams[-1]) // size
                 ends.append(total)
             stream, last = b"".join(streams), 0
@@ -171,7 +216,7 @@ def write_store(docs, tokenizer_path: str, end_id: int, path: str | None = None,
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(v, k) for v, k in zip(out, kinds))], names=["doc_id", "uid", "seq", "digest", "n", "payload"])
 
     raw = f"{path}/raw"
-    docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(cut_up, f"doc_id {id_type}, uid bigint, seq int, digest binary, n int, payload binary").write.option("compression", "zstd").parquet(raw)
+    docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lean(cut_up), f"doc_id {id_type}, uid bigint, seq int, digest binary, n int, payload binary").write.option("compression", "zstd").parquet(raw)
     pieces = spark.read.parquet(raw)
     pieces.groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
@@ -181,7 +226,7 @@ def write_store(docs, tokenizer_path: str, end_id: int, path: str | None = None,
 
     recipes = pieces.groupBy("doc_id", "uid").agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "digest"))).alias("chunks"))
     schema = f"doc_id {id_type}, uid bigint, n_tokens bigint, chunks array<struct<seq:int,digest:binary>>"
-    recipes = recipes.select("doc_id", "uid", "n_tokens", "chunks").mapInArrow(rooted, f"{schema}, root binary")
+    recipes = recipes.select("doc_id", "uid", "n_tokens", "chunks").mapInArrow(lean(rooted), f"{schema}, root binary")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     recipes = recipes.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "uid").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "uid").withColumn("part", F.spark_partition_id())
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
@@ -198,7 +243,7 @@ def write_store(docs, tokenizer_path: str, end_id: int, path: str | None = None,
 
     # a recipe file's roots are as many as its documents, which the number of files bounds
     order = F.array_sort(F.collect_list(F.struct(F.col("doc_id"), F.col("uid"), F.col("root"))))
-    spark.read.parquet(f"{path}/recipes").groupBy("part").agg(order.alias("roots"), F.sum("n_tokens").alias("n_tokens")).select("part", "roots", "n_tokens").mapInArrow(manifest, "part int, n_docs bigint, n_tokens bigint, root binary").write.parquet(f"{path}/manifest")
+    spark.read.parquet(f"{path}/recipes").groupBy("part").agg(order.alias("roots"), F.sum("n_tokens").alias("n_tokens")).select("part", "roots", "n_tokens").mapInArrow(lean(manifest), "part int, n_docs bigint, n_tokens bigint, root binary").write.parquet(f"{path}/manifest")
     spark.createDataFrame([(width, end_id)], "width string, end_id int").coalesce(1).write.parquet(f"{path}/format")
     return path
 
@@ -248,7 +293,7 @@ def check_parts(spark, path: str, recipes):
             yield batch.set_column(1, "top", pa.array([merkle([p["root"] for p in pairs]) for pairs in batch.column(1).to_pylist()], pa.binary()))
 
     order = F.array_sort(F.collect_list(F.struct("doc_id", "uid", "root")))
-    own = recipes.groupBy("part").agg(order.alias("top"), F.count("*").alias("own_docs"), F.sum("n_tokens").alias("own_tokens")).mapInArrow(top, "part int, top binary, own_docs bigint, own_tokens bigint")
+    own = recipes.groupBy("part").agg(order.alias("top"), F.count("*").alias("own_docs"), F.sum("n_tokens").alias("own_tokens")).mapInArrow(lean(top), "part int, top binary, own_docs bigint, own_tokens bigint")
     both = spark.read.parquet(f"{path}/manifest").join(own, "part", "full")
     same = F.col("n_docs").eqNullSafe(F.col("own_docs")) & F.col("n_tokens").eqNullSafe(F.col("own_tokens")) & F.col("root").eqNullSafe(F.col("top"))
     return both.select("part", F.coalesce("n_docs", "own_docs").alias("n_docs"), F.coalesce("n_tokens", "own_tokens").alias("n_tokens"), same.alias("intact"), F.col("own_docs").isNull().alias("lost"))
@@ -270,7 +315,7 @@ def read_ids(spark, path: str):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "uid", "ids"])
 
     kind = whole.schema["doc_id"].dataType.simpleString()
-    return whole.mapInArrow(join_up, f"doc_id {kind}, uid bigint, ids array<bigint>")
+    return whole.mapInArrow(lean(join_up), f"doc_id {kind}, uid bigint, ids array<bigint>")
 
 
 def read_store(spark, path: str):
@@ -284,7 +329,7 @@ def read_store(spark, path: str):
             ids = [np.frombuffer(p, width) for p in pay]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()), pa.array(list(map(len, ids)), pa.int32()), pa.array([digest(p) == d for p, d in zip(pay, batch.column(0).to_pylist())], pa.bool_())], names=["digest", "crc", "n", "sound"])
 
-    chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(check, "digest binary, crc bigint, n int, sound boolean")
+    chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(lean(check), "digest binary, crc bigint, n int, sound boolean")
     recipes = spark.read.parquet(f"{path}/recipes")
     refs = recipes.select("uid", F.explode("chunks").alias("c")).select("uid", "c.seq", "c.digest")
     found = refs.join(chunks, "digest", "left").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "crc", "n", "sound"))).alias("got"))
@@ -296,7 +341,7 @@ def read_store(spark, path: str):
             crc = [crc_join((c["crc"], 4 * c["n"]) for c in g) if s else None for g, s in zip(got, sound)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sum(c["n"] or 0 for c in g) for g in got], pa.int64()), pa.array(crc, pa.int64()), pa.array([merkle([c["digest"] for c in g]) for g in got], pa.binary()), pa.array(sound, pa.bool_())], names=["uid", "n", "crc", "top", "sound"])
 
-    found = found.select("uid", "got").mapInArrow(join_up, "uid bigint, n bigint, crc bigint, top binary, sound boolean")
+    found = found.select("uid", "got").mapInArrow(lean(join_up), "uid bigint, n bigint, crc bigint, top binary, sound boolean")
     # ids before each recipe file by the manifest: one row per file, as many as there are files
     before, total, lost = [], 0, []
     for p in check_parts(spark, path, recipes).orderBy("part").collect():
