@@ -89,7 +89,7 @@ def test_chat(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", evil), (1, 2, "user", None), (1, 3, "assistant", evil), (1, 3, "assistant", evil), (2, 0, None, ""), (None, 0, "assistant", "é\n")]
     got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"))).collect()}
     assert [tuple(t) for t in got[1].turns] == [("system", "s"), ("user", evil + "\n"), ("assistant", evil + "\n" + evil)]
-    assert got[1].loss_texts == [evil + "\n" + evil] and got[1].formatted.count("<|im_start|>") == 3
+    assert got[1].loss_texts == [evil, evil] and got[1].formatted.count("<|im_start|>") == 3
     assert [tuple(t) for t in got[2].turns] == [("", "")] and got[2].loss_texts == []
     assert got[None].loss_texts == ["é\n"]
     assert chat.format_conversations(spark.createDataFrame([], "conv_id int, turn int, role string, text string")).count() == 0
@@ -113,7 +113,7 @@ def test_pii(spark):
 
 def test_pii_clashes_are_drawn_again(spark):
     many = spark.createDataFrame([(f"{c}@x.org",) for c in "abcdefghijklmnopqrstuvwxyz"] + [(f"{c}@y.org",) for c in "abcdefghijklmnopqrstuvwxyz"], "canon string").withColumn("kind", F.lit("email"))
-    made = pii.surrogates(many, "key").collect()
+    made = pii.surrogates(many, "key")[0].collect()
     assert len(made) == 52 == len({r.surrogate for r in made})
 
 
@@ -163,7 +163,8 @@ def test_tree_pairs_lose_none():
     sizes = np.array([len(s) for s in own])
     maps = [jaccard.bitmap(s).tobytes() for s in own]
     ids = np.arange(len(own))
-    got = {(min(a, b), max(a, b)) for x, y in jaccard.block_pairs(ids, sizes, maps, ids.copy(), np.zeros(len(own), int), 80) for a, b in zip(x.tolist(), y.tolist())}
+    x, y = jaccard.block_pairs(sizes, maps, ids.copy(), np.zeros(len(own), int), 80)
+    got = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist())}
     want = {(i, j) for j in ids for i in range(j) if 100 * (n := len(np.intersect1d(own[i], own[j]))) >= 80 * (len(own[i]) + len(own[j]) - n)}
     assert want <= got and want
 

@@ -1,5 +1,6 @@
 """What the operators once left undone, on small tables."""
 
+import collections
 import re
 
 import public_tokenizers as P
@@ -70,3 +71,162 @@ def test_passes_do_not_change_results(spark, monkeypatch):
     once = found()
     monkeypatch.setattr(decontam, "QUERY_BYTES", 20)
     assert found() == once and len(once) == len(rows)
+
+
+def test_jaccard_of_large_groups(spark, monkeypatch):
+    """Groups of many chunks, of several zones of size, with near copies that link in chains only, against brute force."""
+    import numpy as np
+
+    from evenkeel.llm import jaccard
+    from tests.llm.test_operators import brute_classes
+
+    monkeypatch.setattr(jaccard, "CHUNK", 6)
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(160):
+        own = base[: int(rng.integers(55, 90))] if i % 3 else base + [f"tail{i}-{j}" for j in range(int(rng.integers(0, 60)))]
+        for p in rng.integers(0, len(own), int(rng.integers(0, 4))):
+            own = [*own[:p], f"x{i}", *own[p + 1 :]]
+        rows.append((1000 - i, " ".join(own)))
+    rows += [(None, rows[0][1]), (7, rows[1][1]), (7, rows[1][1]), (8, ""), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").select("*", F.lit(1).alias("pivot"), F.lit("x").alias("fp"))
+    for k, percent in ((4, 85), (5, 80)):
+        got = jaccard.join(df, k, percent).collect()
+        want = brute_classes(rows, k, percent)
+        assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+        heads = [r for r in got if r.first and r.n_shingles]
+        assert sorted(r.component_id for r in heads) == sorted({c for _, n, c in want if n})
+    assert jaccard.join(df.limit(0), 5, 80).count() == 0
+
+
+def test_jaccard_of_very_long_texts(spark, monkeypatch):
+    from evenkeel.llm import jaccard
+    from tests.llm.test_operators import brute_classes
+
+    monkeypatch.setattr(jaccard, "SHINGLES", 20_000)  # blocks of one or two of these
+    rows = [(i, " ".join(f"w{j * 7919 % 30011}" for j in range(i * 900, 30_000))) for i in range(6)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 80).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_classes(rows, 5, 80)
+
+
+def test_names_keep_coreference(spark):
+    texts = ["Mr. Jean-Luc Picard met Mrs Smith. Later Picard said that Jean-Luc Picard and SMITH left; Picardy stays.", "Mr Smith wrote; Mr. John Smith too, as J. Smith.", "Smith and Picard, untitled here, stay.", "Dr No; Monsieur O'Neil van Dyke Jones", "Госпожа Иванова и Иванова"]
+    got = replaced(spark, *texts)
+    m = re.fullmatch(r"Mr\. ([A-Z]\w+)-([A-Z]\w+) ([A-Z]\w+) met Mrs ([A-Z]\w+)\. Later (\w+) said that (\w+)-(\w+) (\w+) and SMITH left; Picardy stays\.", got[0])
+    assert m and m[3] == m[5] == m[8] and (m[1], m[2]) == (m[6], m[7]) and len({m[1], m[2], m[3], m[4]}) == 4
+    assert not re.search("Jean|Luc|Picard(?!y)|Smith", got[0])
+    n = re.fullmatch(r"Mr ([A-Z]\w+) wrote; Mr\. ([A-Z]\w+) ([A-Z]\w+) too, as J\. ([A-Z]\w+)\.", got[1])
+    assert n and n[1] == n[3] == n[4] and m[4] == n[1][:-1] + "na"  # one last name, another gender
+    assert got[2] == texts[2]
+    assert re.fullmatch(r"Dr No; Monsieur [A-Z]'[A-Z]\w+ van [A-Z]\w+ [A-Z]\w+", got[3])
+    w = re.fullmatch(r"Госпожа ([А-Я]\w+на) и (\w+)", got[4])
+    assert w and w[1] == w[2] != "Иванова"
+
+
+def test_pii_odd_tables(spark):
+    long = "word " * 60_000 + "mail a@b.com " + "word " * 60_000
+    rows = [(1, long, "x", 1), (None, "a@b.com", "y", 2), (None, "a@b.com", "y", 2), (2, None, None, None), (3, "", "", 0), (4, "number 20240101123456 and 4111111111111112", "z", 3)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, found string, uid int").withColumn("_key", F.lit("k")).withColumn("row", F.lit(1))
+    got = pii.replace_entities(df, "key")
+    assert got.columns == [*df.columns, "n_entities"]
+    got = got.collect()
+    by = {r.doc_id: r for r in got if r.doc_id}
+    assert len(got) == 6 and by[4].text == rows[5][1] and by[4].n_entities == 0  # digits that fail Luhn's check are no cards
+    mails = {r.text for r in got if r.doc_id is None}
+    assert len(mails) == 1 and "a@b.com" not in mails and f" {mails.pop()} " in by[1].text and len(by[1].text) > 599_990
+    assert (by[1].found, by[1].uid, by[1]._key, by[1].row) == ("x", 1, "k", 1) and by[2].text is None and by[3].text == ""
+    assert pii.replace_entities(df.limit(0), "key").count() == 0
+
+
+def test_small_spaces_are_widened(spark):
+    """More entities than their form has room for: all surrogates are distinct and none is an entity."""
+    ten = [(kind, f"4{i}") for i in range(10) for kind in ("ssn", "phone")] + [("ip", "1.2.3.4"), ("iban", "DE1"), ("secret", "sk_")]
+    made, _ = pii.surrogates(spark.createDataFrame(ten, "kind string, canon string"), "key")
+    made = made.collect()
+    for kind in ("ssn", "phone"):
+        own = {r.surrogate for r in made if r.kind == kind}
+        assert len(own) == 10 and not own & {f"4{i}" for i in range(10)}
+
+
+def test_pii_against_a_plain_version(spark):
+    """What stays of a text, and what its entities are, found by another engine's patterns over the whole table."""
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r for r in pii.replace_entities(docs, "key").collect()}
+    assert set(before) == set(after)
+    luhn = lambda s: sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(int(c) for c in reversed(re.sub(r"\D", "", s)))) % 10 == 0
+    card = regex.compile(f"^(?:{pii.PATTERNS['card']})$")
+    every, seen = regex.compile(pii.ALL), {}
+    for d, text in before.items():
+        found = [m for m in every.finditer(text or "") if not (card.match(m[0]) and not luhn(m[0]))]
+        assert after[d].n_entities == len(found)
+        rest, at = after[d].text or "", 0
+        for i, m in enumerate(found):  # what stands between entities is the same, and equal entities have equal surrogates
+            between = text[at : m.start()]
+            assert rest.startswith(between)
+            rest, at = rest[len(between) :], m.end()
+            stop = text[m.end() : found[i + 1].start() if i + 1 < len(found) else len(text)]
+            new = rest[: rest.index(stop)] if stop and i + 1 < len(found) else (rest[: len(rest) - len(stop)] if i + 1 == len(found) else rest[: len(m[0])])
+            assert new != m[0] and seen.setdefault(m[0], new) == new
+            rest = rest[len(new) :]
+        assert rest == (text or "")[at:]
+    assert len(set(seen.values())) == len(seen) and seen
+
+
+def test_every_language_is_learned(spark):
+    """More labels than any table holds, one of them by copies of one text only; no letter is `und`."""
+    import regex
+
+    from evenkeel.llm import langid
+
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(f"l{i:03d}", f"{alphabet[i % 26] * 3}{alphabet[i // 26] * 4} " * 20) for i in range(300) for _ in range(2)]
+    rows += [("ru", "съешь ещё этих мягких булок")] * 50 + [(None, "no label"), ("xx", None)]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert model[0] == sorted({a for a, b in rows if a and b})
+    odd = [("aaaaaaa bbb", "?"), ("× ÷ ×", "und"), ("123 ½ …", "und"), ("", "und"), (None, "und"), ("этих булок", "ru"), ("é", None), ("zzzllll " * 3, "l311"), ("ab " * 100_000, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(odd)], "doc_id int, text string").withColumn("spans", F.lit(1)).withColumn("share", F.lit(2))
+    got = {r.doc_id: r for r in langid.label(df, model).collect()}
+    for i, (t, want) in enumerate(odd):
+        assert got[i].lang_pred in model[0] or got[i].lang_pred == "und"
+        assert want in (None, "?") or want not in [*model[0], "und"] or got[i].lang_pred == want, (t, got[i].lang_pred)
+        assert (got[i].lang_pred == "und") == (t is None or not regex.search(r"\p{L}", t))
+    assert langid.label(df.limit(0), model).count() == 0
+
+
+def test_language_against_a_plain_version(spark):
+    """Word by word: n-gram sums over a dictionary, Viterbi by recursion, then the language of most bytes."""
+    import numpy as np
+
+    from evenkeel.llm import langid
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    langs, tables, scripts = model = langid.train(docs)
+    rows = docs.where("length(text) between 20 and 1500").limit(40).collect()
+    got = {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in langid.label(docs, model).collect()}
+    for r in rows:
+        buf, words, scores, at = np.frombuffer(r.text.encode(), np.uint8), [], [], 0
+        slots = list(langid._grams(buf, np.array([0, len(buf)])))
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", r.text.encode()):
+            span = range(m.start(), m.end())
+            own = np.array([sum(float(tables[i, g][slots[g][p]]) for g in range(len(langid.GRAMS)) for p in span) for i in range(len(langs))])
+            script = langid._word_scripts(buf, np.array([m.start()]), np.array([m.end()]))[0]
+            if script < 0:
+                own[:] = 0
+            elif scripts[:, script].any():
+                own[~scripts[:, script]] -= 50
+            words.append(len(span))
+            scores.append(own)
+        best = [(scores[0], [[i] for i in range(len(langs))])]
+        value, paths = best[0]
+        for own in scores[1:]:
+            top = int(value.argmax())
+            stay = value >= value[top] - langid.PENALTY
+            paths = [paths[i if stay[i] else top] + [i] for i in range(len(langs))]
+            value = np.maximum(value, value[top] - langid.PENALTY) + own
+        path = paths[int(value.argmax())]
+        mass = np.bincount(path, words, len(langs))
+        assert got[r.doc_id] == (langs[int(mass.argmax())], round(float(mass.max() / mass.sum()), 6))
