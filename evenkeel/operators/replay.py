@@ -43,6 +43,7 @@ def replay(pairs: DataFrame, policies: DataFrame, critical: list[str]) -> DataFr
         F.when(failed, F.lit(0.0)).otherwise(pick("tps")).alias("tps"),
         F.when(~failed & (c("kind") != "cascade"), pick("tps")).alias("total_tps"),
         (pick("cost") + F.when(c("escalated"), c("p_cost")).otherwise(F.lit(0.0))).alias("cost"),
+        *([c("row_weight")] if "row_weight" in rows.columns else []),
     )
 
 
@@ -50,8 +51,10 @@ QUANTILES = {"ttft": {"p50_ttft": 0.5, "p95_ttft": 0.95}, "e2e": {"p50_e2e": 0.5
 
 
 def policy_metrics(rows: DataFrame, critical: list[str]) -> DataFrame:
-    """One row per policy: weighted means and inverse-CDF quantiles; a policy with an unmeasured throughput has none."""
-    rows = row_weights(rows, ["policy", "case_id"])
+    """One row per policy: weighted means and inverse-CDF quantiles; a policy with an unmeasured throughput has none.
+
+    ``rows`` bring their row_weight, which depends on the case and not on the policy.  All quantiles come of one pass.
+    """
     w, fail = F.col("row_weight"), F.col("status") == "failure"
     out = rows.groupBy("policy").agg(
         weighted_mean(F.col("score"), w).alias("mean_score"),
@@ -61,9 +64,12 @@ def policy_metrics(rows: DataFrame, critical: list[str]) -> DataFrame:
         F.max(F.col("total_tps").isNull()).alias("_no_tps"),
         *[F.try_divide(F.sum(F.when(F.col("slice") == s, F.col("score") * w)), F.sum(F.when(F.col("slice") == s, w))).alias(f"slice_{i}") for i, s in enumerate(critical)],
     )
-    for value, ps in QUANTILES.items():
-        known = rows.where(F.col(value).isNotNull())
-        out = out.join(weighted_quantiles(known, ["policy"], value, "row_weight", ps), "policy", "left")
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).alias("value")) for v in QUANTILES]))
+    long = rows.select("policy", "row_weight", each.alias("m")).select("policy", "m.metric", "m.value", "row_weight").where("value is not null")
+    ps = {name: (v, p) for v, named in QUANTILES.items() for name, p in named.items()}
+    found = weighted_quantiles(long, ["policy", "metric"], "value", "row_weight", {name: p for name, (_, p) in ps.items()})
+    found = found.groupBy("policy").agg(*[F.max(F.when(F.col("metric") == v, F.col(name))).alias(name) for name, (v, _) in ps.items()])
+    out = out.join(F.broadcast(found), "policy", "left")  # a row a policy
     return out.withColumn("p50_total_tps", F.when(~F.col("_no_tps"), F.col("p50_total_tps"))).drop("_no_tps")
 
 
@@ -96,19 +102,24 @@ def select_policy(metrics: DataFrame, passing: DataFrame) -> DataFrame:
 
 
 def rejected_rank(gated: DataFrame) -> DataFrame:
-    """Failing policies, the most promising first: fewest failures, least summed breach, name; with the gate of the largest breach."""
+    """Failing policies, the most promising first: fewest failures, least summed breach, name; with the gate of the largest breach.
+
+    Breaches are decimals of nine places, so no order of addition shows; a gate without a value breaches without bound.
+    """
     gap = F.when(F.col("op") == ">=", F.col("threshold") - F.col("actual")).otherwise(F.col("actual") - F.col("threshold"))
-    size = F.coalesce(gap / F.greatest(F.abs("threshold"), F.abs("actual"), F.lit(1e-12)), F.lit(float("inf")))
+    size = F.round(gap / F.greatest(F.abs("threshold"), F.abs("actual"), F.lit(1e-12)), 9).cast("decimal(30,9)")
     failed = gated.where(~F.col("pass")).withColumn("breach", size)
-    out = failed.groupBy("policy").agg(F.count("*").alias("failures"), F.sum("breach").alias("total"), F.max_by("gate", F.struct("breach", F.struct(-F.col("place")))).alias("dominant_gate"))
+    largest = F.max_by("gate", F.struct(F.col("breach").isNull().alias("none"), "breach", (-F.col("place")).alias("first")))
+    total = F.when(F.max(F.col("breach").isNull()), F.lit(float("inf"))).otherwise(F.sum("breach").cast("double"))
+    out = failed.groupBy("policy").agg(F.count("*").alias("failures"), total.alias("total"), largest.alias("dominant_gate"))
     return out.withColumn("place", F.row_number().over(Window.orderBy("failures", "total", "policy")))  # policies are few
 
 
-def case_effects(rows: DataFrame, control: str) -> DataFrame:
-    """(policy, case, group, effect): the median over replicates of candidate minus control."""
+def case_effects(rows: DataFrame, control: str, scale=lambda x: x) -> DataFrame:
+    """(policy, case, group, effect): the median over replicates of candidate minus control, each put through ``scale``."""
     base = rows.where(F.col("policy") == control).select("case_id", "replicate", F.col("score").alias("base"))
     both = rows.where(F.col("policy") != control).join(base, ["case_id", "replicate"])
-    return both.groupBy("policy", "case_id").agg(F.first("group_id").alias("group_id"), F.first("weight").alias("weight"), F.median(F.round((F.col("score") - F.col("base")) * 10000)).alias("effect"))
+    return both.groupBy("policy", "case_id").agg(F.first("group_id").alias("group_id"), F.first("weight").alias("weight"), F.median(scale(F.col("score") - F.col("base"))).alias("effect"))
 
 
 def grouped_bootstrap(effects: DataFrame, key: str, group: str, effect: str, weight: str, iterations: int, alpha: float, seed: int) -> DataFrame:
