@@ -89,29 +89,12 @@ metrics AS (
 _ROUNDED = ["mean_score", "error_rate", "cost_per_request", "escalation_rate", "slice_0"]
 _SHOWN = [*_ROUNDED, "p50_ttft", "p95_ttft", "p50_e2e", "p95_e2e", "p99_e2e", "p10_tps", "p50_total_tps"]
 _SHOW = "policy, " + ", ".join(f"round({c}, 6) AS {c}" if c in _ROUNDED else c for c in _SHOWN)
-_GATED = (
-    _METRICS
-    + ",\nlimits(place, gate, op, threshold) AS (VALUES "
-    + ", ".join(f"({i}, '{m}', '{op}', {float(t)}::DOUBLE)" for i, (m, op, t) in enumerate(LIMITS))
-    + """),
-long AS (SELECT policy, gate, actual FROM (SELECT policy, unnest(["""
-    + ", ".join(f"'{m}'" for m, _, _ in LIMITS)
-    + "]) AS gate, unnest(["
-    + ", ".join(f"CAST({m} AS DOUBLE)" for m, _, _ in LIMITS)
-    + """]) AS actual FROM metrics)),
-gated AS (
-  SELECT policy, place, limits.gate, op, actual, threshold, coalesce(CASE WHEN op = '>=' THEN actual >= threshold ELSE actual <= threshold END, FALSE)
-    OR (limits.gate = 'p50_total_tps' AND actual IS NULL AND threshold = 0) AS pass
-  FROM long JOIN limits USING (gate))"""
-)
-
-
 def _policies(spark):
     return replay.enumerate_policies(spark, CONFIDENCES, TOKENS)
 
 
 def _replayed(spark, sf_dir):
-    return replay.replay(pairs(spark, sf_dir), _policies(spark), CRITICAL)
+    return replay.replay(replay.row_weights(pairs(spark, sf_dir), ["case_id"]), _policies(spark), CRITICAL)
 
 
 def _metrics(spark, sf_dir):
@@ -180,11 +163,11 @@ def rejected_candidate_rank(spark, sf_dir):
 
 
 def case_effects(spark, sf_dir):
-    return replay.case_effects(_replayed(spark, sf_dir), "expert-only").select("policy", "case_id", "group_id", "effect")
+    return replay.case_effects(_replayed(spark, sf_dir), "expert-only", lambda x: F.round(x * 10000)).select("policy", "case_id", "group_id", "effect")
 
 
 def _by_nation(spark, sf_dir):
-    effects = replay.case_effects(_replayed(spark, sf_dir), "expert-only")
+    effects = replay.case_effects(_replayed(spark, sf_dir), "expert-only", lambda x: F.round(x * 10000))
     groups = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id"), F.col("c_nationkey").alias("nation"))
     whole = effects.join(groups, "group_id").withColumn("twice", (F.col("effect") * 2).cast("bigint")).withColumn("w", (F.col("weight") / 27720).cast("bigint"))
     return whole.select("policy", "nation", "twice", "w")
@@ -213,7 +196,9 @@ def weighted_quantiles(spark, sf_dir):
 def r7_quantiles(spark, sf_dir):
     """Linear quantiles, median, mean and maximum, as the benchmark summaries have them."""
     e = _t(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), *[F.round(F.percentile("value", F.lit(p)), 8).alias(n) for n, p in (("p10", 0.1), ("p50", 0.5), ("p95", 0.95))], F.max("value").alias("most"), F.round(F.avg("value"), 8).alias("mean"))
+    ps = {"p10": 0.1, "p50": 0.5, "p95": 0.95}
+    found = stats.r7_quantiles(e, ["event_type"], "value", ps).select("event_type", *[F.round(n, 8).alias(n) for n in ps])
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("most"), F.round(F.avg("value"), 8).alias("mean")).join(F.broadcast(found), "event_type")
 
 
 def slice_group_coverage(spark, sf_dir):
@@ -505,11 +490,33 @@ point AS (SELECT {key}, CAST(sum(num) AS DOUBLE) / CAST(sum(mass) AS DOUBLE) AS
 boot AS (SELECT point.{key}, estimate, groups, {_r7_sql("s", alpha / 2)} AS lo, {_r7_sql("s", 1 - alpha / 2)} AS hi FROM point JOIN spread USING ({key}))"""
 
 
-_EFFECTS = f"""{_REPLAY},
-base AS (SELECT case_id, replicate, score AS base FROM rows_ WHERE policy = 'expert-only'),
+_EFFECT_CTES = """base AS (SELECT case_id, replicate, score AS base FROM rows_ WHERE policy = 'expert-only'),
 case_effects AS (
   SELECT policy, case_id, any_value(group_id) AS group_id, any_value(weight) AS weight, median(round((score - base) * 10000)) AS effect
   FROM rows_ JOIN base USING (case_id, replicate) WHERE policy != 'expert-only' GROUP BY policy, case_id)"""
+_EFFECTS = f"{_REPLAY},\n{_EFFECT_CTES}"
+_BY_NATION = "effects AS (SELECT policy, c_nationkey AS g, CAST(effect * 2 AS BIGINT) AS e, CAST(weight / 27720 AS BIGINT) AS w FROM case_effects JOIN customer ON group_id = c_custkey)"
+
+
+def _gated_sql(every=(*PAIRED, *LIMITS, *DEVELOPMENT)) -> str:
+    """Gates of all policies, in order; those that need pairs have no value for the expert, which has none."""
+    limits = ", ".join(f"({i}, '{m}', '{op}', {float(t)}::DOUBLE)" for i, (m, op, t) in enumerate(every))
+    names, values = ", ".join(f"'{m}'" for m, _, _ in every), ", ".join(f"CAST({m} AS DOUBLE)" for m, _, _ in every)
+    return f"""{_METRICS},
+{_EFFECT_CTES},
+{_BY_NATION},
+{_bootstrap_sql("policy", 200, 0.05, 42)},
+critical_nations AS (SELECT count(DISTINCT c_nationkey) AS slice_groups_0 FROM pairs JOIN customer ON group_id = c_custkey WHERE slice = '1-URGENT'),
+expert AS (SELECT cost_per_request AS expert_cost FROM metrics WHERE policy = 'expert-only'),
+wide AS (
+  SELECT metrics.*, lo / 20000 AS paired_quality, groups AS independent_groups, slice_groups_0, (expert_cost - cost_per_request) / expert_cost AS cost_improvement
+  FROM metrics LEFT JOIN boot USING (policy), critical_nations, expert),
+limits(place, gate, op, threshold) AS (VALUES {limits}),
+long AS (SELECT policy, unnest([{names}]) AS gate, unnest([{values}]) AS actual FROM wide),
+gated AS (
+  SELECT policy, place, gate, op, actual, threshold, coalesce(CASE WHEN op = '>=' THEN actual >= threshold ELSE actual <= threshold END, FALSE)
+    OR (gate = 'p50_total_tps' AND actual IS NULL AND threshold = 0) AS pass
+  FROM long JOIN limits USING (gate))"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -539,17 +546,22 @@ SELECT 'route' AS policy, round(sum(score * w) / sum(w), 6) AS mean_score, round
   round(sum(CASE WHEN expert THEN w ELSE 0 END) / sum(w), 6) AS expert_share, round(sum(CASE WHEN serial THEN w ELSE 0 END) / sum(w), 6) AS serial_share,
   any_value(p95_ttft) AS p95_ttft, any_value(p95_e2e) AS p95_e2e
 FROM x, q""",
-        "gates_v1": f"WITH {_GATED} SELECT policy, gate, round(actual, 6) AS actual, threshold, pass FROM gated",
+        "gates_v1": f"WITH {_gated_sql()} SELECT policy, gate, round(actual, 6) AS actual, threshold, pass FROM gated",
         "cost_improvement": f"WITH {_METRICS} SELECT m.policy, round((b.cost_per_request - m.cost_per_request) / b.cost_per_request, 6) AS improvement FROM metrics m, metrics b WHERE b.policy = 'expert-only'",
         "pareto_frontier": f"WITH {rounded} SELECT policy FROM rounded m WHERE NOT EXISTS (SELECT 1 FROM rounded o WHERE {goals} AND ({better}))",
-        "select_policy": f"WITH {rounded} SELECT policy, cost_per_request, p95_e2e FROM rounded WHERE mean_score >= 0.95 AND p10_tps >= 10 AND error_rate <= 0.05 ORDER BY cost_per_request, p95_e2e, policy LIMIT 1",
-        "rejected_candidate_rank": f"""WITH {_GATED},
-b AS (SELECT *, coalesce(CASE WHEN op = '>=' THEN threshold - actual ELSE actual - threshold END / greatest(abs(threshold), abs(actual), 1e-12::DOUBLE), 'inf'::DOUBLE) AS breach FROM gated WHERE NOT pass),
-r AS (SELECT policy, count(*) AS failures, sum(breach) AS total, arg_max(gate, (breach, -place)) AS dominant_gate FROM b GROUP BY policy)
+        "select_policy": f"""WITH {_gated_sql()},
+good AS (SELECT {_SHOW} FROM metrics WHERE policy IN (SELECT policy FROM gated GROUP BY policy HAVING bool_and(pass)))
+SELECT policy, cost_per_request, p95_e2e FROM good m WHERE NOT EXISTS (SELECT 1 FROM good o WHERE {goals} AND ({better})) ORDER BY cost_per_request, p95_e2e, policy LIMIT 1""",
+        "rejected_candidate_rank": f"""WITH {_gated_sql()},
+b AS (SELECT *, CAST(round(CASE WHEN op = '>=' THEN threshold - actual ELSE actual - threshold END / greatest(abs(threshold), abs(actual), 1e-12::DOUBLE), 9) AS DECIMAL(30, 9)) AS breach FROM gated WHERE NOT pass),
+r AS (
+  SELECT policy, count(*) AS failures, CASE WHEN bool_or(breach IS NULL) THEN 'inf'::DOUBLE ELSE CAST(sum(breach) AS DOUBLE) END AS total,
+    arg_max(gate, (breach IS NULL, coalesce(breach, 0), -place)) AS dominant_gate
+  FROM b GROUP BY policy)
 SELECT policy, failures, round(total, 6) AS total, dominant_gate, CAST(row_number() OVER (ORDER BY failures, total, policy) AS INTEGER) AS place FROM r""",
-        "case_effects": f"WITH {_EFFECTS} SELECT case_id, group_id, effect FROM case_effects WHERE policy = 'fast-only'",
+        "case_effects": f"WITH {_EFFECTS} SELECT policy, case_id, group_id, effect FROM case_effects",
         "grouped_bootstrap": f"""WITH {_EFFECTS},
-effects AS (SELECT policy, c_nationkey AS g, CAST(effect * 2 AS BIGINT) AS e, CAST(weight / 27720 AS BIGINT) AS w FROM case_effects JOIN customer ON group_id = c_custkey WHERE policy IN ('fast-only', 'cascade-0.3-500')),
+{_BY_NATION},
 {_bootstrap_sql("policy", 200, 0.05, 42)}
 SELECT policy, round(estimate / 20000, 9) AS estimate, round(lo / 20000, 9) AS lo, round(hi / 20000, 9) AS hi, groups FROM boot""",
         "mean_bootstrap": f"""WITH effects AS (SELECT 'all' AS one, c_nationkey AS g, sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS e, 1 AS w FROM customer GROUP BY ALL),
@@ -610,7 +622,7 @@ SELECT event_id, CASE WHEN a IS NULL THEN 'unknown-key' WHEN event_id % 23 = 0 T
         "work_estimate": "SELECT count(*) AS rows, count(DISTINCT l_orderkey) AS cases, count(*) * 6 AS replays, CAST(5000 AS BIGINT) AS draws, count(*) * 6 + 30000 AS work FROM lineitem",
         "json_metrics_unpivot": "SELECT event_type, metric, value FROM (SELECT event_type, unnest(['k', 'n']) AS metric, unnest([CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT), count(*)]) AS value FROM events GROUP BY event_type)",
         "prometheus_parse": "SELECT 'events_value' AS metric, event_type AS type, count(*) AS samples, CAST(sum(event_id) AS BIGINT) AS total, max(event_id) * 1000 AS last, CAST(0 AS BIGINT) AS bad FROM events GROUP BY event_type",
-        "sse_parse": "SELECT event_id AS stream, place, CASE WHEN place = 0 THEN event_type ELSE 'message' END AS event, CAST(event_id AS VARCHAR) AS id, CASE WHEN place = 0 THEN props || chr(10) || 'x' ELSE '[DONE]' END AS data FROM events, (VALUES (0), (1)) AS t(place) WHERE user_id < 40",
+        "sse_parse": "SELECT event_id AS stream, place, CASE WHEN place = 0 THEN event_type ELSE 'message' END AS event, CAST(event_id AS VARCHAR) AS id, CASE WHEN place = 0 THEN props || chr(10) || 'x' ELSE '[DONE]' END AS data FROM events, (VALUES (0), (1)) AS t(place)",
         "address_class": """WITH a AS (SELECT event_id, CAST((event_id * 2654435761) % 4294967296 AS BIGINT) AS v FROM events),
 o AS (SELECT event_id, v, (v >> 24) AS a, (v >> 16) & 255 AS b, (v >> 8) & 255 AS c, v & 255 AS d FROM a)
 SELECT event_id, a || '.' || b || '.' || c || '.' || d AS address, CASE WHEN a = 127 THEN 'loopback' WHEN a = 10 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) THEN 'private'
