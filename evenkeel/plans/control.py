@@ -186,7 +186,7 @@ r AS (
   UNION ALL SELECT r.user_id, CASE WHEN after IS NULL THEN r.p ELSE r.p + 1 END, coalesce(after, state), after IS NULL
   FROM (SELECT r.*, {_NEXT} AS after FROM r JOIN f ON f.user_id = r.user_id AND f.p = r.p + 1 WHERE NOT stopped) AS r)
 SELECT user_id, arg_max(state, p) AS state, max(p) AS applied, CASE WHEN bool_or(stopped) THEN max(p) + 1 END AS refused FROM r GROUP BY user_id""",
-        "experiment_proposals": f"""WITH {catalog._GATED},
+        "experiment_proposals": f"""WITH {catalog._gated_sql(catalog.LIMITS)},
 w AS (SELECT policy, bool_and(pass) AS ok, list(gate) FILTER (NOT pass) AS bad FROM gated GROUP BY policy),
 d AS (SELECT policy, CASE WHEN list_contains(bad, 'mean_score') THEN 'quality-regression' WHEN list_contains(bad, 'slice_0') THEN 'critical-slice-regression'
   WHEN list_contains(bad, 'p95_ttft') THEN 'ttft-regression' WHEN list_contains(bad, 'p95_e2e') THEN 'tail-latency-regression' WHEN list_contains(bad, 'error_rate') THEN 'error-regression'
@@ -220,7 +220,7 @@ SELECT protocol, finish, usage_state, count(*) AS n, CAST(sum(a) FILTER (usage_s
         "json_metrics_page": """SELECT user_id, 'iter' AS metric, CAST(sum(event_id + CASE WHEN event_id % 4 = 0 THEN 0 ELSE 15 END) AS DOUBLE) AS total, 2 * count(*) AS n, count(*) FILTER (event_id % 4 = 0) AS bad FROM events GROUP BY user_id
 UNION ALL SELECT user_id, 'kvCacheStats.usedNumBlocks', CAST(sum(event_id) AS DOUBLE), count(*), 0 FROM events GROUP BY user_id""",
         "stream_ends": """SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'provider-error' WHEN event_id % 7 = 0 THEN 'truncated' ELSE 'done-sentinel' END AS terminal,
-  CASE WHEN event_id % 10 != 0 AND event_id % 7 != 0 AND event_id % 3 > 0 THEN 'present' ELSE 'missing' END AS final_usage FROM events WHERE user_id < 40""",
+  CASE WHEN event_id % 10 != 0 AND event_id % 7 != 0 AND event_id % 3 > 0 THEN 'present' ELSE 'missing' END AS final_usage FROM events""",
         "hmac_identity": f"SELECT event_id, sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || unhex('{head}') || encode(props)))) AS identity FROM events",
         "ed25519_verified": "SELECT n_nationkey, n_nationkey % 3 != 0 AS verified FROM nation",
     }
