@@ -1,4 +1,4 @@
-"""The assessment's queries: development, holdout and window over the driver's tables, with their SQL.
+"""The assessment's queries: the evidence join; development, holdout and window; over the driver's tables, with their SQL.
 
 Nations are the independent groups and split by their bucket; the window takes the orders of 1996.  A primary without
 confidence in its answer (signal 0) has no score and no known cost; in the holdout some signals, some expert executions and
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sampling
-from ..operators import assessment
+from ..operators import assessment, join
 from . import catalog
 
 PROTOCOL = assessment.Protocol("expert", ["primary"], [("less-than", 0.3), ("less-than", 0.6), ("greater-than", 0.7)], margin=-0.05, mean_score=0.9, failure_rate=0.4, p95_ttft=700.0, p95_e2e=1500.0, cost_per_thousand=7300.0, coverage=0.9, groups=3, slice_groups=1, critical_slices=["1-URGENT"])
@@ -84,8 +84,93 @@ def assess_window(spark, sf_dir):
     return _assess(spark, sf_dir, "window")
 
 
+LINEAGE = ["study", "split"]
+
+
+def _traces(spark, sf_dir):
+    """Executions of both profiles; some rows stand twice, some with another digest, some replicates under two trace ids."""
+    p = catalog.pairs(spark, sf_dir)
+    t = F.col("input_tokens")
+    each = F.explode(F.array(F.struct(F.lit("primary").alias("profile"), F.col("p_status").alias("status"), F.col("p_score").alias("made"), F.lit(0).alias("side")), F.struct(F.lit("expert").alias("profile"), F.col("e_status").alias("status"), F.col("e_score").alias("made"), F.lit(1).alias("side"))))
+    p = p.select("case_id", "replicate", t.alias("t"), F.col("slice"), each.alias("x")).select("case_id", "replicate", "t", "slice", "x.*")
+    again = F.explode(F.when(F.col("t") % 31 == 0, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    p = p.withColumn("k", again)
+    output = F.when(F.col("status") == "success", F.col("case_id") * 100 + F.col("replicate"))
+    trace = F.col("case_id") * 1000 + F.col("replicate") * 10 + F.col("side") + F.when((F.col("k") == 1) & (F.col("t") % 93 == 0), 5).otherwise(0)
+    digest = F.concat_ws("/", trace.cast("string"), F.when((F.col("k") == 1) & (F.col("t") % 62 == 0), "other").otherwise("same"))
+    dispatch = F.when(F.col("t") % 97 == 0, "sent_unknown").otherwise("completed")
+    return p.select("case_id", "replicate", "profile", output.alias("output"), trace.alias("trace_id"), digest.alias("digest"), F.lit("study-1").alias("study"), F.when(F.col("case_id") % 5 == 0, "holdout").otherwise("dev").alias("split"), "status", dispatch.alias("dispatch"), (F.col("t") % 1000).alias("completed_at"), "made", "t", "side", "k")
+
+
+def _receipts(spark, sf_dir):
+    """Evidence for the first rows of most executions, some astray, repeated, unverified, of other lineage or too old."""
+    e = _traces(spark, sf_dir).where("k = 0 and t % 11 != 0")
+    t = F.col("t")
+    e = e.withColumn("again", F.explode(F.when(t % 37 == 0, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    case = F.when(t % 29 == 0, -F.col("case_id") - 1).otherwise(F.col("case_id"))
+    output = F.when(t % 13 == 0, F.col("case_id") * 100 + 99).otherwise(F.coalesce("output", F.col("case_id") * 100))
+    score = F.when((F.col("again") == 1) & (t % 74 == 0), F.lit(0.0)).otherwise(F.col("made"))
+    kind = F.when(t % 7 == 0, "abstained").otherwise("scored")
+    verification = F.when(t % 19 == 0, "revoked").when(t % 23 == 0, "stale").otherwise("trusted")
+    digest = F.concat_ws("/", "trace_id", case.cast("string"), F.round(score * 100).cast("int").cast("string"))
+    return e.select(case.alias("case_id"), "replicate", "profile", output.alias("output"), digest.alias("digest"), F.when(t % 41 == 0, "study-2").otherwise("study-1").alias("study"), "split", verification.alias("verification"), (t % 43 != 0).alias("pinned"), (t % 47 == 0).alias("drifted"), F.lit("context-1").alias("context"), kind.alias("kind"), score.alias("score"), (F.col("completed_at") + F.when(t % 17 == 0, -5).otherwise(5)).alias("produced_at"))
+
+
+def evidence_join(spark, sf_dir):
+    """Every execution's outcome and every orphan, by the whole join."""
+    traces = _traces(spark, sf_dir)
+    return join.join(traces, _receipts(spark, sf_dir), LINEAGE)
+
+
+def evidence_join_counts(spark, sf_dir):
+    traces = _traces(spark, sf_dir)
+    return join.counts(traces, join.join(traces, _receipts(spark, sf_dir), LINEAGE))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (assess_development, assess_holdout, assess_window)}
+    return {f.__name__: f for f in (assess_development, assess_holdout, assess_window, evidence_join, evidence_join_counts)}
+
+
+_JOIN = f"""{catalog._PAIRS},
+sides AS (
+  SELECT case_id, replicate, input_tokens AS t, 'primary' AS profile, p_status AS status, p_score AS made, 0 AS side FROM pairs
+  UNION ALL SELECT case_id, replicate, input_tokens, 'expert', e_status, e_score, 1 FROM pairs),
+numbered AS (SELECT *, case_id * 1000 + replicate * 10 + side + CASE WHEN k = 1 AND t % 93 = 0 THEN 5 ELSE 0 END AS trace_id FROM sides, (VALUES (0), (1)) AS v(k) WHERE k = 0 OR t % 31 = 0),
+traces AS (
+  SELECT *, CASE WHEN status = 'success' THEN case_id * 100 + replicate END AS output, trace_id || CASE WHEN k = 1 AND t % 62 = 0 THEN '/other' ELSE '/same' END AS digest, 'study-1' AS study,
+    CASE WHEN case_id % 5 = 0 THEN 'holdout' ELSE 'dev' END AS split, CASE WHEN t % 97 = 0 THEN 'sent_unknown' ELSE 'completed' END AS dispatch, t % 1000 AS completed_at FROM numbered),
+receipts0 AS (
+  SELECT trace_id, CASE WHEN t % 29 = 0 THEN -case_id - 1 ELSE case_id END AS case_id, replicate, profile, CASE WHEN t % 13 = 0 THEN case_id * 100 + 99 ELSE coalesce(output, case_id * 100) END AS output,
+    CASE WHEN a = 1 AND t % 74 = 0 THEN 0 ELSE made END AS score, CASE WHEN t % 7 = 0 THEN 'abstained' ELSE 'scored' END AS kind, CASE WHEN t % 41 = 0 THEN 'study-2' ELSE 'study-1' END AS study, split,
+    CASE WHEN t % 19 = 0 THEN 'verification-revoked' WHEN t % 23 = 0 THEN 'verification-stale' WHEN t % 43 = 0 THEN 'evaluator-key-not-pinned' WHEN t % 47 = 0 THEN 'evaluator-identity-drift' END AS rejected,
+    completed_at + CASE WHEN t % 17 = 0 THEN -5 ELSE 5 END AS produced_at
+  FROM traces, (VALUES (0), (1)) AS v(a) WHERE k = 0 AND t % 11 != 0 AND (a = 0 OR t % 37 = 0)),
+receipts AS (SELECT *, concat_ws('/', trace_id, case_id, CAST(round(score * 100) AS INTEGER)) AS digest FROM receipts0),
+ids AS (SELECT case_id, replicate, profile, count(DISTINCT trace_id) > 1 AS split_ids FROM traces GROUP BY ALL),
+identities AS (
+  SELECT case_id, replicate, profile, output, any_value(study) AS study, any_value(split) AS split, any_value(status) AS status, any_value(dispatch) AS dispatch, any_value(completed_at) AS completed_at,
+    count(*) > 1 AS repeated, count(DISTINCT digest) > 1 AS differ FROM traces GROUP BY case_id, replicate, profile, output),
+ex AS (SELECT identities.*, differ OR split_ids AS conflicting FROM identities JOIN ids USING (case_id, replicate, profile)),
+good AS (SELECT * FROM ex WHERE NOT conflicting),
+accepted AS (
+  SELECT case_id, replicate, profile, output, count(DISTINCT digest) AS n, count(*) AS v_rows, arg_min(kind, (kind, score)) AS kind, arg_min(score, (kind, score)) AS score, min(produced_at) AS produced_at,
+    any_value(study) AS v_study, any_value(split) AS v_split FROM receipts WHERE rejected IS NULL GROUP BY ALL),
+refused AS (SELECT case_id, replicate, profile, output, arg_min(rejected, digest) AS why FROM receipts WHERE rejected IS NOT NULL GROUP BY ALL),
+near AS (SELECT case_id, replicate, profile, bool_or(status != 'success') AS failed FROM good GROUP BY ALL),
+met AS (
+  SELECT coalesce(g.case_id, a.case_id) AS case_id, coalesce(g.replicate, a.replicate) AS replicate, coalesce(g.profile, a.profile) AS profile, coalesce(g.output, a.output) AS output,
+    g.case_id IS NULL AS orphan, status, dispatch, completed_at, repeated, n, v_rows, kind, score, produced_at, n > 1 AS several, a.case_id IS NOT NULL AND (v_study IS DISTINCT FROM study OR v_split IS DISTINCT FROM split) AS strays
+  FROM good g FULL JOIN accepted a ON g.case_id = a.case_id AND g.replicate = a.replicate AND g.profile = a.profile AND g.output IS NOT DISTINCT FROM a.output),
+said AS (
+  SELECT met.*, why, failed, CASE WHEN orphan THEN 'orphan' WHEN dispatch = 'sent_unknown' THEN 'ambiguous' WHEN status != 'success' THEN 'failure' WHEN n = 1 AND NOT strays THEN CASE WHEN produced_at < completed_at THEN 'invalid' ELSE kind END
+      WHEN why IS NOT NULL THEN 'invalid' WHEN n IS NOT NULL THEN 'conflicting' ELSE 'missing' END AS outcome,
+    CASE WHEN orphan THEN CASE WHEN several THEN 'conflicting-evaluator-evidence' WHEN failed THEN 'evidence-for-failed-execution' WHEN failed IS NOT NULL THEN 'terminal-output-mismatch' ELSE 'no-matching-trace' END
+      WHEN dispatch = 'sent_unknown' OR status != 'success' THEN '' WHEN n = 1 AND NOT strays THEN CASE WHEN produced_at < completed_at THEN 'evidence-predates-completion' ELSE '' END
+      WHEN why IS NOT NULL THEN why WHEN several THEN 'different-evidence' WHEN strays THEN 'lineage' ELSE '' END AS detail
+  FROM met LEFT JOIN refused r ON r.case_id = met.case_id AND r.replicate = met.replicate AND r.profile = met.profile AND r.output IS NOT DISTINCT FROM met.output
+    LEFT JOIN near ON near.case_id = met.case_id AND near.replicate = met.replicate AND near.profile = met.profile),
+joined AS (
+  SELECT case_id, replicate, profile, output, outcome, detail, CASE outcome WHEN 'failure' THEN 0 WHEN 'scored' THEN score END AS score, coalesce(repeated, FALSE) AS duplicate_traces, coalesce(v_rows, 0) > coalesce(n, 0) AS duplicate_evidence FROM said)"""
 
 
 def _sql(phase: str) -> str:
@@ -165,4 +250,13 @@ FROM picked"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f"assess_{phase}": _sql(phase) for phase in ("development", "holdout", "window")}
+    own = {f"assess_{phase}": _sql(phase) for phase in ("development", "holdout", "window")}
+    own["evidence_join"] = f"WITH {_JOIN} SELECT * FROM joined"
+    figures = {
+        "trace-rows": "(SELECT count(*) FROM traces)", "accepted": "(SELECT count(*) FROM good)", "conflicting-traces": "(SELECT count(*) FROM ex WHERE conflicting)", "joined": "count(*) FILTER (outcome != 'orphan')",
+        "scored": "count(*) FILTER (outcome = 'scored')", "matched": "count(*) FILTER (outcome IN ('scored', 'abstained') OR detail = 'evidence-predates-completion')", "orphan-evaluator-evidence": "count(*) FILTER (outcome = 'orphan')",
+        "duplicate-traces": "count(*) FILTER (duplicate_traces)", "duplicate-evaluator-evidence": "count(*) FILTER (duplicate_evidence)",
+        "conflicting-evaluator-evidence": "count(*) FILTER (detail IN ('different-evidence', 'conflicting-evaluator-evidence', 'lineage'))", "cases": "count(DISTINCT case_id) FILTER (outcome != 'orphan')", "case-replicates": "count(DISTINCT (case_id, replicate)) FILTER (outcome != 'orphan')",
+    }
+    own["evidence_join_counts"] = f"WITH {_JOIN}, f AS (SELECT " + ", ".join(f'{sql} AS "{name}"' for name, sql in figures.items()) + " FROM joined) SELECT what, n FROM f UNPIVOT (n FOR what IN (" + ", ".join(f'"{n}"' for n in figures) + "))"
+    return own
