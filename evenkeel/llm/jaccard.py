@@ -18,8 +18,8 @@ draws most near copies together; then one document of each class of the large gr
 many; then all of the groups that still hold several classes.  Every pair of documents of different classes is ruled out by
 its trees or compared by its whole sets (64 bits a shingle), so no class is cut.
 
-The order of shingles puts those last that a hash sample of the documents holds often (at most ``DEMOTED``); any order
-gives the same result, this one keeps common passages from bringing unrelated documents together.
+The order of shingles puts those last that stand in several documents of a hash sample, by a map of a fixed size that goes out
+by broadcast; any order gives the same result, this one keeps common passages from bringing unrelated documents together.
 
 Null, blank and empty texts have an empty set and are a class each.  Repeated rows, and rows of one id, are documents of
 their own; a class is named after its least id, null where all are null.  An empty table gives no rows.  Only the columns
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F, Window
 
 from .util import blocks, column_bytes, drop_table, hash_spans, lean, mix, NOT_SPACE, share, ship, words, write_table
 
-SAMPLED, DEMOTED = 64, 65_536  # one document in so many is read for the order; shingles that may come last
+SAMPLED, MARKS, DEMOTED = 16, 1 << 24, 1 << 20  # one document in so many is read for the order; bits of the map of shingles that come last, and how many may set one
 FIRST, CHUNK, SHINGLES, FAN = 8, 128, 1 << 20, 8  # prefix places of the first round, bounds of a block's side, children of a node
 BROADCAST_ROWS = 500_000  # rows of a few numbers that may be broadcast; beyond, a shuffled join
 _U = np.uint64
@@ -78,7 +78,7 @@ def need(n: int, percent: int) -> int:
 
 
 def sets(docs, k: int, percent: int, last, id_col: str, text_col: str):
-    """Rows (doc_id, text_hash, uid, n, fp, bits, prefix); ``last`` is the broadcast sorted array of demoted shingles."""
+    """Rows (doc_id, text_hash, uid, n, fp, bits, prefix); ``last`` is the broadcast map of shingles that come last."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -91,10 +91,10 @@ def sets(docs, k: int, percent: int, last, id_col: str, text_col: str):
                     n = len(own)
                     if n:
                         first = own
-                        if len(late):
-                            is_late = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
-                            if is_late.any():
-                                first = np.concatenate([own[~is_late], own[is_late]])
+                        at = _marks(own)
+                        is_late = (late[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+                        if is_late.any():
+                            first = np.concatenate([own[~is_late], own[is_late]])
                         row = (n, xxhash.xxh3_128_digest(own.tobytes()), bitmap(own).tobytes(), first[: n - need(n, percent) + 1].astype(np.int64))
                     else:
                         row = (0, None, None, None)
@@ -109,8 +109,17 @@ def sets(docs, k: int, percent: int, last, id_col: str, text_col: str):
     return read.mapInArrow(lean(run), f"doc_id {id_type}, text_hash bigint, uid bigint, n int, fp binary, bits binary, prefix array<bigint>")
 
 
+def _marks(own: np.ndarray) -> np.ndarray:
+    """Place of each shingle in the map of those that come last."""
+    return ((own >> _U(24)) & _U(MARKS - 1)).astype(np.int64)
+
+
 def _often(docs, k: int, id_col: str, text_col: str) -> np.ndarray:
-    """Shingles that stand in at least a thousandth (four at least) of a hash sample of the documents: for the order only."""
+    """A map, of a size that doesn't grow, of shingles that stand twice or more in a hash sample of the documents: for the order only.
+
+    The most frequent ones only where there are more than ``DEMOTED``.
+    """
+    spark = docs.sparkSession
 
     def run(batches):
         for batch in batches:
@@ -118,11 +127,27 @@ def _often(docs, k: int, id_col: str, text_col: str) -> np.ndarray:
                 rows = list(shingle_rows(buf, offs, k))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).astype(np.int64))], names=["token"])
 
-    picked = docs.where(F.pmod(F.xxhash64(docs[id_col]), F.lit(SAMPLED)) == 0)
-    least = max(4, picked.count() // 1000)
-    got = picked.select(docs[text_col].cast("string").alias("text")).mapInArrow(lean(run), "token bigint").groupBy("token").count().where(F.col("count") >= least)
-    top = got.orderBy(F.desc("count"), "token").limit(DEMOTED).select("token").collect()
-    return np.sort(np.array([r["token"] for r in top], np.int64).astype(np.uint64))
+    picked = docs.where(F.pmod(F.xxhash64(docs[id_col]), F.lit(SAMPLED)) == 0).select(docs[text_col].cast("string").alias("text"))
+    counted = picked.mapInArrow(lean(run), "token bigint").groupBy("token").agg(F.least(F.count("*"), F.lit(4096)).alias("n")).where("n > 1")
+    counted, path = write_table(counted, "often")
+    left, least = DEMOTED, 4096
+    for r in counted.groupBy("n").agg(F.count("*").alias("tokens")).orderBy(F.desc("n")).collect():  # 4,095 rows at most
+        left -= r["tokens"]
+        if left < 0:
+            break
+        least = r["n"]
+
+    def fold(batches):
+        found = np.zeros(MARKS, bool)
+        for batch in batches:
+            found[_marks(batch.column(0).to_numpy().view(np.uint64))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(found).tobytes()], pa.binary())], names=["map"])
+
+    out = np.zeros(MARKS // 8, np.uint8)
+    for r in counted.where(F.col("n") >= least).select("token").coalesce(4).mapInArrow(lean(fold), "map binary").toLocalIterator():
+        out |= np.frombuffer(r["map"], np.uint8)
+    drop_table(spark, path)
+    return out
 
 
 class Tree:
