@@ -5,11 +5,11 @@ import math
 import duckdb
 import pytest
 
-from evenkeel.plans import assess, catalog, control
+from evenkeel.plans import assess, catalog, control, records
 
 SF = "/root/testdata/sf0.001"
-QUERIES = {**catalog.queries(), **control.queries(), **assess.queries()}
-ORACLES = {**catalog.oracle_sql(), **control.oracle_sql(), **assess.oracle_sql()}
+QUERIES = {**catalog.queries(), **control.queries(), **assess.queries(), **records.queries()}
+ORACLES = {**catalog.oracle_sql(), **control.oracle_sql(), **assess.oracle_sql(), **records.oracle_sql()}
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
