@@ -339,13 +339,6 @@ def trust_status(spark, sf_dir):
     return evidence.trust_status(rows, keys, "2024-01-25 00:00:00", 20 * 86400, 30).select("event_id", F.col("trust").alias("status"))
 
 
-def staleness_reasons(spark, sf_dir):
-    e = _t(spark, sf_dir, "events")
-    tests = [("evidence-too-old", F.col("ts") < F.lit("2024-01-08").cast("timestamp_ntz")), ("key-revoked", F.col("user_id") % 9 == 0), ("value-out-of-range", F.col("value") > 100), ("wrong-kind", F.col("event_type") == "error")]
-    rows = e.select("user_id", F.explode(F.array_compact(F.array(*[F.when(t, n) for n, t in tests]))).alias("reason"))
-    return rows.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
-
-
 def set_digest(spark, sf_dir):
     return evidence.set_digest(_t(spark, sf_dir, "events").withColumn("member", F.sha2(F.col("event_id").cast("string"), 256)), ["event_type"], "member")
 
@@ -444,7 +437,7 @@ def window_revision_chain(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = [row_weight, replay_v1, policy_metrics_v1, policy_metrics_v2, gates_v1, cost_improvement, pareto_frontier, select_policy, rejected_candidate_rank, case_effects, grouped_bootstrap, mean_bootstrap, weighted_quantiles, r7_quantiles, slice_group_coverage, evidence_coverage, group_split_bucket, window_sample_bucket, split_leakage, trace_dedup_conflict, evidence_join_outcomes, orphan_reasons, pair_completeness, metadata_consistency, matrix_completeness, timing_plausibility, sealed_window, late_rows, event_chain_check, window_revision_chain, attempt_order, counterbalance_order, replicate_fanout, trust_status, staleness_reasons, set_digest, evidence_class_rollup, work_estimate, json_metrics_unpivot, prometheus_parse, sse_parse, address_class, route_match, error_redaction]
+    own = [row_weight, replay_v1, policy_metrics_v1, policy_metrics_v2, gates_v1, cost_improvement, pareto_frontier, select_policy, rejected_candidate_rank, case_effects, grouped_bootstrap, mean_bootstrap, weighted_quantiles, r7_quantiles, slice_group_coverage, evidence_coverage, group_split_bucket, window_sample_bucket, split_leakage, trace_dedup_conflict, evidence_join_outcomes, orphan_reasons, pair_completeness, metadata_consistency, matrix_completeness, timing_plausibility, sealed_window, late_rows, event_chain_check, window_revision_chain, attempt_order, counterbalance_order, replicate_fanout, trust_status, set_digest, evidence_class_rollup, work_estimate, json_metrics_unpivot, prometheus_parse, sse_parse, address_class, route_match, error_redaction]
     return {f.__name__: f for f in own}
 
 
@@ -614,9 +607,6 @@ j AS (SELECT e.*, CAST(a AS TIMESTAMP) AS a, CAST(b AS TIMESTAMP) AS b, CAST(c A
 SELECT event_id, CASE WHEN a IS NULL THEN 'unknown-key' WHEN event_id % 23 = 0 THEN 'invalid-signature' WHEN c <= TIMESTAMP '2024-01-25' THEN 'revoked'
   WHEN trunc(secs) < -30 THEN 'future-dated' WHEN trunc(secs) > 1728000 THEN 'stale' WHEN ts < a THEN 'key-not-yet-valid' WHEN ts >= b THEN 'key-expired'
   WHEN purpose != event_type THEN 'unauthorized-evidence' ELSE 'trusted' END AS status FROM j""",
-        "staleness_reasons": """SELECT user_id, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM (
-  SELECT user_id, 'evidence-too-old' AS reason FROM events WHERE ts < TIMESTAMP '2024-01-08' UNION ALL SELECT user_id, 'key-revoked' FROM events WHERE user_id % 9 = 0
-  UNION ALL SELECT user_id, 'value-out-of-range' FROM events WHERE value > 100 UNION ALL SELECT user_id, 'wrong-kind' FROM events WHERE event_type = 'error') GROUP BY user_id""",
         "set_digest": "SELECT event_type, sha256(string_agg(m, ',' ORDER BY m)) AS digest, count(*) AS members FROM (SELECT event_type, sha256(CAST(event_id AS VARCHAR)) AS m FROM events) GROUP BY event_type",
         "evidence_class_rollup": f"SELECT l_suppkey, l_linenumber, ['measured', 'reported', 'modeled', 'unavailable'][max({_CLASS}) + 1] AS weakest, CASE WHEN count(*) FILTER (l_tax > 0.079) = 0 THEN round(sum(l_extendedprice), 2) END AS cost FROM lineitem GROUP BY ALL",
         "work_estimate": "SELECT count(*) AS rows, count(DISTINCT l_orderkey) AS cases, count(*) * 6 AS replays, CAST(5000 AS BIGINT) AS draws, count(*) * 6 + 30000 AS work FROM lineitem",
@@ -627,7 +617,7 @@ SELECT event_id, CASE WHEN a IS NULL THEN 'unknown-key' WHEN event_id % 23 = 0 T
 o AS (SELECT event_id, v, (v >> 24) AS a, (v >> 16) & 255 AS b, (v >> 8) & 255 AS c, v & 255 AS d FROM a)
 SELECT event_id, a || '.' || b || '.' || c || '.' || d AS address, CASE WHEN a = 127 THEN 'loopback' WHEN a = 10 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) THEN 'private'
   WHEN a = 169 AND b = 254 THEN 'link-local' WHEN a = 100 AND b BETWEEN 64 AND 127 THEN 'shared' WHEN a >= 224 AND a < 240 THEN 'multicast' WHEN a = 0 OR a >= 240 THEN 'reserved'
-  WHEN (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) OR (a = 198 AND b IN (18, 19)) THEN 'special' ELSE 'public' END AS kind FROM o""",
+  WHEN (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 192 AND b = 88 AND c = 99) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) OR (a = 198 AND b IN (18, 19)) THEN 'special' ELSE 'public' END AS kind FROM o""",
         "route_match": "SELECT event_id, CASE WHEN p LIKE '/click/1%' THEN 'one' WHEN p LIKE '/click%' THEN 'click' WHEN p LIKE '/cl%' THEN 'c' WHEN p LIKE '/v%' THEN 'v' ELSE 'root' END AS route FROM (SELECT event_id, '/' || event_type || '/' || user_id AS p FROM events)",
         "error_redaction": """SELECT event_id, category, CASE WHEN http_status BETWEEN 100 AND 599 THEN http_status END AS http_status,
   CASE category WHEN 'transport' THEN 'the connection failed' WHEN 'timeout' THEN 'the time limit was reached' ELSE 'the provider reported an error' END AS message

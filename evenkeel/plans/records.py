@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import sampling
-from ..operators import semantics
+from ..operators import semantics, staleness
+from ..sources import decoders
 from . import catalog
 
 _AT = "l_orderkey * 100000 + place * 1000"
@@ -185,8 +186,47 @@ def protocol_faults(spark, sf_dir):
     return rows.select("p_partkey", _shown(semantics.protocol_faults()))
 
 
+_CONTEXT = {"digest": "c", "as_of": 9000, "trust_digest": "t", "revocation_digest": "r"}
+_CHECKED = {
+    "completed_at": "event_id + CASE WHEN user_id % 13 = 0 THEN 500 ELSE 0 END",
+    "profile_ok": "user_id % 7 <> 0 OR event_id % 5 <> 0",
+    "authentic": "CASE WHEN event_id % 3 <> 0 THEN event_type <> 'error' END",
+    "status": "CASE WHEN event_id % 41 = 0 THEN 'revoked' WHEN event_id % 43 = 0 THEN 'stale' WHEN event_id % 47 = 0 THEN 'future-dated' WHEN event_id % 53 = 0 THEN 'key-not-yet-valid' WHEN event_id % 59 = 0 THEN 'key-expired' WHEN event_id % 61 = 0 THEN 'context-mismatch' ELSE 'trusted' END",
+    "evidence_context": "CASE WHEN user_id % 17 = 0 THEN 'x' ELSE 'c' END",
+    "assessed_at": "9000 + CASE WHEN user_id % 19 = 0 THEN 1 ELSE 0 END",
+    "trust_digest": "CASE WHEN user_id % 23 <> 0 THEN 't' END",
+    "revocation_digest": "'r'",
+    "produced_at": "event_id + user_id % 90",
+}
+
+
+def staleness_reasons(spark, sf_dir):
+    """Each user's events as the executions of an assessment whose policy came after its window's start."""
+    fixed = staleness.fixed_reasons({"study": "s", "digest": "d", "created_at": 0, "expires_at": 9500}, {"study": "s", "protocol_digest": "d", "context_digest": None, "contexts": 1}, _CONTEXT, {"issued_at": 20}, {"start": 10, "end": 8000, "watermark": 8100})
+    rows = _t(spark, sf_dir, "events").select("user_id", *_made(_CHECKED))
+    return staleness.stale_reasons(rows, _CONTEXT, fixed, ["user_id"]).select("user_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+_HEADS = [0x2001, 0x2600, 0x2002, 0x3FF8, 0xFC12, 0xFE9F, 0xFF02, 0x0064]
+
+
+def address_class_v6(spark, sf_dir):
+    """Addresses whole, shortened, in capitals, with a dotted end, and broken ones."""
+    a, b, z = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("event_id") % 8 + 1).cast("int")), F.pmod(F.col("event_id") * 7, F.lit(5000)), F.col("user_id") % 65536
+    h = lambda x: F.lower(F.hex(x))
+    form = F.col("event_id") % 5
+    text = (
+        F.when(form == 0, F.concat_ws(":", h(a), h(b), *[F.lit("0")] * 5, h(z)))
+        .when(form == 1, F.concat(h(a), F.lit(":"), h(b), F.lit("::"), h(z)))
+        .when(form == 2, F.upper(F.concat(h(a), F.lit(":"), h(b), F.lit("::"), h(z))))
+        .when(form == 3, F.concat(h(a), F.lit(":"), h(b), F.lit("::10.0."), F.floor(z / 256), F.lit("."), z % 256))
+        .otherwise(F.concat_ws(":", h(a), h(b), h(z), F.lit("::1::")))
+    )
+    return _t(spark, sf_dir, "events").select("event_id", text.alias("address")).select("event_id", "address", decoders.address_class(F.col("address")).alias("kind"))
+
+
 def queries():
-    own = [trace_faults, trace_admission, execution_rollup, outcome_faults, capability_faults, window_membership, measurement_faults, spec_faults, protocol_faults]
+    own = [staleness_reasons, address_class_v6, trace_faults, trace_admission, execution_rollup, outcome_faults, capability_faults, window_membership, measurement_faults, spec_faults, protocol_faults]
     return {q.__name__: q for q in own}
 
 
@@ -304,7 +344,21 @@ def oracle_sql() -> dict[str, str]:
     )
     bucket = catalog.oracle_sql()["window_sample_bucket"]
     w = _WINDOW
+    real = "authentic IS TRUE"
+    heads = ", ".join(map(str, _HEADS))
+    stale = [("trace-completed-after-assessment-cutoff", "completed_at > 9000"), ("execution-profile-drift", "NOT profile_ok"), ("evaluator-verification-context-drift", f"{real} AND (status = 'context-mismatch' OR evidence_context <> 'c' OR assessed_at <> 9000 OR trust_digest IS NULL)"), ("evaluator-evidence-produced-after-assessment-cutoff", "produced_at > 9000")]
+    stale += [(f"evaluator-evidence-{x}", f"{real} AND status = '{x}'") for x in ("revoked", "stale", "future-dated", "key-not-yet-valid", "key-expired")]
+    each = " UNION ALL ".join(f"SELECT user_id, '{code}' AS reason FROM e WHERE {rule}" for code, rule in stale)
     return {
+        "staleness_reasons": f"""WITH e AS (SELECT user_id, {_cols(_CHECKED)} FROM events)
+SELECT user_id, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM ({each} UNION ALL SELECT user_id, 'policy-issued-after-window-start' FROM e) GROUP BY user_id""",
+        "address_class_v6": f"""WITH n AS (SELECT event_id, [{heads}][event_id % 8 + 1] AS a, event_id * 7 % 5000 AS b, user_id % 65536 AS z FROM events),
+t AS (SELECT *, lower(printf('%x', a)) AS ha, lower(printf('%x', b)) AS hb, lower(printf('%x', z)) AS hz FROM n)
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN ha || ':' || hb || ':0:0:0:0:0:' || hz WHEN 1 THEN ha || ':' || hb || '::' || hz WHEN 2 THEN upper(ha || ':' || hb || '::' || hz)
+  WHEN 3 THEN ha || ':' || hb || '::10.0.' || (z // 256) || '.' || (z % 256) ELSE ha || ':' || hb || ':' || hz || ':::1::' END AS address,
+  CASE WHEN event_id % 5 = 4 THEN NULL WHEN a >= 65280 THEN 'multicast' WHEN a BETWEEN 65152 AND 65215 THEN 'link-local' WHEN a BETWEEN 64512 AND 65023 THEN 'private'
+    WHEN (a = 8193 AND (b < 512 OR b = 3512)) OR a = 8194 OR a BETWEEN 16368 AND 16383 THEN 'special' WHEN a BETWEEN 8192 AND 16383 THEN 'public' ELSE 'reserved' END AS kind
+FROM t""",
         "trace_faults": f"""WITH {_TRIES},
 each_ AS (SELECT *, lag(completed_at) OVER (PARTITION BY l_orderkey ORDER BY place) > started_at AS crossed FROM tries),
 per AS (

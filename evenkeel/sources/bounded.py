@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
 @dataclass(frozen=True)
@@ -98,20 +98,65 @@ def parse(raw: bytes, limits: Limits = Limits()):
     return value
 
 
-def ndjson(spark, path: str, schema: T.StructType, max_line: int = 8 << 20) -> DataFrame:
-    """(file, value, error_code) of each line.  A blank line, an unknown field or a wrong type is an error, not a null.
+BLOCKS = 1_000_000  # file blocks whose places may go to every task (32 bytes each)
 
-    One line feed at the end is no line of its own; a CR before a line feed is dropped, others are data.
+
+def numbered(lines: DataFrame, line: str) -> DataFrame:
+    """``lines`` of a text source with their number within their file, from 1, as ``line``; no row is shuffled.
+
+    A block's rows stand together and in order in one partition, so a row's place is its distance from the block's first
+    row, plus the rows of the blocks before it in the file.  Only one row per block is gathered by file.
+    """
+    at = lines.select("*", F.xxhash64(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_id", F.monotonically_increasing_id())
+    blocks = at.groupBy("_file", "_block").agg(F.min("_id").alias("_low"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    places = blocks.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), (F.coalesce(before, F.lit(0)) - F.col("_low")).alias("_shift"))
+    side = F.broadcast(places) if places.limit(BLOCKS + 1).count() <= BLOCKS else places
+    out = at.join(side, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    return out.withColumn(line, F.col("_id") + F.col("_shift") + 1).drop("_file", "_block", "_id", "_f", "_b", "_shift")
+
+
+#: How a variant names the JSON values that a column of a type may hold; a whole number has no fraction and no exponent.
+KINDS = {T.StringType: "STRING", T.BooleanType: "BOOLEAN", T.LongType: "BIGINT", T.IntegerType: "BIGINT", T.DoubleType: "BIGINT|DOUBLE|DECIMAL"}
+
+
+def shape_error(value: Column, kind: T.DataType) -> Column:
+    """Why a variant has not exactly the shape of a type, at any depth: wrong-type, unknown-field or missing-field; null if it has."""
+    name = F.schema_of_variant(value)
+    if isinstance(kind, T.StructType):
+        keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+        unknown = F.size(F.array_except(keys, F.array(*[F.lit(f.name) for f in kind.fields]))) > 0
+        code = F.when(~name.startswith("OBJECT"), "wrong-type").when(unknown, "unknown-field")
+        inner = []
+        for f in kind.fields:
+            own = F.try_variant_get(value, f"$['{f.name}']", "variant")
+            none = own.isNull() | F.is_variant_null(own)
+            inner.append(F.when(none, F.lit(None if f.nullable else "missing-field").cast("string")).otherwise(shape_error(own, f.dataType)))
+        return F.coalesce(code, *inner)
+    if isinstance(kind, T.ArrayType):
+        each = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.when(F.is_variant_null(x), F.lit(None if kind.containsNull else "missing-field").cast("string")).otherwise(shape_error(x, kind.elementType)))
+        return F.coalesce(F.when(~name.startswith("ARRAY"), F.lit("wrong-type")), F.try_element_at(F.array_compact(each), F.lit(1)))
+    return F.when(~name.rlike(f"^(?:{KINDS[type(kind)]})\\b"), F.lit("wrong-type"))
+
+
+def ndjson(spark, path: str, schema: T.StructType, max_line: int = 8 << 20, max_rows: int | None = None) -> DataFrame:
+    """(file, line, value, error_code) of each line; ``line`` counts from 1 in its file.
+
+    A blank line, a repeated or unknown field at any depth, a missing one or a wrong type is an error, not a null.  One line feed
+    at the end is no line of its own; a CR before a line feed is dropped, others are data.  Lines of a file beyond
+    ``max_rows`` are too-many-items.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"\r$", "").alias("line"))
-    value = F.from_json("line", schema, {"mode": "PERMISSIVE"})
-    names = F.json_object_keys("line")
+    lines = numbered(spark.read.option("lineSep", "\n").text(path).select("value", "_metadata"), "line")
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), "line", F.regexp_replace("value", r"\r$", "").alias("body"))
+    names, tree = F.json_object_keys("body"), F.try_parse_json("body")
     code = (
-        F.when(F.octet_length("line") > max_line, "line-too-long")
-        .when(F.trim("line") == "", "blank-line")
+        F.when(F.lit(False) if max_rows is None else F.col("line") > max_rows, "too-many-items")
+        .when(F.octet_length("body") > max_line, "line-too-long")
+        .when(F.trim("body") == "", "blank-line")
         .when(names.isNull(), "invalid-json")
         .when(F.size(names) != F.size(F.array_distinct(names)), "duplicate-key")
-        .when(F.size(F.array_except(names, F.array(*[F.lit(f.name) for f in schema.fields]))) > 0, "unknown-field")
-        .when(F.lit(False) if all(f.nullable for f in schema.fields) else F.greatest(*[value[f.name].isNull() for f in schema.fields if not f.nullable], F.lit(False)), "missing-field")
+        .when(tree.isNull(), "invalid-json")  # broken below the top, or a name that stands twice there
+        .otherwise(shape_error(tree, schema))
     )
-    return lines.select("file", F.when(code.isNull(), value).alias("value"), code.alias("error_code"))
+    value = F.from_json("body", schema, {"mode": "PERMISSIVE"})
+    return lines.select("file", "line", F.when(code.isNull(), value).alias("value"), code.alias("error_code"))

@@ -47,14 +47,10 @@ def sse(streams: DataFrame, key: str, body: str) -> DataFrame:
     return rows.select(key, (F.row_number().over(order) - 1).alias("place"), name.alias("event"), "id", F.array_join("d", "\n").alias("data"))
 
 
-def address_class(address: Column) -> Column:
-    """What a dotted IPv4 address is for; null if it is none."""
-    parts = F.split(address, r"\.")
-    o = [F.try_element_at(parts, F.lit(i + 1)).cast("int") for i in range(4)]
-    valid = address.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$")
-    a, b, c = o[0], o[1], o[2]
-    special = ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113)) | ((a == 198) & b.isin(18, 19))
-    kind = (
+def _ipv4_class(octets: Column) -> Column:
+    a, b, c = octets[0], octets[1], octets[2]
+    special = ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 192) & (b == 88) & (c == 99)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113)) | ((a == 198) & b.isin(18, 19))
+    return (
         F.when(a == 127, "loopback")
         .when((a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)), "private")
         .when((a == 169) & (b == 254), "link-local")
@@ -64,7 +60,60 @@ def address_class(address: Column) -> Column:
         .when(special, "special")
         .otherwise("public")
     )
-    return F.when(valid, kind)
+
+
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it stands there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def ipv6_words(address: Column) -> Column:
+    """The eight words of an IPv6 address as numbers; null if it is none.  A zone (``%``) makes it none."""
+
+    def hexed(low: Column) -> Column:
+        """A dotted end as two words."""
+        octets = F.split(F.regexp_extract(low, rf":({_IPV4})$", 1), r"\.")
+        pair = lambda o, i: F.lower(F.hex(o[i].cast("bigint") * 256 + o[i + 1].cast("bigint")))
+        return _let(octets, lambda o: F.when(F.size(o) == 4, F.concat(F.regexp_extract(low, "^(.*:)", 1), pair(o, 0), F.lit(":"), pair(o, 2))).otherwise(low))
+
+    words = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ":"))
+
+    def filled(halves: Column) -> Column:
+        left, right = words(halves[0]), words(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")))
+        return _let(F.struct(left.alias("l"), right.alias("r"), F.size(halves).alias("n")), whole)
+
+    def whole(x: Column) -> Column:
+        missing = 8 - F.size(x["l"]) - F.size(x["r"])
+        fits = ((x["n"] == 1) & (missing == 0)) | ((x["n"] == 2) & (missing >= 1))
+        every = F.concat(x["l"], F.array_repeat(F.lit("0"), missing), x["r"])
+        return F.when(fits & F.forall(F.concat(x["l"], x["r"]), lambda w: w.rlike("^[0-9a-f]{1,4}$")), F.transform(every, lambda w: F.conv(w, 16, 10).cast("int")))
+
+    return F.when(address.contains(":"), _let(F.split(hexed(F.lower(address)), "::"), filled))
+
+
+def _ipv6_class(words: Column) -> Column:
+    a, b = words[0], words[1]
+    special = ((a == 0x2001) & ((b <= 0x01FF) | (b == 0x0DB8))) | (a == 0x2002) | (a.bitwiseAND(0xFFF0) == 0x3FF0)
+    last = F.forall(F.slice(words, 1, 7), lambda w: w == 0) & (words[7] == 1)
+    return F.when(
+        words.isNotNull(),
+        F.when(last, "loopback")
+        .when(a.bitwiseAND(0xFE00) == 0xFC00, "private")
+        .when(a.bitwiseAND(0xFFC0) == 0xFE80, "link-local")
+        .when(a.bitwiseAND(0xFF00) == 0xFF00, "multicast")
+        .when(special, "special")
+        .when(a.bitwiseAND(0xE000) == 0x2000, "public")
+        .otherwise("reserved"),
+    )
+
+
+def address_class(address: Column) -> Column:
+    """What a dotted IPv4 or an IPv6 address is for; null if it is none.  Only ``public`` ones may be reached."""
+    return F.when(address.rlike(rf"^{_IPV4}$"), _let(F.split(address, r"\.").try_cast("array<int>"), _ipv4_class)).otherwise(_let(ipv6_words(address), _ipv6_class))
 
 
 MESSAGES = {"transport": "the connection failed", "timeout": "the time limit was reached", "provider": "the provider reported an error"}

@@ -60,7 +60,68 @@ def test_ndjson(spark, tmp_path):
 
     schema = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.StringType(), False)])
     got = bounded.ndjson(spark, f"file://{tmp_path}/x.ndjson", schema).collect()
-    assert sorted(str(r["error_code"]) for r in got) == ["None", "blank-line", "duplicate-key", "invalid-json", "missing-field", "unknown-field"]
+    assert [r["error_code"] for r in sorted(got, key=lambda r: r["line"])] == [None, "blank-line", "duplicate-key", "unknown-field", "invalid-json", "missing-field"]
+    assert [r["line"] for r in sorted(got, key=lambda r: r["line"])] == [1, 2, 3, 4, 5, 6]
+
+
+def test_ndjson_shapes(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    inner = T.StructType([T.StructField("c", T.LongType(), False)])
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", inner), T.StructField("d", T.ArrayType(inner, False)), T.StructField("x", T.DoubleType())])
+    cases = [
+        ('{"a":1,"b":{"c":2},"d":[{"c":3}],"x":1}', None),
+        ('{"a":null,"b":null,"d":[],"x":1.5e3}', None),
+        ("{}", None),
+        ('{"a":"x"}', "wrong-type"),
+        ('{"a":1.5}', "wrong-type"),
+        ('{"a":12345678901234567890}', "wrong-type"),
+        ('{"x":true}', "wrong-type"),
+        ('{"b":[]}', "wrong-type"),
+        ('{"b":{"c":1,"zz":3}}', "unknown-field"),
+        ('{"b":{"c":1,"c":2}}', "invalid-json"),
+        ('{"b":{}}', "missing-field"),
+        ('{"d":[{"c":1},null]}', "missing-field"),
+        ('{"d":[{"c":1},{"c":"y"}]}', "wrong-type"),
+        ("[1]", "invalid-json"),
+    ]
+    (tmp_path / "s.ndjson").write_text("\n".join(x for x, _ in cases))
+    got = {r["line"]: r["error_code"] for r in bounded.ndjson(spark, f"file://{tmp_path}/s.ndjson", schema).collect()}
+    assert [got[i + 1] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_line_numbers_over_blocks(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    (tmp_path / "n").mkdir()
+    for name, n in (("a", 3000), ("b", 1700), ("c", 0), ("d", 1)):
+        (tmp_path / "n" / name).write_text("".join(f'{{"i":{i + 1}}}\n' for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = bounded.ndjson(spark, f"file://{tmp_path}/n", T.StructType([T.StructField("i", T.LongType())]), max_rows=2900)
+        got = rows.collect()
+        assert rows.rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 4701 and sum(r["error_code"] == "too-many-items" for r in got) == 100
+    assert all(r["value"]["i"] == r["line"] for r in got if r["error_code"] is None)
+
+
+def test_addresses_as_the_library_reads_them(spark):
+    import ipaddress
+
+    tried = ["::", "::1", "1::", "2001:db8::1", "2001:0200::1", "2606:4700::1111", "FE80::1", "fc00::", "ff02::1", "::ffff:10.0.0.1", "2606::1.2.3.4", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7::", "1::2::3", "1:2:3:4:5:6:7:8:9", "12345::", "g::", ":1", "1:", "2::1:", "fe80::1%eth0", "1.2.3.4", "01.2.3.4", "1.2.3.256", "192.88.99.1", "::1.2.3", "1.2.3.4::", "", None]
+    got = {r[0]: (r[1], r[2]) for r in spark.createDataFrame([(x,) for x in tried], "a string").select("a", decoders.address_class(F.col("a")), decoders.ipv6_words(F.col("a"))).collect()}
+    for x in tried:
+        try:
+            known = ipaddress.ip_address(x or "") if "%" not in (x or "") else None
+        except ValueError:
+            known = None
+        assert (got[x][0] is not None) == (known is not None), x
+        if known and known.version == 6:
+            assert got[x][1] == [int(known) >> (112 - 16 * i) & 0xFFFF for i in range(8)]
+    assert [got[x][0] for x in ("::", "::1", "2001:db8::1", "2606:4700::1111", "FE80::1", "fc00::", "192.88.99.1")] == ["reserved", "loopback", "special", "public", "link-local", "private", "special"]
 
 
 def test_prometheus(spark):
