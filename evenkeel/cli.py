@@ -38,6 +38,11 @@ def _parser() -> argparse.ArgumentParser:
     run.add_argument("--out", help="write Parquet to this folder, which must not exist, in place of printing")
     report = commands.add_parser("report", help="the development report")
     report.add_argument("tables")
+    nominate = commands.add_parser("nominate", help="the nomination on the development split")
+    nominate.add_argument("tables")
+    confirm = commands.add_parser("confirm", help="the confirmation of a nomination on the holdout split")
+    confirm.add_argument("tables")
+    confirm.add_argument("nomination", help="what nominate printed")
     digest = commands.add_parser("digest", help="domain digest of a JSON document")
     digest.add_argument("domain")
     digest.add_argument("file")
@@ -45,9 +50,9 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _queries() -> dict:
-    from .plans import catalog, control
+    from .plans import assess, catalog, control, nomination, records
 
-    return {**catalog.queries(), **control.queries()}
+    return {name: query for part in (catalog, control, assess, nomination, records) for name, query in part.queries().items()}
 
 
 def _spark():
@@ -78,6 +83,19 @@ def _run(args, say) -> int:
         text = report.development(queries["policy_metrics_v1"](spark, args.tables), queries["gates_v1"](spark, args.tables), chosen, {"tables": canonical.domain_digest("evenkeel/tables/1", args.tables)})
         sys.stdout.write(text)
         return 1 if "No policy passes" in text else 0
+    elif args.command == "nominate":
+        from .plans import nomination
+
+        found = nomination.nominated(_spark(), args.tables)
+        say(found["nomination"] or {"status": found["status"]})
+        return 0 if found["nomination"] else 1
+    elif args.command == "confirm":
+        from .plans import nomination
+        from .sources import bounded
+
+        with open(args.nomination, "rb") as f:
+            artifact = bounded.parse(f.read())
+        say(nomination.confirmed(_spark(), args.tables, artifact))
     else:
         from .sources import bounded
 

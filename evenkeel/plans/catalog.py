@@ -28,10 +28,18 @@ def _t(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pairs(spark, sf_dir) -> DataFrame:
-    """Primary and expert executions side by side, one row per replicate."""
+def _in_split(split: str):
+    """Whether a customer's group falls into a split."""
+    domain, algorithm, seed, n = SPLIT
+    bucket = sampling.group_bucket(domain, algorithm, seed, F.concat(F.lit("group-"), F.col("o_custkey").cast("string")), n)
+    return F.when(bucket < 8, "dev").otherwise("holdout") == split
+
+
+def pairs(spark, sf_dir, split: str | None = None) -> DataFrame:
+    """Primary and expert executions side by side, one row per replicate; those of one split of the groups, or all."""
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*EVERY)).cast("bigint")
     rows = _t(spark, sf_dir, "lineitem").withColumn("replicate", place).join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.where(_in_split(split)) if split else rows
     q, price = F.col("l_quantity"), F.col("l_extendedprice")
     return rows.select(
         F.col("l_orderkey").alias("case_id"), "replicate", F.col("o_custkey").alias("group_id"), (F.round("o_totalprice") * 27720.0).alias("weight"),
@@ -93,27 +101,27 @@ def _policies(spark):
     return replay.enumerate_policies(spark, CONFIDENCES, TOKENS)
 
 
-def _replayed(spark, sf_dir):
-    return replay.replay(replay.row_weights(pairs(spark, sf_dir), ["case_id"]), _policies(spark), CRITICAL)
+def _replayed(spark, sf_dir, split=None):
+    return replay.replay(replay.row_weights(pairs(spark, sf_dir, split), ["case_id"]), _policies(spark), CRITICAL)
 
 
-def _metrics(spark, sf_dir):
-    return replay.policy_metrics(_replayed(spark, sf_dir), CRITICAL)
+def _metrics(spark, sf_dir, split=None):
+    return replay.policy_metrics(_replayed(spark, sf_dir, split), CRITICAL)
 
 
 def _gated(spark, sf_dir):
     return replay.gates(_metrics(spark, sf_dir), LIMITS)
 
 
-def _assessed(spark, sf_dir):
+def _assessed(spark, sf_dir, split=None, every=(*PAIRED, *LIMITS, *DEVELOPMENT), metrics=None):
     """All gates of every policy in the inventory's order; the expert, which has no pairs, fails them and is no candidate."""
-    metrics = _metrics(spark, sf_dir)
-    quality = _bootstrap(spark, sf_dir).select("policy", (F.col("lo") / 20000).alias("paired_quality"), F.col("groups").alias("independent_groups"))
+    metrics = _metrics(spark, sf_dir, split) if metrics is None else metrics
+    quality = _bootstrap(spark, sf_dir, split).select("policy", (F.col("lo") / 20000).alias("paired_quality"), F.col("groups").alias("independent_groups"))
     groups = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id"), F.col("c_nationkey").alias("nation"))
-    covered = pairs(spark, sf_dir).join(groups, "group_id").agg(*[F.countDistinct(F.when(F.col("slice") == s, F.col("nation"))).alias(f"slice_groups_{i}") for i, s in enumerate(CRITICAL)])
+    covered = pairs(spark, sf_dir, split).join(groups, "group_id").agg(*[F.countDistinct(F.when(F.col("slice") == s, F.col("nation"))).alias(f"slice_groups_{i}") for i, s in enumerate(CRITICAL)])
     base = metrics.where("policy = 'expert-only'").select(F.col("cost_per_request").alias("base"))
     wide = metrics.join(quality, "policy", "left").crossJoin(F.broadcast(covered)).crossJoin(F.broadcast(base))
-    return replay.gates(wide.withColumn("cost_improvement", F.try_divide(F.col("base") - F.col("cost_per_request"), F.col("base"))), [*PAIRED, *LIMITS, *DEVELOPMENT])
+    return replay.gates(wide.withColumn("cost_improvement", F.try_divide(F.col("base") - F.col("cost_per_request"), F.col("base"))), list(every))
 
 
 def replay_v1(spark, sf_dir):
@@ -143,8 +151,8 @@ def cost_improvement(spark, sf_dir):
 _GOALS = (["mean_score", "p10_tps"], ["error_rate", "p95_ttft", "p95_e2e", "cost_per_request"])
 
 
-def _rounded_metrics(spark, sf_dir):
-    return _metrics(spark, sf_dir).select("policy", *[F.round(c, 6).alias(c) if c in _ROUNDED else F.col(c) for c in _SHOWN])
+def _rounded_metrics(spark, sf_dir, split=None):
+    return _metrics(spark, sf_dir, split).select("policy", *[F.round(c, 6).alias(c) if c in _ROUNDED else F.col(c) for c in _SHOWN])
 
 
 def pareto_frontier(spark, sf_dir):
@@ -166,15 +174,15 @@ def case_effects(spark, sf_dir):
     return replay.case_effects(_replayed(spark, sf_dir), "expert-only", lambda x: F.round(x * 10000)).select("policy", "case_id", "group_id", "effect")
 
 
-def _by_nation(spark, sf_dir):
-    effects = replay.case_effects(_replayed(spark, sf_dir), "expert-only", lambda x: F.round(x * 10000))
+def _by_nation(spark, sf_dir, split=None):
+    effects = replay.case_effects(_replayed(spark, sf_dir, split), "expert-only", lambda x: F.round(x * 10000))
     groups = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id"), F.col("c_nationkey").alias("nation"))
     whole = effects.join(groups, "group_id").withColumn("twice", (F.col("effect") * 2).cast("bigint")).withColumn("w", (F.col("weight") / 27720).cast("bigint"))
     return whole.select("policy", "nation", "twice", "w")
 
 
-def _bootstrap(spark, sf_dir):
-    return replay.grouped_bootstrap(_by_nation(spark, sf_dir), "policy", "nation", "twice", "w", 200, 0.05, 42)
+def _bootstrap(spark, sf_dir, split=None):
+    return replay.grouped_bootstrap(_by_nation(spark, sf_dir, split), "policy", "nation", "twice", "w", 200, 0.05, 42)
 
 
 def grouped_bootstrap(spark, sf_dir):
