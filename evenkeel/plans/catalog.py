@@ -113,7 +113,7 @@ def _gated(spark, sf_dir):
     return replay.gates(_metrics(spark, sf_dir), LIMITS)
 
 
-def _assessed(spark, sf_dir, split=None, every=(*PAIRED, *LIMITS, *DEVELOPMENT), metrics=None):
+def _assessed(spark, sf_dir, split=None, every=None, metrics=None):
     """All gates of every policy in the inventory's order; the expert, which has no pairs, fails them and is no candidate."""
     metrics = _metrics(spark, sf_dir, split) if metrics is None else metrics
     quality = _bootstrap(spark, sf_dir, split).select("policy", (F.col("lo") / 20000).alias("paired_quality"), F.col("groups").alias("independent_groups"))
@@ -121,7 +121,7 @@ def _assessed(spark, sf_dir, split=None, every=(*PAIRED, *LIMITS, *DEVELOPMENT),
     covered = pairs(spark, sf_dir, split).join(groups, "group_id").agg(*[F.countDistinct(F.when(F.col("slice") == s, F.col("nation"))).alias(f"slice_groups_{i}") for i, s in enumerate(CRITICAL)])
     base = metrics.where("policy = 'expert-only'").select(F.col("cost_per_request").alias("base"))
     wide = metrics.join(quality, "policy", "left").crossJoin(F.broadcast(covered)).crossJoin(F.broadcast(base))
-    return replay.gates(wide.withColumn("cost_improvement", F.try_divide(F.col("base") - F.col("cost_per_request"), F.col("base"))), list(every))
+    return replay.gates(wide.withColumn("cost_improvement", F.try_divide(F.col("base") - F.col("cost_per_request"), F.col("base"))), every or [*PAIRED, *LIMITS, *DEVELOPMENT])
 
 
 def replay_v1(spark, sf_dir):
