@@ -116,7 +116,7 @@ said AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY run) AS s,
     sum(length(role) + 12 + 1 + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) + 11) AS f
   FROM turns GROUP BY conv_id)
-SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(s) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+SELECT said.conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(s) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
   sha256(loss) AS loss_sha256, CAST(f AS BIGINT) AS formatted_chars
 FROM said JOIN heard ON said.conv_id IS NOT DISTINCT FROM heard.conv_id""",
         "op8_decontamination": rf"""
