@@ -1,4 +1,4 @@
-"""The ten operators' queries with their production parameters, and SQL for those that SQL can express."""
+"""The operators' queries with their production parameters, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fm, jaccard, langid, maglev, pii, quality_rules, tokenstore
+from . import audit, bpe, chat, decontam, fm, jaccard, langid, maglev, pieces, pii, quality_rules, tokenstore, variants
 from .util import read
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
-WORD_TOKENIZER, RANKS = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
+WORD_TOKENIZER, RANKS, PIECES = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
 PII_KEY = "evenkeel/surrogates/1"
 
@@ -87,6 +87,18 @@ def op10_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", F.coalesce(rest(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return variants.group(read(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return audit.audit(audit.cells(audit.fail_masks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))))
+
+
+def op13_sentencepiece(spark, sf_dir):
+    return pieces.encode_documents(read(spark, sf_dir, "documents"), f"{tokenizers_home()}/{PIECES}", digests=True)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -94,7 +106,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = [op1_chat_formatting, op2_token_store, op3_sharding, op4_pii_surrogates, op5_byte_bpe, op6_ngram_jaccard, op7_language_id, op8_decontamination, op9_quality_rules, op10_quality_classifier, pipeline]
+    own = [op1_chat_formatting, op2_token_store, op3_sharding, op4_pii_surrogates, op5_byte_bpe, op6_ngram_jaccard, op7_language_id, op8_decontamination, op9_quality_rules, op10_quality_classifier, op11_spelling_variants, op12_filter_audit, op13_sentencepiece, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -171,4 +183,70 @@ over_ AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND over_.doc_id IS NULL AS kept
 FROM failed LEFT JOIN over_ USING (doc_id)""",
+        "op11_spelling_variants": r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w
+  FROM documents),
+own AS (SELECT doc_id, w, count(*) AS k FROM runs GROUP BY doc_id, w),
+hashed AS (
+  SELECT doc_id, w, k, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR) || ':' || w)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM own, crc_table),
+damaged AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substring(w, 1, h % length(w)) || substring(w, h % length(w) + 2) ELSE w END AS word, k FROM hashed),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+keys AS (
+  SELECT word, n, word AS key FROM words
+  UNION SELECT word, n, substring(word, 1, i - 1) || substring(word, i + 1) FROM words, unnest(range(1, length(word) + 1)) AS t(i)),
+near AS (
+  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM keys a JOIN keys b ON a.key = b.key AND a.word <> b.word
+  WHERE (length(a.word) <> length(b.word)
+    OR list_sum(list_transform(range(1, length(a.word) + 1), lambda i: CASE WHEN substring(a.word, i, 1) <> substring(b.word, i, 1) THEN 1 ELSE 0 END)) = 1)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+forms AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * words.n THEN other END AS form,
+    CASE WHEN other_n >= 2 * words.n THEN other_n END AS form_n
+  FROM words LEFT JOIN ranked ON words.word = ranked.word AND place = 1),
+ways AS (
+  SELECT word, word AS at, form AS next FROM forms
+  UNION ALL SELECT ways.word, forms.word, forms.form FROM ways JOIN forms ON ways.next = forms.word)
+SELECT forms.word, forms.form, ways.at AS root, forms.n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+FROM forms JOIN ways ON forms.word = ways.word AND ways.next IS NULL""",
+        "op12_filter_audit": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(text) AS c,
+    text <> translate(text, '#$%&*|', '') AS d,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM d LEFT JOIN marks USING (doc_id)),
+orders AS (
+  SELECT '' AS o UNION ALL SELECT o || f FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) AS t(f) WHERE position(f IN o) = 0),
+steps AS (SELECT o, i AS step, o[i] AS f FROM orders, unnest(range(1, 6)) AS t(i) WHERE length(o) = 5),
+counted AS (
+  SELECT part, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END)
+      || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+    count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failed GROUP BY ALL),
+judged AS (
+  SELECT part, o, step, f, fails, n, good, toxic, position(f IN fails) > 0 AS here,
+    translate(o[1:step - 1], fails, '') <> o[1:step - 1] AS before
+  FROM counted, steps),
+summed AS (
+  SELECT part, o, step, f, sum(n) FILTER (NOT here AND NOT before) AS kept, sum(n) FILTER (here AND NOT before) AS removed,
+    sum(n) FILTER (here AND before) AS redundant, sum(n) FILTER (fails = f) AS unique_fails,
+    sum(good) FILTER (here AND NOT before) AS good_lost, sum(toxic) FILTER (here AND NOT before) AS toxic_lost
+  FROM judged GROUP BY ALL)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+  CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley
+FROM summed""",
     }
