@@ -8,7 +8,7 @@ of equals.  Their normalised lengths, summed up, point into the record, which gi
 ``encode_documents`` gives one row per input row (repeated rows repeat).  A null text is empty; an empty text, and a
 text of white space only where the model drops it, has the end id only.  Texts are taken whole.  An empty table gives no rows.
 Nothing is shuffled, and only the two columns named are read, so further columns of any name do not matter.
-Models: BPE with byte fallback, without user-defined or unused pieces (others raise ValueError); under 131,072 pieces and characters.
+Models: BPE with byte fallback, without user-defined or unused pieces (others raise ValueError); under 131,071 pieces and characters.
 """
 
 from __future__ import annotations
@@ -17,16 +17,20 @@ import hashlib
 import re
 import struct
 from array import array
+from collections import Counter
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from .bpe import Memo
 from .util import lean, share
 
 SPACE = "▁"
+NONE, NO_CODE = 1 << 60, 0x1FFFF  # no pair; the code of characters of no piece, which makes no pair
+LONG, ROWS = 32, 16_384  # symbols of a chunk that is merged beside others, and how many at once
+MEMO = 500_000  # chunks in each of the two generations of a worker's memo; results do not depend on it
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces
 
 
@@ -200,19 +204,26 @@ class Codec:
         codes = dict(normal)
         for c in sorted({c for p in normal for c in p} - set(normal)):  # characters of pieces that are none themselves
             codes[c] = len(codes) + self.n
-        if max(codes.values(), default=0) >> 17:
-            raise ValueError("131,072 pieces and characters or more")
-        self.chars = {c: i for c, i in codes.items() if len(c) == 1}
-        place = {s: r for r, s in enumerate(sorted({s for _, s, k in model.pieces if k == NORMAL}, reverse=True))}
-        self.rank = [place.get(s, 0) for _, s, _ in model.pieces]
-        self.pair = {codes[p[:j]] << 17 | codes[p[j:]]: i for p, i in normal.items() for j in range(1, len(p)) if p[:j] in codes and p[j:] in codes}
+        if max(codes.values(), default=0) >= NO_CODE:
+            raise ValueError("131,071 pieces and characters or more")
+        self.code_of = np.full(0x110000, NO_CODE, np.int32)
+        for c, i in codes.items():
+            if len(c) == 1:
+                self.code_of[ord(c)] = i
+        scores = Counter(s for _, s, k in model.pieces if k == NORMAL)
+        place = {s: r for r, s in enumerate(sorted(scores, reverse=True))}
+        self.tied = np.array([scores[s] > 1 for s in place] or [False])
+        made = {i: place[model.pieces[i][1]] << 17 | i for i in normal.values()}  # place by score, then the id
+        self.pair = {codes[p[:j]] << 17 | codes[p[j:]]: made[i] for p, i in normal.items() for j in range(1, len(p)) if p[:j] in codes and p[j:] in codes}
+        self.pair_keys, self.pair_made = (np.array([*x, last], np.int64) for x, last in zip(zip(*sorted(self.pair.items())) if self.pair else ((), ()), (1 << 40, NONE)))
         self.sizes = np.array([1 if k == BYTE else len(p.encode()) if k == NORMAL else 0 for p, _, k in model.pieces], np.int64)
         self.texts = [bytes([self.bytes_of_id[i]]) if k == BYTE else p.replace(SPACE, " ").encode() if k == NORMAL else b"" if k == CONTROL else " ⁇ ".encode() for i, (p, _, k) in enumerate(model.pieces)]
         self.silent = frozenset(i for i, (_, _, k) in enumerate(model.pieces) if k == CONTROL)
         self.normal = [k == NORMAL for _, _, k in model.pieces]
         self.names = [str(i).encode() for i in range(self.n)]
         self.chunks = self._chunks(normal)
-        self.ids = Memo(lambda chunk: array("I", self._merge(chunk)).tobytes()).__getitem__
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @staticmethod
     def _chunks(normal):
@@ -224,57 +235,115 @@ class Codec:
         edge = f"(?=[{re.escape(marks + SPACE)}]|\\Z)"
         return re.compile(f"{SPACE}*[A-Za-z]++{edge}|{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
-    def _merge(self, text: str) -> list[int]:
-        """Merges linked symbols by a heap of adjacent pairs."""
-        n, pair, rank, char = len(text), self.pair.get, self.rank, self.chars.get
-        token = [char(c, -1) for c in text]
-        own = [pair(a << 17 | b, -1) if a >= 0 <= b else -1 for a, b in zip(token, token[1:])]
+    def learn(self, chunks) -> None:
+        """Puts the ids of chunks that the memo lacks into it."""
+        if len(self.memo) > MEMO:
+            self.old, self.memo = self.memo, {}
+        new: dict[int, list[str]] = {}
+        for chunk in set(chunks).difference(self.memo):
+            ids = self.old.get(chunk)
+            if ids is None and len(chunk) <= LONG:
+                new.setdefault((len(chunk) + 7) // 8 * 8, []).append(chunk)
+            else:
+                self.memo[chunk] = ids or self._merge_linked(chunk)
+        for width, own in new.items():
+            for i in range(0, len(own), ROWS):
+                self._merge_rows(own[i : i + ROWS], width)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 17 | right
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_made[at], NONE)
+
+    def _merge_rows(self, chunks: list[str], width: int) -> None:
+        """Many chunks at once, a row of linked symbols each; a round merges every row's best pair.
+
+        Each row has an empty column on either side.  Rows with unknown characters or with pieces of equal scores are merged alone.
+        """
+        n, wide = len(chunks), width + 2
+        sizes = np.fromiter(map(len, chunks), np.int64, n)
+        token = np.full((n, wide), NO_CODE, np.int32)
+        inside = np.arange(wide) - 1 < sizes[:, None]
+        inside[:, 0] = False
+        token[inside] = self.code_of[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
+        odd = (inside & (token >= self.n)).any(axis=1)
+        best = np.full((n, wide), NONE)
+        best[:, 1:-1] = self._pairs(token[:, 1:-1], token[:, 2:])
+        after, before = (np.tile(np.arange(wide, dtype=np.int32) + d, n) for d in (1, -1))
+        token, dead, flat = token.ravel(), ~inside.ravel(), best.ravel()
+        rows = np.flatnonzero(~odd)
+        while len(rows):
+            at = best[rows].argmin(axis=1)
+            i = rows * wide + at
+            made = flat[i]
+            equal = (made != NONE) & self.tied[np.minimum(made >> 17, len(self.tied) - 1)]
+            odd[rows[equal]] = True
+            left = (made != NONE) & ~equal
+            rows, i, made = rows[left], i[left], made[left] & NO_CODE
+            base = rows * wide
+            j = base + after[i]
+            k = base + after[j]
+            h = base + before[i]
+            token[i], dead[j], flat[j] = made, True, NONE
+            after[i], before[k] = after[j], i - base
+            flat[i] = self._pairs(made, token[k])
+            flat[h] = self._pairs(token[h], made)
+        kept = ~dead.reshape(n, wide)
+        ends = np.cumsum(kept.sum(axis=1)) * 4
+        raw = token[kept.ravel()].astype(np.uint32).tobytes()
+        self.memo.update(zip(chunks, map(raw.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))))
+        for r in np.flatnonzero(odd).tolist():
+            self.memo[chunks[r]] = self._merge_linked(chunks[r])
+
+    def _merge_linked(self, text: str) -> bytes:
+        """The ids of a chunk: the adjacent pair of the best score is merged, the leftmost of equals, by a heap over linked symbols."""
+        n, pair = len(text), self.pair.get
+        token = self.code_of[np.frombuffer(text.encode("utf-32-le"), np.uint32)].tolist()
+        own = [pair(a << 17 | b, NONE) for a, b in zip(token, token[1:])]
+        own.append(NONE)
         bits = n.bit_length()
-        heap = [rank[t] << bits | i for i, t in enumerate(own) if t >= 0]
+        heap = [p >> 17 << bits | i for i, p in enumerate(own) if p != NONE]
         heapify(heap)
-        own.append(-1)
         after, before, low = list(range(1, n + 1)), list(range(-1, n)), (1 << bits) - 1
         dead = [False] * n
         while heap:
             top = heappop(heap)
             i = top & low
-            made = own[i]
-            if made < 0 or rank[made] != top >> bits:
+            if own[i] >> 17 != top >> bits:
                 continue  # one side has been merged since
             j = after[i]
             k = after[i] = after[j]
-            token[i], own[j], dead[j] = made, -1, True
-            own[i] = -1
+            made = token[i] = own[i] & NO_CODE
+            own[i], own[j], dead[j] = NONE, NONE, True
             if k < n:
                 before[k] = i
-                if token[k] >= 0 and (t := pair(made << 17 | token[k], -1)) >= 0:
-                    own[i] = t
-                    heappush(heap, rank[t] << bits | i)
+                own[i] = pair(made << 17 | token[k], NONE)
+                if own[i] != NONE:
+                    heappush(heap, own[i] >> 17 << bits | i)
             h = before[i]
             if h >= 0:
-                own[h] = -1
-                if token[h] >= 0 and (t := pair(token[h] << 17 | made, -1)) >= 0:
-                    own[h] = t
-                    heappush(heap, rank[t] << bits | h)
+                own[h] = pair(token[h] << 17 | made, NONE)
+                if own[h] != NONE:
+                    heappush(heap, own[h] >> 17 << bits | h)
         out = []
         for c, t, gone in zip(text, token, dead):
-            if gone:
-                continue
-            if 0 <= t < self.n:
-                out.append(t)
-            else:
-                out.extend(self.byte_ids[b] for b in c.encode())
-        return out
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids without the end id, and their spans (begin, end) in bytes of the text."""
-        normal, source = self.normalize(text)
-        ids = np.frombuffer(b"".join(map(self.ids, self.chunks(normal))), np.uint32)
-        ends = np.cumsum(self.sizes[ids])
-        spans = np.empty((len(ids), 2), np.uint32)
-        spans[:, 1] = source[ends]
-        spans[:, 0] = source[ends - self.sizes[ids]]
-        return ids, spans
+            if not gone:
+                out.extend([t] if t < self.n else map(self.byte_ids.__getitem__, c.encode()))
+        return array("I", out).tobytes()
+
+    def encode(self, texts: list[str]):
+        """(ids without the end id, their spans) of each text; a span is (begin, end) in bytes of the text."""
+        normal, sources = zip(*map(self.normalize, texts)) if texts else ((), ())
+        cut = list(map(self.chunks, normal))
+        self.learn(chain.from_iterable(cut))
+        for chunks, source in zip(cut, sources):
+            ids = np.frombuffer(b"".join(map(self.memo.__getitem__, chunks)), np.uint32)
+            sizes = self.sizes[ids]
+            ends = np.cumsum(sizes)
+            spans = np.empty((len(ids), 2), np.uint32)
+            spans[:, 1] = source[ends]
+            spans[:, 0] = source[ends - sizes]
+            yield ids, spans
 
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids: control ids are silent, the first piece's leading space is the prefix."""
@@ -343,9 +412,8 @@ def encode_documents(docs, model_path: str, id_col: str = "doc_id", text_col: st
         hexed = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
             out: list[list] = [[] for _ in columns]
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                ids, spans = codec.encode(text)
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for text, (ids, spans) in zip(texts, codec.encode(texts)):
                 own = [*ids.tolist(), codec.end_id]
                 back = codec.decode(own)
                 if digests:
