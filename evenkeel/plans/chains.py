@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import chains
+from ..operators import chains, snapshots
 from .control import _NEXT, LATER, LIFE
 
 AT = 12  # events of each chain before its checkpoint
@@ -86,8 +86,52 @@ def resumed_chains(spark, sf_dir):
     return verdicts.join(after, "controller", "left")
 
 
+#: Snapshots made of the orders, whole ones first, then one thing changed where a prime divides the order's key.
+SNAPSHOTS = f"""
+keyed AS (SELECT o_orderkey AS k, {_pick(chains.STATES, "o_orderkey % 13")} AS state FROM orders),
+leveled AS (SELECT *, CASE k % 13 {" ".join(f"WHEN {i} THEN {n}" for i, n in enumerate([0, 1, 2, 3, 4, 5, 6, 7, 8, 3, 4, 8, 4]))} END AS level FROM keyed),
+sized AS (SELECT *, CASE WHEN level >= 7 THEN 1 + k % 2 WHEN level >= 5 THEN k % 3 ELSE 0 END AS n_rev, CASE WHEN state = 'ROLLBACK_RECOMMENDED' THEN 2 WHEN level >= 7 THEN 1 ELSE 0 END AS n_win FROM leveled),
+snaps AS (
+  SELECT k, state, n_rev, n_win, level,
+    CAST(CASE WHEN level < 5 THEN CASE WHEN state = 'HOLD' THEN 4 ELSE level END WHEN level = 5 THEN 5 + n_rev WHEN level < 8 THEN 6 + n_rev + n_win ELSE 7 + n_rev + n_win END + CASE WHEN k % 53 = 0 THEN 1 ELSE 0 END AS BIGINT) AS sequence,
+    CASE WHEN state <> 'DRAFT' AND k % 59 <> 0 THEN 'e' END AS last_event_id, CASE WHEN state <> 'DRAFT' THEN CASE WHEN k % 61 = 0 THEN 5 WHEN k % 67 = 0 THEN 1000 ELSE 900 END END AS last_event_at,
+    CASE WHEN k % 71 = 0 THEN 1001 ELSE 10 END AS created_at, 1000 AS expires_at, CASE WHEN k % 73 = 0 THEN 'other' ELSE 'p' END AS protocol,
+    CASE WHEN level >= 2 AND k % 31 <> 0 THEN 'c' END AS collection, CASE WHEN level >= 3 AND k % 37 <> 0 THEN CASE WHEN k % 41 = 0 THEN 'd2' ELSE 'd' END END AS dataset,
+    CASE WHEN level >= 4 AND k % 43 <> 0 THEN CASE WHEN k % 47 = 0 THEN 'x' ELSE 'pol' END END AS policy, CASE WHEN k % 79 = 0 THEN 950 ELSE 100 END AS issued_at,
+    CASE WHEN level >= 8 OR k % 83 = 0 THEN CASE WHEN k % 89 = 0 THEN 950 ELSE 800 END END AS observed_at, CASE WHEN (state = 'STALE' AND k % 29 <> 0) OR k % 97 = 0 THEN 'late' END AS reason FROM sized),
+tested AS (
+  SELECT k, 0 AS place, CASE WHEN k % 101 = 0 THEN 'holdout' ELSE 'development' END AS phase, CASE WHEN state = 'HOLD' THEN 'NO_CANDIDATE' WHEN k % 103 = 0 THEN 'STALE' ELSE 'NOMINATED' END AS status, concat('d', CAST(k AS STRING)) AS decision,
+    't' AS traces, CASE WHEN state <> 'HOLD' THEN 'pol' END AS policy, CAST(NULL AS STRING) AS manifest FROM snaps WHERE level >= 4 OR state = 'HOLD'
+  UNION ALL SELECT k, 1, 'holdout', CASE WHEN k % 107 = 0 THEN 'HOLD' ELSE 'PASS' END, concat('h', CAST(k AS STRING)), 't', 'pol', NULL FROM snaps WHERE level >= 6
+  UNION ALL SELECT k, 2, 'window', 'PASS', CASE WHEN k % 109 = 0 THEN concat('h', CAST(k AS STRING)) ELSE concat('v', CAST(k AS STRING)) END, concat('t', CAST(n_rev AS STRING)), CASE WHEN k % 113 = 0 THEN 'y' ELSE 'pol' END, concat('m', CAST(n_rev AS STRING)) FROM snaps WHERE n_win >= 1
+  UNION ALL SELECT k, 3, 'window', 'HOLD', concat('w', CAST(k AS STRING)), concat('t', CAST(n_rev AS STRING)), 'pol', CASE WHEN k % 3 = 0 THEN 'm9' ELSE concat('m', CAST(n_rev AS STRING)) END FROM snaps WHERE n_win >= 2),
+sealed AS (
+  SELECT k, CASE WHEN k % 17 = 0 THEN i + 1 ELSE i END AS revision, i, CASE WHEN i > 1 AND k % 19 <> 0 THEN concat('m', CAST(i - 1 AS STRING)) END AS predecessor, CASE WHEN k % 23 = 0 THEN 'm1' ELSE concat('m', CAST(i AS STRING)) END AS manifest,
+    CASE WHEN k % 127 = 0 THEN 'q' ELSE 'p' END AS protocol, CASE WHEN k % 11 = 0 AND i = 2 THEN 210 ELSE 200 END AS starts, CASE WHEN k % 7 = 0 THEN 700 - i WHEN k % 131 = 0 THEN 990 ELSE 600 + i END AS watermark,
+    CASE WHEN k % 5 = 0 THEN 't1' ELSE concat('t', CAST(i AS STRING)) END AS traces FROM snaps JOIN (SELECT 1 AS i UNION ALL SELECT 2) AS two ON i <= n_rev)
+"""
+
+
+def snapshot_faults(spark, sf_dir):
+    """What is wrong with snapshots whose assessments and windows are nested in them."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    text = SNAPSHOTS.replace("FROM orders", "FROM {orders}")
+    flat, tested, sealed = (spark.sql(f"WITH {text} SELECT * FROM {t}", orders=orders) for t in ("snaps", "tested", "sealed"))
+    policy = lambda digest, issued: F.when(digest.isNotNull(), F.struct(digest.alias("digest"), issued.alias("issued_at"), F.lit(1000).alias("expires_at")))
+    each = F.struct("place", "phase", "status", "decision", F.lit("p").alias("protocol"), F.lit("d").alias("dataset"), "traces", F.lit("e").alias("evaluators"), policy(F.col("policy"), F.lit(100)).alias("policy"), "manifest")
+    assessments = tested.groupBy("k").agg(F.array_sort(F.collect_list(each)).alias("assessments"))
+    revision = F.struct("i", F.lit("w").alias("window"), "revision", "predecessor", "manifest", "protocol", F.lit("pol").alias("policy"), "starts", F.lit(500).alias("ends"), "watermark", "traces", F.lit("e").alias("evaluators"), F.lit("cap").alias("capacity"))
+    windows = sealed.groupBy("k").agg(F.array(F.struct(F.lit("w").alias("window"), F.array_sort(F.collect_list(revision)).alias("revisions"))).alias("windows"))
+    rows = flat.join(assessments, "k", "left").join(windows, "k", "left").select(
+        "k", "state", "sequence", "last_event_id", "last_event_at", "created_at", "expires_at", "protocol", "collection", "assessments", "windows",
+        F.when(F.col("dataset").isNotNull(), F.struct("dataset", F.lit("t").alias("traces"), F.lit("e").alias("evaluators"))).alias("evidence"),
+        policy(F.col("policy"), F.col("issued_at")).alias("policy"), F.when(F.col("observed_at").isNotNull(), F.struct(F.lit("pol").alias("policy"), "observed_at")).alias("deployment"), F.array_compact(F.array("reason")).alias("stale"),
+    )
+    return snapshots.snapshot_faults(rows).select("k", F.array_join("faults", ",").alias("faults"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (replayed_chains, resumed_chains)}
+    return {f.__name__: f for f in (replayed_chains, resumed_chains, snapshot_faults)}
 
 
 _REPLAY = f"""{CHAINS.format(sha="sha256", bits="").replace("STRING", "VARCHAR")},
@@ -116,6 +160,45 @@ whole AS (
 _CRC = "(length(controller) * 7 + ascii(right(controller, 1)) * 3 + ascii(controller[2]))"
 
 
+_PROVED = "'HOLDOUT_CONFIRMED', 'PROMOTION_RECOMMENDED', 'MONITORING', 'ROLLBACK_RECOMMENDED'"
+_SNAPSHOT_RULES = [
+    ("validity-order", "created_at >= 1000"),
+    ("last-event-halves", "(last_event_id IS NULL) <> (last_event_at IS NULL)"),
+    ("genesis-identity", "(sequence = 0) <> (last_event_id IS NULL)"),
+    ("genesis-not-empty", "sequence = 0 AND (state <> 'DRAFT' OR later OR reason IS NOT NULL)"),
+    ("draft-after-genesis", "sequence <> 0 AND state = 'DRAFT'"),
+    ("event-before-creation", "last_event_at < created_at"),
+    ("expired-but-active", "active AND last_event_at >= 1000"),
+    ("revision-lineage", "misplaced OR torn"),
+    ("revision-policy", "revs > 0 AND (foreign_ AND protocol = 'p' OR NOT foreign_ AND protocol <> 'p' OR foreign_ AND protocol <> 'q' OR policy IS NULL OR policy <> 'pol')"),
+    ("revision-outside-validity", "low < created_at OR high >= 1000"),
+    ("revision-after-event", "high > last_event_at"),
+    ("manifest-repeated", "manifests < revs"),
+    ("revision-bounds", "moved"),
+    ("revision-watermark", "back"),
+    ("revision-unchanged", "same"),
+    ("assessment-repeated", "decisions < n"),
+    ("assessment-protocol", "n > 0 AND protocol <> 'p'"),
+    ("holdout-without-nomination", "n_hold > 0 AND (NOT nominated OR n_hold > 1)"),
+    ("window-without-holdout", "n_window > 0 AND NOT passed"),
+    ("window-source", "source_"),
+    ("policy-validity", "policy IS NOT NULL AND (issued_at < created_at OR issued_at > last_event_at)"),
+    ("policy-nomination", "CASE WHEN policy IS NULL THEN nominated ELSE NOT nominated OR policy IS DISTINCT FROM dev_policy OR issued_at <> 100 END"),
+    ("assessment-policy", "other_policy"),
+    ("evidence-without-collection", "dataset IS NOT NULL AND collection IS NULL"),
+    ("assessment-without-evidence", "n > 0 AND dataset IS NULL"),
+    ("development-evidence", "n_dev > 0 AND dataset <> 'd'"),
+    ("window-without-policy", "revs > 0 AND policy IS NULL"),
+    ("deployment-incoherent", "observed_at IS NOT NULL AND (policy IS NULL OR NOT passed OR NOT some_pass OR policy <> 'pol' OR observed_at < created_at OR last_event_at IS NULL OR observed_at > last_event_at OR state NOT IN ('MONITORING', 'HOLD', 'ROLLBACK_RECOMMENDED', 'STALE', 'RETIRED'))"),
+    ("stale-reasons-state", "reason IS NOT NULL AND active"),
+    ("stale-without-reason", "reason IS NULL AND state = 'STALE'"),
+    ("state-sequence", "sequence <> CASE state WHEN 'REGISTERED' THEN 1 WHEN 'COLLECTING' THEN 2 WHEN 'DEV_READY' THEN 3 WHEN 'NOMINATED' THEN 4 WHEN 'SHADOW_ASSESSING' THEN 5 + revs WHEN 'HOLDOUT_CONFIRMED' THEN 6 + revs + n_window WHEN 'PROMOTION_RECOMMENDED' THEN 6 + revs + n_window WHEN 'MONITORING' THEN 7 + revs + n_window WHEN 'ROLLBACK_RECOMMENDED' THEN 7 + revs + n_window WHEN 'HOLD' THEN CASE WHEN policy IS NULL THEN 3 + n ELSE 4 + n + revs + CASE WHEN observed_at IS NULL THEN 0 ELSE 1 END END END"),
+    ("state-excludes", f"state = 'REGISTERED' AND (collection IS NOT NULL OR dataset IS NOT NULL OR later) OR state = 'COLLECTING' AND (dataset IS NOT NULL OR later) OR state = 'DEV_READY' AND later OR state = 'NOMINATED' AND (n_hold > 0 OR revs > 0 OR observed_at IS NOT NULL) OR state = 'SHADOW_ASSESSING' AND (n_hold > 0 OR observed_at IS NOT NULL) OR state IN ('HOLDOUT_CONFIRMED', 'PROMOTION_RECOMMENDED') AND observed_at IS NOT NULL"),
+    ("state-requires", f"state IN ({_PROVED}, 'COLLECTING', 'DEV_READY', 'NOMINATED', 'SHADOW_ASSESSING', 'HOLD') AND collection IS NULL OR state IN ({_PROVED}, 'DEV_READY', 'NOMINATED', 'SHADOW_ASSESSING', 'HOLD') AND dataset IS NULL OR state IN ({_PROVED}, 'NOMINATED', 'SHADOW_ASSESSING') AND (policy IS NULL OR NOT nominated) OR state IN ({_PROVED}) AND NOT passed OR state IN ('MONITORING', 'ROLLBACK_RECOMMENDED') AND observed_at IS NULL"),
+    ("state-last-assessment", "state = 'PROMOTION_RECOMMENDED' AND NOT coalesce(end_phase = 'window' AND end_status = 'PASS' AND end_manifest = end_sealed, FALSE) OR state = 'ROLLBACK_RECOMMENDED' AND NOT coalesce(end_phase = 'window' AND end_status = 'HOLD' AND end_manifest = end_sealed, FALSE) OR state = 'HOLD' AND coalesce(end_status IN ('NOMINATED', 'PASS', 'STALE'), TRUE)"),
+]
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "replayed_chains": f"WITH RECURSIVE {_REPLAY} SELECT whole.controller, state, applied, event_id AS last_event_id, refused, fault FROM whole LEFT JOIN sums ON whole.controller = sums.controller AND applied = sequence",
@@ -125,4 +208,24 @@ verdicts AS (
     WHEN {_CRC} % 10 = 1 AND (SELECT arg_max(r.state, r.p) FROM r WHERE r.controller = whole.controller AND r.p <= {AT}) <> 'HOLD' THEN 'prefix-mismatch' ELSE 'replayed' END AS verdict FROM whole)
 SELECT verdicts.controller, checkpoint, verdict, state, applied, refused, fault FROM verdicts
 LEFT JOIN whole ON whole.controller = verdicts.controller AND verdict IN ('pinned', 'replayed')""",
+        "snapshot_faults": f"""WITH {SNAPSHOTS.replace("STRING", "VARCHAR")},
+a AS (
+  SELECT k, count(*) AS n, count(DISTINCT decision) AS decisions, count(*) FILTER (phase = 'development') AS n_dev, count(*) FILTER (phase = 'holdout') AS n_hold, count(*) FILTER (phase = 'window') AS n_window,
+    arg_min(status, place) FILTER (phase = 'development') AS dev, arg_min(policy, place) FILTER (phase = 'development') AS dev_policy, arg_min(status, place) FILTER (phase = 'holdout') AS hold,
+    bool_or(phase = 'window' AND status = 'PASS') AS some_pass, arg_max(phase, place) AS end_phase, arg_max(status, place) AS end_status, arg_max(coalesce(manifest, ''), place) AS end_manifest FROM tested GROUP BY k),
+s AS (
+  SELECT k, count(*) AS revs, count(DISTINCT manifest) AS manifests, arg_max(manifest, i) AS end_sealed, bool_or(revision <> i) AS misplaced, bool_or(protocol <> 'p') AS foreign_, max(watermark) AS high, min(starts) AS low FROM sealed GROUP BY k),
+pairs AS (
+  SELECT y.k, x.starts <> y.starts AS moved, y.watermark < x.watermark AS back, x.traces = y.traces AS same, y.predecessor IS DISTINCT FROM x.manifest AS torn FROM sealed x JOIN sealed y ON x.k = y.k AND x.i = 1 AND y.i = 2),
+bad_source AS (SELECT DISTINCT t.k FROM tested t WHERE phase = 'window' AND NOT EXISTS (SELECT 1 FROM sealed WHERE sealed.k = t.k AND sealed.manifest = t.manifest AND sealed.traces = t.traces)),
+bad_policy AS (
+  SELECT DISTINCT t.k FROM tested t JOIN snaps USING (k) WHERE phase <> 'development' AND (snaps.policy IS NULL OR t.policy IS NULL OR t.policy <> snaps.policy OR issued_at <> 100)),
+j AS (
+  SELECT snaps.*, coalesce(a.n, 0) AS n, coalesce(decisions, 0) AS decisions, coalesce(n_dev, 0) AS n_dev, coalesce(n_hold, 0) AS n_hold, coalesce(n_window, 0) AS n_window, dev, dev_policy, hold, coalesce(some_pass, FALSE) AS some_pass,
+    end_phase, end_status, end_manifest, coalesce(revs, 0) AS revs, coalesce(manifests, 0) AS manifests, end_sealed, coalesce(misplaced, FALSE) AS misplaced, coalesce(foreign_, FALSE) AS foreign_, high, low,
+    coalesce(moved, FALSE) AS moved, coalesce(back, FALSE) AS back, coalesce(same, FALSE) AS same, coalesce(torn, FALSE) AS torn, bad_source.k IS NOT NULL AS source_, bad_policy.k IS NOT NULL AS other_policy,
+    coalesce(dev = 'NOMINATED', FALSE) AS nominated, coalesce(hold = 'PASS', FALSE) AS passed, state NOT IN ('STALE', 'RETIRED') AS active,
+    snaps.policy IS NOT NULL OR coalesce(a.n, 0) > 0 OR coalesce(revs, 0) > 0 OR observed_at IS NOT NULL AS later
+  FROM snaps LEFT JOIN a USING (k) LEFT JOIN s USING (k) LEFT JOIN pairs USING (k) LEFT JOIN bad_source USING (k) LEFT JOIN bad_policy USING (k))
+SELECT k, concat_ws(',', {", ".join(f"CASE WHEN {rule} THEN '{code}' END" for code, rule in _SNAPSHOT_RULES)}) AS faults FROM j""",
     }
