@@ -1,24 +1,42 @@
-"""Cutting a plan that would otherwise be worked out again for every use of it."""
+"""What jobs share: a folder, plans cut where they would be worked out again for every use, this package on the executors."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """The rows, written to the folder that spark.checkpoint.dir names and that all executors share; their lineage ends there.
+def shared_folder(spark) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; where it is unset, local mode takes one of its own and a cluster raises."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="evenkeel-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
 
-    Where it is unset, local mode takes a folder of its own; a cluster without one is an error.
-    """
-    spark = rows.sparkSession
-    context = spark.sparkContext
+
+def cut(rows: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder; their lineage ends there."""
+    context = rows.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not context.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="evenkeel-")
-        context.setCheckpointDir(root)
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
     return rows.checkpoint()
+
+
+def ship(spark) -> None:
+    """Send this package to the executors, once for each context, as Python workers that hold its classes need it."""
+    context = spark.sparkContext
+    if getattr(context, "_evenkeel_sent", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="evenkeel-")) / "evenkeel.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, str(Path(top.name) / p.relative_to(top)))
+    context.addPyFile(str(target))
+    context._evenkeel_sent = True

@@ -6,12 +6,16 @@ chains is one SQL text for both engines; the SQL replays them by recursion, even
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, shared_folder
 from ..operators import chains, snapshots
+from ..streaming import stateful
 from .control import _NEXT, LATER, LIFE
 
+DAY_MS = 86_400_000
 AT = 12  # events of each chain before its checkpoint
 SIZES = {"segment": 64, "fan": 8}  # small, so that small tables take several rounds as well
 
@@ -130,8 +134,49 @@ def snapshot_faults(spark, sf_dir):
     return snapshots.snapshot_faults(rows).select("k", F.array_join("faults", ",").alias("faults"))
 
 
+def _streamed(rows, make, mode: str, end=None):
+    """What a stream over the rows, in files of any order and those of ``end`` after them, has written when it has read all of them."""
+    spark = rows.sparkSession
+    home = f"{shared_folder(spark)}/evenkeel-stream-{uuid.uuid4().hex}"
+    source = f"{home}/in"
+    rows.repartition(4).write.parquet(source)
+    if end is not None:
+        end.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    stateful.start(make(stream), f"{home}/out", f"{home}/check", mode).awaitTermination()
+    return spark.read.parquet(f"{home}/out")
+
+
+def streamed_controllers(spark, sf_dir):
+    """The users' chains, without forks and foreign events, folded by a stateful stream; a missing event is waited for."""
+    events, _, _ = _chains(spark, sf_dir)
+    rows = events.where("controller LIKE 'u%' AND length(event_id) = 64 AND study = 'study'").select("controller", "sequence", "predecessor", "event_id", F.col("occurred_at").alias("at"), "fact", "result")
+    said = _streamed(rows, lambda s: stateful.controllers(s, 0, 401), "update")
+    last = F.max_by(F.struct("state", "applied", "last_event_id", "refused", "fault"), F.struct("applied", F.coalesce("refused", F.lit(0))))
+    return said.groupBy("controller").agg(last.alias("x")).select("controller", "x.*")
+
+
+#: Both engines' text: the orders as attempts, accepted (some twice) and mostly ended, some after their lease.
+JOURNAL = """
+SELECT CAST(o_orderkey AS STRING) AS execution, CAST(1 + o_orderkey % 3 AS INT) AS attempt, 'accepted' AS kind, (o_orderkey + 1) * 1000 AS at_ms, CAST(30000 + o_custkey % 7 AS BIGINT) AS lease_ms, NULL AS category FROM orders
+UNION ALL SELECT CAST(o_orderkey AS STRING), CAST(1 + o_orderkey % 3 AS INT), 'accepted', (o_orderkey + 1) * 1000 + 5000, 90000, NULL FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT CAST(o_orderkey AS STRING), CAST(1 + o_orderkey % 3 AS INT), CASE o_custkey % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'not_sent' ELSE 'completed' END, (o_orderkey + 1) * 1000 + 25000 + o_custkey % 11 * 1000, NULL,
+  CASE o_custkey % 3 WHEN 0 THEN 'transport' WHEN 1 THEN 'policy' END FROM orders WHERE o_orderkey % 5 <> 0
+UNION ALL SELECT CAST(o_orderkey AS STRING), 9, 'completed', (o_orderkey + 1) * 1000, NULL, NULL FROM orders WHERE o_orderkey % 11 = 0
+"""
+
+
+def streamed_attempts(spark, sf_dir):
+    """What became of leased attempts, said once by a stateful stream with timers."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    rows = spark.sql(JOURNAL.replace("FROM orders", "FROM {orders}"), orders=orders)
+    end = rows.agg(F.lit("end").alias("execution"), F.lit(9).alias("attempt"), F.lit("failed").alias("kind"), (F.max("at_ms") + 200 * DAY_MS).alias("at_ms"), F.lit(None).cast("bigint").alias("lease_ms"), F.lit(None).cast("string").alias("category"))
+    rows, end = (r.withColumn("at", F.timestamp_millis("at_ms")).drop("at_ms") for r in (rows, end))
+    return _streamed(rows, lambda s: stateful.settle(s, 3, "100 days"), "append", end).select("execution", "attempt", "outcome", "at_ms", "again")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (replayed_chains, resumed_chains, snapshot_faults)}
+    return {f.__name__: f for f in (replayed_chains, resumed_chains, snapshot_faults, streamed_controllers, streamed_attempts)}
 
 
 _REPLAY = f"""{CHAINS.format(sha="sha256", bits="").replace("STRING", "VARCHAR")},
@@ -157,6 +202,8 @@ whole AS (
   SELECT ended.controller, state, applied, CASE WHEN stopped THEN applied + 1 ELSE g END AS refused, CASE WHEN stopped THEN why WHEN g IS NOT NULL THEN 'gap' END AS fault
   FROM ended LEFT JOIN gaps USING (controller))"""
 
+#: The same without forks, foreign events and the check of ids, which the stream does not make.
+_WAITED = _REPLAY.replace("AS source FROM chain GROUP BY ALL", "AS source FROM chain WHERE length(event_id) = 64 AND study = 'study' GROUP BY ALL").replace("WHEN event_id <> sha256(concat_ws('|', controller, CAST(sequence AS VARCHAR), fact, result, CAST(source AS VARCHAR))) THEN 'identity'", "")
 _CRC = "(length(controller) * 7 + ascii(right(controller, 1)) * 3 + ascii(controller[2]))"
 
 
@@ -208,6 +255,14 @@ verdicts AS (
     WHEN {_CRC} % 10 = 1 AND (SELECT arg_max(r.state, r.p) FROM r WHERE r.controller = whole.controller AND r.p <= {AT}) <> 'HOLD' THEN 'prefix-mismatch' ELSE 'replayed' END AS verdict FROM whole)
 SELECT verdicts.controller, checkpoint, verdict, state, applied, refused, fault FROM verdicts
 LEFT JOIN whole ON whole.controller = verdicts.controller AND verdict IN ('pinned', 'replayed')""",
+        "streamed_controllers": f"""WITH RECURSIVE {_WAITED} SELECT ended.controller, state, applied, event_id AS last_event_id, CASE WHEN stopped THEN applied + 1 END AS refused, CASE WHEN stopped THEN why END AS fault
+FROM ended LEFT JOIN sums ON ended.controller = sums.controller AND applied = sequence WHERE ended.controller LIKE 'u%'""",
+        "streamed_attempts": f"""WITH j AS ({JOURNAL.replace("STRING", "VARCHAR")}),
+a AS (SELECT execution, attempt, min(at_ms) AS begun, arg_min(lease_ms, at_ms) + min(at_ms) AS lease FROM j WHERE kind = 'accepted' GROUP BY ALL),
+e AS (SELECT execution, attempt, kind, at_ms, category FROM j WHERE kind <> 'accepted'),
+b AS (SELECT a.execution, a.attempt, lease, kind, at_ms, category, coalesce(at_ms >= begun AND at_ms < lease, FALSE) AS inside FROM a LEFT JOIN e USING (execution, attempt))
+SELECT execution, attempt, CASE WHEN inside THEN kind ELSE 'sent_unknown' END AS outcome, CAST(CASE WHEN inside THEN at_ms ELSE lease END AS BIGINT) AS at_ms,
+  inside AND kind = 'not_sent' AND coalesce(category = 'transport', FALSE) AND attempt < 3 AS again FROM b""",
         "snapshot_faults": f"""WITH {SNAPSHOTS.replace("STRING", "VARCHAR")},
 a AS (
   SELECT k, count(*) AS n, count(DISTINCT decision) AS decisions, count(*) FILTER (phase = 'development') AS n_dev, count(*) FILTER (phase = 'holdout') AS n_hold, count(*) FILTER (phase = 'window') AS n_window,
