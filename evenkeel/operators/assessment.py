@@ -27,7 +27,9 @@ NO_SCORE = {
     "abstained": "evaluator-abstention",
     "missing": "missing-evaluator-evidence",
     "invalid": "invalid-evaluator-evidence",
+    "conflicting": "conflicting-evidence",
 }
+WITH_SCORE = ["scored", "failure"]
 OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
     "less-than": lambda a, b: a < b,
     "less-than-or-equal": lambda a, b: a <= b,
@@ -144,6 +146,14 @@ def replay(pairs: DataFrame, bundles: DataFrame) -> DataFrame:
     return rows
 
 
+def no_score_reason(outcome: Column) -> Column:
+    """Why an outcome has no score; null where it has one.  A name that is not known is an error."""
+    rule = F.when(outcome.isNull() | outcome.isin(*WITH_SCORE), F.lit(None).cast("string"))
+    for name, reason in NO_SCORE.items():
+        rule = rule.when(outcome == name, reason)
+    return rule.otherwise(F.raise_error(F.concat(F.lit("unknown outcome: "), outcome)).cast("string"))
+
+
 def metrics(rows: DataFrame, slices: list[str]) -> DataFrame:
     """One row per bundle: metrics with their weakest evidence class, coverage, counts, and the reasons that evidence leaves."""
     c, ok = F.col, F.col("problem").isNull()
@@ -151,7 +161,7 @@ def metrics(rows: DataFrame, slices: list[str]) -> DataFrame:
     w = c("row_weight")
     beside = ok | (c("problem") == "missing-route-signal")  # pairs that the control replays
     paired = c("score").isNotNull() & c("control_score").isNotNull()
-    why = lambda x: F.when(x == "ambiguous", NO_SCORE["ambiguous"]).when(x == "abstained", NO_SCORE["abstained"]).when(x == "missing", NO_SCORE["missing"]).when(x == "invalid", NO_SCORE["invalid"])
+    why = no_score_reason
     out = rows.groupBy("policy", "kind").agg(
         F.count_if(ok).alias("replayed"), F.count_if(ok & c("failed")).alias("failures"), F.count_if(ok & c("serial")).alias("serial"),
         F.when(F.count_if(ok & c("score").isNull()) == 0, weighted_mean(F.when(ok, c("score")), F.when(ok, w))).alias("mean_score"), F.max(F.when(ok, c("score_class"))).alias("score_class"),
