@@ -32,7 +32,7 @@ def table() -> list[int]:
     for fact in FACTS:
         for result in [*RESULTS, None]:
             for state in STATES:
-                fits = (after or state for f, states, wanted, after in TRANSITIONS if f == fact and wanted in (None, result) and (state != "RETIRED" if states == "*" else state in states.split()))
+                fits = (after or state for f, states, wanted, after in TRANSITIONS if f == fact and wanted in (None, result) and (state != "RETIRED" if states == ["*"] else state in states))
                 after = next(fits, None)
                 out.append(STATES.index(after) if after else -1)
     return out

@@ -7,29 +7,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 MOST_EVENTS = 10_000  # of one controller, by contract
 
 # Fixed values: (fact, states it is allowed from, result that it takes, state after it); the first row that fits holds.
-# "*" is any state but RETIRED, a result of None is any, a state after it of None is unchanged.
+# ["*"] is any state but RETIRED, a result of None is any, a state after it of None is unchanged.
 TRANSITIONS = [
-    ("protocol-registered", "DRAFT", None, "REGISTERED"),
-    ("collection-started", "REGISTERED", None, "COLLECTING"),
-    ("development-evidence-ready", "COLLECTING", None, "DEV_READY"),
-    ("development-assessment-recorded", "DEV_READY", "NOMINATED", "NOMINATED"),
-    ("development-assessment-recorded", "DEV_READY", "STALE", "STALE"),
-    ("development-assessment-recorded", "DEV_READY", None, "HOLD"),
-    ("shadow-assessment-started", "NOMINATED", None, "SHADOW_ASSESSING"),
-    ("holdout-assessment-recorded", "SHADOW_ASSESSING", "PASS", "HOLDOUT_CONFIRMED"),
-    ("holdout-assessment-recorded", "SHADOW_ASSESSING", "STALE", "STALE"),
-    ("holdout-assessment-recorded", "SHADOW_ASSESSING", None, "HOLD"),
-    ("window-manifest-recorded", "PROMOTION_RECOMMENDED", None, "HOLDOUT_CONFIRMED"),
-    ("window-manifest-recorded", "SHADOW_ASSESSING HOLDOUT_CONFIRMED MONITORING", None, None),
-    ("window-assessment-recorded", "HOLDOUT_CONFIRMED", "PASS", "PROMOTION_RECOMMENDED"),
-    ("window-assessment-recorded", "MONITORING", "PASS", None),
-    ("window-assessment-recorded", "HOLDOUT_CONFIRMED MONITORING", "STALE", "STALE"),
-    ("window-assessment-recorded", "MONITORING", "HOLD", "ROLLBACK_RECOMMENDED"),
-    ("window-assessment-recorded", "HOLDOUT_CONFIRMED MONITORING", None, "HOLD"),
-    ("deployment-observed", "PROMOTION_RECOMMENDED", None, "MONITORING"),
-    ("identity-drift-recorded", "*", None, "STALE"),
-    ("protocol-expiry-observed", "*", None, "STALE"),
-    ("controller-retired", "*", None, "RETIRED"),
+    ("protocol-registered", ["DRAFT"], None, "REGISTERED"),
+    ("collection-started", ["REGISTERED"], None, "COLLECTING"),
+    ("development-evidence-ready", ["COLLECTING"], None, "DEV_READY"),
+    ("development-assessment-recorded", ["DEV_READY"], "NOMINATED", "NOMINATED"),
+    ("development-assessment-recorded", ["DEV_READY"], "STALE", "STALE"),
+    ("development-assessment-recorded", ["DEV_READY"], None, "HOLD"),
+    ("shadow-assessment-started", ["NOMINATED"], None, "SHADOW_ASSESSING"),
+    ("holdout-assessment-recorded", ["SHADOW_ASSESSING"], "PASS", "HOLDOUT_CONFIRMED"),
+    ("holdout-assessment-recorded", ["SHADOW_ASSESSING"], "STALE", "STALE"),
+    ("holdout-assessment-recorded", ["SHADOW_ASSESSING"], None, "HOLD"),
+    ("window-manifest-recorded", ["PROMOTION_RECOMMENDED"], None, "HOLDOUT_CONFIRMED"),
+    ("window-manifest-recorded", ["SHADOW_ASSESSING", "HOLDOUT_CONFIRMED", "MONITORING"], None, None),
+    ("window-assessment-recorded", ["HOLDOUT_CONFIRMED"], "PASS", "PROMOTION_RECOMMENDED"),
+    ("window-assessment-recorded", ["MONITORING"], "PASS", None),
+    ("window-assessment-recorded", ["HOLDOUT_CONFIRMED", "MONITORING"], "STALE", "STALE"),
+    ("window-assessment-recorded", ["MONITORING"], "HOLD", "ROLLBACK_RECOMMENDED"),
+    ("window-assessment-recorded", ["HOLDOUT_CONFIRMED", "MONITORING"], None, "HOLD"),
+    ("deployment-observed", ["PROMOTION_RECOMMENDED"], None, "MONITORING"),
+    ("identity-drift-recorded", ["*"], None, "STALE"),
+    ("protocol-expiry-observed", ["*"], None, "STALE"),
+    ("controller-retired", ["*"], None, "RETIRED"),
 ]
 
 
@@ -41,7 +41,7 @@ def next_state(state: Column, fact: Column, result: Column, expired: Column) ->
     """The state after a fact; null where the fact is not allowed."""
     rule = F.when(F.when(expired, ~fact.isin(*AFTER_EXPIRY)).otherwise(fact == "protocol-expiry-observed"), F.lit(None).cast("string"))
     for name, states, wanted, after in TRANSITIONS:
-        fits = (fact == name) & ((state != "RETIRED") if states == "*" else state.isin(*states.split()))
+        fits = (fact == name) & ((state != "RETIRED") if states == ["*"] else state.isin(*states))
         if wanted:
             fits = fits & (F.coalesce(result, F.lit("")) == wanted)
         rule = rule.when(fits, F.lit(after) if after else state)

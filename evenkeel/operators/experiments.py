@@ -9,17 +9,17 @@ SOMETIMES = ["evaluator-calibration", "execution-profiles", "routing-policy", "s
 
 # Diagnosis, changed variable, target, evidence required, the control that is not frozen.
 PROPOSALS = [
-    ("insufficient-evidence", "evidence-collection", "assessment-evidence", "paired-evaluator-evidence independent-group-coverage observer-failure-evidence", ""),
-    ("evaluator-drift", "evaluator-calibration", "external-evaluator", "evaluator-calibration-evidence", "evaluator-calibration"),
-    ("quality-regression", "routing-policy", "selected-policy", "paired-evaluator-evidence independent-group-coverage", "routing-policy"),
-    ("critical-slice-regression", "routing-policy", "selected-policy", "paired-evaluator-evidence critical-slice-coverage", "routing-policy"),
-    ("ttft-regression", "execution-profile", "selected-profile", "observer-timing-evidence paired-evaluator-evidence observer-failure-evidence", "execution-profiles"),
-    ("tail-latency-regression", "execution-profile", "selected-profile", "observer-timing-evidence paired-evaluator-evidence observer-failure-evidence", "execution-profiles"),
-    ("error-regression", "execution-profile", "selected-profile", "observer-failure-evidence paired-evaluator-evidence", "execution-profiles"),
-    ("cost-regression", "execution-profile", "selected-profile", "attempt-cost-evidence paired-evaluator-evidence", "execution-profiles"),
-    ("unavailable-capacity", "capacity-observation", "nominated-window", "exact-policy-capacity-evidence", ""),
-    ("capability-mismatch", "required-capability", "finding", "runtime-capability-evidence", "execution-profiles"),
-    ("sealed-shadow-replication", "evidence-window", "sealed-shadow-window", "sealed-shadow-window-evidence paired-evaluator-evidence independent-group-coverage", "sampling-membership"),
+    ("insufficient-evidence", "evidence-collection", "assessment-evidence", ["paired-evaluator-evidence", "independent-group-coverage", "observer-failure-evidence"], ""),
+    ("evaluator-drift", "evaluator-calibration", "external-evaluator", ["evaluator-calibration-evidence"], "evaluator-calibration"),
+    ("quality-regression", "routing-policy", "selected-policy", ["paired-evaluator-evidence", "independent-group-coverage"], "routing-policy"),
+    ("critical-slice-regression", "routing-policy", "selected-policy", ["paired-evaluator-evidence", "critical-slice-coverage"], "routing-policy"),
+    ("ttft-regression", "execution-profile", "selected-profile", ["observer-timing-evidence", "paired-evaluator-evidence", "observer-failure-evidence"], "execution-profiles"),
+    ("tail-latency-regression", "execution-profile", "selected-profile", ["observer-timing-evidence", "paired-evaluator-evidence", "observer-failure-evidence"], "execution-profiles"),
+    ("error-regression", "execution-profile", "selected-profile", ["observer-failure-evidence", "paired-evaluator-evidence"], "execution-profiles"),
+    ("cost-regression", "execution-profile", "selected-profile", ["attempt-cost-evidence", "paired-evaluator-evidence"], "execution-profiles"),
+    ("unavailable-capacity", "capacity-observation", "nominated-window", ["exact-policy-capacity-evidence"], ""),
+    ("capability-mismatch", "required-capability", "finding", ["runtime-capability-evidence"], "execution-profiles"),
+    ("sealed-shadow-replication", "evidence-window", "sealed-shadow-window", ["sealed-shadow-window-evidence", "paired-evaluator-evidence", "independent-group-coverage"], "sampling-membership"),
 ]
 # What makes an assessment stale by its evaluator alone.
 EVALUATOR_STALE = [
@@ -61,6 +61,6 @@ def diagnose(assessments: DataFrame) -> DataFrame:
 
 def propose(diagnosed: DataFrame) -> DataFrame:
     """Adds variable, target, evidence and frozen controls by the diagnosis; no diagnosis, no proposal."""
-    table = diagnosed.sparkSession.createDataFrame(PROPOSALS, "diagnosis string, variable string, target string, evidence string, free string")
+    table = diagnosed.sparkSession.createDataFrame(PROPOSALS, "diagnosis string, variable string, target string, evidence array<string>, free string")
     controls = F.array_sort(F.array_remove(F.array(*map(F.lit, ALWAYS + SOMETIMES)), F.col("free")))
-    return diagnosed.join(F.broadcast(table), "diagnosis").withColumn("evidence", F.split("evidence", " ")).withColumn("frozen", controls).drop("free")
+    return diagnosed.join(F.broadcast(table), "diagnosis").withColumn("frozen", controls).drop("free")

@@ -4,25 +4,178 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-CAPABILITIES = "chatCompletions completions responses nativeChat nativeGenerate streaming finalUsage logprobs structuredOutput tools cancellation modelDiscovery liveness readiness prometheusMetrics jsonMetrics".split()
-SUPPORT = {"S": "supported", "C": "conditional", "N": "unsupported", "?": "unknown"}
-
-# Support of each capability, in the order above.
+# The capabilities that a runtime may have.
+CAPABILITIES = [
+    "chatCompletions",
+    "completions",
+    "responses",
+    "nativeChat",
+    "nativeGenerate",
+    "streaming",
+    "finalUsage",
+    "logprobs",
+    "structuredOutput",
+    "tools",
+    "cancellation",
+    "modelDiscovery",
+    "liveness",
+    "readiness",
+    "prometheusMetrics",
+    "jsonMetrics",
+]
+
+# What each runtime supports, capability by capability.
 RUNTIMES = {
-    "llama.cpp": "C S C ? ? S C C C C ? S S ? C N",
-    "lm-studio": "C ? C C ? S S ? C C ? S ? ? ? ?",
-    "mlx-lm": "C C ? ? ? S C C N C ? S S ? N N",
-    "ollama": "C C C S S S S C C C ? S C ? N N",
-    "sglang": "C S C ? ? S C C C C ? S C C C N",
-    "tensorrt-llm": "C S C ? ? S C C C C ? S S C C C",
-    "tgi": "C ? N ? S S S C C C ? S S ? S N",
-    "vllm": "C S C ? ? S C C C C ? S S ? S N",
+    "llama.cpp": {
+        "chatCompletions": "conditional",
+        "completions": "supported",
+        "responses": "conditional",
+        "nativeChat": "unknown",
+        "nativeGenerate": "unknown",
+        "streaming": "supported",
+        "finalUsage": "conditional",
+        "logprobs": "conditional",
+        "structuredOutput": "conditional",
+        "tools": "conditional",
+        "cancellation": "unknown",
+        "modelDiscovery": "supported",
+        "liveness": "supported",
+        "readiness": "unknown",
+        "prometheusMetrics": "conditional",
+        "jsonMetrics": "unsupported",
+    },
+    "lm-studio": {
+        "chatCompletions": "conditional",
+        "completions": "unknown",
+        "responses": "conditional",
+        "nativeChat": "conditional",
+        "nativeGenerate": "unknown",
+        "streaming": "supported",
+        "finalUsage": "supported",
+        "logprobs": "unknown",
+        "structuredOutput": "conditional",
+        "tools": "conditional",
+        "cancellation": "unknown",
+        "modelDiscovery": "supported",
+        "liveness": "unknown",
+        "readiness": "unknown",
+        "prometheusMetrics": "unknown",
+        "jsonMetrics": "unknown",
+    },
+    "mlx-lm": {
+        "chatCompletions": "conditional",
+        "completions": "conditional",
+        "responses": "unknown",
+        "nativeChat": "unknown",
+        "nativeGenerate": "unknown",
+        "streaming": "supported",
+        "finalUsage": "conditional",
+        "logprobs": "conditional",
+        "structuredOutput": "unsupported",
+        "tools": "conditional",
+        "cancellation": "unknown",
+        "modelDiscovery": "supported",
+        "liveness": "supported",
+        "readiness": "unknown",
+        "prometheusMetrics": "unsupported",
+        "jsonMetrics": "unsupported",
+    },
+    "ollama": {
+        "chatCompletions": "conditional",
+        "completions": "conditional",
+        "responses": "conditional",
+        "nativeChat": "supported",
+        "nativeGenerate": "supported",
+        "streaming": "supported",
+        "finalUsage": "supported",
+        "logprobs": "conditional",
+        "structuredOutput": "conditional",
+        "tools": "conditional",
+        "cancellation": "unknown",
+        "modelDiscovery": "supported",
+        "liveness": "conditional",
+        "readiness": "unknown",
+        "prometheusMetrics": "unsupported",
+        "jsonMetrics": "unsupported",
+    },
+    "sglang": {
+        "chatCompletions": "conditional",
+        "completions": "supported",
+        "responses": "conditional",
+        "nativeChat": "unknown",
+        "nativeGenerate": "unknown",
+        "streaming": "supported",
+        "finalUsage": "conditional",
+        "logprobs": "conditional",
+        "structuredOutput": "conditional",
+        "tools": "conditional",
+        "cancellation": "unknown",
+        "modelDiscovery": "supported",
+        "liveness": "conditional",
+        "readiness": "conditional",
+        "prometheusMetrics": "conditional",
+        "jsonMetrics": "unsupported",
+    },
+    "tensorrt-llm": {
+        "chatCompletions": "conditional",
+        "completions": "supported",
+        "responses": "conditional",
+        "nativeChat": "unknown",
+        "nativeGenerate": "unknown",
+        "streaming": "supported",
+        "finalUsage": "conditional",
+        "logprobs": "conditional",
+        "structuredOutput": "conditional",
+        "tools": "conditional",
+        "cancellation": "unknown",
+        "modelDiscovery": "supported",
+        "liveness": "supported",
+        "readiness": "conditional",
+        "prometheusMetrics": "conditional",
+        "jsonMetrics": "conditional",
+    },
+    "tgi": {
+        "chatCompletions": "conditional",
+        "completions": "unknown",
+        "responses": "unsupported",
+        "nativeChat": "unknown",
+        "nativeGenerate": "supported",
+        "streaming": "supported",
+        "finalUsage": "supported",
+        "logprobs": "conditional",
+        "structuredOutput": "conditional",
+        "tools": "conditional",
+        "cancellation": "unknown",
+        "modelDiscovery": "supported",
+        "liveness": "supported",
+        "readiness": "unknown",
+        "prometheusMetrics": "supported",
+        "jsonMetrics": "unsupported",
+    },
+    "vllm": {
+        "chatCompletions": "conditional",
+        "completions": "supported",
+        "responses": "conditional",
+        "nativeChat": "unknown",
+        "nativeGenerate": "unknown",
+        "streaming": "supported",
+        "finalUsage": "conditional",
+        "logprobs": "conditional",
+        "structuredOutput": "conditional",
+        "tools": "conditional",
+        "cancellation": "unknown",
+        "modelDiscovery": "supported",
+        "liveness": "supported",
+        "readiness": "unknown",
+        "prometheusMetrics": "supported",
+        "jsonMetrics": "unsupported",
+    },
 }
 
 
 def registry(spark) -> DataFrame:
     """(runtime, capability, support), a row for each of both."""
-    rows = [(name, c, SUPPORT[x]) for name, line in RUNTIMES.items() for c, x in zip(CAPABILITIES, line.split(), strict=True)]
+    rows = [(name, c, support) for name, own in RUNTIMES.items() for c, support in own.items()]
     return spark.createDataFrame(rows, "runtime string, capability string, support string")
 
 

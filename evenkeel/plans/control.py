@@ -166,16 +166,14 @@ _NEXT = """CASE WHEN (r.p + 1 > 40) AND fact NOT IN ('identity-drift-recorded',
   WHEN state = 'MONITORING' AND fact = 'window-assessment-recorded' THEN CASE result WHEN 'PASS' THEN state WHEN 'STALE' THEN 'STALE' WHEN 'HOLD' THEN 'ROLLBACK_RECOMMENDED' ELSE 'HOLD' END
   WHEN state = 'PROMOTION_RECOMMENDED' AND fact = 'deployment-observed' THEN 'MONITORING' END"""
 
-_REGISTRY = "(VALUES " + ", ".join(f"('{n}', '{line.replace(' ', '')}')" for n, line in runtime.RUNTIMES.items()) + ") AS g(runtime, line)"
-_SUPPORT = "CASE line[{i}] WHEN 'S' THEN 'supported' WHEN 'C' THEN 'conditional' WHEN 'N' THEN 'unsupported' ELSE 'unknown' END"
+_REGISTRY = "(VALUES " + ", ".join(f"('{n}', '{c}', '{support}')" for n, own in runtime.RUNTIMES.items() for c, support in own.items()) + ") AS g(runtime, capability, support)"
 
 
 def oracle_sql() -> dict[str, str]:
-    every = ", ".join(f"('{c}', {i + 1})" for i, c in enumerate(runtime.CAPABILITIES))
     pick = lambda n, *v: f"{_list(v)}[CAST(event_id // {n} % {len(v)} AS INTEGER) + 1]"
     inner, outer = ("".join(f"{b ^ pad:02X}" for b in KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C))
     head = b"evenkeel/payload/1study-1\0key-1\0".hex()
-    proposals = ", ".join("(" + ", ".join(f"'{x}'" for x in (d, v, t, e.replace(" ", ","), ",".join(sorted(set(experiments.ALWAYS + experiments.SOMETIMES) - {f})))) + ")" for d, v, t, e, f in experiments.PROPOSALS)
+    proposals = ", ".join("(" + ", ".join(f"'{x}'" for x in (d, v, t, ",".join(e), ",".join(sorted(set(experiments.ALWAYS + experiments.SOMETIMES) - {f})))) + ")" for d, v, t, e, f in experiments.PROPOSALS)
     return {
         "controller_states": f"""WITH RECURSIVE placed AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
 f AS (
@@ -192,10 +190,10 @@ d AS (SELECT policy, CASE WHEN list_contains(bad, 'mean_score') THEN 'quality-re
   WHEN list_contains(bad, 'p95_ttft') THEN 'ttft-regression' WHEN list_contains(bad, 'p95_e2e') THEN 'tail-latency-regression' WHEN list_contains(bad, 'error_rate') THEN 'error-regression'
   WHEN list_contains(bad, 'cost_per_request') THEN 'cost-regression' WHEN ok THEN 'sealed-shadow-replication' END AS diagnosis FROM w)
 SELECT policy, diagnosis, variable, target, evidence, frozen FROM d JOIN (VALUES {proposals}) AS t(diagnosis, variable, target, evidence, frozen) USING (diagnosis)""",
-        "runtime_capabilities": f"SELECT runtime, capability, {_SUPPORT.format(i='i')} AS support FROM {_REGISTRY}, (VALUES {every}) AS c(capability, i)",
+        "runtime_capabilities": f"SELECT runtime, capability, support FROM {_REGISTRY}",
         "capability_mismatches": f"""WITH i AS (SELECT s_suppkey AS instance, {_list(sorted(runtime.RUNTIMES))}[s_suppkey % 8 + 1] AS runtime, s_suppkey % 5 != 0 AS pinned FROM supplier),
-a AS (SELECT instance, capability, CASE WHEN capability = 'tools' AND instance % 7 = 0 THEN 'unsupported' WHEN pinned THEN {_SUPPORT.format(i='i')} ELSE 'unknown' END AS s
-  FROM i JOIN {_REGISTRY} USING (runtime), (VALUES {every}) AS c(capability, i) WHERE capability IN ({", ".join(f"'{c}'" for c in REQUIRED)}))
+a AS (SELECT instance, capability, CASE WHEN capability = 'tools' AND instance % 7 = 0 THEN 'unsupported' WHEN pinned THEN support ELSE 'unknown' END AS s
+  FROM i JOIN {_REGISTRY} USING (runtime) WHERE capability IN ({", ".join(f"'{c}'" for c in REQUIRED)}))
 SELECT instance, coalesce(string_agg(capability, ',' ORDER BY capability) FILTER (s = 'unsupported'), '') AS lacking,
   coalesce(string_agg(capability, ',' ORDER BY capability) FILTER (s IN ('unknown', 'conditional')), '') AS open FROM a GROUP BY instance""",
         "attempt_outcomes": f"""WITH a AS (

@@ -44,7 +44,7 @@ def fold(rows, expires, state="DRAFT", at=0, last=None, last_at=None):
         ids = {r[5] for r in by[place]}
         r = min(by[place], key=lambda r: r[5])
         late = r[7] in controller.AFTER_EXPIRY
-        after = next((a or state for f, s, w, a in controller.TRANSITIONS if f == r[7] and w in (None, r[8]) and (state != "RETIRED" if s == "*" else state in s.split())), None)
+        after = next((a or state for f, s, w, a in controller.TRANSITIONS if f == r[7] and w in (None, r[8]) and (state != "RETIRED" if s == ["*"] else state in s)), None)
         for code, wrong in [("fork", len(ids) > 1), ("foreign", r[1] != "s"), ("gap", place != at + 1), ("splice", r[4] != last), ("time-regression", last_at is not None and r[6] < last_at), ("after-expiry", r[6] >= expires and not late), ("transition", after is None)]:
             if wrong:
                 return state, at, last, place, code
