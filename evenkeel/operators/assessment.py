@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import canonical
+from ..functions.lineage import cut
 from ..functions.stats import weighted_mean, weighted_quantiles
 from .replay import grouped_bootstrap
 
@@ -206,7 +207,7 @@ def assess(executions: DataFrame, protocol: Protocol, bundles: list[dict], phase
     control = control_bundle(protocol)
     listed = [b for b in bundles if b["policy"] != control["policy"]] + [control]
     table = spark.createDataFrame([tuple(b[k] for k in ("policy", "kind", "operator", "threshold", "primary")) for b in listed], "policy string, kind string, operator string, threshold double, primary string")
-    rows = replay(side_by_side(executions, sorted({b["primary"] for b in listed}), protocol.champion), table)
+    rows = cut(replay(side_by_side(executions, sorted({b["primary"] for b in listed}), protocol.champion), table))  # read for metrics, tails and intervals
     out = metrics(rows, protocol.critical_slices)
     out = spark.createDataFrame([(b["policy"], b["kind"]) for b in listed], "policy string, kind string").join(out.drop("kind"), "policy", "left")
     out = out.join(F.broadcast(intervals(rows, protocol, scale, unit)), "policy", "left")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.lineage import cut
+from ..functions.numbering import number_within
 from ..functions.stats import r7, weighted_mean, weighted_quantiles
 from ..functions.prng import draw
 
@@ -126,11 +128,11 @@ def grouped_bootstrap(effects: DataFrame, key: str, group: str, effect: str, wei
     """Per key: estimate and R-7 interval of weighted means over groups drawn with replacement.
 
     Draw k of iteration b is number b * groups + k of the generator, so all draws are made side by side.  Sums are over
-    whole numbers (effects and weights are scaled to such by the caller), so no order of addition shows.
+    whole numbers (effects and weights are scaled to such by the caller), so no order of addition shows.  Groups are numbered by
+    ranges, so no task holds all groups of a key.
     """
     per = effects.groupBy(key, group).agg(F.sum(F.col(effect) * F.col(weight)).alias("num"), F.sum(weight).alias("mass"))
-    by = Window.partitionBy(key)
-    per = per.withColumn("at", F.row_number().over(by.orderBy(group)) - 1).withColumn("groups", F.count("*").over(by))
+    per = cut(number_within(per, [key], [group], "at", "groups"))
     sizes = per.select(key, "groups").distinct()
     draws = sizes.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("_k", F.explode(F.expr("sequence(0, CAST(groups AS INT) - 1)")))
     draws = draws.withColumn("at", F.floor(draw(F.col("_b").cast("bigint") * F.col("groups") + F.col("_k"), seed) * F.col("groups")))

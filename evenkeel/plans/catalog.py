@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import prng, sampling, stats
+from ..functions.lineage import cut
 from ..operators import evidence, replay, window
 from ..sources import decoders
 
@@ -115,13 +116,19 @@ def _gated(spark, sf_dir):
 
 def _assessed(spark, sf_dir, split=None, every=None, metrics=None):
     """All gates of every policy in the inventory's order; the expert, which has no pairs, fails them and is no candidate."""
-    metrics = _metrics(spark, sf_dir, split) if metrics is None else metrics
-    quality = _bootstrap(spark, sf_dir, split).select("policy", (F.col("lo") / 20000).alias("paired_quality"), F.col("groups").alias("independent_groups"))
+    return _measured_and_gated(spark, sf_dir, split, every, metrics)[1]
+
+
+def _measured_and_gated(spark, sf_dir, split=None, every=None, metrics=None):
+    """(metrics, gates): the policies are replayed once, and metrics, pairs and coverage are read off those rows."""
+    rows = cut(_replayed(spark, sf_dir, split))
+    metrics = cut(replay.policy_metrics(rows, CRITICAL) if metrics is None else metrics)  # a row a policy
+    quality = _bootstrap(spark, sf_dir, split, rows).select("policy", (F.col("lo") / 20000).alias("paired_quality"), F.col("groups").alias("independent_groups"))
     groups = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id"), F.col("c_nationkey").alias("nation"))
-    covered = pairs(spark, sf_dir, split).join(groups, "group_id").agg(*[F.countDistinct(F.when(F.col("slice") == s, F.col("nation"))).alias(f"slice_groups_{i}") for i, s in enumerate(CRITICAL)])
+    covered = rows.where("policy = 'expert-only'").select("group_id", "slice").join(groups, "group_id").agg(*[F.countDistinct(F.when(F.col("slice") == s, F.col("nation"))).alias(f"slice_groups_{i}") for i, s in enumerate(CRITICAL)])
     base = metrics.where("policy = 'expert-only'").select(F.col("cost_per_request").alias("base"))
     wide = metrics.join(quality, "policy", "left").crossJoin(F.broadcast(covered)).crossJoin(F.broadcast(base))
-    return replay.gates(wide.withColumn("cost_improvement", F.try_divide(F.col("base") - F.col("cost_per_request"), F.col("base"))), every or [*PAIRED, *LIMITS, *DEVELOPMENT])
+    return metrics, cut(replay.gates(wide.withColumn("cost_improvement", F.try_divide(F.col("base") - F.col("cost_per_request"), F.col("base"))), every or [*PAIRED, *LIMITS, *DEVELOPMENT]))
 
 
 def replay_v1(spark, sf_dir):
@@ -151,18 +158,19 @@ def cost_improvement(spark, sf_dir):
 _GOALS = (["mean_score", "p10_tps"], ["error_rate", "p95_ttft", "p95_e2e", "cost_per_request"])
 
 
-def _rounded_metrics(spark, sf_dir, split=None):
-    return _metrics(spark, sf_dir, split).select("policy", *[F.round(c, 6).alias(c) if c in _ROUNDED else F.col(c) for c in _SHOWN])
+def _rounded(metrics):
+    return metrics.select("policy", *[F.round(c, 6).alias(c) if c in _ROUNDED else F.col(c) for c in _SHOWN])
 
 
 def pareto_frontier(spark, sf_dir):
-    return replay.pareto(_rounded_metrics(spark, sf_dir), *_GOALS).select("policy")
+    return replay.pareto(cut(_rounded(_metrics(spark, sf_dir))), *_GOALS).select("policy")
 
 
 def select_policy(spark, sf_dir):
     """The choice among the frontier of the policies that pass all gates; no row where none does."""
-    passing = _assessed(spark, sf_dir).groupBy("policy").agg(F.min("pass").alias("ok")).where("ok").select("policy")
-    metrics = _rounded_metrics(spark, sf_dir).join(F.broadcast(passing), "policy", "left_semi")
+    metrics, gated = _measured_and_gated(spark, sf_dir)
+    passing = gated.groupBy("policy").agg(F.min("pass").alias("ok")).where("ok").select("policy")
+    metrics = _rounded(metrics).join(F.broadcast(passing), "policy", "left_semi")
     return replay.select_policy(metrics, replay.pareto(metrics, *_GOALS).select("policy")).select("policy", "cost_per_request", "p95_e2e")
 
 
@@ -174,15 +182,16 @@ def case_effects(spark, sf_dir):
     return replay.case_effects(_replayed(spark, sf_dir), "expert-only", lambda x: F.round(x * 10000)).select("policy", "case_id", "group_id", "effect")
 
 
-def _by_nation(spark, sf_dir, split=None):
-    effects = replay.case_effects(_replayed(spark, sf_dir, split), "expert-only", lambda x: F.round(x * 10000))
+def _by_nation(spark, sf_dir, split=None, rows=None):
+    rows = cut(_replayed(spark, sf_dir, split)) if rows is None else rows
+    effects = replay.case_effects(rows, "expert-only", lambda x: F.round(x * 10000))
     groups = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id"), F.col("c_nationkey").alias("nation"))
     whole = effects.join(groups, "group_id").withColumn("twice", (F.col("effect") * 2).cast("bigint")).withColumn("w", (F.col("weight") / 27720).cast("bigint"))
     return whole.select("policy", "nation", "twice", "w")
 
 
-def _bootstrap(spark, sf_dir, split=None):
-    return replay.grouped_bootstrap(_by_nation(spark, sf_dir, split), "policy", "nation", "twice", "w", 200, 0.05, 42)
+def _bootstrap(spark, sf_dir, split=None, rows=None):
+    return replay.grouped_bootstrap(_by_nation(spark, sf_dir, split, rows), "policy", "nation", "twice", "w", 200, 0.05, 42)
 
 
 def grouped_bootstrap(spark, sf_dir):

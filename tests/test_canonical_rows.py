@@ -67,3 +67,14 @@ def test_tree(spark):
     assert got == {k: (plain([m for x, m in rows if x == k]), sum(x == k for x, _ in rows)) for k in "ab"}
     changed = canonical_rows.tree_digest(df.withColumn("m", F.when(F.col("m") == "7", "8").otherwise(F.col("m"))), ["k"], "m")
     assert {r.k for r in changed.collect() if r.digest != got[r.k][0]} == {"a"}
+
+
+def test_numbers_within_keys(spark):
+    from evenkeel.functions.numbering import number_within
+
+    rng = random.Random(7)
+    rows = [(k, i) for k, n in (("a", 300), ("b", 1), (None, 7), ("c", 40)) for i in rng.sample(range(1000), n)]
+    got = number_within(spark.createDataFrame(rows, "k string, x int").repartition(6), ["k"], ["x"]).collect()
+    want = {(k, x): (i, n) for k, n in (("a", 300), ("b", 1), (None, 7), ("c", 40)) for i, x in enumerate(sorted(x for j, x in rows if j == k))}
+    assert {(r.k, r.x): (r.at, r.n) for r in got} == want and len(got) == len(rows)
+    assert number_within(spark.createDataFrame([], "k string, x int"), ["k"], ["x"]).count() == 0
