@@ -50,17 +50,23 @@ def experiment_proposals(spark, sf_dir):
     return out.select("policy", "diagnosis", "variable", "target", F.array_join("evidence", ",").alias("evidence"), F.array_join("frozen", ",").alias("frozen"))
 
 
-def runtime_capabilities(spark, sf_dir):
-    return runtime.registry(spark)
-
-
-def capability_mismatches(spark, sf_dir):
+def _instances(spark, sf_dir):
     """Suppliers as instances of the runtimes, one in five of another build, one in seven probed."""
     names = F.array(*map(F.lit, sorted(runtime.RUNTIMES)))
     s = _t(spark, sf_dir, "supplier")
     instances = s.select(F.col("s_suppkey").alias("instance"), F.element_at(names, (F.col("s_suppkey") % 8).cast("int") + 1).alias("runtime"), (F.col("s_suppkey") % 5 != 0).alias("pinned"))
     probes = s.where("s_suppkey % 7 = 0").select(F.col("s_suppkey").alias("instance"), F.lit("tools").alias("capability"), F.lit("unsupported").alias("support"))
-    out = runtime.mismatches(runtime.resolve(instances, probes), REQUIRED)
+    return runtime.resolve(instances, probes)
+
+
+def runtime_capabilities(spark, sf_dir):
+    """How many instances have which support of each capability."""
+    return _instances(spark, sf_dir).groupBy("capability", "support").agg(F.count("*").alias("instances"))
+
+
+def capability_mismatches(spark, sf_dir):
+    """What the required capabilities lack, instance by instance."""
+    out = runtime.mismatches(_instances(spark, sf_dir), REQUIRED)
     return out.select("instance", F.array_join("lacking", ",").alias("lacking"), F.array_join("open", ",").alias("open"))
 
 
@@ -190,7 +196,8 @@ d AS (SELECT policy, CASE WHEN list_contains(bad, 'mean_score') THEN 'quality-re
   WHEN list_contains(bad, 'p95_ttft') THEN 'ttft-regression' WHEN list_contains(bad, 'p95_e2e') THEN 'tail-latency-regression' WHEN list_contains(bad, 'error_rate') THEN 'error-regression'
   WHEN list_contains(bad, 'cost_per_request') THEN 'cost-regression' WHEN ok THEN 'sealed-shadow-replication' END AS diagnosis FROM w)
 SELECT policy, diagnosis, variable, target, evidence, frozen FROM d JOIN (VALUES {proposals}) AS t(diagnosis, variable, target, evidence, frozen) USING (diagnosis)""",
-        "runtime_capabilities": f"SELECT runtime, capability, support FROM {_REGISTRY}",
+        "runtime_capabilities": f"""WITH i AS (SELECT s_suppkey AS instance, {_list(sorted(runtime.RUNTIMES))}[s_suppkey % 8 + 1] AS runtime, s_suppkey % 5 != 0 AS pinned FROM supplier)
+SELECT capability, CASE WHEN capability = 'tools' AND instance % 7 = 0 THEN 'unsupported' WHEN pinned THEN support ELSE 'unknown' END AS support, count(*) AS instances FROM i JOIN {_REGISTRY} USING (runtime) GROUP BY ALL""",
         "capability_mismatches": f"""WITH i AS (SELECT s_suppkey AS instance, {_list(sorted(runtime.RUNTIMES))}[s_suppkey % 8 + 1] AS runtime, s_suppkey % 5 != 0 AS pinned FROM supplier),
 a AS (SELECT instance, capability, CASE WHEN capability = 'tools' AND instance % 7 = 0 THEN 'unsupported' WHEN pinned THEN support ELSE 'unknown' END AS s
   FROM i JOIN {_REGISTRY} USING (runtime) WHERE capability IN ({", ".join(f"'{c}'" for c in REQUIRED)}))
