@@ -171,3 +171,19 @@ def test_sql(spark, name):
     plain = lambda v: float(f"{v:.9g}") if isinstance(v, float) and not math.isnan(v) else v
     assert sorted(got.columns) == order
     assert sorted((tuple(plain(r[c]) for c in order) for r in got.collect()), key=repr) == sorted((tuple(plain(r[names.index(c)]) for c in order) for r in rel.fetchall()), key=repr)
+
+
+def test_token_store_reads_added_tokens_as_the_contract_says(spark, tmp_path):
+    """In the library's default mode the name of an added token in a text is that token."""
+    from tokenizers import Tokenizer
+
+    from evenkeel.llm import tokenstore
+
+    path = P.path(queries.WORD_TOKENIZER)
+    library = Tokenizer.from_file(path)
+    texts = [None, "", "a <|endoftext|> b", "<|ENDOFTEXT|>", "x<|startoftext|>y.", "<|endoftext|><|endoftext|>", "<|end oftext|>", "plain words, here."] + [t for t in ODD if t]
+    store = tokenstore.write_store(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), path, 2, f"file://{tmp_path}/s")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32, r.verified) for r in tokenstore.read_store(spark, store).collect()}
+    want = {i: library.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    assert got == {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True) for i, ids in want.items()}
+    assert 49407 in want[2]
