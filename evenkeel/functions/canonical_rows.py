@@ -21,7 +21,7 @@ LETTERS = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
 _ESCAPES = [("\\", "\\\\"), ('"', '\\"'), *((chr(i), f"\\{LETTERS[i]}" if i in LETTERS else f"\\u{i:04x}") for i in range(32))]
 
 
-def _let(value: Column, body) -> Column:
+def once(value: Column, body) -> Column:
     """``body`` of a value that is worked out once, however often it stands there."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -42,7 +42,7 @@ def _double(c: Column) -> Column:
         mantissa = F.substring_index(text, "E", 1)
         whole, fraction = F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1)
         power = F.when(text.contains("E"), F.substring_index(text, "E", -1).cast("int")).otherwise(0)
-        return _let(F.concat(whole, fraction), lambda d: F.struct(F.regexp_replace(d, "^0+", "").alias("d"), (F.length(whole) + power - F.length(d) + F.length(F.regexp_replace(d, "^0+", ""))).alias("point")))
+        return once(F.concat(whole, fraction), lambda d: F.struct(F.regexp_replace(d, "^0+", "").alias("d"), (F.length(whole) + power - F.length(d) + F.length(F.regexp_replace(d, "^0+", ""))).alias("point")))
 
     def shorter(p: Column, digits: Column) -> Column:
         """The parts with ``digits`` digits, if they give the same number."""
@@ -66,7 +66,7 @@ def _double(c: Column) -> Column:
         )
 
     short = lambda p: F.when(F.length(p["d"]) == 2, F.coalesce(shorter(p, F.lit(1)), p)).otherwise(p)
-    text = _let(parts(F.reflect(F.lit(SHORTEST[0]), F.lit(SHORTEST[1]), size)), lambda p: _let(strip(p), lambda q: _let(short(q), lambda r: _let(strip(r), write))))
+    text = once(parts(F.reflect(F.lit(SHORTEST[0]), F.lit(SHORTEST[1]), size)), lambda p: once(strip(p), lambda q: once(short(q), lambda r: once(strip(r), write))))
     finite = ~F.isnan(c) & (size < float("inf"))
     return F.when(c == 0, "0").when(finite, F.concat(F.when(c < 0, "-").otherwise(""), text))
 
@@ -82,14 +82,14 @@ def text(c: Column, kind: T.DataType) -> Column:
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
         own = _double(c.cast("double"))
     elif isinstance(kind, T.ArrayType):
-        own = _let(F.transform(c, lambda x: text(x, kind.elementType)), lambda items: F.when(~F.exists(items, lambda x: x.isNull()), F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))))
+        own = once(F.transform(c, lambda x: text(x, kind.elementType)), lambda items: F.when(~F.exists(items, lambda x: x.isNull()), F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))))
     elif isinstance(kind, T.StructType):
         fields = sorted(kind.fields, key=lambda f: f.name.encode("utf-16-be"))
         said = [F.concat(F.lit(("," if i else "") + encode(f.name) + ":"), text(c[f.name], f.dataType)) for i, f in enumerate(fields)]
         own = F.concat(F.lit("{"), *said, F.lit("}"))
     elif isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
         entries = F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(F.hex(F.encode(e["key"], "UTF-16BE")).alias("order"), F.concat(_string(e["key"]), F.lit(":"), text(e["value"], kind.valueType)).alias("said"))))
-        own = _let(F.transform(entries, lambda e: e["said"]), lambda items: F.when(~F.exists(items, lambda x: x.isNull()), F.concat(F.lit("{"), F.array_join(items, ","), F.lit("}"))))
+        own = once(F.transform(entries, lambda e: e["said"]), lambda items: F.when(~F.exists(items, lambda x: x.isNull()), F.concat(F.lit("{"), F.array_join(items, ","), F.lit("}"))))
     elif isinstance(kind, T.NullType):
         return F.lit("null")
     else:
