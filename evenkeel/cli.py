@@ -50,9 +50,9 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _queries() -> dict:
-    from .plans import assess, catalog, chains, collector, control, decisions, nomination, records, streams
+    from .plans import assess, catalog, chains, collector, control, decisions, logs, manifests, nomination, records, shadow, streams
 
-    return {name: query for part in (catalog, control, assess, nomination, records, chains, decisions, streams, collector) for name, query in part.queries().items()}
+    return {name: query for part in (catalog, control, assess, nomination, records, chains, decisions, streams, collector, manifests, shadow, logs) for name, query in part.queries().items()}
 
 
 def _spark():

@@ -5,11 +5,11 @@ import math
 import duckdb
 import pytest
 
-from evenkeel.plans import assess, catalog, chains, collector, control, decisions, nomination, records, streams
+from evenkeel.plans import assess, catalog, chains, collector, control, decisions, logs, manifests, nomination, records, shadow, streams
 
 SF = "/root/testdata/sf0.001"
-QUERIES = {**catalog.queries(), **control.queries(), **assess.queries(), **nomination.queries(), **records.queries(), **chains.queries(), **decisions.queries(), **streams.queries(), **collector.queries()}
-ORACLES = {**catalog.oracle_sql(), **control.oracle_sql(), **assess.oracle_sql(), **nomination.oracle_sql(), **records.oracle_sql(), **chains.oracle_sql(), **decisions.oracle_sql(), **streams.oracle_sql(), **collector.oracle_sql()}
+QUERIES = {**catalog.queries(), **control.queries(), **assess.queries(), **nomination.queries(), **records.queries(), **chains.queries(), **decisions.queries(), **streams.queries(), **collector.queries(), **manifests.queries(), **shadow.queries(), **logs.queries()}
+ORACLES = {**catalog.oracle_sql(), **control.oracle_sql(), **assess.oracle_sql(), **nomination.oracle_sql(), **records.oracle_sql(), **chains.oracle_sql(), **decisions.oracle_sql(), **streams.oracle_sql(), **collector.oracle_sql(), **manifests.oracle_sql(), **shadow.oracle_sql(), **logs.oracle_sql()}
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
