@@ -348,23 +348,25 @@ def _dealt(rows, *more: str):
 def settle(docs, nodes, maps, rows, k: int, percent: int, id_col: str, text_col: str):
     """Links between documents of different classes in the blocks ``rows`` (_BLOCK, side, uid, cls), as a stored table.
 
-    ``nodes``: uid, doc_id, fp; ``maps``: uid, n, bits.
+    ``nodes``: uid, doc_id, text_hash, fp; ``maps``: uid, n, bits.  Texts come by id and hash, so rows that share an id (null ones too) meet only
+    their own.
     """
     spark = docs.sparkSession
     left = _dealt(rows.join(maps, "uid"), "bits").mapInArrow(lean(_survivors(percent)), f"{_KEYS}, side int, uid bigint, cls bigint")
     left, left_path = write_table(left, "survivors")
     wanted = left.groupBy("uid").agg(F.collect_list(F.struct(*_BLOCK, "side", "cls")).alias("blocks"))  # as many as its groups have blocks
     wanted, wanted_path = write_table(nodes.join(wanted, "uid"), "wanted")
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("hash"))
     few = left.count() <= BROADCAST_ROWS
-    texts = texts.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("uid", "fp", "text", "blocks")
+    own = (F.col("hash") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("doc_id"))
+    texts = texts.join(F.broadcast(wanted) if few else wanted, own).select("uid", "fp", "text", "blocks")
 
     def run(batches):
         for batch in batches:
             uids, fps = batch.column(0), batch.column(1).to_pylist()
             for i, j, buf, offs in blocks(*column_bytes(batch.column(2))):
                 own = list(shingle_rows(buf, offs, k))
-                hits = [r for r in range(i, j) if xxhash.xxh3_128_digest(own[r - i].tobytes()) == fps[r]]  # not another row of this id
+                hits = [r for r in range(i, j) if xxhash.xxh3_128_digest(own[r - i].tobytes()) == fps[r]]  # not another text of this hash
                 at = pa.array(hits, pa.int64())
                 yield pa.RecordBatch.from_arrays([uids.take(at), pa.array([own[r - i].tobytes() for r in hits], pa.binary()), batch.column(3).take(at)], names=["uid", "body", "blocks"])
 
@@ -474,7 +476,7 @@ def join(docs, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col:
     tokens = kept.select("uid", F.posexplode("prefix").alias("place", "token")).select("token", marked.alias("marked"))
     met = tokens.repartition(parts, "token").sortWithinPartitions("token", "marked").mapInArrow(lean(_meet), "token bigint, uid bigint, early boolean, pivot bigint")
     shared, shared_path = write_table(met, "shared")
-    nodes = everything.select("uid", "doc_id", "fp")
+    nodes = everything.select("uid", "doc_id", "text_hash", "fp")
     maps = filled.select("uid", "n", "bits")
     sizes = filled.select("uid", "n")
     n_blocks = lambda n, total: F.ceil(F.greatest(n / CHUNK, total / SHINGLES)).cast("int")

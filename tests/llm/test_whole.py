@@ -230,3 +230,42 @@ def test_language_against_a_plain_version(spark):
         path = paths[int(value.argmax())]
         mass = np.bincount(path, words, len(langs))
         assert got[r.doc_id] == (langs[int(mass.argmax())], round(float(mass.max() / mass.sum()), 6))
+
+
+def test_jaccard_of_many_texts_of_one_id(spark, monkeypatch):
+    """Texts of one null id meet only their own rows: as many are read as when each has an id, and the classes are the same."""
+    import numpy as np
+
+    from evenkeel.llm import jaccard
+    from tests.llm.test_operators import brute_classes
+
+    rng = np.random.default_rng(5)
+    texts = []
+    for i in range(120):
+        own = [f"g{i % 4}-{j}" for j in range(60)]
+        own[int(rng.integers(0, 60))] = f"x{i}"
+        texts.append(" ".join(own))
+    lean, read = jaccard.lean, {}
+    for name, ids in (("own", range(len(texts))), ("null", [None] * len(texts))):
+        seen = spark.sparkContext.accumulator(0)
+
+        def counting(f, seen=seen):
+            inner = lean(f)
+
+            def run(batches):
+                def counted():
+                    for b in batches:
+                        if b.schema.names[1:3] == ["fp", "text"]:
+                            seen.add(b.num_rows)
+                        yield b
+
+                yield from inner(counted())
+
+            return run
+
+        monkeypatch.setattr(jaccard, "lean", counting)
+        rows = list(zip(ids, texts))
+        got = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 80).collect()
+        assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_classes(rows, 5, 80)
+        read[name] = (seen.value, sum(r.first for r in got))
+    assert read["null"] == read["own"] and 0 < read["own"][0] <= 5 * len(texts)
