@@ -9,8 +9,9 @@ Events have controller, study, protocol, sequence (from 1), predecessor, event_i
 controller, study, protocol, created_at, expires_at, one row each.  Exact repetitions count once; events of controllers
 without a genesis, and events without a sequence, are left out.  The first event of a chain that is at fault is ``refused``; it and what follows change nothing.
 
-Codes, the first that holds: conflicting-duplicate, fork, foreign, gap, splice, identity, time-regression, before-creation,
-after-expiry, before-expiry, and transition where the state does not allow the fact.
+Codes, the first that holds: gap, conflicting-duplicate, fork, foreign, splice, identity, time-regression, before-creation,
+after-expiry, before-expiry, and transition where the state does not allow the fact.  What comes after a missing event is a gap,
+whatever else is wrong with it.
 """
 
 from __future__ import annotations
@@ -68,10 +69,10 @@ def checked(events: DataFrame, genesis: DataFrame, anchors: DataFrame | None = N
     previous_at = F.when(first, F.col("base_at")).otherwise(F.col("before_at"))
     at, late_fact = F.col("e.occurred_at"), F.coalesce(F.col("e.fact").isin(*AFTER_EXPIRY), F.lit(False))
     fault = (
-        F.when((F.col("rows") > 1) & (F.col("ids") == 1), "conflicting-duplicate")
+        F.when(~first & ~F.col("other") & F.col("before_id").isNull(), "gap")
+        .when((F.col("rows") > 1) & (F.col("ids") == 1), "conflicting-duplicate")
         .when((F.col("ids") > 1) | F.col("other"), "fork")
         .when(~F.col("e.study").eqNullSafe(F.col("own_study")) | ~F.col("e.protocol").eqNullSafe(F.col("own_protocol")), "foreign")
-        .when(~first & F.col("before_id").isNull(), "gap")
         .when(~F.col("e.predecessor").eqNullSafe(previous), "splice")
         .when(~F.col("e.own_id"), "identity")
         .when(at < previous_at, "time-regression")

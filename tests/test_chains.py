@@ -90,6 +90,16 @@ def test_another_event_in_the_anchors_place_is_a_fork(spark):
     assert chains.replay(spark.createDataFrame([], EVENT), genesis).first().state == "DRAFT"
 
 
+def test_what_follows_a_missing_event_is_a_gap(spark):
+    start = ["s", "p", 1, None, "e1", 1, "protocol-registered", None]
+    third = ["s", "p", 3, "e2", "e3", 3, "development-evidence-ready", None]
+    chains_ = {"fork": [third, [*third[:4], "other", *third[5:]]], "foreign": [["t", *third[1:]]], "twice": [third, [*third[:5], 4, *third[6:]]]}
+    rows = [[c, *r] for c, after in chains_.items() for r in [start, *after]]
+    genesis = spark.createDataFrame([(c, "s", "p", 0, 99) for c in chains_], GENESIS)
+    got = {(r.controller, r.state, r.applied, r.refused, r.fault) for r in chains.replay(spark.createDataFrame(rows, EVENT), genesis).collect()}
+    assert got == {(c, "REGISTERED", 1, 3, "gap") for c in chains_}
+
+
 POLICY = ("pol", 100, 1000)
 WHOLE = dict(
     state="MONITORING", sequence=10, last_event_id="e", last_event_at=900, created_at=10, expires_at=1000, protocol="p", collection="c", evidence=("d", "t", "e"), policy=POLICY,
