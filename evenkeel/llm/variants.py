@@ -8,7 +8,8 @@ word the near word of largest n that has at least ``ratio`` times its own n (tie
 
 Two words at distance one share exactly one key, so no pair is found twice.  A key's words are the key and those with one more
 letter, so an alphabet and a word's length bound them, whatever the data.  Counts rise at least ``ratio``-fold from a word to
-its form, so ways to a root are short; they are followed by doubling.
+its form, so ways to a root are short; they are followed by doubling.  All joins are merges: the written tables are small as
+files, and Spark, which goes by the size of the files, would send the keys of all words through the driver.
 
 Null and empty texts have no words; repeated rows count each; a null id leaves its runs whole.  An empty table
 gives no rows.  Only the columns named are read, so further columns of any name do not matter.
@@ -76,7 +77,7 @@ def near_pairs(words):
     cut = F.transform(at, lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.length("word"))))
     keyed = words.select("word", "n", F.explode(F.array_append(F.array_distinct(cut), F.col("word"))).alias("key")).select("word", "n", F.xxhash64("key").alias("key"))
     other = keyed.select(F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("key").alias("other_key"))
-    found = keyed.join(other, (F.col("key") == F.col("other_key")) & (F.col("word") < F.col("near")) & (F.levenshtein("word", "near", 1) == 1))
+    found = keyed.join(other.hint("merge"), (F.col("key") == F.col("other_key")) & (F.col("word") < F.col("near")) & (F.levenshtein("word", "near", 1) == 1))
     one, two = F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     return found.select(F.explode(F.array(one, two)).alias("p")).select("p.*")
 
@@ -95,7 +96,7 @@ def roots(edges):
     own, path = write_table(edges.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = own.select(F.col("word").alias("w"), F.col("root").alias("further"))
-        step = own.join(on, F.col("root") == F.col("w"), "left")
+        step = own.join(on.hint("merge"), F.col("root") == F.col("w"), "left")
         following, next_path = write_table(step.select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         drop_table(own.sparkSession, path)
         path, moved = next_path, following.where("moved").isEmpty()
@@ -109,5 +110,5 @@ def group(docs, ratio: int = 2):
     words, _ = write_table(count_words(docs), "words")
     found, _ = write_table(forms(words, ratio), "forms")
     ends = roots(found.where("form IS NOT NULL")).select(F.col("word").alias("w"), "root")
-    out = found.join(ends, F.col("word") == F.col("w"), "left")
+    out = found.join(ends.hint("merge"), F.col("word") == F.col("w"), "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -125,6 +125,12 @@ def test_variants(spark):
     assert variants.group(table(spark, [], "doc_id bigint, text string")).count() == 0
 
 
+def test_no_words_of_variants_are_sent_through_the_driver(spark):
+    words = spark.createDataFrame([("alpha", 9), ("alphas", 3)], "word string, n bigint")
+    for joined in (variants.near_pairs(words), variants.group(table(spark, [(i, "alpha alphas") for i in range(4)], "doc_id bigint, text string"))):
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_audit(spark):
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(300)]
