@@ -135,14 +135,18 @@ def snapshot_faults(spark, sf_dir):
 
 
 def _streamed(rows, make, mode: str, end=None):
-    """What a stream over the rows, in files of any order and those of ``end`` after them, has written when it has read all of them."""
+    """What a stream over the rows, in files of any order and those of ``end`` after them, has written when it has read all of them.
+
+    A micro-batch is half a file a core, of a million rows at most, so it does not grow with the rows.
+    """
     spark = rows.sparkSession
     home = f"{shared_folder(spark)}/evenkeel-stream-{uuid.uuid4().hex}"
     source = f"{home}/in"
-    rows.repartition(4).write.parquet(source)
+    side = max(4, spark.sparkContext.defaultParallelism)
+    rows.repartition(side).write.option("maxRecordsPerFile", 1_000_000).parquet(source)
     if end is not None:
         end.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", side // 2).parquet(source)
     stateful.start(make(stream), f"{home}/out", f"{home}/check", mode).awaitTermination()
     return spark.read.parquet(f"{home}/out")
 
@@ -167,7 +171,7 @@ UNION ALL SELECT CAST(o_orderkey AS STRING), 9, 'completed', (o_orderkey + 1) *
 
 
 def streamed_attempts(spark, sf_dir):
-    """What became of leased attempts, said once by a stateful stream with timers."""
+    """What became of leased attempts, said once by a stream when their leases are over."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     rows = spark.sql(JOURNAL.replace("FROM orders", "FROM {orders}"), orders=orders)
     end = rows.agg(F.lit("end").alias("execution"), F.lit(9).alias("attempt"), F.lit("failed").alias("kind"), (F.max("at_ms") + 200 * DAY_MS).alias("at_ms"), F.lit(None).cast("bigint").alias("lease_ms"), F.lit(None).cast("string").alias("category"))

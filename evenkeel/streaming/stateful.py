@@ -1,4 +1,4 @@
-"""Stateful streams: controllers that fold their events as they come, and leased attempts that settle once.
+"""Stateful streams: controllers that fold their events as they come, and leased attempts that settle once, as sessions.
 
 Both keep their state in Spark's state store (RocksDB), so a stopped query goes on from its checkpoint, and both give what the
 batch operators give over the same rows, in whatever order and however often the rows come.  ``start`` writes each
@@ -17,8 +17,8 @@ from ..operators import chains
 from ..operators.controller import AFTER_EXPIRY
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HELD = 4096  # events of one controller that a task takes up before it puts them into the state
 CONTROLLER = "controller string, state string, applied bigint, last_event_id string, refused bigint, fault string"
-SETTLED = "execution string, attempt int, outcome string, at_ms bigint, again boolean"
 
 
 class Fold(StatefulProcessor):
@@ -32,7 +32,7 @@ class Fold(StatefulProcessor):
         self.created_at, self.expires_at = created_at, expires_at
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.own = handle.getValueState("own", "state int, applied bigint, last_event_id string, last_at bigint, refused bigint, fault string")
+        self.own = handle.getValueState("own", "state int, applied bigint, last_event_id string, last_at bigint, refused bigint, fault string, held bigint")
         self.waiting = handle.getMapState("waiting", "sequence bigint", "event_id string, predecessor string, at bigint, fact string, result string, torn boolean")
         self.table = chains.table()
 
@@ -57,33 +57,58 @@ class Fold(StatefulProcessor):
         return self.table[(chains.FACTS.index(fact) * (len(chains.RESULTS) + 1) + place) * len(chains.STATES) + state]
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        state, applied, last, at, refused, fault = self.own.get() if self.own.exists() else (0, 0, None, None, None, None)
+        state, applied, last, at, refused, fault, held = self.own.get() if self.own.exists() else (0, 0, None, None, None, None, 0)
         changed = not self.own.exists()
+        fresh: dict = {}
         for r in rows:
             if refused is not None or r["sequence"] <= applied:
                 continue
-            spot = (r["sequence"],)
-            if self.waiting.containsKey(spot):
-                there = self.waiting.getValue(spot)
-                if there[0] != r["event_id"]:
-                    self.waiting.updateValue(spot, (*there[:5], True))
-            else:
-                self.waiting.updateValue(spot, (r["event_id"], r["predecessor"], r["at"], r["fact"], r["result"], False))
-        while refused is None and self.waiting.containsKey((applied + 1,)):
-            event = self.waiting.getValue((applied + 1,))
-            self.waiting.removeKey((applied + 1,))
+            there = fresh.get(r["sequence"])
+            fresh[r["sequence"]] = (r["event_id"], r["predecessor"], r["at"], r["fact"], r["result"], False) if there is None else self._met(there, r["event_id"])
+            if len(fresh) >= HELD:
+                held += self._wait(fresh, held)
+                fresh.clear()
+        while refused is None:
+            event = fresh.pop(applied + 1, None)
+            if held and self.waiting.containsKey((applied + 1,)):
+                there = self.waiting.getValue((applied + 1,))
+                self.waiting.removeKey((applied + 1,))
+                held -= 1
+                event = there if event is None else self._met(there, event[0], event[5])
+            if event is None:
+                break
             fault = self._fault(event, at, last)
             after = -1 if fault else self._after(state, event[3], event[4])
             changed = True
             if after < 0:
                 refused, fault = applied + 1, fault or "transition"
-                self.waiting.clear()
+                fresh.clear()
+                if held:
+                    self.waiting.clear()
+                    held = 0
             else:
                 state, applied, last, at = after, applied + 1, event[0], event[2]
-        self.own.update((state, applied, last, at, refused, fault))
+        held += self._wait(fresh, held)
+        self.own.update((state, applied, last, at, refused, fault, held))
         if changed:
             yield Row(controller=key[0], state=chains.STATES[state], applied=applied, last_event_id=last, refused=refused, fault=fault)
 
+    @staticmethod
+    def _met(there, event_id, torn=False):
+        """The event that waits for a place, torn where another id comes for it."""
+        return (*there[:5], there[5] or torn or there[0] != event_id)
+
+    def _wait(self, fresh: dict, held: int) -> int:
+        """Puts events into the state until the missing ones come, and gives the number of places that are new there."""
+        new = 0
+        for sequence, event in fresh.items():
+            if held and self.waiting.containsKey((sequence,)):
+                event = self._met(self.waiting.getValue((sequence,)), event[0], event[5])
+            else:
+                new += 1
+            self.waiting.updateValue((sequence,), event)
+        return new
+
     def close(self) -> None:
         pass
 
@@ -97,78 +122,42 @@ def controllers(events: DataFrame, created_at: int, expires_at: int) -> DataFram
     return rows.groupBy("controller").transformWithState(Fold(created_at, expires_at), CONTROLLER, "update", "none")
 
 
-class Settle(StatefulProcessor):
-    """What became of an attempt, said once, when the watermark passes its lease: by then all that happened within it has come."""
-
-    def __init__(self, most: int):
-        self.most = most
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.own = handle.getValueState("own", "accepted bigint, lease bigint, ended bigint, kind string, category string, done boolean")
+def _first() -> tuple:
+    """The first acceptance, and the first end, of an attempt's rows."""
+    at, accepted = F.unix_millis("at"), F.col("kind") == "accepted"
+    return (
+        F.min(F.when(accepted, F.struct(at.alias("at"), F.col("lease_ms").cast("bigint").alias("lease")))).alias("a"),
+        F.min(F.when(~accepted, F.struct(at.alias("at"), "kind", F.coalesce("category", F.lit("")).alias("category")))).alias("e"),
+    )
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        accepted, lease, ended, kind, category, done = self.own.get() if self.own.exists() else (None, None, None, None, None, False)
-        before = lease
-        for r in rows:
-            at = int(r["at"].timestamp() * 1000)
-            if done:
-                continue
-            if r["kind"] == "accepted":
-                if accepted is None or (at, r["lease_ms"]) < (accepted, lease - accepted):
-                    accepted, lease = at, at + r["lease_ms"]
-            elif ended is None or (at, r["kind"], r["category"] or "") < (ended, kind, category or ""):
-                ended, kind, category = at, r["kind"], r["category"]
-        if not done:
-            due = lease if lease is not None else ended
-            if due is not None and (before is None or before != due):
-                if before is not None:
-                    self.handle.deleteTimer(before)
-                self.handle.registerTimer(due)
-        self.own.update((accepted, lease, ended, kind, category, done))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        accepted, lease, ended, kind, category, done = self.own.get()
-        if done:
-            self.own.clear()  # a second lease time has passed: nothing of this attempt is on its way
-            return
-        if lease is not None and expiredTimerInfo.getExpiryTimeInMs() < lease:
-            return  # the timer of an end that came before its acceptance
-        if accepted is None:
-            self.own.clear()  # never accepted
-            return
-        inside = ended is not None and accepted <= ended < lease
-        outcome = kind if inside else "sent_unknown"
-        again = inside and kind == "not_sent" and category in ("transport", "timeout") and key[1] < self.most
-        self.own.update((accepted, lease, ended, kind, category, True))
-        self.handle.registerTimer(lease + (lease - accepted) + 1)
-        yield Row(execution=key[0], attempt=key[1], outcome=outcome, at_ms=ended if inside else lease, again=bool(again))
 
-    def close(self) -> None:
-        pass
+def _outcome(rows: DataFrame, most: int) -> DataFrame:
+    """What became of accepted attempts, from their first acceptance and end."""
+    rows = rows.where("a IS NOT NULL")
+    lease = F.col("a.at") + F.col("a.lease")
+    inside = F.coalesce((F.col("e.at") >= F.col("a.at")) & (F.col("e.at") < lease), F.lit(False))
+    again = inside & (F.col("e.kind") == "not_sent") & F.col("e.category").isin("transport", "timeout") & (F.col("attempt") < most)
+    return rows.select("execution", "attempt", F.when(inside, F.col("e.kind")).otherwise("sent_unknown").alias("outcome"), F.when(inside, F.col("e.at")).otherwise(lease).alias("at_ms"), again.alias("again"))
 
 
-def settle(journal: DataFrame, most: int, delay: str = "10 minutes") -> DataFrame:
+def settle(journal: DataFrame, most: int, delay: str = "10 minutes", early: str = "1 minute") -> DataFrame:
     """(execution, attempt, outcome, at_ms, again), one row for each accepted attempt, from a stream of journal rows.
 
     ``journal``: execution, attempt, kind (accepted, completed, failed, not_sent), at (a timestamp), lease_ms (of accepted), category.
-    Repeated acceptances count once, the first holds.  Rows later than ``delay`` may be lost, as with any watermark.
+    An attempt is a session that its acceptance keeps open for twice the lease, so that what comes again after the lease is known
+    for a repetition, and its end for ``early``, by which an end may be stamped before its acceptance.  It is said when the
+    watermark has passed the session.  Repeated acceptances count once, the first holds.  Rows later than ``delay`` may be lost, as
+    with any watermark.
     """
-    rows = journal.withWatermark("at", delay).select("execution", F.col("attempt").cast("int").alias("attempt"), "kind", "at", F.col("lease_ms").cast("bigint").alias("lease_ms"), "category")
-    return rows.groupBy("execution", "attempt").transformWithState(Settle(most), SETTLED, "append", "eventTime")
+    ms = F.col("lease_ms").cast("bigint")
+    gap = F.when(F.col("kind") == "accepted", F.concat((F.greatest(ms, F.lit(0)) * 2 + 1).cast("string"), F.lit(" milliseconds"))).otherwise(early)
+    sessions = journal.withWatermark("at", delay).groupBy("execution", F.col("attempt").cast("int").alias("attempt"), F.session_window("at", gap))
+    return _outcome(sessions.agg(*_first()), most)
 
 
 def settled(journal: DataFrame, most: int) -> DataFrame:
     """The batch form of ``settle`` over a whole journal: what the stream has said when its watermark has passed every lease."""
-    at = F.unix_millis("at")
-    accepted = F.min(F.when(F.col("kind") == "accepted", F.struct(at.alias("at"), F.col("lease_ms").cast("bigint").alias("lease"))))
-    ended = F.min(F.when(F.col("kind") != "accepted", F.struct(at.alias("at"), "kind", F.coalesce("category", F.lit("")).alias("category"))))
-    rows = journal.groupBy("execution", F.col("attempt").cast("int").alias("attempt")).agg(accepted.alias("a"), ended.alias("e")).where("a IS NOT NULL")
-    lease = F.col("a.at") + F.col("a.lease")
-    inside = F.coalesce((F.col("e.at") >= F.col("a.at")) & (F.col("e.at") < lease), F.lit(False))
-    again = inside & (F.col("e.kind") == "not_sent") & F.col("e.category").isin("transport", "timeout") & (F.col("attempt") < most)
-    return rows.select("execution", "attempt", F.when(inside, F.col("e.kind")).otherwise("sent_unknown").alias("outcome"), F.when(inside, F.col("e.at")).otherwise(lease).alias("at_ms"), again.alias("again"))
+    return _outcome(journal.groupBy("execution", F.col("attempt").cast("int").alias("attempt")).agg(*_first()), most)
 
 
 def start(results: DataFrame, path: str, checkpoint: str, mode: str = "update"):

@@ -74,3 +74,18 @@ def test_attempts(spark, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("execution", "attempt", "outcome", "at_ms", "again").collect()))
     want = sorted(map(tuple, stateful.settled(spark.createDataFrame(rows, schema), 2).collect()))
     assert got == want and len(want) == 60 and {r[2] for r in want} == {"sent_unknown", "completed", "failed", "not_sent"}
+
+
+def test_attempts_settle_without_python(spark, tmp_path):
+    schema = "execution string, attempt int, kind string, at timestamp, lease_ms bigint, category string"
+    base = datetime.datetime(2024, 1, 1)
+    second = lambda n: base + datetime.timedelta(seconds=n)
+    rows = [("early", 1, "completed", second(-5), None, None), ("early", 1, "accepted", second(0), 30_000, None), ("again", 1, "accepted", second(0), 30_000, None), ("again", 1, "accepted", second(50), 30_000, None), ("again", 1, "completed", second(20), None, None)]
+    folder = str(tmp_path / "in")
+    for part in (rows[::2], rows[1::2], [("end", 9, "failed", second(86_400), None, None)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = stateful.settle(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder), 2, "2 hours")
+    assert "Python" not in stream._jdf.queryExecution().analyzed().toString() and "TransformWithState" not in stream._jdf.queryExecution().analyzed().toString()
+    stateful.start(stream, str(tmp_path / "out"), str(tmp_path / "check"), "append").awaitTermination()
+    got = {(r.execution, r.outcome) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("early", "sent_unknown"), ("again", "completed")} == {(r.execution, r.outcome) for r in stateful.settled(spark.createDataFrame(rows, schema), 2).collect()}
