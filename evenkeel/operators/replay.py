@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.lineage import cut
 from ..functions.numbering import number_within
@@ -124,6 +124,28 @@ def case_effects(rows: DataFrame, control: str, scale=lambda x: x) -> DataFrame:
     return both.groupBy("policy", "case_id").agg(F.first("group_id").alias("group_id"), F.first("weight").alias("weight"), F.median(scale(F.col("score") - F.col("base"))).alias("effect"))
 
 
+def paired_effects(pairs: DataFrame, policies: DataFrame, critical: list[str], scale=lambda x: x) -> DataFrame:
+    """``case_effects`` of all policies against the expert, which stands beside the primary in every pair.
+
+    A pair's two effects, the primary's and the expert's own, hold for every policy, which only picks; so the pairs are gathered by
+    case once (a case's replicates in a row), and the policies are applied to cases, not joined to replayed rows.
+    """
+    c = F.col
+    scored = lambda side: F.when(c(f"{side}_status") == "failure", F.lit(0.0)).otherwise(c(f"{side}_score"))
+    always = (c("p_status") == "failure") | c("p_confidence").isNull() | F.coalesce(c("slice").isin(*critical), F.lit(False))
+    each = F.struct(scale(scored("p") - scored("e")).alias("own"), scale(scored("e") - scored("e")).alias("none"), always.alias("always"), c("p_confidence").alias("sure"), c("input_tokens").alias("long"))
+    cases = pairs.where(c("case_id").isNotNull() & c("replicate").isNotNull()).groupBy("case_id").agg(F.first("group_id").alias("group_id"), F.first("weight").alias("weight"), F.collect_list(each).alias("each"))
+    rows = cases.crossJoin(F.broadcast(policies.where(c("kind") != "expert-only")))
+
+    def effect(x: Column) -> Column:
+        leaves = (c("kind") == "cascade") & (x["always"] | (x["sure"] < c("min_confidence")) | (x["long"] >= c("max_tokens")))
+        return F.when(leaves, x["none"]).otherwise(x["own"])
+
+    rows = rows.select("policy", "case_id", "group_id", "weight", F.sort_array(F.filter(F.transform("each", effect), lambda v: v.isNotNull())).alias("s"))
+    low, high = F.get("s", F.floor((F.size("s") - 1) / 2).cast("int")), F.get("s", F.floor(F.size("s") / 2).cast("int"))
+    return rows.select("policy", "case_id", "group_id", "weight", F.when(low == high, low).otherwise(low * 0.5 + high * 0.5).alias("effect"))
+
+
 def grouped_bootstrap(effects: DataFrame, key: str, group: str, effect: str, weight: str, iterations: int, alpha: float, seed: int) -> DataFrame:
     """Per key: estimate and R-7 interval of weighted means over groups drawn with replacement.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import prng, sampling, stats
-from ..functions.lineage import cut
+from ..functions.lineage import cut, stored
 from ..operators import evidence, replay, window
 from ..sources import decoders
 
@@ -120,12 +120,13 @@ def _assessed(spark, sf_dir, split=None, every=None, metrics=None):
 
 
 def _measured_and_gated(spark, sf_dir, split=None, every=None, metrics=None):
-    """(metrics, gates): the policies are replayed once, and metrics, pairs and coverage are read off those rows."""
-    rows = cut(_replayed(spark, sf_dir, split))
-    metrics = cut(replay.policy_metrics(rows, CRITICAL) if metrics is None else metrics)  # a row a policy
-    quality = _bootstrap(spark, sf_dir, split, rows).select("policy", (F.col("lo") / 20000).alias("paired_quality"), F.col("groups").alias("independent_groups"))
+    """(metrics, gates): the pairs are joined and stored once, and metrics, effects and coverage are read off their columns."""
+    paired = stored(replay.row_weights(pairs(spark, sf_dir, split), ["case_id"]))
+    metrics = cut(replay.policy_metrics(replay.replay(paired, _policies(spark), CRITICAL), CRITICAL) if metrics is None else metrics)  # a row a policy
+    quality = _bootstrap(spark, sf_dir, split, paired).select("policy", (F.col("lo") / 20000).alias("paired_quality"), F.col("groups").alias("independent_groups"))
     groups = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id"), F.col("c_nationkey").alias("nation"))
-    covered = rows.where("policy = 'expert-only'").select("group_id", "slice").join(groups, "group_id").agg(*[F.countDistinct(F.when(F.col("slice") == s, F.col("nation"))).alias(f"slice_groups_{i}") for i, s in enumerate(CRITICAL)])
+    critical = paired.where(F.col("slice").isin(*CRITICAL)).select("group_id", "slice").distinct()
+    covered = critical.join(groups, "group_id").agg(*[F.countDistinct(F.when(F.col("slice") == s, F.col("nation"))).alias(f"slice_groups_{i}") for i, s in enumerate(CRITICAL)])
     base = metrics.where("policy = 'expert-only'").select(F.col("cost_per_request").alias("base"))
     wide = metrics.join(quality, "policy", "left").crossJoin(F.broadcast(covered)).crossJoin(F.broadcast(base))
     return metrics, cut(replay.gates(wide.withColumn("cost_improvement", F.try_divide(F.col("base") - F.col("cost_per_request"), F.col("base"))), every or [*PAIRED, *LIMITS, *DEVELOPMENT]))
@@ -178,20 +179,24 @@ def rejected_candidate_rank(spark, sf_dir):
     return replay.rejected_rank(_assessed(spark, sf_dir)).select("policy", "failures", F.round("total", 6).alias("total"), "dominant_gate", "place")
 
 
+def _effects(spark, sf_dir, split=None, paired=None):
+    paired = pairs(spark, sf_dir, split) if paired is None else paired
+    return replay.paired_effects(paired, _policies(spark), CRITICAL, lambda x: F.round(x * 10000))
+
+
 def case_effects(spark, sf_dir):
-    return replay.case_effects(_replayed(spark, sf_dir), "expert-only", lambda x: F.round(x * 10000)).select("policy", "case_id", "group_id", "effect")
+    return _effects(spark, sf_dir).select("policy", "case_id", "group_id", "effect")
 
 
-def _by_nation(spark, sf_dir, split=None, rows=None):
-    rows = cut(_replayed(spark, sf_dir, split)) if rows is None else rows
-    effects = replay.case_effects(rows, "expert-only", lambda x: F.round(x * 10000))
+def _by_nation(spark, sf_dir, split=None, paired=None):
+    effects = _effects(spark, sf_dir, split, paired)
     groups = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id"), F.col("c_nationkey").alias("nation"))
     whole = effects.join(groups, "group_id").withColumn("twice", (F.col("effect") * 2).cast("bigint")).withColumn("w", (F.col("weight") / 27720).cast("bigint"))
     return whole.select("policy", "nation", "twice", "w")
 
 
-def _bootstrap(spark, sf_dir, split=None, rows=None):
-    return replay.grouped_bootstrap(_by_nation(spark, sf_dir, split, rows), "policy", "nation", "twice", "w", 200, 0.05, 42)
+def _bootstrap(spark, sf_dir, split=None, paired=None):
+    return replay.grouped_bootstrap(_by_nation(spark, sf_dir, split, paired), "policy", "nation", "twice", "w", 200, 0.05, 42)
 
 
 def grouped_bootstrap(spark, sf_dir):

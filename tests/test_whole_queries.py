@@ -1,5 +1,12 @@
 """Queries do the whole job: no subset of the ids, no subset of the gates."""
 
+import json
+import random
+
+from pyspark.sql import functions as F
+
+from evenkeel.functions import sampling
+from evenkeel.operators import replay
 from evenkeel.plans import catalog, control
 
 SF = "/root/testdata/sf0.01"  # the smallest tables with ids of 40 and more
@@ -43,3 +50,28 @@ def test_select_policy_finds_what_passes_all(spark, monkeypatch):
     got = catalog.select_policy(spark, "/root/testdata/sf0.001").collect()
     costs = {r.policy: r.cost_per_request for r in catalog.policy_metrics_v1(spark, "/root/testdata/sf0.001").collect() if r.policy != "expert-only"}
     assert len(got) == 1 and got[0].cost_per_request == min(costs.values())
+
+
+def test_effects_of_cases_are_those_of_replayed_rows(spark):
+    """Policies applied to gathered cases, without a join, give what joining replayed rows with the control gives."""
+    rng, rows = random.Random(3), []
+    for i in range(120):
+        for r in range(rng.randint(1, 4)):
+            rows.append((i, r, i % 7, 1.0 + i % 3, rng.choice(["1-URGENT", "5-LOW", None]), rng.choice([10, 600, 2000, None]), rng.choice(["success", "failure"]), rng.choice([0.5, 0.9, None]), rng.choice([None, 0.1, 0.5, 0.7]), rng.choice(["success", "success", "failure"]), rng.choice([0.4, 1.0])))
+    names = "case_id bigint, replicate bigint, group_id bigint, weight double, slice string, input_tokens bigint, p_status string, p_score double, p_confidence double, e_status string, e_score double"
+    pairs = spark.createDataFrame(rows, names).withColumns({f"{k}_{m}": F.lit(1.0) for k in "pe" for m in ("ttft", "e2e", "tps", "cost")})
+    policies = replay.enumerate_policies(spark, [0.3, 0.6], [500, 1500])
+    scale = lambda x: F.round(x * 10000)
+    want = replay.case_effects(replay.replay(pairs, policies, ["1-URGENT"]), "expert-only", scale)
+    got = replay.paired_effects(pairs, policies, ["1-URGENT"], scale)
+    key = lambda rows: sorted(tuple(map(repr, (r.policy, r.case_id, r.group_id, r.weight, r.effect))) for r in rows.collect())
+    assert key(got) == key(want)
+    assert "Join" not in got.select("effect")._jdf.queryExecution().optimizedPlan().toString().replace("Join Cross", "").replace("Join Inner", "") and got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_buckets_work_a_digest_out_once(spark):
+    odd = spark.createDataFrame([("plain",), ('quote " and \\ and \n \x01 é/',), ("",)], "g string")
+    said = {r.g: r.j for r in odd.select("g", sampling.canonical_strings({"groupId": F.col("g")}).alias("j")).collect()}
+    assert {g: json.loads(j)["groupId"] for g, j in said.items()} == {g: g for g in said}
+    kept = odd.where(sampling.group_bucket("d", "a", "s", F.col("g"), 10) < 5)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
