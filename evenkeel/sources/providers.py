@@ -29,9 +29,8 @@ def finish_reason(raw: Column) -> Column:
     return F.when(fits, F.when(raw.isin(*FINISH_REASONS), raw).otherwise("other"))
 
 
-def _count(body: Column, path: str) -> Column:
+def _count(raw: Column) -> Column:
     """A count of tokens: a whole number from 0 to 2^53 - 1, else null."""
-    raw = F.get_json_object(body, path)
     n = F.when(raw.rlike(r"^(0|[1-9]\d{0,15})$"), raw.cast("bigint"))
     return F.when(n <= SAFE, n)
 
@@ -43,20 +42,24 @@ def usage(rows: DataFrame, body: str, protocol: str) -> DataFrame:
     the sum, else `valid`; only a valid usage has counts.
     """
     root, inp, out, total, reason = USAGE[protocol]
-    raw, at = F.col(body), f"$.{root}." if root else "$."
-    a, b = _count(raw, at + inp), _count(raw, at + out)
-    c = _count(raw, at + total) if total else a + b
-    if root:
-        foreign = [x for name, p in USAGE.items() if p[0] == root and name != protocol for x in p[1:3]]
-        none = F.get_json_object(raw, f"$.{root}").isNull()
-        strange = F.coalesce(*[F.get_json_object(raw, at + x) for x in foreign]).isNotNull()
-    else:
-        none = F.get_json_object(raw, at + inp).isNull() & F.get_json_object(raw, at + out).isNull()
-        strange = F.lit(False)
+    at = f"$.{root}." if root else "$."
+    foreign = [x for name, p in USAGE.items() if root and p[0] == root and name != protocol for x in p[1:3]]
+    paths = {"a": at + inp, "b": at + out, "reason": f"$.{reason}", **({"c": at + total} if total else {}), **({"root": f"$.{root}"} if root else {}), **{f"x{i}": at + x for i, x in enumerate(foreign)}}
+    # values first, each path of a body is parsed once, then what is made of them
+    read = rows.withColumns({f"_usage_{n}": F.get_json_object(F.col(body), path) for n, path in paths.items()})
+    raw = lambda n: F.col(f"_usage_{n}")
+    read = read.withColumns({"_usage_in": _count(raw("a")), "_usage_out": _count(raw("b"))})
+    a, b = raw("in"), raw("out")
+    c = _count(raw("c")) if total else a + b
+    none = raw("root").isNull() if root else raw("a").isNull() & raw("b").isNull()
+    strange = F.coalesce(*[raw(f"x{i}") for i in range(len(foreign))]).isNotNull() if foreign else F.lit(False)
+    read = read.withColumn("_usage_sum", c)
+    c = raw("sum")
     sound = F.coalesce(~strange & (c == a + b) & (c <= SAFE), F.lit(False))
     state = F.when(none, "missing").when(sound, "valid").otherwise("invalid")
-    kept = {n: F.when(state == "valid", v) for n, v in (("input_tokens", a), ("output_tokens", b), ("total_tokens", c))}
-    return rows.withColumns({**kept, "finish": finish_reason(F.get_json_object(raw, f"$.{reason}")), "usage_state": state})
+    kept = {n: F.when(F.col("usage_state") == "valid", v) for n, v in (("input_tokens", a), ("output_tokens", b), ("total_tokens", c))}
+    read = read.withColumns({"finish": finish_reason(raw("reason")), "usage_state": state}).withColumns(kept)
+    return read.drop(*[n for n in read.columns if n.startswith("_usage_") and n not in rows.columns])
 
 
 def model_listed(body: Column, model: Column) -> Column:

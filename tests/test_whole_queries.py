@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions import sampling
 from evenkeel.operators import replay
 from evenkeel.plans import catalog, control
+from evenkeel.sources import providers
 
 SF = "/root/testdata/sf0.01"  # the smallest tables with ids of 40 and more
 
@@ -75,3 +76,12 @@ def test_buckets_work_a_digest_out_once(spark):
     assert {g: json.loads(j)["groupId"] for g, j in said.items()} == {g: g for g in said}
     kept = odd.where(sampling.group_bucket("d", "a", "s", F.col("g"), 10) < 5)
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+
+
+def test_each_path_of_a_response_is_parsed_once(spark):
+    body = '{"choices":[{"finish_reason":"length"}],"usage":{"prompt_tokens":2,"completion_tokens":3,"total_tokens":5}}'
+    got = providers.usage(spark.createDataFrame([(1, body), (2, "{}")], "k bigint, body string"), "body", "openai-chat")
+    assert got.columns == ["k", "body", "finish", "usage_state", "input_tokens", "output_tokens", "total_tokens"]
+    assert {r.k: (r.usage_state, r.total_tokens, r.finish) for r in got.collect()} == {1: ("valid", 5, "length"), 2: ("missing", None, None)}
+    plan = got.groupBy("finish", "usage_state").agg(F.sum("input_tokens"), F.sum("total_tokens"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object(") == 7
