@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sampling
+from ..functions.lineage import stored
 from ..operators import assessment, join
 from . import catalog
 
@@ -87,12 +88,16 @@ def assess_window(spark, sf_dir):
 LINEAGE = ["study", "split"]
 
 
-def _traces(spark, sf_dir):
+def _paired(spark, sf_dir):
+    """What executions and evidence are made of, placed, joined and stored once."""
+    return stored(catalog.pairs(spark, sf_dir).select("case_id", "replicate", "input_tokens", "p_status", "p_score", "e_status", "e_score"))
+
+
+def _traces(p):
     """Executions of both profiles; some rows stand twice, some with another digest, some replicates under two trace ids."""
-    p = catalog.pairs(spark, sf_dir)
     t = F.col("input_tokens")
     each = F.explode(F.array(F.struct(F.lit("primary").alias("profile"), F.col("p_status").alias("status"), F.col("p_score").alias("made"), F.lit(0).alias("side")), F.struct(F.lit("expert").alias("profile"), F.col("e_status").alias("status"), F.col("e_score").alias("made"), F.lit(1).alias("side"))))
-    p = p.select("case_id", "replicate", t.alias("t"), F.col("slice"), each.alias("x")).select("case_id", "replicate", "t", "slice", "x.*")
+    p = p.select("case_id", "replicate", t.alias("t"), each.alias("x")).select("case_id", "replicate", "t", "x.*")
     again = F.explode(F.when(F.col("t") % 31 == 0, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     p = p.withColumn("k", again)
     output = F.when(F.col("status") == "success", F.col("case_id") * 100 + F.col("replicate"))
@@ -102,9 +107,9 @@ def _traces(spark, sf_dir):
     return p.select("case_id", "replicate", "profile", output.alias("output"), trace.alias("trace_id"), digest.alias("digest"), F.lit("study-1").alias("study"), F.when(F.col("case_id") % 5 == 0, "holdout").otherwise("dev").alias("split"), "status", dispatch.alias("dispatch"), (F.col("t") % 1000).alias("completed_at"), "made", "t", "side", "k")
 
 
-def _receipts(spark, sf_dir):
+def _receipts(traces):
     """Evidence for the first rows of most executions, some astray, repeated, unverified, of other lineage or too old."""
-    e = _traces(spark, sf_dir).where("k = 0 and t % 11 != 0")
+    e = traces.where("k = 0 and t % 11 != 0")
     t = F.col("t")
     e = e.withColumn("again", F.explode(F.when(t % 37 == 0, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     case = F.when(t % 29 == 0, -F.col("case_id") - 1).otherwise(F.col("case_id"))
@@ -118,13 +123,13 @@ def _receipts(spark, sf_dir):
 
 def evidence_join(spark, sf_dir):
     """Every execution's outcome and every orphan, by the whole join."""
-    traces = _traces(spark, sf_dir)
-    return join.join(traces, _receipts(spark, sf_dir), LINEAGE)
+    traces = _traces(_paired(spark, sf_dir))
+    return join.join(traces, _receipts(traces), LINEAGE)
 
 
 def evidence_join_counts(spark, sf_dir):
-    traces = _traces(spark, sf_dir)
-    return join.counts(traces, join.join(traces, _receipts(spark, sf_dir), LINEAGE))
+    traces = _traces(_paired(spark, sf_dir))
+    return join.counts(traces, _receipts(traces), LINEAGE)
 
 
 def queries() -> dict:

@@ -86,3 +86,25 @@ def test_evidence_of_two_contexts_is_rejected(spark):
     assert said(one) == {1: ("scored", "", 0.5), 2: ("conflicting", "lineage", None), 3: ("invalid", "verification-revoked", None)}
     two = [one[0], (*one[1][:5], "s", *one[1][6:9], "c2", *one[1][10:])]
     assert {v[:2] for c, v in said(two).items() if c < 3} == {("invalid", "verification-context-drift")} and said(two)[3][0] == "missing"
+
+
+def test_evidence_join_is_one_shuffle(spark):
+    """Executions and evidence meet in one shuffle, not in joins of their own groupings; hand-made cases of everything that meets there."""
+    ex_kind = "case_id int, replicate int, profile string, output int, trace_id int, digest string, study string, status string, dispatch string, completed_at int"
+    ev_kind = "case_id int, replicate int, profile string, output int, digest string, study string, verification string, pinned boolean, drifted boolean, context string, kind string, score double, produced_at int"
+    run = lambda case, output=9, trace=1, digest="d", status="success", profile="p": (case, 1, profile, output, trace, digest, "s", status, "completed", 5)
+    told = lambda case, output=9, digest="e", verification="trusted", at=6: (case, 1, "p", output, digest, "s", verification, True, False, "c", "scored", 0.5, at)
+    runs = [run(1), run(1), run(2), run(2, digest="other"), run(3), run(3, output=8, trace=2), run(4, output=None, status="failed"), run(5, output=None), run(6), run(7), run(None), run(8), run(8, profile=None)]
+    said = [told(1), told(1), told(2), told(3), told(4, output=7), told(5, output=None), told(6), told(6, digest="f"), told(7, digest="z", verification="stale"), told(7, digest="a", verification="revoked"), told(7, output=3, verification="stale"), told(None), told(8, output=1), told(8, at=4), told(9)]
+    executions, evidence = spark.createDataFrame(runs, ex_kind), spark.createDataFrame(said, ev_kind)
+    out = join.join(executions, evidence, ["study"])
+    got = {(r.case_id, r.output): (r.outcome, r.detail, r.score, r.duplicate_traces, r.duplicate_evidence) for r in out.collect()}
+    assert got == {
+        (1, 9): ("scored", "", 0.5, True, True), (2, 9): ("orphan", "no-matching-trace", None, False, False), (3, 9): ("orphan", "no-matching-trace", None, False, False), (4, None): ("failure", "", 0.0, False, False),
+        (4, 7): ("orphan", "evidence-for-failed-execution", None, False, False), (5, None): ("scored", "", 0.5, False, False), (6, 9): ("conflicting", "different-evidence", None, False, False), (7, 9): ("invalid", "verification-revoked", None, False, False),
+        (None, 9): ("orphan", "no-matching-trace", None, False, False), (8, 1): ("orphan", "terminal-output-mismatch", None, False, False), (8, 9): ("invalid", "evidence-predates-completion", None, False, False), (9, 9): ("orphan", "no-matching-trace", None, False, False),
+    }
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" not in plan
+    counted = {r.what: r.n for r in join.counts(executions, evidence, ["study"]).collect()}
+    assert counted == {"trace-rows": 13, "accepted": 6, "conflicting-traces": 3, "joined": 6, "scored": 2, "matched": 3, "orphan-evaluator-evidence": 6, "duplicate-traces": 1, "duplicate-evaluator-evidence": 1, "conflicting-evaluator-evidence": 1, "cases": 6, "case-replicates": 6}
