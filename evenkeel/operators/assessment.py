@@ -16,9 +16,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import canonical
-from ..functions.lineage import cut
-from ..functions.stats import weighted_mean, weighted_quantiles
-from .replay import grouped_bootstrap
+from ..functions.lineage import cut, stored
+from ..functions.stats import weighted_quantiles
+from .replay import bootstrap_of_groups
 
 #: Evidence classes from the strongest to the weakest, and why an outcome has no score.
 CLASSES = ["measured", "reported", "modeled", "unavailable"]
@@ -114,31 +114,44 @@ def side_by_side(executions: DataFrame, primaries: list[str], expert: str) -> Da
     return wide.where("twice is null").select("case_id", "replicate", "group_id", "weight", "slices", "e", each.alias("x")).select("case_id", "replicate", "group_id", "weight", "slices", "e", "x.*")
 
 
+def counted(pairs: DataFrame) -> DataFrame:
+    """The pairs with the rows of their case that are replayed, with and without a signal: the same for all bundles of a kind."""
+    c, case = F.col, Window.partitionBy("primary", "case_id")
+    whole = c("p").isNotNull() & c("e").isNotNull()
+    return pairs.withColumn("n_whole", F.count_if(whole).over(case)).withColumn("n_signal", F.count_if(whole & c("p.signal").isNotNull()).over(case))
+
+
+def _routing(signal: Column, status: Column) -> tuple[Column, Column]:
+    """Whether a pair's primary runs before the expert, and whether the expert runs, by the row's bundle."""
+    c = F.col
+    test = F.lit(False)
+    for name, holds in OPERATORS.items():
+        test = F.when(c("operator") == name, holds(signal, c("threshold"))).otherwise(test)
+    cascade = c("kind") == "cascade"
+    serial = cascade & ~test & (status != "success")
+    return serial, (c("kind") == "expert-only") | (cascade & test) | serial
+
+
+def _score(side: str) -> Column:
+    return F.when(F.col(f"{side}.outcome") == "scored", F.col(f"{side}.score")).when(F.col(f"{side}.outcome") == "failure", F.lit(0.0))
+
+
 def replay(pairs: DataFrame, bundles: DataFrame) -> DataFrame:
     """Every bundle over every pair of its primary profile.  ``problem`` says why a pair can't be replayed."""
     c = F.col
-    # rows of a case that are replayed, with and without a signal: the same for all bundles of a kind
-    case = Window.partitionBy("primary", "case_id")
     whole = c("p").isNotNull() & c("e").isNotNull()
-    pairs = pairs.withColumn("n_whole", F.count_if(whole).over(case)).withColumn("n_signal", F.count_if(whole & c("p.signal").isNotNull()).over(case))
-    rows = pairs.join(F.broadcast(bundles), "primary")
+    rows = (pairs if "n_whole" in pairs.columns else counted(pairs)).join(F.broadcast(bundles), "primary")
     cascade = c("kind") == "cascade"
     problem = F.when(~whole, "missing-required-profile").when(cascade & c("p.signal").isNull(), "missing-route-signal")
-    test = F.lit(False)
-    for name, holds in OPERATORS.items():
-        test = F.when(c("operator") == name, holds(c("p.signal"), c("threshold"))).otherwise(test)
-    routed = cascade & test
-    serial = cascade & ~test & (c("p.status") != "success")
-    expert = (c("kind") == "expert-only") | routed | serial
+    serial, expert = _routing(c("p.signal"), c("p.status"))
     take = lambda f: F.when(expert, c(f"e.{f}")).otherwise(c(f"p.{f}"))
     after = lambda f: F.when(serial, c(f"p.{f}")).otherwise(F.lit(0.0))
     scored = F.when(take("outcome") == "scored", take("score")).when(take("outcome") == "failure", F.lit(0.0))
-    base = F.when(c("e.outcome") == "scored", c("e.score")).when(c("e.outcome") == "failure", F.lit(0.0))
     cost = take("cost") + F.when(serial, c("p.cost")).otherwise(F.lit(0.0))
     rows = rows.select(
         "policy", "kind", "case_id", "replicate", "group_id", "weight", "slices", problem.alias("problem"), serial.alias("serial"), expert.alias("by_expert"),
         F.try_divide("weight", F.when(cascade, c("n_signal")).otherwise(c("n_whole"))).alias("row_weight"), (take("status") != "success").alias("failed"),
-        scored.alias("score"), base.alias("control_score"), take("outcome").alias("outcome"), c("e.outcome").alias("control_outcome"),
+        scored.alias("score"), _score("e").alias("control_score"), take("outcome").alias("outcome"), c("e.outcome").alias("control_outcome"),
         (after("e2e") + take("ttft")).alias("ttft"), (after("e2e") + take("e2e")).alias("e2e"), cost.alias("cost"),
         F.when(cascade, MODELED).otherwise(F.when(take("outcome") == "scored", REPORTED).otherwise(MODELED)).alias("score_class"),
         F.when(cascade, MODELED).otherwise(take("ttft_class")).alias("ttft_class"), F.when(cascade, MODELED).otherwise(MEASURED).alias("e2e_class"),
@@ -147,33 +160,47 @@ def replay(pairs: DataFrame, bundles: DataFrame) -> DataFrame:
     return rows
 
 
-def no_score_reason(outcome: Column) -> Column:
-    """Why an outcome has no score; null where it has one.  A name that is not known is an error."""
-    rule = F.when(outcome.isNull() | outcome.isin(*WITH_SCORE), F.lit(None).cast("string"))
-    for name, reason in NO_SCORE.items():
-        rule = rule.when(outcome == name, reason)
-    return rule.otherwise(F.raise_error(F.concat(F.lit("unknown outcome: "), outcome)).cast("string"))
+def no_score_bit(outcome: Column) -> Column:
+    """The place of an outcome's reason in NO_SCORE as a bit, 0 where it has a score.  A name that is not known is an error."""
+    rule = F.when(outcome.isNull() | outcome.isin(*WITH_SCORE), F.lit(0))
+    for i, name in enumerate(NO_SCORE):
+        rule = rule.when(outcome == name, F.lit(1 << i))
+    return rule.otherwise(F.raise_error(F.concat(F.lit("unknown outcome: "), outcome)).cast("int"))
 
 
-def metrics(rows: DataFrame, slices: list[str]) -> DataFrame:
-    """One row per bundle: metrics with their weakest evidence class, coverage, counts, and the reasons that evidence leaves."""
+def metrics(rows: DataFrame, slices: list[str], cases: DataFrame) -> DataFrame:
+    """One row per bundle: metrics with their weakest evidence class, coverage, counts, and the reasons that evidence leaves.
+
+    Sums, flags and classes of each group are numbers, so that rows are neither spread out for each thing that is counted
+    once nor gathered; ``cases`` has each bundle's number of cases.
+    """
     c, ok = F.col, F.col("problem").isNull()
     known = rows.where(ok)
     w = c("row_weight")
     beside = ok | (c("problem") == "missing-route-signal")  # pairs that the control replays
-    paired = c("score").isNotNull() & c("control_score").isNotNull()
-    why = no_score_reason
-    out = rows.groupBy("policy", "kind").agg(
-        F.count_if(ok).alias("replayed"), F.count_if(ok & c("failed")).alias("failures"), F.count_if(ok & c("serial")).alias("serial"),
-        F.when(F.count_if(ok & c("score").isNull()) == 0, weighted_mean(F.when(ok, c("score")), F.when(ok, w))).alias("mean_score"), F.max(F.when(ok, c("score_class"))).alias("score_class"),
-        weighted_mean(F.when(ok, c("failed").cast("double")), F.when(ok, w)).alias("failure_rate"),
-        F.when(F.count_if(ok & c("cost").isNull()) == 0, weighted_mean(F.when(ok, c("cost") * 1000), F.when(ok, w))).alias("cost_per_thousand"), F.max(F.when(ok, c("cost_class"))).alias("cost_class"),
-        F.max(F.when(ok, c("ttft_class"))).alias("ttft_class"), F.max(F.when(ok, c("e2e_class"))).alias("e2e_class"),
-        (F.count_if(ok & c("score").isNotNull()) + F.when(F.first("kind") != "expert-only", F.count_if(beside & c("control_score").isNotNull())).otherwise(0)).alias("covered"), F.count_if(beside).alias("beside"),
-        F.countDistinct(F.when(ok & paired, c("group_id"))).alias("groups"), F.countDistinct(F.when(ok & paired, c("case_id"))).alias("cases"), F.count_if(ok & paired).alias("replicates"),
-        *[F.countDistinct(F.when(ok & paired & F.array_contains("slices", s), c("group_id"))).alias(f"slice_groups_{i}") for i, s in enumerate(slices)],
-        F.array_distinct(F.array_compact(F.concat(F.collect_set("problem"), F.collect_set(F.when(ok, why(c("outcome")))), F.collect_set(F.when(beside, why(c("control_outcome"))))))).alias("reasons"),
+    paired = ok & c("score").isNotNull() & c("control_score").isNotNull()
+    problems = ["missing-required-profile", "missing-route-signal"]
+    problem_bit = F.when(ok, 0).when(c("problem") == problems[0], 1).otherwise(2)
+    bits = problem_bit.bitwiseOR(F.shiftleft(F.when(ok, no_score_bit(c("outcome"))).otherwise(0).bitwiseOR(F.when(F.coalesce(beside, F.lit(False)), no_score_bit(c("control_outcome"))).otherwise(0)), 2))
+    counted_ = {"replayed": ok, "failures": ok & c("failed"), "serial": ok & c("serial"), "unscored": ok & c("score").isNull(), "unpaid": ok & c("cost").isNull(), "scored": ok & c("score").isNotNull(), "based": beside & c("control_score").isNotNull(), "beside": beside, "replicates": paired}
+    summed = {"mass": w, "score_mass": c("score") * w, "failed_mass": c("failed").cast("double") * w, "cost_mass": c("cost") * 1000 * w}
+    classes = ["score_class", "cost_class", "ttft_class", "e2e_class"]
+    seen = {"groups": paired} | {f"slice_groups_{i}": paired & F.array_contains("slices", s) for i, s in enumerate(slices)}
+    per = rows.groupBy("policy", "kind", "group_id").agg(
+        *[F.count_if(test).alias(n) for n, test in counted_.items()], *[F.sum(F.when(ok, x)).alias(n) for n, x in summed.items()], *[F.max(F.when(ok, c(n))).alias(n) for n in classes],
+        *[F.count_if(test).alias(n) for n, test in seen.items()], F.bit_or(bits).alias("bits"),
     )
+    out = per.groupBy("policy", "kind").agg(
+        *[F.sum(n).alias(n) for n in (*counted_, *summed)], *[F.max(n).alias(n) for n in classes],
+        *[F.count_if(c("group_id").isNotNull() & (c(n) > 0)).alias(n) for n in seen], F.bit_or("bits").alias("bits"),
+    )
+    mean = lambda n: F.coalesce(F.try_divide(n, "mass"), F.lit(0.0))
+    reasons = F.array_distinct(F.array_compact(F.array(*[F.when(c("bits").bitwiseAND(1 << i) != 0, name) for i, name in enumerate([*problems, *NO_SCORE.values()])])))
+    out = out.select(
+        "policy", "kind", "replayed", "failures", "serial", F.when(c("unscored") == 0, mean("score_mass")).alias("mean_score"), mean("failed_mass").alias("failure_rate"), F.when(c("unpaid") == 0, mean("cost_mass")).alias("cost_per_thousand"), *classes,
+        (c("scored") + F.when(c("kind") != "expert-only", c("based")).otherwise(0)).alias("covered"), "beside", "replicates", *seen, reasons.alias("reasons"),
+    )
+    out = out.join(F.broadcast(cases), "policy", "left").withColumn("cases", F.coalesce("cases", F.lit(0).cast("bigint")))  # a row a bundle
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), c(m).cast("double").alias("value")) for m in ("ttft", "e2e")]))
     long = known.select("policy", "row_weight", each.alias("m")).select("policy", "row_weight", "m.*")
     tails = weighted_quantiles(long, ["policy", "metric"], "value", "row_weight", {"p95": 0.95})
@@ -182,17 +209,26 @@ def metrics(rows: DataFrame, slices: list[str]) -> DataFrame:
     return out.join(F.broadcast(tails), "policy", "left").withColumn("coverage", F.try_divide(c("covered"), evidence))
 
 
-def intervals(rows: DataFrame, protocol: Protocol, scale: int, unit: float = 1.0) -> DataFrame:
-    """(policy, estimate, lo, hi): grouped bootstrap of each case's median difference from the control, times its weight.
+def group_effects(pairs: DataFrame, bundles: DataFrame, scale: int, unit: float = 1.0) -> DataFrame:
+    """(policy, group_id, num, mass, cases): each case's median difference from the control, times its weight, summed by group.
 
-    Scores are whole multiples of 1 / ``scale`` and weights of ``unit``, so no order of addition shows.
+    Scores are whole multiples of 1 / ``scale`` and weights of ``unit``, so no order of addition shows.  A bundle only picks one
+    of a pair's two differences, the primary's and the expert's own, so the pairs are gathered by case once (a case's replicates
+    in a row), and bundles are applied to cases.
     """
-    c = F.col
-    both = rows.where(c("problem").isNull() & c("score").isNotNull() & c("control_score").isNotNull())
-    delta = F.round((c("score") - c("control_score")) * scale)
-    case = both.groupBy("policy", "case_id").agg(F.max("group_id").alias("group_id"), F.round(F.max("weight") / unit).cast("bigint").alias("w"), (F.median(delta) * 2).cast("bigint").alias("twice"))
-    got = grouped_bootstrap(case, "policy", "group_id", "twice", "w", protocol.iterations, protocol.alpha, protocol.seed)
-    return got.select("policy", *[(c(n) / (2 * scale)).alias(n) for n in ("estimate", "lo", "hi")])
+    c, base = F.col, _score("e")
+    delta = lambda side: F.round((_score(side) - base) * scale)
+    each = F.struct(delta("p").alias("own"), delta("e").alias("none"), c("p.signal").alias("signal"), c("p.status").alias("status"))
+    cases = pairs.where(c("p").isNotNull() & c("e").isNotNull() & base.isNotNull()).groupBy("primary", "case_id").agg(F.max("group_id").alias("group_id"), F.max("weight").alias("weight"), F.collect_list(each).alias("each"))
+
+    def effect(x: Column) -> Column:
+        _, expert = _routing(x["signal"], x["status"])
+        return F.when((c("kind") != "cascade") | x["signal"].isNotNull(), F.when(expert, x["none"]).otherwise(x["own"]))
+
+    rows = cases.join(F.broadcast(bundles), "primary").select("policy", "case_id", "group_id", F.round(c("weight") / unit).cast("bigint").alias("w"), F.sort_array(F.filter(F.transform("each", effect), lambda v: v.isNotNull())).alias("s")).where(F.size("s") > 0)
+    low, high = F.get("s", F.floor((F.size("s") - 1) / 2).cast("int")), F.get("s", F.floor(F.size("s") / 2).cast("int"))
+    twice = (F.when(low == high, low).otherwise(low * 0.5 + high * 0.5) * 2).cast("bigint")
+    return rows.groupBy("policy", "group_id").agg(F.sum(twice * c("w")).alias("num"), F.sum("w").alias("mass"), F.count("case_id").alias("cases"))
 
 
 def assess(executions: DataFrame, protocol: Protocol, bundles: list[dict], phase: str, scale: int, unit: float = 1.0, capacity_attested: bool = False) -> DataFrame:
@@ -207,10 +243,12 @@ def assess(executions: DataFrame, protocol: Protocol, bundles: list[dict], phase
     control = control_bundle(protocol)
     listed = [b for b in bundles if b["policy"] != control["policy"]] + [control]
     table = spark.createDataFrame([tuple(b[k] for k in ("policy", "kind", "operator", "threshold", "primary")) for b in listed], "policy string, kind string, operator string, threshold double, primary string")
-    rows = cut(replay(side_by_side(executions, sorted({b["primary"] for b in listed}), protocol.champion), table))  # read for metrics, tails and intervals
-    out = metrics(rows, protocol.critical_slices)
+    pairs = stored(counted(side_by_side(executions, sorted({b["primary"] for b in listed}), protocol.champion)))  # read for metrics, tails and effects
+    effects = cut(group_effects(pairs, table, scale, unit))  # a row a bundle and group
+    out = metrics(replay(pairs, table), protocol.critical_slices, effects.groupBy("policy").agg(F.sum("cases").alias("cases")))
     out = spark.createDataFrame([(b["policy"], b["kind"]) for b in listed], "policy string, kind string").join(out.drop("kind"), "policy", "left")
-    out = out.join(F.broadcast(intervals(rows, protocol, scale, unit)), "policy", "left")
+    spread = bootstrap_of_groups(effects, "policy", "group_id", protocol.iterations, protocol.alpha, protocol.seed).select("policy", *[(c(n) / (2 * scale)).alias(n) for n in ("estimate", "lo", "hi")])
+    out = out.join(F.broadcast(spread), "policy", "left")
     # what evidence leaves open
     extra = [
         F.when(F.coalesce(c("coverage") < protocol.coverage, F.lit(True)), "insufficient-evaluator-coverage"),

@@ -153,7 +153,11 @@ def grouped_bootstrap(effects: DataFrame, key: str, group: str, effect: str, wei
     whole numbers (effects and weights are scaled to such by the caller), so no order of addition shows.  Groups are numbered by
     ranges, so no task holds all groups of a key.
     """
-    per = effects.groupBy(key, group).agg(F.sum(F.col(effect) * F.col(weight)).alias("num"), F.sum(weight).alias("mass"))
+    return bootstrap_of_groups(effects.groupBy(key, group).agg(F.sum(F.col(effect) * F.col(weight)).alias("num"), F.sum(weight).alias("mass")), key, group, iterations, alpha, seed)
+
+
+def bootstrap_of_groups(per: DataFrame, key: str, group: str, iterations: int, alpha: float, seed: int) -> DataFrame:
+    """``grouped_bootstrap`` of each group's ``num``, the sum of effects times weights, and ``mass``, the sum of weights."""
     per = cut(number_within(per, [key], [group], "at", "groups"))
     sizes = per.select(key, "groups").distinct()
     draws = sizes.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("_k", F.explode(F.expr("sequence(0, CAST(groups AS INT) - 1)")))

@@ -22,14 +22,16 @@ NATION = ("evenkeel/group-bucket/1", "sha256-group-bucket-1", "seed-1", 10)
 def executions(spark, sf_dir, phase: str):
     """The phase's executions, long: one row per replicate and profile."""
     domain, algorithm, seed, n = NATION
-    groups = catalog._t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group_id"), F.col("c_nationkey").alias("nation"))
-    p = catalog.pairs(spark, sf_dir).join(groups, "group_id")
+    # the phase's orders are found before their lineitems come, which then are shuffled once, by order
+    groups = catalog._t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
+    orders = catalog._t(spark, sf_dir, "orders")
     if phase == "window":
-        dated = catalog._t(spark, sf_dir, "orders").where(f"o_orderdate >= timestamp_ntz '{WINDOW[0]}' and o_orderdate < timestamp_ntz '{WINDOW[1]}'")
-        p = p.join(dated.select(F.col("o_orderkey").alias("case_id")), "case_id", "left_semi")
+        dated = orders.where(f"o_orderdate >= timestamp_ntz '{WINDOW[0]}' and o_orderdate < timestamp_ntz '{WINDOW[1]}'")
+        orders = orders.join(dated.select("o_orderkey"), "o_orderkey", "left_semi")
     else:
         bucket = sampling.group_bucket(domain, algorithm, seed, F.concat(F.lit("nation-"), F.col("nation").cast("string")), n)
-        p = p.where(bucket < 8 if phase == "development" else bucket >= 8)
+        groups = groups.where(bucket < 8 if phase == "development" else bucket >= 8)
+    p = catalog.pairs(spark, sf_dir, orders=orders.join(groups, F.col("o_custkey") == F.col("c_custkey")), more=["nation"])
     holdout = F.lit(phase == "holdout")
     signal = F.when(holdout, F.col("p_confidence")).otherwise(F.coalesce("p_confidence", F.lit(0.5)))
     p = p.withColumn("signal", signal)

@@ -36,10 +36,13 @@ def _in_split(split: str):
     return F.when(bucket < 8, "dev").otherwise("holdout") == split
 
 
-def pairs(spark, sf_dir, split: str | None = None) -> DataFrame:
-    """Primary and expert executions side by side, one row per replicate; those of one split of the groups, or all."""
+def pairs(spark, sf_dir, split: str | None = None, orders: DataFrame | None = None, more: list[str] | tuple = ()) -> DataFrame:
+    """Primary and expert executions side by side, one row per replicate; those of one split of the groups, or all.
+
+    ``orders`` may stand for the table of that name, with columns of its own, ``more``.
+    """
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*EVERY)).cast("bigint")
-    rows = _t(spark, sf_dir, "lineitem").withColumn("replicate", place).join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = _t(spark, sf_dir, "lineitem").withColumn("replicate", place).join(_t(spark, sf_dir, "orders") if orders is None else orders, F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.where(_in_split(split)) if split else rows
     q, price = F.col("l_quantity"), F.col("l_extendedprice")
     return rows.select(
@@ -48,7 +51,7 @@ def pairs(spark, sf_dir, split: str | None = None) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", "failure").otherwise("success").alias("p_status"), F.round(1 - F.col("l_discount"), 2).alias("p_score"),
         F.when(F.col("l_linenumber") != 7, F.round(F.col("l_discount") * 10, 1)).alias("p_confidence"),
         (q * 2).alias("p_ttft"), (q * 8).alias("p_e2e"), (100 - q).alias("p_tps"), (price * 5e-5).alias("p_cost"),
-        F.lit("success").alias("e_status"), F.round(1 - F.col("l_tax"), 2).alias("e_score"), (q * 4).alias("e_ttft"), (q * 20).alias("e_e2e"), (60 - q).alias("e_tps"), (price * 2e-4).alias("e_cost"),
+        F.lit("success").alias("e_status"), F.round(1 - F.col("l_tax"), 2).alias("e_score"), (q * 4).alias("e_ttft"), (q * 20).alias("e_e2e"), (60 - q).alias("e_tps"), (price * 2e-4).alias("e_cost"), *more,
     )
 
 

@@ -108,3 +108,21 @@ def test_evidence_join_is_one_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" not in plan
     counted = {r.what: r.n for r in join.counts(executions, evidence, ["study"]).collect()}
     assert counted == {"trace-rows": 13, "accepted": 6, "conflicting-traces": 3, "joined": 6, "scored": 2, "matched": 3, "orphan-evaluator-evidence": 6, "duplicate-traces": 1, "duplicate-evaluator-evidence": 1, "conflicting-evaluator-evidence": 1, "cases": 6, "case-replicates": 6}
+
+
+def test_assessment_keeps_no_replayed_rows(spark, monkeypatch):
+    """What is cut off and kept grows with bundles and groups, not with pairs, and metrics spread no row out for each distinct count."""
+    kept, cut = [], assessment.cut
+    monkeypatch.setattr(assessment, "cut", lambda rows: kept.append(rows.count()) or cut(rows))
+    row = lambda case, profile, score: (case, 1, profile, case % 3, 2.0, ["s"], "success", "scored", score, 0.5, 10.0, 20.0, 1.0, 0, 0)
+    kind = "case_id int, replicate int, profile string, group_id int, weight double, slices array<string>, status string, outcome string, score double, signal double, ttft double, e2e double, cost double, ttft_class int, cost_class int"
+    executions = spark.createDataFrame([row(c, p, s) for c in range(60) for p, s in (("expert", 1.0), ("small", 0.9), ("tiny", 0.5))], kind)
+    bundles = assessment.enumerate_bundles(PROTOCOL)
+    out = assessment.assess(executions, PROTOCOL, bundles, "development", 100)
+    assert sum(kept) <= 3 * (len(bundles) + 1)
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.policy: (r.cases, r.groups, r.replicates, r.status, round(r.mean_score, 9), round(r.estimate, 9)) for r in out.collect()}
+    primary = {b["policy"]: b for b in bundles}
+    for policy, found in got.items():
+        score = {"small": 0.9, "tiny": 0.5}[primary[policy]["primary"]] if policy in primary else 1.0
+        assert found == (60, 3, 60, "HOLD" if policy in primary and primary[policy]["primary"] == "tiny" else "PASS", score, round(score - 1.0, 9))
