@@ -113,12 +113,17 @@ def tree_digest(rows: DataFrame, keys: list[str], member: str, levels: int = 4,
     """(keys, digest, members): a digest of each key's set of members, repeated ones counted, in any order and of any size.
 
     The members' digests are hashed in groups by ``levels`` prefixes of ``width`` hex digits, the longest first, so a row gathers a
-    key's share of one prefix (1 in 65,536 at first), and at most 256 digests further up.
+    key's share of one prefix (1 in 65,536 at first), and at most 256 digests further up.  Members are shuffled once, as bytes, by
+    the second prefix from the top, which holds all longer ones.
     """
-    leaf = rows.select(*keys, F.sha2(F.coalesce(F.col(member).cast("string"), F.lit("null")), 256).alias("h"))
-    level = leaf.groupBy(*keys, "h").agg(F.count("*").alias("n")).select(*keys, F.substring("h", 1, width * levels).alias("p"), F.concat_ws(":", "h", F.col("n").cast("string")).alias("x"), "n")
+    near = F.hex(F.substring("h", 1, (width * min(2, levels) + 1) // 2))
+    leaf = rows.select(*keys, F.unhex(F.sha2(F.coalesce(F.col(member).cast("string"), F.lit("null")), 256)).alias("h"))
+    leaf = leaf.withColumn("near", F.lower(F.substring(near, 1, width * min(2, levels)))).repartition("near")
+    level = leaf.groupBy(*keys, "near", "h").agg(F.count("*").alias("n")).select(*keys, "near", F.lower(F.hex("h")).alias("h"), "n")
+    level = level.select(*keys, "near", F.substring("h", 1, width * levels).alias("p"), F.concat_ws(":", "h", F.col("n").cast("string")).alias("x"), "n")
     for depth in range(levels, -1, -1):
-        done = level.groupBy(*keys, "p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), ","), 256).alias("d"), F.sum("n").alias("n"))
+        by = [*keys, "near"] if depth >= min(2, levels) else keys  # below, a row a prefix is left
+        done = level.groupBy(*by, "p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), ","), 256).alias("d"), F.sum("n").alias("n"))
         if depth == 0:
             return done.select(*keys, F.col("d").alias("digest"), F.col("n").alias("members"))
-        level = done.select(*keys, F.substring("p", 1, width * (depth - 1)).alias("p"), F.concat_ws(":", "p", "d").alias("x"), "n")
+        level = done.select(*by, F.substring("p", 1, width * (depth - 1)).alias("p"), F.concat_ws(":", "p", "d").alias("x"), "n")

@@ -78,3 +78,11 @@ def test_numbers_within_keys(spark):
     want = {(k, x): (i, n) for k, n in (("a", 300), ("b", 1), (None, 7), ("c", 40)) for i, x in enumerate(sorted(x for j, x in rows if j == k))}
     assert {(r.k, r.x): (r.at, r.n) for r in got} == want and len(got) == len(rows)
     assert number_within(spark.createDataFrame([], "k string, x int"), ["k"], ["x"]).count() == 0
+
+
+def test_tree_shuffles_members_once(spark):
+    """All levels down to the second prefix from the top are worked out where the members lie, also under a constant key."""
+    df = spark.range(300).select(F.lit(0).alias("k"), (F.col("id") % 100).cast("string").alias("m"))
+    tree = canonical_rows.tree_digest(df, ["k"], "m")
+    plan = tree._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 3 and tree.first().members == 300
