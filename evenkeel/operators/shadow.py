@@ -35,9 +35,9 @@ for _name, _kind in zip(BODY, _KINDS):
     BODY_TYPE.add(_name, _kind)
 
 
-def plan_digest() -> Column:
-    """The digest of the row's plan; protocol, policy and snapshot stand in it by their digests."""
-    return canonical_rows.digest(DOMAIN, F.struct(*BODY), BODY_TYPE)
+def plan_digest(plan: Column | None = None) -> Column:
+    """The digest of a plan (by default the row's); protocol, policy and snapshot stand in it by their digests."""
+    return canonical_rows.once(F.struct(*BODY) if plan is None else plan, lambda b: canonical_rows.digest(DOMAIN, F.struct(*[b[n].alias(n) for n in BODY]), BODY_TYPE))
 
 
 def _differ(pairs: list[tuple[Column, Column]]) -> Column:
@@ -52,34 +52,51 @@ def _some(items: Column, rule) -> Column:
     return F.exists(items, lambda x: F.coalesce(rule(x), F.lit(False)))
 
 
-def derived(targets: Column, protocol: Column) -> Column:
-    """The targets in the order and with the derived fields that they should have, from profile, endpoint and receipts.
+def matched(targets: Column, protocol: Column) -> Column:
+    """Each target ``t`` with how many profiles are its own, the first of them, whether an endpoint serves any of them, and the first endpoint of its alias."""
+    first = lambda items: F.try_element_at(items, F.lit(1))
+
+    def one(t):
+        found = F.struct(F.filter(protocol["profiles"], lambda p: p["id"] == t["profile"]).alias("profiles"), F.filter(protocol["endpoints"], lambda e: e["alias"] == t["endpoint"]).alias("ends"))
+        served = lambda x: F.exists(x["profiles"], lambda p: F.exists(x["ends"], lambda e: e["runtime"] == p["runtime"]))
+        return canonical_rows.once(found, lambda x: F.struct(t.alias("t"), F.size(x["profiles"]).alias("n"), first(x["profiles"]).alias("profile"), served(x).alias("served"), first(x["ends"]).alias("endpoint")))
+
+    return F.transform(targets, one)
+
+
+def derived(found: Column) -> Column:
+    """The targets of ``matched`` in the order and with the derived fields that they should have, from profile, endpoint and receipts.
 
     A target of an unknown profile or of no endpoint keeps nulls there.
     """
 
-    def one(t):
-        profile = F.try_element_at(F.filter(protocol["profiles"], lambda p: p["id"] == t["profile"]), F.lit(1))
-        endpoint = F.try_element_at(F.filter(protocol["endpoints"], lambda e: e["alias"] == t["endpoint"]), F.lit(1))
+    def one(x):
+        t, profile, endpoint = x["t"], x["profile"], x["endpoint"]
         fit = F.when(endpoint["runtime"] == profile["runtime"], endpoint["transport"])
         fields = {"profile": t["profile"], "endpoint": t["endpoint"], "receipts": F.array_sort(t["receipts"]), "profile_digest": profile["digest"], "runtime": profile["runtime"], "transport": fit}
         return F.struct(*[v.alias(k) for k, v in fields.items()])
 
     name = lambda t: F.coalesce(t["profile"], F.lit(""))
     order = lambda a, b: F.when(name(a) < name(b), -1).when(name(a) > name(b), 1).otherwise(0)
-    return F.array_sort(F.transform(targets, one), order)
+    return F.array_sort(F.transform(found, one), order)
 
 
 def faults() -> Column:
-    c = F.col
+    """The codes; the row is bound once, or every use of a field would work out anew what the field is made of."""
+    none = F.array().cast(T.ArrayType(_TARGET))
+    fields = ["snapshot", "protocol", "policy", *BODY, "plan_digest"]
+    found = lambda r: F.struct(r.alias("r"), matched(F.coalesce(r["targets"], none), r["protocol"]).alias("found"))
+    return canonical_rows.once(F.struct(*fields), lambda r: canonical_rows.once(found(r), lambda x: _faults(x["r"], x["found"])))
+
+
+def _faults(r: Column, found: Column) -> Column:
+    c = lambda name: r[name]
     snapshot, protocol, policy, window, budget = c("snapshot"), c("protocol"), c("policy"), c("window"), c("budget")
     issued, expires = c("issued_at"), c("expires_at")
-    targets = F.coalesce("targets", F.array().cast(T.ArrayType(_TARGET)))
+    targets = F.coalesce(c("targets"), F.array().cast(T.ArrayType(_TARGET)))
     names = F.transform(targets, lambda t: t["profile"])
     profiles = F.transform(protocol["profiles"], lambda p: p["id"])
     same_times = lambda a, b, fields: [(a[f], b[f]) for f in fields]
-    match = lambda t: F.filter(protocol["profiles"], lambda p: p["id"] == t["profile"])
-    served = lambda t: F.exists(match(t), lambda p: F.exists(protocol["endpoints"], lambda e: (e["alias"] == t["endpoint"]) & (e["runtime"] == p["runtime"])))
     membership = membership_digest(window["window_id"], protocol["digest"], protocol["rule"])
     rules = [
         ("not-shadow-assessing", _differ([(snapshot["state"], F.lit(READY))]) | snapshot["policy"].isNull()),
@@ -96,17 +113,17 @@ def faults() -> Column:
         ("window-before-issue", window["starts"] < issued),
         ("window-beyond-plan", window["ends"] > expires),
         ("target-repeated", repeats(names)),
-        ("target-of-unknown-profile", _some(targets, lambda t: F.size(match(t)) == 0)),
-        ("target-endpoint", _some(targets, lambda t: (F.size(match(t)) > 0) & ~F.coalesce(served(t), F.lit(False)))),
+        ("target-of-unknown-profile", _some(found, lambda x: x["n"] == 0)),
+        ("target-endpoint", _some(found, lambda x: (x["n"] > 0) & ~F.coalesce(x["served"], F.lit(False)))),
         ("receipt-repeated", _some(targets, lambda t: repeats(t["receipts"]))),
         ("target-missing", F.size(F.array_except(profiles, names)) > 0),
-        ("targets-not-derived", ~targets.eqNullSafe(derived(targets, protocol))),
+        ("targets-not-derived", ~targets.eqNullSafe(derived(found))),
         ("budget-profiles", budget["profiles"] < F.size(targets)),
         ("budget-executions", budget["executions"] > protocol["max_executions"]),
         ("budget-concurrency", budget["concurrency"] > protocol["max_concurrency"]),
         ("budget-beyond-plan", budget["wall"] > expires - issued),
         ("budget-beyond-window", budget["wall"] > window["ends"] - window["starts"]),
-        ("plan-digest", ~c("plan_digest").eqNullSafe(plan_digest())),
+        ("plan-digest", ~c("plan_digest").eqNullSafe(plan_digest(r))),
     ]
     return listed(rules)
 

@@ -86,3 +86,14 @@ def test_tree_shuffles_members_once(spark):
     tree = canonical_rows.tree_digest(df, ["k"], "m")
     plan = tree._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange") == 3 and tree.first().members == 300
+
+
+def test_digest_of_odd_values_is_that_of_the_text(spark):
+    """Digests take Spark's JSON writer for common values: also of control characters, long numbers, nulls and unsorted names they are canonical JSON's."""
+    values = [("a/é\U0001f600\x7f", 1, [("x", [None, "\b\t\n\f\r\"\\"])]), ("\x01\x1f", -5, None), ("\\u0001", 9007199254740991, [None, (None, None)]), (None, None, []), ("x:1234567890123456789", 0, [(" ", ["</"])])]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None])], "i int, v struct<b:string,a:bigint,c:array<struct<z:string,y:array<string>>>>")
+    got = [r.d for r in df.select("i", canonical_rows.digest("t", F.col("v"), df.schema["v"].dataType).alias("d")).orderBy("i").collect()]
+    plain = lambda v: v and {"a": v[1], "b": v[0], "c": v[2] and [x and {"z": x[0], "y": x[1]} for x in v[2]]}
+    assert got == [canonical.domain_digest("t", plain(v)) for v in [*values, None]]
+    far = spark.range(1).select(F.struct((F.col("id") + 2**53).alias("a")).alias("v"))
+    assert far.select(canonical_rows.digest("t", F.col("v"), far.schema["v"].dataType)).first()[0] is None
