@@ -40,6 +40,20 @@ def test_pages(spark):
     assert (got["fine"].lines, got["fine"].comments, got["fine"].samples, got["fine"].selected) == (7, 4, 2, 2)
 
 
+def test_pages_read_lines_once(spark):
+    """One shuffle of the lines and one of the pages' counts, no join; NULs, odd line ends and numbers told twice are as before."""
+    lines = [(1, "m 1\0"), (2, "m{x=\"a\"} 1\0\0 5"), (3, "n 1 \u2028"), (4, "o 2\u2028"), (5, "k \0"), (6, "\0k 1"), (7, "m\0 1")]
+    odd = spark.createDataFrame([("p", *x) for x in lines], "page string, number int, line string")
+    got = [(r.metric, r.value, r.timestamp_ms, r.code) for r in exposition.read_lines(odd).orderBy("number").collect()]
+    bad = "unsupported-syntax"
+    assert got == [("m", None, None, bad), ("m", None, 5, bad), ("n", 1.0, None, None), ("o", None, None, bad), ("k", None, None, bad), ("", None, None, bad), ("", None, None, bad)]
+    rows = [("p", 1, "a 1"), ("p", 2, "a 2"), ("p", 2, "b nan"), ("p", 3, "a 3"), ("q", 1, "a 1"), ("q", 1, "a 2"), ("r", None, "# EOF"), ("r", 1, "a nan"), (None, 5, "a 1"), (None, 6, "a 1"), ("s", -3, "a 1"), ("s", -2, "a 1")]
+    out = exposition.pages(spark.createDataFrame(rows, "page string, number int, line string"), ["a"])
+    assert {(r.page, r.lines, r.samples, r.refused_at, r.code) for r in out.collect()} == {("p", 4, 4, 2, "duplicate-sample"), ("q", 2, 2, None, None), ("r", 2, 1, None, bad), (None, 2, 2, 6, "duplicate-sample"), ("s", 2, 2, -2, "duplicate-sample")}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 2 and "Join" not in plan
+
+
 ROUTES = [("/", ["r"]), ("/v1", []), ("/v1/chat", ["k1", "k2"])]
 
 
