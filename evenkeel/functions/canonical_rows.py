@@ -97,10 +97,6 @@ def text(c: Column, kind: T.DataType) -> Column:
     return F.when(c.isNull(), "null").otherwise(own)
 
 
-#: What Spark's JSON writer may say otherwise: control characters without a letter of their own, whole numbers of 16 digits and more.
-_ODD_JSON = r"\\u|[:,\[]-?[0-9]{16}"
-
-
 def _writes_alike(kind: T.DataType) -> bool:
     """Whether Spark's JSON writer gives the canonical text of all values of this type but odd ones."""
     if isinstance(kind, T.StructType):
@@ -116,11 +112,27 @@ def _ordered(c: Column, kind: T.DataType) -> Column:
     return F.transform(c, lambda x: _ordered(x, kind.elementType)) if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)) else c
 
 
+def _has_long(kind: T.DataType) -> bool:
+    return isinstance(kind, T.LongType) or isinstance(kind, T.StructType) and any(_has_long(f.dataType) for f in kind) or isinstance(kind, T.ArrayType) and _has_long(kind.elementType)
+
+
+def _safe(c: Column, kind: T.DataType) -> list[Column]:
+    """Conditions under which all whole numbers have a canonical form."""
+    if isinstance(kind, T.LongType):
+        return [F.coalesce(c.between(-SAFE, SAFE), F.lit(True))]
+    if isinstance(kind, T.StructType):
+        return [x for f in kind for x in _safe(c[f.name], f.dataType)]
+    if isinstance(kind, T.ArrayType) and _has_long(kind.elementType):
+        return [F.coalesce(F.forall(c, lambda x: reduce(lambda a, b: a & b, _safe(x, kind.elementType))), F.lit(True))]
+    return []
+
+
 def _written(c: Column, kind: T.DataType) -> Column:
-    """``text``, by Spark's JSON writer at once where that gives the same."""
+    """``text``, by Spark's JSON writer at once where that gives the same: all but control characters without a letter of their own and whole numbers beyond 2^53 - 1."""
     if not (isinstance(kind, T.StructType) and _writes_alike(kind)):
         return text(c, kind)
-    return once(F.to_json(_ordered(c, kind), {"ignoreNullFields": "false"}), lambda json: F.when(c.isNotNull() & ~json.rlike(_ODD_JSON), json).otherwise(text(c, kind)))
+    same = lambda json: reduce(lambda a, b: a & b, [c.isNotNull(), ~F.contains(json, F.lit("\\u")), *_safe(c, kind)])
+    return once(F.to_json(_ordered(c, kind), {"ignoreNullFields": "false"}), lambda json: F.when(same(json), json).otherwise(text(c, kind)))
 
 
 def digest(domain: str, c: Column, kind: T.DataType) -> Column:

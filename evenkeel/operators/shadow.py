@@ -82,7 +82,7 @@ def derived(found: Column) -> Column:
 
 
 def faults() -> Column:
-    """The codes; the row is bound once, or every use of a field would work out anew what the field is made of."""
+    """The codes; the row and its matched targets are bound once for all rules."""
     none = F.array().cast(T.ArrayType(_TARGET))
     fields = ["snapshot", "protocol", "policy", *BODY, "plan_digest"]
     found = lambda r: F.struct(r.alias("r"), matched(F.coalesce(r["targets"], none), r["protocol"]).alias("found"))

@@ -97,3 +97,6 @@ def test_digest_of_odd_values_is_that_of_the_text(spark):
     assert got == [canonical.domain_digest("t", plain(v)) for v in [*values, None]]
     far = spark.range(1).select(F.struct((F.col("id") + 2**53).alias("a")).alias("v"))
     assert far.select(canonical_rows.digest("t", F.col("v"), far.schema["v"].dataType)).first()[0] is None
+    lists = spark.createDataFrame([(0, ([[1], None, []], [(2**53 - 1,), None])), (1, ([[2**53]], None)), (2, (None, [(-(2**53),)]))], "i int, v struct<a:array<array<bigint>>,b:array<struct<n:bigint>>>")
+    found = [r.d for r in lists.select("i", canonical_rows.digest("t", F.col("v"), lists.schema["v"].dataType).alias("d")).orderBy("i").collect()]
+    assert found == [canonical.domain_digest("t", {"a": [[1], None, []], "b": [{"n": 2**53 - 1}, None]}), None, None]

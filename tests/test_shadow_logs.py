@@ -120,3 +120,15 @@ def test_a_long_log_equals_a_plain_scan(spark):
             low, high = ordered[int(at)], ordered[min(int(at) + 1, len(ordered) - 1)]
             assert row[f"{m}_{name}"] == pytest.approx(low + (high - low) * (at - int(at)))
     assert len(re.findall("^Trial", body, re.M)) == len(row.trials)
+
+
+def test_targets_are_matched_once_and_digests_written_at_once(spark):
+    """Profiles and endpoints are looked through once a target, not for every rule; plan texts come of Spark's JSON writer."""
+    rows = bound(spark.createDataFrame([plan(0)], KIND))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        said = shadow.shadow_plan_faults(rows)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert said.count("filter(") == 3  # profiles, endpoints, the codes
+    assert "StructsToJson" in said or "to_json" in said
