@@ -19,7 +19,6 @@ id sorts first.  An empty table gives an empty store.
 from __future__ import annotations
 
 import hashlib
-import re
 import string
 import unicodedata
 import uuid
@@ -31,9 +30,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F, Window
 
-from .util import drop_table, lean, mix, share, shared_root, ship
+from .util import BLOCK, blocks, column_bytes, drop_table, lean, mix, share, shared_root, ship
 
 WINDOW, MASK, LEAST, MOST = 16, 0xFF, 32, 4096  # ids under the rolling hash, one cut in 256, bounds of a chunk
+STRETCH = 1 << 14  # ids whose rolling hashes are worked out at a time
 MEMO = 400_000  # words in each of the two generations of a worker's memo; results do not depend on it
 
 
@@ -51,8 +51,9 @@ class Words(dict):
     """Ids (as bytes) of single words, found by the tokenizers library when first asked for.
 
     Outside its pattern the tokenizer drops white space, and none of its steps looks across white space, so a text's ids
-    are those of its words, one after another.  Nor does a step look across the place between an ASCII letter and a comma
-    or full stop: such a mark at a word's end is a word of its own here, which leaves fewer words to ask for.
+    are those of its words, one after another.  Nor does a step look across the place between an ASCII letter and an ASCII
+    mark (``parting`` has the marks for which the library says so): what follows is a word of its own here, which leaves
+    fewer words to ask for.
 
     A word of small letters up to U+052F in composed form passes the tokenizer's normalizer and pattern as it is, so the
     library's model is asked for it at once.  A text that holds the name of an added token, in any case, goes to the
@@ -66,16 +67,21 @@ class Words(dict):
         self.model = self.tokenizer.model
         self.width, self.old = width, {}
         self.code = {2: "H", 4: "I"}[int(width[2])]
-        whole = lambda x: tuple(self.tokenizer.encode(x, add_special_tokens=False).ids)
-        self.lowers = len({whole(x) for x in (string.ascii_letters[:26], string.ascii_letters[26:])}) == 1
+        whole = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.lowers = whole(string.ascii_lowercase) == whole(string.ascii_uppercase)
         tried = ["word", "q", string.ascii_lowercase, "été", "straße", "жизнь", "ñandú"]
         self.direct = self.lowers and all(whole(x) == self._of_model(x) for x in tried)
         self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        first = {name[:1] for name in self.added}
-        self.begins = first.pop() if len(first) == 1 else b""  # what all of them begin with
+        # an apostrophe may begin a shortened word, so it is left with what stands before it
+        parts = lambda m: all(whole("q" + x) == whole("q") + whole(x) for x in (m, m + m, m + "q", m + "'s", m + " q"))
+        self.parting = [m for m in string.punctuation if m != "'" and parts(m)]
+        self.kind = np.zeros(256, np.uint8)
+        self.kind[[*b" \t\n\r\v\f"]] = _SPACE
+        self.kind[[*string.ascii_letters.encode()]] = _LETTER
+        self.kind[[*"".join(self.parting).encode()]] = _MARK
 
-    def _of_model(self, word: str) -> tuple[int, ...]:
-        return tuple([t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS))])
+    def _of_model(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS))]
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MEMO:
@@ -84,42 +90,71 @@ class Words(dict):
         got = self.old.get(word)
         if got is None:
             text = word.decode()
-            if self.direct and text.isalpha() and text == text.lower() and (text.isascii() or max(text) < "\u0530" and unicodedata.is_normalized("NFC", text)):
-                got = self.pack(*self._of_model(text))
-            elif self.direct and (cut := _MARKED.fullmatch(word)) and cut[1].decode().isalpha():
-                got = self[cut[1]] + self[cut[2]]
-            else:
-                got = self.pack(*self.tokenizer.encode(text, add_special_tokens=False).ids)
+            small = word.isalpha() and word.islower() if text.isascii() else text.isalpha() and text == text.lower() and max(text) < "\u0530" and unicodedata.is_normalized("NFC", text)
+            got = array(self.code, self._of_model(text)).tobytes() if self.direct and small else self.library(text)
         self[word] = got
         return got
 
-    def pack(self, *ids: int) -> bytes:
-        return array(self.code, ids).tobytes()
-
-    def whole(self, text: str) -> bytes:
-        """Ids of a whole text."""
-        raw = text.encode()
-        if self.added and self.begins in raw:
-            low = raw.lower()
-            if any(name in low for name in self.added):
-                return self.pack(*self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.__getitem__, split(raw, self.lowers)))
+    def library(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def streams(self, buf: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts that stand one after another in ``buf``, the end id after each; and where each text's ids end.
+
+        The words of all texts become codes into the different ones, and only those are looked up, once each.
+        """
+        raw = buf.tobytes()
+        low = raw.lower()
+        at = np.frombuffer(low if self.lowers else raw, np.uint8)
+        named = {int(i) for name in self.added for i in _holders(low, name, offs)}
+        marked = (buf == 0xCC) | (buf == 0xCD) if self.lowers else np.zeros(0, bool)
+        if marked.any():  # marks of U+0300 to U+036F may compose with a small letter and not with its capital
+            at = at.copy()
+            for i in np.unique(np.searchsorted(offs, np.flatnonzero(marked), "right") - 1).tolist():
+                at[offs[i] : offs[i + 1]] = buf[offs[i] : offs[i + 1]]
+        kind = self.kind[at]
+        space = kind == _SPACE
+        begins = np.zeros(len(at) + 1, bool)
+        begins[1:-1] = (space[:-1] & ~space[1:]) | ((kind[:-1] == _LETTER) & (kind[1:] == _MARK))
+        for i in named:
+            begins[offs[i] : offs[i + 1]] = False
+        begins[offs] = True  # of each text, and the end of all
+        bounds = np.flatnonzero(begins)
+        words = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(at)]).dictionary_encode()
+        first = np.searchsorted(bounds, offs)  # word of each text's begin
+        codes = words.indices.to_numpy().copy()
+        skip = {int(codes[first[i]]) for i in named}
+        _, cut, spelt = words.dictionary.buffers()
+        cut, spelt = np.frombuffer(cut, np.int64, len(words.dictionary) + 1).tolist(), spelt.to_pybytes()
+        # what stands for a whole text is left out here
+        got = [b"" if k in skip else self[spelt[a:b].strip()] for k, (a, b) in enumerate(zip(cut, cut[1:]))]
+        for i in named:
+            codes[first[i]] = len(got)
+            got.append(self.library(raw[offs[i] : offs[i + 1]].decode()))
+        flat = np.frombuffer(b"".join(got), self.width)
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // int(self.width[2])
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])  # ids after each number of words
+        ids = flat[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])]
+        stops = ends[first[1:]]
+        return np.insert(ids, stops, end_id), stops + np.arange(1, len(stops) + 1)
 
 
 _workers: dict[str, Words] = {}
-_LAST_MARK = re.compile(rb"[.,](?<=[A-Za-z][.,])(?=[ \n])")
-#: Letters (to be looked at more closely), then ASCII marks but no apostrophe: the tokenizer's pattern always parts them.
-_MARKED = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
-
+_SPACE, _LETTER, _MARK = 1, 2, 3
 
-def split(raw: bytes, lowers: bool) -> list[bytes]:
-    """The words of a text, their ASCII letters in lower case where the tokenizer makes them so.
 
-    Not in texts with marks of U+0300 to U+036F, which may compose with a small letter and not with its capital.
-    """
-    if lowers and b"\xcc" not in raw and b"\xcd" not in raw:
-        raw = raw.lower()
-    return _LAST_MARK.sub(rb" \g<0>", raw).split()
+def _holders(low: bytes, name: bytes, offs: np.ndarray):
+    """The texts in which ``name`` stands; what reaches from one text into the next does not count."""
+    i = low.find(name)
+    while i >= 0:
+        text = int(np.searchsorted(offs, i, "right")) - 1
+        if i + len(name) <= offs[text + 1]:
+            yield text
+            i = low.find(name, int(offs[text + 1]))
+        else:
+            i = low.find(name, i + 1)
 
 
 _gears = np.zeros(0, np.uint64)
@@ -132,13 +167,16 @@ def marks(ids: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     if len(_gears) <= int(ids.max()):
         _gears = mix(np.arange(max(65536, 2 * int(ids.max())), dtype=np.uint64) + np.uint64(0x51ED270B))
-    roll, step = _gears[ids], 1
-    with np.errstate(over="ignore"):
-        while step < WINDOW:
-            more = roll.copy()
-            more[step:] += roll[:-step] << np.uint64(2 * step)
-            roll, step = more, 2 * step
-    return np.flatnonzero((roll[WINDOW - 1 :] >> np.uint64(40)) & np.uint64(MASK) == 0) + WINDOW
+    found = []
+    for at in range(0, len(ids) - WINDOW + 1, STRETCH):  # by stretches that stay in the processor's cache
+        roll, step = _gears[ids[at : at + STRETCH + WINDOW - 1]], 1
+        with np.errstate(over="ignore"):
+            while step < WINDOW:
+                more = roll.copy()
+                more[step:] += roll[:-step] << np.uint64(2 * step)
+                roll, step = more, 2 * step
+        found.append(np.flatnonzero((roll[WINDOW - 1 :] >> np.uint64(40)) & np.uint64(MASK) == 0) + (at + WINDOW))
+    return np.concatenate(found)
 
 
 def cuts(ids: np.ndarray, ends: list[int]):
@@ -193,40 +231,38 @@ def write_store(docs, tokenizer_path: str, end_id: int, path: str | None = None,
         if key not in _workers:
             _workers.clear()
             _workers[key] = Words(spec, width)
-        ids_of, size = _workers[key].whole, int(width[2])
-        end = np.array([end_id], width).tobytes()
+        known, size = _workers[key], int(width[2])
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            rows, streams, ends, total = [], [], [], 0
-            for text in batch.column(1).to_pylist():
-                streams.append(ids_of(text) + end if text else end)
-                total += len(streams[-1]) // size
-                ends.append(total)
-            stream, last = b"".join(streams), 0
-            for row, own in enumerate(cuts(np.frombuffer(stream, width), ends)):
-                for seq, cut in enumerate(own):
-                    payload = stream[last * size : cut * size]
-                    for kept, value in zip(out, (uid, seq, digest(payload), cut - last, payload)):
-                        kept.append(value)
-                    rows.append(row)
-                    last = cut
-                uid += 1
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(v, k) for v, k in zip(out, kinds))], names=["doc_id", "uid", "seq", "digest", "n", "payload"])
-
-    raw = f"{path}/raw"
-    docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lean(cut_up), f"doc_id {id_type}, uid bigint, seq int, digest binary, n int, payload binary").write.option("compression", "zstd").parquet(raw)
-    pieces = spark.read.parquet(raw)
-    pieces.groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/chunks")
-
-    def rooted(batches):
-        for batch in batches:
-            yield batch.append_column("root", pa.array([merkle([c["digest"] for c in x]) for x in batch.column(3).to_pylist()], pa.binary()))
-
-    recipes = pieces.groupBy("doc_id", "uid").agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("seq", "digest"))).alias("chunks"))
-    schema = f"doc_id {id_type}, uid bigint, n_tokens bigint, chunks array<struct<seq:int,digest:binary>>"
-    recipes = recipes.select("doc_id", "uid", "n_tokens", "chunks").mapInArrow(lean(rooted), f"{schema}, root binary")
+            names, totals, roots, edges, payloads = [], [], [], [0], {}
+            for _, _, buf, offs in blocks(*column_bytes(batch.column(1)), size=4 * BLOCK):
+                ids, ends = known.streams(buf, offs, end_id)
+                stream, last = ids.tobytes(), 0
+                for own in cuts(ids, ends.tolist()):
+                    begin = last
+                    for cut in own:
+                        payload = stream[last * size : cut * size]
+                        names.append(digest(payload))
+                        payloads[names[-1]] = payload
+                        last = cut
+                    totals.append(last - begin)
+                    roots.append(merkle(names[edges[-1] :]))
+                    edges.append(len(names))
+            seqs = np.arange(len(names)) - np.repeat(edges[:-1], np.diff(edges))
+            chunks = pa.StructArray.from_arrays([pa.array(seqs, pa.int32()), pa.array(names, pa.binary())], names=["seq", "digest"])
+            columns = [batch.column(0), pa.array(range(uid, uid + len(batch)), pa.int64()), pa.array(totals, pa.int64()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), chunks), pa.array(roots, pa.binary())]
+            own = [pa.array(list(payloads), pa.binary()), pa.array(list(payloads.values()), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(batch), c.type) for c in own)], names=fields)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(payloads), c.type) for c in columns), *own], names=fields)
+            uid += len(batch)
+
+    # rows of documents, and rows of chunks (digest and payload only), each payload once a batch
+    raw, fields = f"{path}/raw", ["doc_id", "uid", "n_tokens", "chunks", "root", "digest", "payload"]
+    schema = f"doc_id {id_type}, uid bigint, n_tokens bigint, chunks array<struct<seq:int,digest:binary>>, root binary, digest binary, payload binary"
+    docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lean(cut_up), schema).write.option("compression", "zstd").parquet(raw)
+    pieces = spark.read.schema(schema).parquet(raw)
+    pieces.where("payload IS NOT NULL").groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    recipes = pieces.where("uid IS NOT NULL").select(*fields[:5])
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     recipes = recipes.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "uid").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "uid").withColumn("part", F.spark_partition_id())
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
@@ -248,41 +284,45 @@ def write_store(docs, tokenizer_path: str, end_id: int, path: str | None = None,
     return path
 
 
-_POLY = 0xEDB88320
+_POLY = np.uint32(0xEDB88320)
 
 
-def _times(a: int, b: int) -> int:
-    """Product of two polynomials modulo CRC-32's, bits reflected."""
-    p = 0
-    while a:
-        if a & 0x80000000:
-            p ^= b
-        a = (a << 1) & 0xFFFFFFFF
-        b = (b >> 1) ^ (_POLY if b & 1 else 0)
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials modulo CRC-32's, bits reflected."""
+    one, p = np.uint32(1), np.zeros(len(a), np.uint32)
+    for bit in range(31, -1, -1):
+        p ^= b * (a >> np.uint32(bit) & one)
+        b = (b >> one) ^ (b & one) * _POLY
     return p
 
 
-_shifts: dict[int, int] = {}
+_DIGIT = 10
+_powers: list[np.ndarray] = []
 
 
-def _shift(n_bytes: int) -> int:
-    """x to the power 8 * n_bytes, modulo CRC-32's polynomial."""
-    if n_bytes not in _shifts:
-        out, square, n = 0x80000000, 0x00800000, n_bytes  # 1, x ** 8
-        while n:
-            if n & 1:
-                out = _times(out, square)
-            square, n = _times(square, square), n >> 1
-        _shifts[n_bytes] = out
-    return _shifts[n_bytes]
+def _power(digit: int) -> np.ndarray:
+    """x to the powers 32 * v * 2 ** (_DIGIT * digit), modulo CRC-32's polynomial, for v below 2 ** _DIGIT."""
+    while len(_powers) <= digit:
+        out = np.array([0x80000000], np.uint32)  # 1
+        step = _times(_powers[-1][-1:], _powers[-1][1:2]) if _powers else np.array([_POLY])  # x ** 32
+        for _ in range(_DIGIT):
+            out = np.concatenate([out, _times(out, np.repeat(step, len(out)))])
+            step = _times(step, step)
+        _powers.append(out)
+    return _powers[digit]
 
 
-def crc_join(parts) -> int:
-    """CRC-32 of a whole from (crc, bytes) of its parts in order."""
-    out = 0
-    for crc, n_bytes in parts:
-        out = _times(out, _shift(n_bytes)) ^ crc
-    return out
+def crc_join(crcs: np.ndarray, sizes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """CRC-32 of each whole from the CRCs of its parts in order and their sizes in ids of four bytes; ``edges`` are between wholes."""
+    ends = np.cumsum(sizes)
+    last = np.concatenate([[0], ends])[edges[1:]]
+    after = np.repeat(last, np.diff(edges)) - ends  # ids that follow a part in its whole
+    out, digit = crcs.astype(np.uint32), 0
+    while after.any():
+        out = _times(out, _power(digit)[after & ((1 << _DIGIT) - 1)])
+        after, digit = after >> _DIGIT, digit + 1
+    run = np.concatenate([np.zeros(1, np.uint32), np.bitwise_xor.accumulate(out)])
+    return (run[edges[1:]] ^ run[edges[:-1]]).astype(np.int64)
 
 
 def check_parts(spark, path: str, recipes):
@@ -318,6 +358,12 @@ def read_ids(spark, path: str):
     return whole.mapInArrow(lean(join_up), f"doc_id {kind}, uid bigint, ids array<bigint>")
 
 
+def gathered(column) -> tuple[np.ndarray, pa.StructArray]:
+    """(edges, structs): the structs of a column of lists one after another, and where each list begins and the last ends."""
+    edges = column.offsets.to_numpy().astype(np.int64)
+    return edges - edges[0], column.flatten()
+
+
 def read_store(spark, path: str):
     """One row per document of the store: doc_id, start, n_tokens, ids_crc32 (of unsigned 32-bit ids), root, verified."""
     ship(spark)
@@ -325,9 +371,13 @@ def read_store(spark, path: str):
 
     def check(batches):
         for batch in batches:
-            pay = batch.column(1).to_pylist()
-            ids = [np.frombuffer(p, width) for p in pay]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()), pa.array(list(map(len, ids)), pa.int32()), pa.array([digest(p) == d for p, d in zip(pay, batch.column(0).to_pylist())], pa.bool_())], names=["digest", "crc", "n", "sound"])
+            pay, size = batch.column(1).to_pylist(), int(width[2])
+            n = np.fromiter(map(len, pay), np.int64, len(pay)) // size
+            sound = [digest(p) == d and len(p) % size == 0 for p, d in zip(pay, batch.column(0).to_pylist())]
+            stream = b"".join(p if len(p) % size == 0 else p[: len(p) // size * size] for p in pay)
+            ids, at = memoryview(np.frombuffer(stream, width).astype("<u4")), [0, *np.cumsum(n).tolist()]
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64()), pa.array(n.astype(np.int32)), pa.array(sound, pa.bool_())], names=["digest", "crc", "n", "sound"])
 
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(lean(check), "digest binary, crc bigint, n int, sound boolean")
     recipes = spark.read.parquet(f"{path}/recipes")
@@ -336,10 +386,15 @@ def read_store(spark, path: str):
 
     def join_up(batches):
         for batch in batches:
-            got = batch.column(1).to_pylist()
-            sound = [all(c["sound"] for c in g) and [c["seq"] for c in g] == list(range(len(g))) for g in got]
-            crc = [crc_join((c["crc"], 4 * c["n"]) for c in g) if s else None for g, s in zip(got, sound)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sum(c["n"] or 0 for c in g) for g in got], pa.int64()), pa.array(crc, pa.int64()), pa.array([merkle([c["digest"] for c in g]) for g in got], pa.binary()), pa.array(sound, pa.bool_())], names=["uid", "n", "crc", "top", "sound"])
+            edges, parts = gathered(batch.column(1))
+            seq, crc, n = (parts.field(k).fill_null(0).to_numpy() for k in ("seq", "crc", "n"))
+            right = parts.field("sound").fill_null(False).to_numpy(zero_copy_only=False) & (seq == np.arange(len(seq)) - np.repeat(edges[:-1], np.diff(edges)))
+            wrong, ids = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (~right, n))
+            sound = wrong[edges[1:]] == wrong[edges[:-1]]
+            names, at = parts.field("digest").to_pylist(), edges.tolist()
+            tops = [merkle(names[a:b]) for a, b in zip(at, at[1:])]
+            crcs = pa.array(crc_join(crc, n.astype(np.int64), edges), pa.int64(), mask=~sound)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids[edges[1:]] - ids[edges[:-1]]), crcs, pa.array(tops, pa.binary()), pa.array(sound)], names=["uid", "n", "crc", "top", "sound"])
 
     found = found.select("uid", "got").mapInArrow(lean(join_up), "uid bigint, n bigint, crc bigint, top binary, sound boolean")
     # ids before each recipe file by the manifest: one row per file, as many as there are files
