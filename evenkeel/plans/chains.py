@@ -174,9 +174,11 @@ def streamed_attempts(spark, sf_dir):
     """What became of leased attempts, said once by a stream when their leases are over."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     rows = spark.sql(JOURNAL.replace("FROM orders", "FROM {orders}"), orders=orders)
-    end = rows.agg(F.lit("end").alias("execution"), F.lit(9).alias("attempt"), F.lit("failed").alias("kind"), (F.max("at_ms") + 200 * DAY_MS).alias("at_ms"), F.lit(None).cast("bigint").alias("lease_ms"), F.lit(None).cast("string").alias("category"))
+    first, last, over = rows.agg(F.min("at_ms"), F.max("at_ms"), F.max(F.col("at_ms") + 2 * F.coalesce("lease_ms", F.lit(0)))).first()
+    delay = 0 if first is None else last - first + DAY_MS  # the files are in no order, so any row may come after the last one
+    end = spark.createDataFrame([("end", 9, "failed", None, None, (over or 0) + delay + DAY_MS)], "execution string, attempt int, kind string, lease_ms bigint, category string, at_ms bigint")
     rows, end = (r.withColumn("at", F.timestamp_millis("at_ms")).drop("at_ms") for r in (rows, end))
-    return _streamed(rows, lambda s: stateful.settle(s, 3, "100 days"), "append", end).select("execution", "attempt", "outcome", "at_ms", "again")
+    return _streamed(rows, lambda s: stateful.settle(s, 3, f"{delay} milliseconds"), "append", end).select("execution", "attempt", "outcome", "at_ms", "again")
 
 
 def queries() -> dict:
