@@ -29,10 +29,13 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
-def stored(rows: DataFrame) -> DataFrame:
-    """The rows as ``cut`` gives them, but by columns: for many wide rows of which each use reads a few columns."""
+def stored(rows: DataFrame, most: int = 0) -> DataFrame:
+    """The rows as ``cut`` gives them, but by columns: for many wide rows of which each use reads a few columns.
+
+    ``most`` is how many rows a file may have, where not 0, so that a long partition is read by several tasks.
+    """
     path = f"{shared_folder(rows.sparkSession)}/evenkeel-rows-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    rows.write.option("maxRecordsPerFile", most).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut, shared_folder
+from ..functions.lineage import cut, shared_folder, stored
 from ..operators import chains, snapshots
 from ..streaming import stateful
 from .control import _NEXT, LATER, LIFE
@@ -29,20 +29,19 @@ def _pick(values, place: str) -> str:
     return "CASE " + place + "".join(f" WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
 
 
-#: Both engines' text.  kind u: users' chains, kind t: long ones; ``pick`` plants one thing in each of the first numbers.
-CHAINS = f"""
+def _facts(sequence: str = "sequence", event: str = "event_id") -> str:
+    """The fact and the result of an event at a place of its chain, in words of both engines."""
+    return f"""CASE WHEN {sequence} <= {len(LIFE)} THEN {_pick(LIFE, f"{sequence} - 1")} WHEN every = 97 THEN {_pick(LATER, f"{event} % {len(LATER)}")}
+      WHEN {sequence} % 2 = 0 THEN 'window-manifest-recorded' ELSE 'window-assessment-recorded' END AS fact,
+    CASE WHEN every = 97 AND {event} % 31 = 0 THEN 'STALE' WHEN every = 97 AND {event} % 17 = 0 THEN 'HOLD' WHEN {sequence} = 4 THEN 'NOMINATED' ELSE 'PASS' END AS result"""
+
+
+_NAMED = """
 named AS (
   SELECT concat('u', CAST(user_id AS STRING)) AS controller, 97 AS every, event_id, ts FROM events
   UNION ALL SELECT concat('t', event_type), 1999, event_id, ts FROM events),
-placed AS (SELECT *, row_number() OVER (PARTITION BY controller ORDER BY ts, event_id) AS sequence FROM named),
-facts AS (
-  SELECT *, CASE WHEN sequence <= {len(LIFE)} THEN {_pick(LIFE, "sequence - 1")} WHEN every = 97 THEN {_pick(LATER, f"event_id % {len(LATER)}")}
-      WHEN sequence % 2 = 0 THEN 'window-manifest-recorded' ELSE 'window-assessment-recorded' END AS fact,
-    CASE WHEN every = 97 AND event_id % 31 = 0 THEN 'STALE' WHEN every = 97 AND event_id % 17 = 0 THEN 'HOLD' WHEN sequence = 4 THEN 'NOMINATED' ELSE 'PASS' END AS result,
-    CASE WHEN sequence > {len(LIFE)} THEN event_id % every ELSE 96 END AS pick FROM placed),
-signed AS (SELECT *, {{sha}}(concat_ws('|', controller, CAST(sequence AS STRING), fact, result, CAST(event_id AS STRING)){{bits}}) AS id FROM facts),
-linked AS (SELECT *, lag(id) OVER (PARTITION BY controller ORDER BY sequence) AS previous FROM signed),
-chain AS (
+"""
+_CHAIN = """chain AS (
   SELECT controller, CAST(sequence AS BIGINT) AS sequence, event_id AS source, fact, CASE WHEN pick = 4 THEN 'STALE' ELSE result END AS result, id AS event_id,
     CASE WHEN pick = 5 THEN 'other' ELSE 'study' END AS study, 'digest' AS protocol, CASE WHEN pick = 2 THEN 'elsewhere' ELSE previous END AS predecessor,
     CAST(sequence * 10 - CASE WHEN pick = 6 THEN 15 ELSE 0 END AS BIGINT) AS occurred_at FROM linked WHERE pick <> 0
@@ -52,15 +51,32 @@ genesis AS (
   SELECT DISTINCT controller, 'study' AS study, 'digest' AS protocol, CAST(0 AS BIGINT) AS created_at,
     CAST(CASE WHEN every = 97 THEN 401 ELSE 1000000000 END AS BIGINT) AS expires_at FROM named)
 """
+_PICK = f"CASE WHEN sequence > {len(LIFE)} THEN event_id % every ELSE 96 END AS pick"
+
+#: The SQL's text.  kind u: users' chains, kind t: long ones; ``pick`` plants one thing in each of the first numbers.
+CHAINS = f"""{_NAMED}placed AS (SELECT *, row_number() OVER (PARTITION BY controller ORDER BY ts, event_id) AS sequence FROM named),
+facts AS (
+  SELECT *, {_facts()},
+    {_PICK} FROM placed),
+signed AS (SELECT *, {{sha}}(concat_ws('|', controller, CAST(sequence AS STRING), fact, result, CAST(event_id AS STRING)){{bits}}) AS id FROM facts),
+linked AS (SELECT *, lag(id) OVER (PARTITION BY controller ORDER BY sequence) AS previous FROM signed),
+{_CHAIN}"""
+#: The same for Spark, where events know the one before them by its number, so that no digest goes through a window.
+_PLACED = f"WITH {_NAMED.strip().rstrip(',')} SELECT controller, every, event_id, row_number() OVER w AS sequence, lag(event_id) OVER w AS before FROM named WINDOW w AS (PARTITION BY controller ORDER BY ts, event_id)"
+_LINKED = f"""facts AS (SELECT *, {_facts()}, {_PICK} FROM named),
+earlier AS (SELECT controller, every, sequence, event_id, before, pick, fact, result, {_facts("(sequence - 1)", "before").replace("AS fact", "AS fact_before").replace("AS result", "AS result_before")} FROM facts),
+linked AS (
+  SELECT controller, sequence, event_id, pick, fact, result, sha2(concat_ws('|', controller, CAST(sequence AS STRING), fact, result, CAST(event_id AS STRING)), 256) AS id,
+    CASE WHEN sequence > 1 THEN sha2(concat_ws('|', controller, CAST(sequence - 1 AS STRING), fact_before, result_before, CAST(before AS STRING)), 256) END AS previous FROM earlier),
+"""
 
 
 def _chains(spark, sf_dir):
-    """(events, genesis, identity)"""
-    events = {"events": spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "event_id", "ts")}
-    text = CHAINS.format(sha="sha2", bits=", 256")
-    for name in events:
-        text = text.replace(f"FROM {name}", f"FROM {{{name}}}")
-    rows, genesis = (spark.sql(f"WITH {text} SELECT * FROM {t}", **events) for t in ("chain", "genesis"))
+    """(events, genesis, identity); the events' places in their chains are written once."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "event_id", "ts")
+    placed = stored(spark.sql(_PLACED.replace("FROM events", "FROM {events}"), events=events), 1_000_000)
+    text = (_LINKED + _CHAIN).replace("FROM named", "FROM {named}")
+    rows, genesis = (spark.sql(f"WITH {text} SELECT * FROM {t}", named=placed) for t in ("chain", "genesis"))
     body = [F.col("controller"), F.col("sequence").cast("string"), F.col("fact"), F.col("result"), F.col("source").cast("string")]
     return rows, genesis, F.sha2(F.concat_ws("|", *body), 256)
 

@@ -21,3 +21,23 @@ def test_attempts_over_more_days_than_a_hundred(spark, tmp_path, monkeypatch):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     assert got == sorted(duck.execute(chains.oracle_sql()["streamed_attempts"]).fetchall()) and len(got) == 400
+
+
+def _shuffled(spark, run) -> int:
+    """Bytes that stages have written for others while ``run`` went on."""
+    context = spark.sparkContext._jsc.sc()
+
+    def all_stages():
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = all_stages()
+    run()
+    return all_stages() - before
+
+
+def test_events_are_shuffled_once_for_a_replay(spark):
+    """Less than two of an event's two digests of 64 letters, for each row of the chains, of which the events are half."""
+    rows = 2 * spark.read.parquet("/root/testdata/sf0.1/events.parquet").count()
+    assert _shuffled(spark, lambda: chains.replayed_chains(spark, "/root/testdata/sf0.1").collect()) < 256 * rows
