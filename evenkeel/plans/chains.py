@@ -101,8 +101,9 @@ def resumed_chains(spark, sf_dir):
     taken = cut(taken)
     pins = taken.where(_mark() % 3 == 0).select("controller", "protocol", "sequence", "event_id", F.when(_mark() % 4 == 0, "another").otherwise(F.col("snapshot_digest")).alias("snapshot_digest"))
     pins = pins.where(_mark() % 10 != 1)
-    verdicts = chains.verify_checkpoints(taken, events, genesis, pins, **how).select("controller", F.col("sequence").alias("checkpoint"), "verdict")
-    after = chains.resume(taken, events, genesis, pins, **how).select("controller", "state", "applied", "refused", "fault")
+    verified = cut(chains.verify_checkpoints(taken, events, genesis, pins, **how))
+    verdicts = verified.select("controller", F.col("sequence").alias("checkpoint"), "verdict")
+    after = chains.follow(verified, events, genesis, **how).select("controller", "state", "applied", "refused", "fault")
     return verdicts.join(after, "controller", "left")
 
 

@@ -41,3 +41,9 @@ def test_events_are_shuffled_once_for_a_replay(spark):
     """Less than two of an event's two digests of 64 letters, for each row of the chains, of which the events are half."""
     rows = 2 * spark.read.parquet("/root/testdata/sf0.1/events.parquet").count()
     assert _shuffled(spark, lambda: chains.replayed_chains(spark, "/root/testdata/sf0.1").collect()) < 256 * rows
+
+
+def test_events_are_shuffled_once_for_what_follows_checkpoints(spark):
+    """As for a replay: what comes before the checkpoints is little, and is verified once."""
+    rows = 2 * spark.read.parquet("/root/testdata/sf0.1/events.parquet").count()
+    assert _shuffled(spark, lambda: chains.resumed_chains(spark, "/root/testdata/sf0.1").collect()) < 256 * rows
